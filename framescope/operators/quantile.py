@@ -37,7 +37,7 @@ from ..functions.canon import qcol
 from ..session import reliable_checkpoint
 
 DEFAULT_BUCKETS = 4096
-DEFAULT_FINAL_ROWS = 200_000
+DEFAULT_FINAL_ROWS = 50_000
 
 
 def long_values(df: DataFrame, columns: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
@@ -68,6 +68,19 @@ def _maybe_broadcast(df: DataFrame, grouped: bool) -> DataFrame:
     return df if grouped else F.broadcast(df)
 
 
+def _in_brackets(vals: DataFrame, brackets: DataFrame, keys: list[str], grouped: bool) -> DataFrame:
+    """Each value joined to the bracket(s) of its (group, column) that
+    contain it: an equi-join on the keys with a range condition (code
+    generated; no per-row lambda). Output keeps the bracket as struct
+    ``t``."""
+    b = brackets.select(*[F.col(k).alias(f"_b{k}") for k in keys],
+                        F.struct(*[c for c in brackets.columns if c not in keys]).alias("t"))
+    cond = [F.col(k) == F.col(f"_b{k}") for k in keys]
+    cond.append(F.col("v").between(F.col("t.lo"), F.col("t.hi")))
+    joined = vals.join(_maybe_broadcast(b, grouped), cond)
+    return joined.select(*keys, "v", "t")
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -120,24 +133,22 @@ def exact_quantiles(
         if big.isEmpty():
             break
         rest = state.where(~open_big)
-        targets = big.groupBy(*keys).agg(
-            F.collect_list(F.struct("rank", "lo", "hi", "below", "cnt")).alias("t")
-        )
-        hit = vals.join(_maybe_broadcast(targets, grouped), keys).select(
-            *keys, "v",
-            F.explode(F.filter("t", lambda t: (F.col("v") >= t["lo"]) & (F.col("v") <= t["hi"]))).alias("t"),
-        )
+        # One histogram per distinct bracket; the ranks that share it (the
+        # two ranks of a quantile, or all ranks before the first pass) read
+        # the same histogram.
+        brackets = big.groupBy(*keys, "lo", "hi", "below", "cnt").agg(F.collect_list("rank").alias("ranks"))
+        hit = _in_brackets(vals, brackets, keys, grouped)
         half_lo = F.col("t.lo") * 0.5
         scaled = (F.col("v") * 0.5 - half_lo) / (F.col("t.hi") * 0.5 - half_lo)
         bucket = F.least(F.floor(scaled * buckets), F.lit(buckets - 1)).cast("int")
         hist = hit.groupBy(
             *keys,
-            F.col("t.rank").alias("rank"), F.col("t.below").alias("below"),
-            F.col("t.cnt").alias("old_cnt"), F.col("t.lo").alias("old_lo"), F.col("t.hi").alias("old_hi"),
-            bucket.alias("b"),
+            F.col("t.lo").alias("old_lo"), F.col("t.hi").alias("old_hi"), F.col("t.below").alias("below"),
+            F.col("t.cnt").alias("old_cnt"), F.col("t.ranks").alias("ranks"), bucket.alias("b"),
         ).agg(F.count("v").alias("c"), F.min("v").alias("bmin"), F.max("v").alias("bmax"))
-        w = Window.partitionBy(*keys, "rank").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.withColumn("cum", F.sum("c").over(w))
+        # at most ``buckets`` rows per window partition
+        w = Window.partitionBy(*keys, "old_lo", "old_hi").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+        hist = hist.withColumn("cum", F.sum("c").over(w)).select("*", F.explode("ranks").alias("rank"))
         want = F.col("rank") - F.col("below")
         picked = hist.where((F.col("cum") - F.col("c") <= want) & (want < F.col("cum"))).select(
             *keys, "rank",
@@ -153,19 +164,17 @@ def exact_quantiles(
     open_ = state.where(F.col("lo") < F.col("hi"))
     if open_.isEmpty():
         return _interpolate(per_p, solved, keys, gk, group_cols)
-    targets = open_.groupBy(*keys).agg(
-        F.collect_list(F.struct("rank", "lo", "hi", "below")).alias("t")
-    )
-    hit = vals.join(_maybe_broadcast(targets, grouped), keys).select(
-        *keys, "v",
-        F.explode(F.filter("t", lambda t: (F.col("v") >= t["lo"]) & (F.col("v") <= t["hi"]))).alias("t"),
-    )
+    # Ranks that share a bracket (always the case before any refinement,
+    # usually for the two ranks of one quantile) share one window.
+    brackets = open_.groupBy(*keys, "lo", "hi", "below").agg(F.collect_list("rank").alias("ranks"))
+    hit = _in_brackets(vals, brackets, keys, grouped)
     # Each window partition holds one bracket: at most ``final_rows`` rows.
-    w = Window.partitionBy(*keys, "t.rank").orderBy("v")
+    w = Window.partitionBy(*keys, "t.lo", "t.hi").orderBy("v")
+    pos = F.col("t.below") + F.row_number().over(w) - 1
     exact = (
-        hit.withColumn("rn", F.row_number().over(w))
-        .where(F.col("rn") == F.col("t.rank") - F.col("t.below") + 1)
-        .select(*keys, F.col("t.rank").alias("rank"), F.col("v").alias("x"))
+        hit.withColumn("pos", pos)
+        .where(F.array_contains(F.col("t.ranks"), F.col("pos")))
+        .select(*keys, F.col("pos").alias("rank"), F.col("v").alias("x"))
     )
     return _interpolate(per_p, solved.unionByName(exact), keys, gk, group_cols)
 

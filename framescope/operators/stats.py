@@ -31,7 +31,7 @@ STRONG_CORRELATION = 0.6
 OUTLIER_WHISKER = 1.5
 OUTLIER_MIN_VALUES = 4
 TOP_VALUES_PROFILE = 5
-PAIRS_PER_AGGREGATION = 200
+PAIRS_PER_AGGREGATION = 500
 
 
 def nonempty_numeric(df: DataFrame) -> list[str]:
@@ -93,31 +93,67 @@ def describe(df: DataFrame, decimals: int = 4) -> DataFrame:
     )
 
 
+def _column_facts(df: DataFrame, cols: Sequence[str]) -> tuple[int, dict[str, int], dict[str, float]]:
+    """Row count, non-missing count and mean per column (one small
+    aggregation; the answer is one row of 2N+1 numbers)."""
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(qcol(c)).alias(f"c{i}") for i, c in enumerate(cols)],
+        *[F.avg(qcol(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
+    ).first()
+    return (row["n"], {c: row[f"c{i}"] for i, c in enumerate(cols)},
+            {c: row[f"m{i}"] for i, c in enumerate(cols)})
+
+
 def _pair_stats(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Pearson r for each pair over rows where both values are present."""
+    """Pearson r for each pair over the rows where both values are present.
+
+    Plain sums of shifted values (each column centred on its mean, so the
+    sums do not cancel catastrophically): per column sum and sum of
+    squares, per pair sum of products. Only pairs touching a column with
+    missing values need their own masked sums. All of it is one
+    aggregation of simple ``sum``s per chunk of pairs - cheap,
+    code-generated, partially aggregated on every partition.
+    """
+    cols = sorted({c for p in pairs for c in p}, key=lambda c: df.columns.index(c))
+    n_rows, nn, mean = _column_facts(df, cols)
+    full = {c for c in cols if nn[c] == n_rows}
+
+    def centred(c: str) -> Column:
+        return qcol(c).cast("double") - F.lit(mean[c] if mean[c] is not None else 0.0)
+
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_AGGREGATION):
         chunk = pairs[start:start + PAIRS_PER_AGGREGATION]
-        aggs = []
+        aggs: dict[str, Column] = {}
+        structs = []
         for i, (a, b) in enumerate(chunk):
-            x, y = qcol(a).cast("double"), qcol(b).cast("double")
-            both = x.isNotNull() & y.isNotNull()
-            xm, ym = F.when(both, x), F.when(both, y)
-            aggs += [
-                F.covar_pop(xm, ym).alias(f"cv{i}"),
-                F.stddev_pop(xm).alias(f"sx{i}"), F.stddev_pop(ym).alias(f"sy{i}"),
-                F.count(xm).alias(f"n{i}"),
-            ]
-        wide = df.agg(*aggs)
-        parts.append(_long_from_wide(wide, [
-            F.struct(
-                F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                # NULL, not an error, when a side is constant (ANSI division).
-                F.when(F.col(f"n{i}") > 1,
-                       F.try_divide(F.col(f"cv{i}"), F.col(f"sx{i}") * F.col(f"sy{i}"))).alias("r"),
-            )
-            for i, (a, b) in enumerate(chunk)
-        ]))
+            x, y = centred(a), centred(b)
+            if a in full and b in full:
+                ka, kb = f"s_{cols.index(a)}", f"s_{cols.index(b)}"
+                qa, qb = f"q_{cols.index(a)}", f"q_{cols.index(b)}"
+                aggs.setdefault(ka, F.sum(x).alias(ka))
+                aggs.setdefault(kb, F.sum(y).alias(kb))
+                aggs.setdefault(qa, F.sum(x * x).alias(qa))
+                aggs.setdefault(qb, F.sum(y * y).alias(qb))
+                aggs.setdefault("n_all", F.count(F.lit(1)).alias("n_all"))
+                n, sx, sy, qx, qy = "n_all", ka, kb, qa, qb
+            else:
+                both = x.isNotNull() & y.isNotNull()
+                xm, ym = F.when(both, x), F.when(both, y)
+                n, sx, sy, qx, qy = f"pn{i}", f"psx{i}", f"psy{i}", f"pqx{i}", f"pqy{i}"
+                aggs[n] = F.count(xm).alias(n)
+                aggs[sx], aggs[sy] = F.sum(xm).alias(sx), F.sum(ym).alias(sy)
+                aggs[qx], aggs[qy] = F.sum(xm * xm).alias(qx), F.sum(ym * ym).alias(qy)
+            aggs[f"p{i}"] = F.sum(x * y).alias(f"p{i}")
+            cn = F.col(n)
+            cov = F.col(f"p{i}") - F.col(sx) * F.col(sy) / cn
+            vx = F.col(qx) - F.col(sx) * F.col(sx) / cn
+            vy = F.col(qy) - F.col(sy) * F.col(sy) / cn
+            r = F.when((cn > 1) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+            structs.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), r.alias("r")))
+        wide = df.agg(*aggs.values())
+        parts.append(_long_from_wide(wide, structs))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -136,10 +172,13 @@ def correlation_matrix(df: DataFrame, decimals: int | None = 3, columns: Sequenc
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     upper = _pair_stats(df, pairs)
     lower = upper.select(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "r")
-    sds = df.agg(*[F.stddev_pop(qcol(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)])
+    # The diagonal is 1 for a column that varies, missing otherwise.
+    sds = df.agg(*[
+        (F.max(qcol(c).cast("double")) > F.min(qcol(c).cast("double"))).alias(f"s{i}") for i, c in enumerate(cols)
+    ])
     diag = _long_from_wide(sds, [
         F.struct(F.lit(c).alias("column_a"), F.lit(c).alias("column_b"),
-                 F.when(F.col(f"s{i}") > 0, F.lit(1.0)).alias("r"))
+                 F.when(F.col(f"s{i}"), F.lit(1.0)).alias("r"))
         for i, c in enumerate(cols)
     ])
     out = upper.unionByName(lower).unionByName(diag)

@@ -53,6 +53,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def reliable_checkpoint(df):
     """Eager checkpoint into the session's checkpoint folder (never a
-    local-only checkpoint: a lost executor must not lose the data)."""
+    local-only checkpoint: a lost executor must not lose the data).
+
+    The frame is persisted first so the plan runs once: the checkpoint
+    write then reads the cached blocks instead of recomputing them."""
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference profiles one table at a time and has no stream, window,
+watermark or state handling, so nothing is built here. Every operator in
+this package is a batch DataFrame transformation; a streaming caller can
+apply any of them per micro-batch through ``foreachBatch``.
+"""

@@ -273,6 +273,107 @@ def _sql_quality_report(view: str, cols: list[str], text_cols: list[str], n_num:
     FROM m, t, d"""
 
 
+def _sql_chart_plan(view: str, numeric: list[str], categorical: list[str], datetime: list[str]) -> str:
+    """The automatic chart plan, derived from the table's counts."""
+    facts = []
+    for i, c in enumerate(numeric):
+        pair = f"count({_q(datetime[0])} + INTERVAL 0 DAY) FILTER (WHERE {_q(c)} IS NOT NULL)" if datetime else "0"
+        facts.append(f"SELECT 'numeric' AS kind, {i} AS pos, '{c}' AS name, count({_q(c)}) AS nn, "
+                     f"CAST(NULL AS BIGINT) AS nd, {pair} AS pairs FROM {view}")
+    for i, c in enumerate(categorical):
+        facts.append(f"SELECT 'categorical', {i}, '{c}', count({_q(c)}), count(DISTINCT {_q(c)}), 0 FROM {view}")
+    for i, c in enumerate(datetime):
+        facts.append(f"SELECT 'datetime', {i}, '{c}', count({_q(c)}), NULL, 0 FROM {view}")
+    return f"""SELECT * FROM (WITH facts AS ({_union(facts)}),
+      num AS (SELECT name, pairs, row_number() OVER (ORDER BY pos) AS k FROM facts WHERE kind = 'numeric' AND nn > 0),
+      cat AS (SELECT name, nd, row_number() OVER (ORDER BY pos) AS k FROM facts WHERE kind = 'categorical' AND nn > 0),
+      dt AS (SELECT name FROM facts WHERE kind = 'datetime' ORDER BY pos LIMIT 1),
+      pie AS (SELECT name FROM cat WHERE nd BETWEEN 2 AND 8 ORDER BY k LIMIT 1),
+      rows_ AS (
+        SELECT 1 AS grp, k AS sub, 'Histogram' AS chart_type, name AS x_axis, 'Frequency' AS y_axis, name AS c
+          FROM num WHERE k <= 4
+        UNION ALL SELECT 2, k, 'Bar Chart', 'Count', name, name FROM cat WHERE k <= 3
+        UNION ALL SELECT 3, 1, 'Pie Chart', NULL, NULL, name FROM pie
+        UNION ALL SELECT 4, 1, 'Trend Line', dt.name, num.name, NULL FROM dt, num WHERE num.k = 1 AND num.pairs > 0
+        UNION ALL SELECT 5, 1, 'Correlation Heatmap', NULL, NULL, NULL FROM (SELECT count(*) AS m FROM num) WHERE m >= 2)
+    SELECT CAST(row_number() OVER (ORDER BY grp, sub) AS INTEGER) AS chart_id, chart_type, x_axis, y_axis,
+           c AS {_q('column')} FROM rows_)"""
+
+
+def _values(names: list[str]) -> str:
+    return "(VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(names)) + ")"
+
+
+def _sql_findings_base(view: str, columns: list[str], numeric: list[str], categorical: list[str],
+                       datetime: list[str]) -> str:
+    """CTEs shared by the findings oracles: plan, strong, outliers, chart
+    columns."""
+    real = ", ".join(f"'{c}'" for c in columns)
+    return f""", plan AS ({_sql_chart_plan(view, numeric, categorical, datetime)}),
+      st AS (SELECT * FROM ({_sql_strong(view, numeric)})),
+      ol AS (SELECT * FROM ({_sql_outliers(view, numeric)})),
+      cand AS (SELECT chart_id, 1 AS o, {_q('column')} AS name FROM plan
+               UNION ALL SELECT chart_id, 2, x_axis FROM plan UNION ALL SELECT chart_id, 3, y_axis FROM plan),
+      kept AS (SELECT chart_id, name, min(o) AS o FROM cand
+               WHERE name IS NOT NULL AND (name NOT IN ('Frequency', 'Count') OR name IN ({real}))
+               GROUP BY chart_id, name),
+      cc AS (SELECT chart_id, CAST(row_number() OVER (PARTITION BY chart_id ORDER BY o) - 1 AS INTEGER) AS position,
+                    name AS {_q('column')} FROM kept)
+    """
+
+
+def _sql_follow_ups(view: str, columns: list[str], numeric: list[str], categorical: list[str],
+                    datetime: list[str]) -> str:
+    d = datetime[0] if datetime else None
+    v = numeric[0] if numeric else None
+    parts = ["""SELECT 1 AS rule, rank AS sub, 'scatter' AS chart_type, column_a AS x_column, column_b AS y_column,
+              CAST(NULL AS VARCHAR) AS c, column_a || ' vs ' || column_b AS title,
+              'scatter plot between ' || column_a || ' and ' || column_b AS chart_request FROM st WHERE rank <= 2"""]
+    if d and numeric:
+        parts.append(f"""SELECT * FROM (SELECT 2, 1, 'line', '{d}', name, CAST(NULL AS VARCHAR),
+              name || ' Trend Over Time', 'line chart between {d} and ' || name
+            FROM {_values(numeric)} AS numl(pos, name) WHERE name NOT IN (SELECT name FROM charted)
+            ORDER BY pos LIMIT 1)""")
+    if categorical and numeric:
+        parts.append(f"""SELECT * FROM (SELECT 3, 1, 'bar', name, '{v}', CAST(NULL AS VARCHAR),
+              '{v} by ' || name, 'bar chart comparing ' || name || ' and {v}'
+            FROM {_values(categorical)} AS catl(pos, name) WHERE name NOT IN (SELECT name FROM charted)
+            ORDER BY pos LIMIT 1)""")
+    if numeric:
+        parts.append(f"""SELECT * FROM (SELECT 4, 1, 'box', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),
+              ol.{_q('column')}, ol.{_q('column')} || ' Outlier Review', 'boxplot for ' || ol.{_q('column')}
+            FROM ol JOIN {_values(numeric)} AS numl(pos, name) ON ol.{_q('column')} = numl.name
+            WHERE percentage >= 5 ORDER BY pos LIMIT 1)""")
+    if len(numeric) >= 3:
+        parts.append("""SELECT 5, 1, 'heatmap', NULL, NULL, NULL, 'Full Correlation Overview',
+              'correlation heatmap for all numeric columns'""")
+    return f"""{_sql_findings_base(view, columns, numeric, categorical, datetime)},
+      charted AS (SELECT DISTINCT name FROM cand WHERE name IS NOT NULL),
+      allr AS ({_union(parts)})
+    SELECT CAST(row_number() OVER (ORDER BY rule, sub) AS INTEGER) AS rank, rule, chart_type, x_column, y_column,
+           c AS {_q('column')}, title, chart_request FROM allr ORDER BY rule, sub LIMIT 5"""
+
+
+def _sql_observations(view: str, columns: list[str], numeric: list[str], categorical: list[str],
+                      datetime: list[str]) -> str:
+    return f"""{_sql_findings_base(view, columns, numeric, categorical, datetime)},
+      co AS (SELECT DISTINCT p.chart_id, s.rank AS ord,
+                    upper(substr(s.description, 1, 1)) || lower(substr(s.description, 2)) || '.' AS text
+             FROM (SELECT DISTINCT chart_id FROM cc) AS p JOIN st AS s ON s.rank <= 2
+             WHERE EXISTS (SELECT 1 FROM cc WHERE cc.chart_id = p.chart_id
+                           AND (cc.{_q('column')} = s.column_a OR cc.{_q('column')} = s.column_b))),
+      oo AS (SELECT cc.chart_id, 100 + cc.position AS ord,
+                    cc.{_q('column')} || ' has ' || CAST(ol.count AS VARCHAR) || ' outlier value(s) ('
+                      || CAST(ol.percentage AS VARCHAR) || '% of records).' AS text
+             FROM cc JOIN ol ON cc.{_q('column')} = ol.{_q('column')}),
+      found AS (SELECT * FROM co UNION ALL SELECT * FROM oo),
+      allo AS (SELECT * FROM found
+               UNION ALL SELECT chart_id, 0, '{findings.NO_OBSERVATION}' FROM plan
+               WHERE chart_id NOT IN (SELECT chart_id FROM found))
+    SELECT chart_id, CAST(row_number() OVER (PARTITION BY chart_id ORDER BY ord) AS INTEGER) AS rank, text
+    FROM allo"""
+
+
 # --------------------------------------------------------------------------
 # Queries
 # --------------------------------------------------------------------------
@@ -291,6 +392,11 @@ def _describe_single_value(spark: SparkSession, d: str) -> DataFrame:
         "l_quantity", F.when(F.col("l_extendedprice") == top, F.col("l_extendedprice")).alias("top_price")))
 
 
+def _observations(df: DataFrame) -> DataFrame:
+    return findings.chart_observations(
+        chart_plan(df), df.columns, stats.strong_correlations(df), stats.iqr_outliers(df))
+
+
 def _q_messy(fn):
     return lambda spark, d: fn(messy_lineitem(spark, d))
 
@@ -372,6 +478,161 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "preview": lambda s, d: preview.preview(t(s, d, "part"), ["p_partkey"]),
         # findings
         "key_findings": lambda s, d: findings.key_findings(correlated(s, d)),
+        "follow_ups": lambda s, d: findings.follow_ups(correlated(s, d)),
+        "follow_ups_orders": lambda s, d: findings.follow_ups(t(s, d, "orders")),
+        "chart_observations": lambda s, d: _observations(correlated(s, d)),
+        "chart_observations_events": lambda s, d: _observations(t(s, d, "events")),
+        "chart_columns": lambda s, d: findings.chart_columns(chart_plan(correlated(s, d)), CORRELATED),
+        "chart_plan_messy": lambda s, d: chart_plan(messy_lineitem(s, d)),
+        "headline": lambda s, d: findings.headline(correlated(s, d)),
+        "profile_report": lambda s, d: profile_report_from(
+            stats.describe(t(s, d, "events")), quality.missing_by_column(t(s, d, "events")),
+            stats.iqr_outliers(t(s, d, "events"))),
+        # sources
+        "csv_roundtrip": _csv_roundtrip,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    m = _with(MESSY_SQL)
+    corr = _with(CORRELATED_SQL)
+    return {
+        "dataset_shape": 'SELECT count(*) AS "rows", 6 AS "columns", 3 AS numeric_columns, '
+                         '2 AS categorical_columns, 1 AS datetime_columns FROM orders',
+        "missing_by_column": m + _sql_missing("messy_lineitem", MESSY),
+        "missing_total": m + f""", mc AS ({_sql_missing('messy_lineitem', MESSY)})
+            SELECT CAST(coalesce(sum(missing), 0) AS BIGINT) AS missing_values,
+                   count_if(missing > 0) AS columns_with_missing FROM mc""",
+        "empty_columns": m + f""", mc AS ({_sql_missing('messy_lineitem', MESSY)})
+            SELECT position, {_q('column')} FROM mc WHERE missing = total""",
+        "near_empty_columns": m + f""", mc AS ({_sql_missing('messy_lineitem', MESSY)})
+            SELECT position, {_q('column')}, round(missing / total, 4) AS missing_share FROM mc
+            WHERE total > 0 AND missing / total >= 0.9 AND missing / total < 1.0""",
+        "drop_empty_columns": m + "SELECT " + ", ".join(c for c in MESSY if c != "empty_num") + " FROM messy_lineitem",
+        "duplicate_rows": """SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates
+            FROM (SELECT count(*) AS n FROM documents GROUP BY text, lang, source)""",
+        "duplicate_rows_lineitem": """SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates
+            FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_quantity, l_discount, l_returnflag)""",
+        "dedup_rows": m + "SELECT DISTINCT l_quantity, l_discount, l_returnflag FROM messy_lineitem",
+        "numeric_as_text": _with(MESSY_EVENTS_SQL) + _sql_numeric_as_text(
+            "messy_events", [(3, "event_type"), (5, "props"), (6, "money_text")]),
+        "quality_report": _sql_quality_report(
+            "messy_lineitem", MESSY, ["l_returnflag", "l_linestatus", "near_empty"], 9, 3, 1),
+        "quality_issues": f"""WITH r AS ({_sql_quality_report(
+            'messy_lineitem', MESSY, ['l_returnflag', 'l_linestatus', 'near_empty'], 9, 3, 1)}),
+          issues AS (
+            SELECT 1 AS rank, 'missing_values' AS issue, missing_columns AS columns, missing_values AS n,
+                   printf('Fill or drop %d missing values across %d column(s).', missing_values,
+                          columns_with_missing) AS message FROM r WHERE missing_values > 0
+            UNION ALL
+            SELECT 2, 'duplicates', []::VARCHAR[], duplicates, printf('Remove %d duplicate row(s).', duplicates)
+              FROM r WHERE duplicates > 0
+            UNION ALL
+            SELECT 3, 'empty_columns', empty_columns, CAST(len(empty_columns) AS BIGINT),
+                   'Drop fully empty column(s): ' || array_to_string(empty_columns, ', ') || '.'
+              FROM r WHERE len(empty_columns) > 0
+            UNION ALL
+            SELECT 4, 'near_empty_columns', near_empty_columns, CAST(len(near_empty_columns) AS BIGINT),
+                   'Review near-empty column(s) (>90% missing): ' || array_to_string(near_empty_columns, ', ') || '.'
+              FROM r WHERE len(near_empty_columns) > 0
+            UNION ALL
+            SELECT 5, 'numeric_as_text', suspected_numeric_as_text, CAST(len(suspected_numeric_as_text) AS BIGINT),
+                   'Convert text-formatted numeric column(s) to numeric type: '
+                     || array_to_string(suspected_numeric_as_text, ', ') || '.'
+              FROM r WHERE len(suspected_numeric_as_text) > 0)
+          SELECT * FROM issues
+          UNION ALL
+          SELECT 0, 'no_issues', []::VARCHAR[], CAST(0 AS BIGINT), 'No major data quality issues detected.'
+          WHERE NOT EXISTS (SELECT 1 FROM issues)""",
+        "describe_lineitem": _sql_describe("lineitem", LINEITEM_NUM),
+        "describe_with_nulls": m + _sql_describe("messy_lineitem", MESSY_NUM),
+        "describe_single_value": """WITH v AS (SELECT l_quantity, CASE WHEN l_extendedprice =
+              (SELECT max(l_extendedprice) FROM lineitem) THEN l_extendedprice END AS top_price FROM lineitem)
+            """ + _sql_describe("v", ["l_quantity", "top_price"]),
+        "correlation_matrix": _sql_corr_matrix("lineitem", LINEITEM_NUM, 3),
+        "correlation_with_nulls": m + _sql_corr_matrix("messy_lineitem", LINEITEM_NUM, 3),
+        "correlation_constant": corr + _sql_corr_matrix("correlated", CORRELATED_NUM, 3),
+        "strong_correlations": corr + "SELECT * FROM (" + _sql_strong("correlated", CORRELATED_NUM) + ")",
+        "quartiles": _sql_quartiles("events", ["event_id", "user_id", "value"]),
+        "iqr_outliers": _sql_outliers("events", ["event_id", "user_id", "value"]),
+        "iqr_outliers_orders": _sql_outliers("orders", ["o_orderkey", "o_custkey", "o_totalprice"]),
+        "distinct_counts": _union([
+            f"SELECT '{c}' AS {_q('column')}, count(DISTINCT {c}) AS {_q('distinct')} FROM orders" for c in ORDERS
+        ]),
+        "column_roles": _union([
+            f"""SELECT '{c}' AS {_q('column')}, 'numeric' AS class, CAST(min({c}) AS DOUBLE) AS min,
+                CAST(max({c}) AS DOUBLE) AS max, CAST(NULL AS BIGINT) AS {_q('distinct')},
+                'A numeric measure ranging from ' || printf('%.2f', CAST(min({c}) AS DOUBLE)) || ' to '
+                  || printf('%.2f', CAST(max({c}) AS DOUBLE)) || '.' AS description FROM orders"""
+            for c in ("o_orderkey", "o_custkey", "o_totalprice")
+        ] + [
+            f"""SELECT '{c}', 'categorical', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), count(DISTINCT {c}),
+                'A categorical field with ' || count(DISTINCT {c}) || ' distinct value(s).' FROM orders"""
+            for c in ("o_orderstatus", "o_orderpriority")
+        ] + [
+            """SELECT 'o_orderdate', 'datetime', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT),
+                'A date/time field used to track values over time.' FROM (SELECT count(*) FROM orders)"""
+        ]),
+        "top_values_all": f"""SELECT * FROM (
+            SELECT c AS {_q('column')}, v AS value, count(*) AS count,
+                   CAST(row_number() OVER (PARTITION BY c ORDER BY count(*) DESC, v) AS INTEGER) AS rank
+            FROM (SELECT 'o_orderstatus' AS c, o_orderstatus AS v FROM orders
+                  UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders)
+            WHERE v IS NOT NULL GROUP BY c, v) WHERE rank <= 5""",
+        "top_n_values": """SELECT p_brand, count(*) AS count FROM part WHERE p_brand IS NOT NULL
+            GROUP BY p_brand ORDER BY count DESC, p_brand LIMIT 5""",
+        "histogram_value": _sql_histogram("events", "value"),
+        "histogram_constant": corr + "SELECT * FROM (" + _sql_histogram("correlated", "constant") + ")",
+        "bar_counts": _sql_top("part", "p_brand", 10),
+        "bar_mean_by_category": """SELECT l_returnflag, round(avg(l_extendedprice), 4) AS mean_y,
+              CAST(row_number() OVER (ORDER BY avg(l_extendedprice) DESC, l_returnflag) AS INTEGER) AS rank
+            FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag
+            ORDER BY avg(l_extendedprice) DESC, l_returnflag LIMIT 15""",
+        "pie_auto": f"""WITH vc AS ({_sql_top('orders', 'o_orderstatus', 8)})
+            SELECT value, count, round(count * 100.0 / (SELECT sum(count) FROM vc), 1) AS share, rank FROM vc""",
+        "pie_top8_shares": f"""WITH vc AS ({_sql_top('part', 'p_brand', 8)})
+            SELECT value, count, round(count * 100.0 / (SELECT sum(count) FROM vc), 1) AS share, rank FROM vc""",
+        "trend": """SELECT o_orderdate, o_orderkey FROM orders
+            WHERE o_orderdate IS NOT NULL AND o_orderkey IS NOT NULL ORDER BY o_orderdate""",
+        "line_series": "SELECT ts, value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL ORDER BY ts",
+        "area_series": """SELECT o_orderdate, o_totalprice FROM orders
+            WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL ORDER BY o_orderdate""",
+        "scatter_pairs": "SELECT user_id, value FROM events",
+        "box_summary": _sql_box("lineitem", "l_extendedprice", None),
+        "box_by_group": _sql_box("lineitem", "l_extendedprice", "l_returnflag"),
+        "heatmap": _sql_corr_matrix("lineitem", LINEITEM_NUM, 6),
+        "chart_plan": _sql_chart_plan("orders", ["o_orderkey", "o_custkey", "o_totalprice"],
+                                      ["o_orderstatus", "o_orderpriority"], ["o_orderdate"]),
+        "sum_by_group": lambda s, d: ask.shape_result(
+            ask.sum_by_group(t(s, d, "lineitem"), "l_returnflag", "l_extendedprice")),
+        "count_by_group": lambda s, d: ask.count_by_group(t(s, d, "orders"), "o_orderpriority"),
+        "sum_by_two_keys": lambda s, d: ask.shape_result(
+            ask.group_agg(t(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "sum")),
+        "median_by_group": lambda s, d: ask.shape_result(
+            ask.group_agg(t(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "median")),
+        "nunique_by_group": lambda s, d: ask.group_agg(t(s, d, "orders"), ["o_orderstatus"], "o_custkey", "nunique"),
+        "argmax_group": lambda s, d: ask.shape_result(
+            ask.argmax_group(t(s, d, "lineitem"), "l_returnflag", "l_extendedprice")),
+        "best_month": lambda s, d: ask.shape_result(ask.best_month(t(s, d, "orders"), "o_orderdate", "o_totalprice")),
+        "avg_col": lambda s, d: ask.shape_result(ask.avg_col(t(s, d, "orders"), "o_totalprice")),
+        "max_col": lambda s, d: ask.max_col(t(s, d, "orders"), "o_totalprice"),
+        "min_col": lambda s, d: ask.min_col(t(s, d, "orders"), "o_totalprice"),
+        "row_count": lambda s, d: ask.row_count(t(s, d, "orders")),
+        "count_above": lambda s, d: ask.count_above(t(s, d, "orders"), "o_totalprice", 250000),
+        "rows_above": lambda s, d: ask.rows_above(t(s, d, "orders"), "o_totalprice", 450000),
+        "capped_result": lambda s, d: ask.capped(t(s, d, "orders"), ["o_orderkey"]),
+        "shaped_result": lambda s, d: ask.shape_result(t(s, d, "orders")),
+        # previews
+        "sample_values": lambda s, d: preview.sample_values(t(s, d, "part"), ["p_partkey"]),
+        "preview": lambda s, d: preview.preview(t(s, d, "part"), ["p_partkey"]),
+        # findings
+        "key_findings": lambda s, d: findings.key_findings(correlated(s, d)),
+        "follow_ups": lambda s, d: findings.follow_ups(correlated(s, d)),
+        "follow_ups_orders": lambda s, d: findings.follow_ups(t(s, d, "orders")),
+        "chart_observations": lambda s, d: _observations(correlated(s, d)),
+        "chart_observations_events": lambda s, d: _observations(t(s, d, "events")),
+        "chart_columns": lambda s, d: findings.chart_columns(chart_plan(correlated(s, d)), CORRELATED),
+        "chart_plan_messy": lambda s, d: chart_plan(messy_lineitem(s, d)),
         "headline": lambda s, d: findings.headline(correlated(s, d)),
         "profile_report": lambda s, d: profile_report_from(
             stats.describe(t(s, d, "events")), quality.missing_by_column(t(s, d, "events")),
@@ -536,6 +797,20 @@ def oracle_sql() -> dict[str, str]:
             SELECT position, {_q('column')}, dtype, list(value ORDER BY rn) AS samples
             FROM firsts WHERE rn <= 3 GROUP BY position, {_q('column')}, dtype""",
         "preview": "SELECT * FROM part ORDER BY p_partkey LIMIT 50",
+        "follow_ups": corr + "SELECT * FROM (WITH x AS (SELECT 1)" + _sql_follow_ups(
+            "correlated", CORRELATED, CORRELATED_NUM, ["l_returnflag", "l_linestatus"], ["l_shipdate"]) + ")",
+        "follow_ups_orders": "WITH x AS (SELECT 1)" + _sql_follow_ups(
+            "orders", ORDERS, ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"],
+            ["o_orderdate"]),
+        "chart_observations": corr + "SELECT * FROM (WITH x AS (SELECT 1)" + _sql_observations(
+            "correlated", CORRELATED, CORRELATED_NUM, ["l_returnflag", "l_linestatus"], ["l_shipdate"]) + ")",
+        "chart_observations_events": "WITH x AS (SELECT 1)" + _sql_observations(
+            "events", EVENTS, ["event_id", "user_id", "value"], ["event_type", "props"], ["ts"]),
+        "chart_columns": corr + "SELECT * FROM (WITH x AS (SELECT 1)" + _sql_findings_base(
+            "correlated", CORRELATED, CORRELATED_NUM, ["l_returnflag", "l_linestatus"], ["l_shipdate"])
+            + f"SELECT chart_id, position, {_q('column')} FROM cc)",
+        "chart_plan_messy": m + _sql_chart_plan(
+            "messy_lineitem", MESSY_NUM, ["l_returnflag", "l_linestatus", "near_empty"], ["l_shipdate"]),
         "key_findings": corr + f""", st AS (SELECT * FROM ({_sql_strong('correlated', CORRELATED_NUM)})),
             cf AS (SELECT rank, 'correlation' AS kind, column_a || ', ' || column_b AS subject,
                           upper(substr(description, 1, 1)) || lower(substr(description, 2)) || '.' AS text

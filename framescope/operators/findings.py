@@ -33,6 +33,13 @@ FOLLOW_UP_SCHEMA = (
 )
 
 
+def schema_bounded(df: DataFrame) -> DataFrame:
+    """Bring a frame whose size is bounded by the schema (one row per
+    column, per column pair, per chart) back as a local relation, so the
+    several findings that read it do not recompute it."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def sentence_case(c: Column) -> Column:
     """First character upper-case, the rest lower-case."""
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))
@@ -43,8 +50,8 @@ def key_findings(df: DataFrame, strong: DataFrame | None = None, tops: DataFrame
     the most frequent value of the first 2 text columns, else one
     "no pattern" row."""
     df = canonicalize(df)
-    strong = strong if strong is not None else strong_correlations(df)
-    tops = tops if tops is not None else top_values(df)
+    strong = strong if strong is not None else schema_bounded(strong_correlations(df))
+    tops = tops if tops is not None else schema_bounded(top_values(df))
     corr = strong.where(F.col("rank") <= FINDING_CORRELATIONS).select(
         F.col("rank").alias("rank"), F.lit("correlation").alias("kind"),
         F.concat_ws(", ", "column_a", "column_b").alias("subject"),
@@ -104,6 +111,7 @@ def chart_observations(
     """``chart_id, rank, text`` - for each chart, the top-2 strong
     correlations (overall) touching one of its columns, then the outlier
     counts of its columns; one "review visually" row when nothing applies."""
+    strong, outliers = schema_bounded(strong), schema_bounded(outliers)
     cols = chart_columns(plan, columns)
     per_chart = cols.groupBy("chart_id").agg(
         F.array_sort(F.collect_list(F.struct("position", "column"))).alias("cs")
@@ -147,8 +155,8 @@ def follow_ups(
     spark = df.sparkSession
     cls = classify(df)
     plan = plan if plan is not None else chart_plan(df)
-    strong = strong if strong is not None else strong_correlations(df)
-    outliers = outliers if outliers is not None else iqr_outliers(df)
+    strong = strong if strong is not None else schema_bounded(strong_correlations(df))
+    outliers = outliers if outliers is not None else schema_bounded(iqr_outliers(df))
     charted = plan.select(F.explode(F.array_compact(F.array("column", "x_axis", "y_axis"))).alias("name")).distinct()
 
     def listed(names: list[str]) -> DataFrame:

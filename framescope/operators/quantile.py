@@ -56,8 +56,17 @@ def long_values(df: DataFrame, columns: Sequence[str], group_cols: Sequence[str]
     )
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    return reliable_checkpoint(df)
+def _materialize(df: DataFrame, grouped: bool) -> DataFrame:
+    """Cut the lineage of a bracket table.
+
+    Without groups the table has at most (value columns x ranks) rows - a
+    size fixed by the request, not the data - so it is brought back as a
+    local relation (no extra job). With groups it grows with the number of
+    groups and is checkpointed to the session's checkpoint folder.
+    """
+    if grouped:
+        return reliable_checkpoint(df)
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
 def _maybe_broadcast(df: DataFrame, grouped: bool) -> DataFrame:
@@ -104,10 +113,11 @@ def exact_quantiles(
     keys = gk + ["column"]
     vals = long_values(df, columns, group_cols)
 
-    counts = _checkpoint(
+    counts = _materialize(
         vals.groupBy(*keys).agg(
             F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-        )
+        ),
+        grouped,
     )
 
     plist = F.array(*[F.lit(float(p)) for p in probs])
@@ -128,7 +138,7 @@ def exact_quantiles(
 
     open_big = (F.col("lo") < F.col("hi")) & (F.col("cnt") > final_rows) & ~F.col("stalled")
     for _ in range(max_passes):
-        state = _checkpoint(state)
+        state = _materialize(state, grouped)
         big = state.where(open_big)
         if big.isEmpty():
             break
@@ -163,7 +173,7 @@ def exact_quantiles(
     solved = state.where(F.col("lo") == F.col("hi")).select(*keys, "rank", F.col("lo").alias("x"))
     open_ = state.where(F.col("lo") < F.col("hi"))
     if open_.isEmpty():
-        return _interpolate(per_p, solved, keys, gk, group_cols)
+        return _finish(per_p, solved, keys, gk, group_cols, grouped)
     # Ranks that share a bracket (always the case before any refinement,
     # usually for the two ranks of one quantile) share one window.
     brackets = open_.groupBy(*keys, "lo", "hi", "below").agg(F.collect_list("rank").alias("ranks"))
@@ -176,7 +186,21 @@ def exact_quantiles(
         .where(F.array_contains(F.col("t.ranks"), F.col("pos")))
         .select(*keys, F.col("pos").alias("rank"), F.col("v").alias("x"))
     )
-    return _interpolate(per_p, solved.unionByName(exact), keys, gk, group_cols)
+    return _finish(per_p, solved.unionByName(exact), keys, gk, group_cols, grouped)
+
+
+def _finish(per_p, at_rank, keys, gk, group_cols, grouped):
+    if grouped:
+        return _interpolate(per_p, at_rank, keys, gk, group_cols)
+    # Without groups the answer has (columns x probabilities) rows: fetch the
+    # few rank values and interpolate here instead of joining tiny frames
+    # through shuffles.
+    x = {(r["column"], r["rank"]): r["x"] for r in at_rank.collect()}
+    rows = []
+    for r in per_p.collect():
+        x0, x1 = x[(r["column"], r["k0"])], x[(r["column"], r["k1"])]
+        rows.append((r["column"], r["p"], x0 if x0 == x1 else x0 + r["frac"] * (x1 - x0)))
+    return per_p.sparkSession.createDataFrame(rows, "column string, p double, value double")
 
 
 def _interpolate(per_p, at_rank, keys, gk, group_cols):

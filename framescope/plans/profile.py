@@ -2,10 +2,10 @@
 
 ``profile(df)`` returns named lazy frames: quality, statistics, chart data,
 observations, follow-ups and findings, all computed on the raw (canonical)
-frame. Facts shared between steps (strong correlations, outliers, the chart
-plan) are computed once and passed along, so each heavy aggregate runs once
-per profile. Small intermediate results are checkpointed, never cached on
-executors only.
+frame. Facts shared between steps (strong correlations, outliers, top
+values, the chart plan) are computed once and passed along as local
+relations - their size is bounded by the schema - so each heavy aggregate
+runs once per profile.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from ..functions.canon import canonicalize
 from ..functions.classes import shape_frame
 from ..operators import charts, findings, quality, stats
-from ..session import reliable_checkpoint
 from .chart_plan import chart_plan
 
 
@@ -62,9 +61,9 @@ def profile_report_from(describe: DataFrame, missing: DataFrame, outliers: DataF
 
 def profile(df: DataFrame, with_charts: bool = True) -> Profile:
     df = canonicalize(df)
-    strong = reliable_checkpoint(stats.strong_correlations(df))
-    outliers = reliable_checkpoint(stats.iqr_outliers(df))
-    tops = stats.top_values(df)
+    strong = findings.schema_bounded(stats.strong_correlations(df))
+    outliers = findings.schema_bounded(stats.iqr_outliers(df))
+    tops = findings.schema_bounded(stats.top_values(df))
     plan = chart_plan(df)
     prof = Profile(
         shape=shape_frame(df),

@@ -149,7 +149,7 @@ def numeric_as_text(df: DataFrame) -> DataFrame:
     )
 
 
-def quality_report(df: DataFrame) -> DataFrame:
+def quality_report(df: DataFrame, missing: DataFrame | None = None) -> DataFrame:
     """Q9: one row with every quality fact of the table.
 
     ``total_rows, total_columns, missing_values, columns_with_missing,
@@ -158,7 +158,7 @@ def quality_report(df: DataFrame) -> DataFrame:
     Column lists keep schema order.
     """
     cls = classify(df)
-    m = missing_by_column(df)
+    m = missing if missing is not None else missing_by_column(df)
     ordered = F.array_sort(
         F.collect_list(F.struct("position", "column")), lambda a, b: a["position"] - b["position"]
     )
@@ -199,10 +199,11 @@ def quality_report(df: DataFrame) -> DataFrame:
     )
 
 
-def quality_issues(df: DataFrame) -> DataFrame:
+def quality_issues(df: DataFrame, report: DataFrame | None = None) -> DataFrame:
     """Q8: the issue list (``rank, issue, columns, n, message``), or one
-    ``no_issues`` row. Built from the one-row report; at most five rows."""
-    r = quality_report(df)
+    ``no_issues`` row. Built from the one-row report (pass it in when
+    already computed); at most five rows."""
+    r = report if report is not None else quality_report(df)
     join = lambda c: F.array_join(c, ", ")
     # The suggestion texts.
     issues = F.array(

@@ -28,6 +28,7 @@ and a lost executor only recomputes the last pass.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -108,6 +109,8 @@ def exact_quantiles(
     """
     if not columns or not probs:
         raise ValueError("need at least one column and one probability")
+    if not group_cols:
+        return _ungrouped_quantiles(df, list(columns), list(probs), buckets, final_rows, max_passes)
     grouped = bool(group_cols)
     gk = [f"_g{i}" for i in range(len(group_cols))]
     keys = gk + ["column"]
@@ -147,15 +150,18 @@ def exact_quantiles(
         # two ranks of a quantile, or all ranks before the first pass) read
         # the same histogram.
         brackets = big.groupBy(*keys, "lo", "hi", "below", "cnt").agg(F.collect_list("rank").alias("ranks"))
-        hit = _in_brackets(vals, brackets, keys, grouped)
+        hit = _in_brackets(vals, brackets.select(*keys, "lo", "hi"), keys, grouped)
         half_lo = F.col("t.lo") * 0.5
         scaled = (F.col("v") * 0.5 - half_lo) / (F.col("t.hi") * 0.5 - half_lo)
         bucket = F.least(F.floor(scaled * buckets), F.lit(buckets - 1)).cast("int")
+        # (group, column, bracket ends, bucket) is the whole aggregation key;
+        # the bracket's other fields join back on the small result.
         hist = hit.groupBy(
-            *keys,
-            F.col("t.lo").alias("old_lo"), F.col("t.hi").alias("old_hi"), F.col("t.below").alias("below"),
-            F.col("t.cnt").alias("old_cnt"), F.col("t.ranks").alias("ranks"), bucket.alias("b"),
+            *keys, F.col("t.lo").alias("old_lo"), F.col("t.hi").alias("old_hi"), bucket.alias("b"),
         ).agg(F.count("v").alias("c"), F.min("v").alias("bmin"), F.max("v").alias("bmax"))
+        info = brackets.select(*keys, F.col("lo").alias("old_lo"), F.col("hi").alias("old_hi"), "below",
+                               F.col("cnt").alias("old_cnt"), "ranks")
+        hist = hist.join(_maybe_broadcast(info, grouped), keys + ["old_lo", "old_hi"])
         # at most ``buckets`` rows per window partition
         w = Window.partitionBy(*keys, "old_lo", "old_hi").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
         hist = hist.withColumn("cum", F.sum("c").over(w)).select("*", F.explode("ranks").alias("rank"))
@@ -227,3 +233,91 @@ def quantile_wide(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
         F.max(F.when((F.col("column") == c) & (F.col("p") == float(p)), F.col("value"))).alias(f"{c}__q{p}")
         for c in columns for p in probs
     ])
+
+
+def _ungrouped_quantiles(df: DataFrame, columns: list[str], probs: list[float], buckets: int,
+                         final_rows: int, max_passes: int) -> DataFrame:
+    """The same selection without groups.
+
+    The bracket table then has at most (columns x ranks) entries, a size
+    fixed by the request, so it lives on the driver and each pass turns it
+    into literal range tests: no join, and the first pass is a plain wide
+    ``count/min/max`` aggregation without any generator.
+    """
+    spark = df.sparkSession
+    vals = {c: F.when(~F.isnan(qcol(c).cast("double")), qcol(c).cast("double")) for c in columns}
+    row = df.agg(*[x for i, c in enumerate(columns) for x in (
+        F.count(vals[c]).alias(f"n{i}"), F.min(vals[c]).alias(f"lo{i}"), F.max(vals[c]).alias(f"hi{i}"))]).first()
+    targets = {}   # (column, rank) -> [lo, hi, below, cnt, stalled]
+    per_p = []
+    for i, c in enumerate(columns):
+        n = row[f"n{i}"]
+        if not n:
+            continue
+        for p in probs:
+            h = (n - 1) * float(p)
+            k0 = math.floor(h)
+            k1 = min(k0 + 1, n - 1)
+            per_p.append((c, float(p), k0, k1, h - k0))
+            for k in (k0, k1):
+                targets.setdefault((c, k), [row[f"lo{i}"], row[f"hi{i}"], 0, n, False])
+
+    def brackets(pred):
+        """Distinct open brackets -> ranks that read them."""
+        out: dict[tuple, list] = {}
+        for (c, k), (lo, hi, below, cnt, stalled) in targets.items():
+            if lo < hi and pred(cnt, stalled):
+                out.setdefault((c, lo, hi, below, cnt), []).append(k)
+        return out
+
+    def in_brackets(br: dict, value_of) -> DataFrame:
+        items = []
+        for bid, (c, lo, hi, _below, _cnt) in enumerate(br):
+            v = vals[c]
+            items.append(F.when(v.between(F.lit(lo), F.lit(hi)), F.struct(
+                F.lit(bid).alias("bid"), value_of(v, lo, hi).alias("b"), v.alias("v"))))
+        return df.select(F.inline(F.array(*items))).where(F.col("bid").isNotNull())
+
+    for _ in range(max_passes):
+        br = brackets(lambda cnt, stalled: cnt > final_rows and not stalled)
+        if not br:
+            break
+        keys = list(br)
+
+        def bucket_of(v, lo, hi):
+            scaled = (v * 0.5 - F.lit(lo * 0.5)) / F.lit(hi * 0.5 - lo * 0.5)
+            return F.least(F.floor(scaled * buckets), F.lit(buckets - 1)).cast("int")
+
+        hist = in_brackets(br, bucket_of).groupBy("bid", "b").agg(
+            F.count("v").alias("c"), F.min("v").alias("bmin"), F.max("v").alias("bmax"))
+        w = Window.partitionBy("bid").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+        hist = hist.withColumn("cum", F.sum("c").over(w))
+        # wanted offsets per bracket, as a literal map bid -> offsets
+        want = F.create_map(*[x for bid, key in enumerate(keys) for x in (
+            F.lit(bid), F.array(*[F.lit(k - key[3]) for k in br[key]]))])
+        hit = hist.select("*", F.explode(want[F.col("bid")]).alias("off")).where(
+            (F.col("cum") - F.col("c") <= F.col("off")) & (F.col("off") < F.col("cum")))
+        for r in hit.collect():  # one row per open rank
+            c, lo, hi, below, cnt = keys[r["bid"]]
+            k = below + r["off"]
+            targets[(c, k)] = [r["bmin"], r["bmax"], below + r["cum"] - r["c"], r["c"],
+                               r["c"] == cnt and r["bmin"] == lo and r["bmax"] == hi]
+
+    br = brackets(lambda cnt, stalled: True)
+    if br:
+        keys = list(br)
+        rows = in_brackets(br, lambda v, lo, hi: F.lit(0))
+        # Each window partition holds one bracket: at most ``final_rows`` rows.
+        w = Window.partitionBy("bid").orderBy("v")
+        want = F.create_map(*[x for bid, key in enumerate(keys) for x in (
+            F.lit(bid), F.array(*[F.lit(k - key[3]) for k in br[key]]))])
+        picked = rows.withColumn("off", F.row_number().over(w) - 1).where(
+            F.array_contains(want[F.col("bid")], F.col("off")))
+        for r in picked.select("bid", "off", "v").collect():
+            c, lo, hi, below, cnt = keys[r["bid"]]
+            targets[(c, below + r["off"])] = [r["v"], r["v"], below + r["off"], 1, False]
+    out = []
+    for c, p, k0, k1, frac in per_p:
+        x0, x1 = targets[(c, k0)][0], targets[(c, k1)][0]
+        out.append((c, p, x0 if x0 == x1 else x0 + frac * (x1 - x0)))
+    return spark.createDataFrame(out, "column string, p double, value double")

@@ -74,17 +74,21 @@ def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     ])
 
 
-def describe(df: DataFrame, decimals: int = 4) -> DataFrame:
+def describe(df: DataFrame, decimals: int = 4, quantiles: DataFrame | None = None,
+             moment_frame: DataFrame | None = None) -> DataFrame:
     """A1-A5: ``column, n, mean, median, std, min, max`` for every non-empty
-    numeric column, rounded to ``decimals``."""
+    numeric column, rounded to ``decimals``. ``quantiles`` (column, p,
+    value with p = 0.5) and ``moment_frame`` may be passed in when already
+    computed."""
     df = canonicalize(df)
     num = classify(df).numeric
     if not num:
         return df.sparkSession.createDataFrame(
             [], "column string, n bigint, mean double, median double, std double, min double, max double"
         )
-    mom = moments(df, num).where(F.col("n") > 0)
-    med = exact_quantiles(df, num, [0.5]).select("column", F.col("value").alias("median"))
+    mom = (moment_frame if moment_frame is not None else moments(df, num)).where(F.col("n") > 0)
+    q = quantiles if quantiles is not None else exact_quantiles(df, num, [0.5])
+    med = q.where(F.col("p") == 0.5).select("column", F.col("value").alias("median"))
     r = lambda c: F.round(c, decimals)
     # ``med`` has one row per numeric column: bounded by the schema.
     return mom.join(F.broadcast(med), "column").select(
@@ -93,19 +97,22 @@ def describe(df: DataFrame, decimals: int = 4) -> DataFrame:
     )
 
 
-def _column_facts(df: DataFrame, cols: Sequence[str]) -> tuple[int, dict[str, int], dict[str, float]]:
-    """Row count, non-missing count and mean per column (one small
-    aggregation; the answer is one row of 2N+1 numbers)."""
+def _column_facts(df: DataFrame, cols: Sequence[str]) -> tuple[int, dict[str, int], dict[str, float], dict[str, bool]]:
+    """Row count, non-missing count, mean and "varies" (min < max) per
+    column: one small aggregation, one row of 3N+1 values back."""
     row = df.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(qcol(c)).alias(f"c{i}") for i, c in enumerate(cols)],
         *[F.avg(qcol(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
+        *[(F.max(qcol(c).cast("double")) > F.min(qcol(c).cast("double"))).alias(f"v{i}")
+          for i, c in enumerate(cols)],
     ).first()
     return (row["n"], {c: row[f"c{i}"] for i, c in enumerate(cols)},
-            {c: row[f"m{i}"] for i, c in enumerate(cols)})
+            {c: row[f"m{i}"] for i, c in enumerate(cols)},
+            {c: bool(row[f"v{i}"]) for i, c in enumerate(cols)})
 
 
-def _pair_stats(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+def _pair_stats(df: DataFrame, pairs: list[tuple[str, str]]) -> tuple[DataFrame, dict[str, bool]]:
     """Pearson r for each pair over the rows where both values are present.
 
     Plain sums of shifted values (each column centred on its mean, so the
@@ -116,7 +123,7 @@ def _pair_stats(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     code-generated, partially aggregated on every partition.
     """
     cols = sorted({c for p in pairs for c in p}, key=lambda c: df.columns.index(c))
-    n_rows, nn, mean = _column_facts(df, cols)
+    n_rows, nn, mean, varies = _column_facts(df, cols)
     full = {c for c in cols if nn[c] == n_rows}
 
     def centred(c: str) -> Column:
@@ -157,55 +164,54 @@ def _pair_stats(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out, varies
 
 
-def correlation_matrix(df: DataFrame, decimals: int | None = 3, columns: Sequence[str] | None = None) -> DataFrame:
-    """``column_a, column_b, r`` in both orientations plus the
-    diagonal, over the non-empty numeric columns; empty with fewer than two.
-    ``decimals=None`` keeps r unrounded (heatmap)."""
+def pair_correlations(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFrame, list[str], dict]:
+    """Unrounded r for every column pair (i < j) of the non-empty numeric
+    columns, as a local relation (one row per pair: bounded by the schema),
+    with the column list and which columns vary. Shared by the correlation
+    matrix, the heatmap and the strong-correlation list."""
     df = canonicalize(df)
     cols = list(columns) if columns is not None else nonempty_numeric(df)
-    empty = df.sparkSession.createDataFrame([], "column_a string, column_b string, r double")
+    spark = df.sparkSession
     if len(cols) < 2:
-        return empty
+        return spark.createDataFrame([], "column_a string, column_b string, r double"), cols, {}
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    upper = _pair_stats(df, pairs)
+    upper, varies = _pair_stats(df, pairs)
+    return spark.createDataFrame(upper.collect(), upper.schema), cols, varies
+
+
+def matrix_from_pairs(pairs: tuple[DataFrame, list[str], dict], decimals: int | None = 3) -> DataFrame:
+    """Both orientations plus the diagonal (1 for a column that varies,
+    missing otherwise)."""
+    upper, cols, varies = pairs
+    spark = upper.sparkSession
+    if len(cols) < 2:
+        return upper
     lower = upper.select(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "r")
-    # The diagonal is 1 for a column that varies, missing otherwise.
-    sds = df.agg(*[
-        (F.max(qcol(c).cast("double")) > F.min(qcol(c).cast("double"))).alias(f"s{i}") for i, c in enumerate(cols)
-    ])
-    diag = _long_from_wide(sds, [
-        F.struct(F.lit(c).alias("column_a"), F.lit(c).alias("column_b"),
-                 F.when(F.col(f"s{i}"), F.lit(1.0)).alias("r"))
-        for i, c in enumerate(cols)
-    ])
+    diag = spark.createDataFrame([(c, c, 1.0 if varies[c] else None) for c in cols],
+                                 "column_a string, column_b string, r double")
     out = upper.unionByName(lower).unionByName(diag)
     if decimals is not None:
         out = out.withColumn("r", F.round("r", decimals))
     return out
 
 
-def strong_correlations(df: DataFrame, threshold: float = STRONG_CORRELATION) -> DataFrame:
-    """A7 + F6: unordered pairs with ``|round(r,3)| >= threshold``.
-
-    ``rank, column_a, column_b, r, direction, description``; rank orders by
-    |r| descending, ties in column order (the pair enumeration order).
-    The frame has at most one row per column pair (bounded by the schema).
-    """
-    df = canonicalize(df)
-    cols = nonempty_numeric(df)
+def strong_from_pairs(pairs: tuple[DataFrame, list[str], dict], threshold: float = STRONG_CORRELATION) -> DataFrame:
+    """Strong pairs from :func:`pair_correlations` (see
+    :func:`strong_correlations`)."""
+    upper, cols, _ = pairs
     if len(cols) < 2:
-        return df.sparkSession.createDataFrame(
+        return upper.sparkSession.createDataFrame(
             [], "rank int, column_a string, column_b string, r double, direction string, description string"
         )
     pos = {c: i for i, c in enumerate(cols)}
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    r = _pair_stats(df, pairs).withColumn("r", F.round("r", 3))
+    r = upper.withColumn("r", F.round("r", 3))
     strong = r.where(F.abs("r") >= threshold)
     pa = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(pos[c]))])
     direction = F.when(F.col("r") > 0, F.lit("positively")).otherwise(F.lit("negatively"))
+    # a window over at most one row per column pair
     w = Window.orderBy(F.abs("r").desc(), pa[F.col("column_a")], pa[F.col("column_b")])
     return strong.select(
         F.row_number().over(w).alias("rank"), "column_a", "column_b", "r",
@@ -216,6 +222,23 @@ def strong_correlations(df: DataFrame, threshold: float = STRONG_CORRELATION) ->
     )
 
 
+def correlation_matrix(df: DataFrame, decimals: int | None = 3, columns: Sequence[str] | None = None) -> DataFrame:
+    """``column_a, column_b, r`` in both orientations plus the
+    diagonal, over the non-empty numeric columns; empty with fewer than two.
+    ``decimals=None`` keeps r unrounded (heatmap)."""
+    return matrix_from_pairs(pair_correlations(df, columns), decimals)
+
+
+def strong_correlations(df: DataFrame, threshold: float = STRONG_CORRELATION) -> DataFrame:
+    """A7 + F6: unordered pairs with ``|round(r,3)| >= threshold``.
+
+    ``rank, column_a, column_b, r, direction, description``; rank orders by
+    |r| descending, ties in column order (the pair enumeration order).
+    The frame has at most one row per column pair (bounded by the schema).
+    """
+    return strong_from_pairs(pair_correlations(df), threshold)
+
+
 def quartiles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``column, q1, median, q3`` exact (linear interpolation)."""
     df = canonicalize(df)
@@ -228,7 +251,8 @@ def quartiles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     )
 
 
-def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, only_found: bool = True) -> DataFrame:
+def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, only_found: bool = True,
+                 quantiles: DataFrame | None = None) -> DataFrame:
     """``column, count, percentage, lower, upper`` with the 1.5·IQR rule.
 
     Columns need at least 4 values and a non-zero IQR. Pass 1 is the
@@ -243,7 +267,7 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, only_found
     )
     if not cols:
         return empty
-    q = exact_quantiles(df, cols, [0.25, 0.75])
+    q = quantiles if quantiles is not None else exact_quantiles(df, cols, [0.25, 0.75])
     bounds = q.groupBy().agg(*[
         F.max(F.when((F.col("column") == c) & (F.col("p") == p), F.col("value"))).alias(f"{k}{i}")
         for i, c in enumerate(cols) for p, k in ((0.25, "a"), (0.75, "b"))

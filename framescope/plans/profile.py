@@ -1,11 +1,13 @@
 """Profile a table end to end.
 
-``profile(df)`` returns named lazy frames: quality, statistics, chart data,
+``profile(df)`` returns named frames: quality, statistics, chart data,
 observations, follow-ups and findings, all computed on the raw (canonical)
-frame. Facts shared between steps (strong correlations, outliers, top
-values, the chart plan) are computed once and passed along as local
-relations - their size is bounded by the schema - so each heavy aggregate
-runs once per profile.
+frame. Every heavy fact is computed once and shared: the missing counts
+feed the quality report and the issue list; one moments aggregation and one
+quantile job feed the description and the outliers; one pair-correlation
+aggregation feeds the matrix, the heatmap and the strong pairs. Those
+shared facts are small (bounded by the schema) and kept as local
+relations; the chart frames stay lazy.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.canon import canonicalize
 from ..functions.classes import shape_frame
 from ..operators import charts, findings, quality, stats
+from ..operators.quantile import exact_quantiles
 from .chart_plan import chart_plan
 
 
@@ -61,17 +64,25 @@ def profile_report_from(describe: DataFrame, missing: DataFrame, outliers: DataF
 
 def profile(df: DataFrame, with_charts: bool = True) -> Profile:
     df = canonicalize(df)
-    strong = findings.schema_bounded(stats.strong_correlations(df))
-    outliers = findings.schema_bounded(stats.iqr_outliers(df))
-    tops = findings.schema_bounded(stats.top_values(df))
+    small = findings.schema_bounded
+    missing = small(quality.missing_by_column(df))
+    report = small(quality.quality_report(df, missing=missing))
+    mom = small(stats.moments(df))
+    num = [r["column"] for r in mom.where(F.col("n") > 0).orderBy("position").collect()]
+    q = exact_quantiles(df, num, [0.25, 0.5, 0.75]) if num else None
+    describe = stats.describe(df, quantiles=q, moment_frame=mom) if num else stats.describe(df)
+    outliers = small(stats.iqr_outliers(df, num, quantiles=q)) if num else small(stats.iqr_outliers(df, []))
+    pairs = stats.pair_correlations(df, num)
+    strong = small(stats.strong_from_pairs(pairs))
+    tops = small(stats.top_values(df))
     plan = chart_plan(df)
     prof = Profile(
         shape=shape_frame(df),
-        quality=quality.quality_report(df),
-        issues=quality.quality_issues(df),
-        missing=quality.missing_by_column(df),
-        describe=stats.describe(df),
-        correlations=stats.correlation_matrix(df),
+        quality=report,
+        issues=quality.quality_issues(df, report),
+        missing=missing,
+        describe=describe,
+        correlations=stats.matrix_from_pairs(pairs, 3),
         strong=strong,
         top_values=tops,
         outliers=outliers,
@@ -89,7 +100,7 @@ def profile(df: DataFrame, with_charts: bool = True) -> Profile:
             elif t == "Trend Line":
                 prof.charts[row["chart_id"]] = charts.trend_series(df, row["x_axis"], row["y_axis"])
             else:
-                prof.charts[row["chart_id"]] = charts.heatmap(df)
+                prof.charts[row["chart_id"]] = stats.matrix_from_pairs(pairs, None)
     prof.observations = findings.chart_observations(plan, df.columns, strong, outliers)
     prof.follow_ups = findings.follow_ups(df, plan, strong, outliers)
     prof.findings = findings.key_findings(df, strong, tops)

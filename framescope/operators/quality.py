@@ -149,7 +149,35 @@ def numeric_as_text(df: DataFrame) -> DataFrame:
     )
 
 
-def quality_report(df: DataFrame, missing: DataFrame | None = None) -> DataFrame:
+def quality_facts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Missing counts and numeric-as-text counts from ONE aggregation,
+    returned as two local relations (one row per column)."""
+    df = canonicalize(df)
+    cols = df.columns
+    text_cols = classify(df).categorical
+    aggs = [F.count(F.lit(1)).alias("__total")] + [F.count(qcol(c)).alias(f"__nn{i}") for i, c in enumerate(cols)]
+    for j, c in enumerate(text_cols):
+        s = qcol(c).cast("string")
+        like = F.regexp_replace(s, NUMERIC_TEXT_STRIP, "").rlike(NUMERIC_TEXT_PATTERN)
+        aggs.append(F.count_if(like).alias(f"__k{j}"))
+    row = df.agg(*aggs).first()
+    spark = df.sparkSession
+    total = row["__total"]
+    missing = spark.createDataFrame(
+        [(i, c, total - row[f"__nn{i}"], total) for i, c in enumerate(cols)],
+        "position int, column string, missing bigint, total bigint")
+    pos = {c: i for i, c in enumerate(cols)}
+    nat_rows = []
+    for j, c in enumerate(text_cols):
+        n, k = row[f"__nn{pos[c]}"], row[f"__k{j}"]
+        if n > 0:
+            nat_rows.append((pos[c], c, n, k, round(k / n, 4), k / n > NUMERIC_TEXT_SHARE))
+    nat = spark.createDataFrame(
+        nat_rows, "position int, column string, checked bigint, numeric_like bigint, share double, flagged boolean")
+    return missing, nat
+
+
+def quality_report(df: DataFrame, facts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Q9: one row with every quality fact of the table.
 
     ``total_rows, total_columns, missing_values, columns_with_missing,
@@ -158,7 +186,7 @@ def quality_report(df: DataFrame, missing: DataFrame | None = None) -> DataFrame
     Column lists keep schema order.
     """
     cls = classify(df)
-    m = missing if missing is not None else missing_by_column(df)
+    m, nat_frame = facts if facts is not None else quality_facts(df)
     ordered = F.array_sort(
         F.collect_list(F.struct("position", "column")), lambda a, b: a["position"] - b["position"]
     )
@@ -180,7 +208,7 @@ def quality_report(df: DataFrame, missing: DataFrame | None = None) -> DataFrame
                      & (s["missing"] < s["total"])),
             lambda s: s["column"]).alias("near_empty_columns"),
     )
-    nat = numeric_as_text(df).where("flagged").agg(
+    nat = nat_frame.where("flagged").agg(
         F.transform(ordered, lambda s: s["column"]).alias("suspected_numeric_as_text")
     )
     dup = duplicate_rows(df)

@@ -57,16 +57,23 @@ def long_values(df: DataFrame, columns: Sequence[str], group_cols: Sequence[str]
     )
 
 
+LOCAL_STATE_ROWS = 10_000
+
+
 def _materialize(df: DataFrame, grouped: bool) -> DataFrame:
     """Cut the lineage of a bracket table.
 
     Without groups the table has at most (value columns x ranks) rows - a
-    size fixed by the request, not the data - so it is brought back as a
-    local relation (no extra job). With groups it grows with the number of
-    groups and is checkpointed to the session's checkpoint folder.
+    size fixed by the request, not the data. With groups it grows with the
+    number of groups: it is fetched only when a bounded probe shows at most
+    ``LOCAL_STATE_ROWS`` rows, otherwise it is checkpointed to the session's
+    checkpoint folder.
     """
     if grouped:
-        return reliable_checkpoint(df)
+        probe = df.limit(LOCAL_STATE_ROWS + 1).collect()
+        if len(probe) > LOCAL_STATE_ROWS:
+            return reliable_checkpoint(df)
+        return df.sparkSession.createDataFrame(probe, df.schema)
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
@@ -99,9 +106,13 @@ def exact_quantiles(
     buckets: int = DEFAULT_BUCKETS,
     final_rows: int = DEFAULT_FINAL_ROWS,
     max_passes: int = 64,
+    known: dict[str, tuple] | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles.
 
+    ``known`` (no groups only) maps column -> (count, min, max) when a
+    caller already has them, saving the first pass.
+
     Returns ``[*group_cols], column string, p double, value double`` with one
     row per (group, column, p) for every column that has at least one
     non-missing value. Runs the refinement passes eagerly; the returned
@@ -110,7 +121,7 @@ def exact_quantiles(
     if not columns or not probs:
         raise ValueError("need at least one column and one probability")
     if not group_cols:
-        return _ungrouped_quantiles(df, list(columns), list(probs), buckets, final_rows, max_passes)
+        return _ungrouped_quantiles(df, list(columns), list(probs), buckets, final_rows, max_passes, known)
     grouped = bool(group_cols)
     gk = [f"_g{i}" for i in range(len(group_cols))]
     keys = gk + ["column"]
@@ -197,7 +208,20 @@ def exact_quantiles(
 
 def _finish(per_p, at_rank, keys, gk, group_cols, grouped):
     if grouped:
-        return _interpolate(per_p, at_rank, keys, gk, group_cols)
+        probe = per_p.limit(LOCAL_STATE_ROWS + 1).collect()
+        if len(probe) > LOCAL_STATE_ROWS:
+            return _interpolate(per_p, at_rank, keys, gk, group_cols)
+        # few (group, column, p) rows: interpolate here (bounded by the probe)
+        x = {tuple(r[k] for k in keys) + (r["rank"],): r["x"] for r in at_rank.collect()}
+        rows = []
+        for r in probe:
+            key = tuple(r[k] for k in keys)
+            x0, x1 = x[key + (r["k0"],)], x[key + (r["k1"],)]
+            rows.append(key + (r["p"], x0 if x0 == x1 else x0 + r["frac"] * (x1 - x0)))
+        fields = [per_p.schema[k] for k in keys]
+        schema = ", ".join(f"`{g}` {f.dataType.simpleString()}" for g, f in zip(list(group_cols), fields))
+        schema += ", column string, p double, value double"
+        return per_p.sparkSession.createDataFrame(rows, schema)
     # Without groups the answer has (columns x probabilities) rows: fetch the
     # few rank values and interpolate here instead of joining tiny frames
     # through shuffles.
@@ -236,7 +260,7 @@ def quantile_wide(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
 
 
 def _ungrouped_quantiles(df: DataFrame, columns: list[str], probs: list[float], buckets: int,
-                         final_rows: int, max_passes: int) -> DataFrame:
+                         final_rows: int, max_passes: int, known: dict | None = None) -> DataFrame:
     """The same selection without groups.
 
     The bracket table then has at most (columns x ranks) entries, a size
@@ -246,8 +270,12 @@ def _ungrouped_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     """
     spark = df.sparkSession
     vals = {c: F.when(~F.isnan(qcol(c).cast("double")), qcol(c).cast("double")) for c in columns}
-    row = df.agg(*[x for i, c in enumerate(columns) for x in (
-        F.count(vals[c]).alias(f"n{i}"), F.min(vals[c]).alias(f"lo{i}"), F.max(vals[c]).alias(f"hi{i}"))]).first()
+    if known is not None and all(c in known for c in columns):
+        row = {f"{k}{i}": known[c][j] for i, c in enumerate(columns) for j, k in enumerate(("n", "lo", "hi"))}
+    else:
+        row = df.agg(*[x for i, c in enumerate(columns) for x in (
+            F.count(vals[c]).alias(f"n{i}"), F.min(vals[c]).alias(f"lo{i}"),
+            F.max(vals[c]).alias(f"hi{i}"))]).first()
     targets = {}   # (column, rank) -> [lo, hi, below, cnt, stalled]
     per_p = []
     for i, c in enumerate(columns):

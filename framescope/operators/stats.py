@@ -86,8 +86,15 @@ def describe(df: DataFrame, decimals: int = 4, quantiles: DataFrame | None = Non
         return df.sparkSession.createDataFrame(
             [], "column string, n bigint, mean double, median double, std double, min double, max double"
         )
-    mom = (moment_frame if moment_frame is not None else moments(df, num)).where(F.col("n") > 0)
-    q = quantiles if quantiles is not None else exact_quantiles(df, num, [0.5])
+    if moment_frame is None:
+        moment_frame = moments(df, num)
+        moment_frame = moment_frame.sparkSession.createDataFrame(moment_frame.collect(), moment_frame.schema)
+    mom = moment_frame.where(F.col("n") > 0)
+    if quantiles is None:
+        # count/min/max from the moments feed the quantile job's first pass
+        known = {r["column"]: (r["n"], r["min"], r["max"]) for r in moment_frame.collect()}
+        quantiles = exact_quantiles(df, num, [0.5], known=known)
+    q = quantiles
     med = q.where(F.col("p") == 0.5).select("column", F.col("value").alias("median"))
     r = lambda c: F.round(c, decimals)
     # ``med`` has one row per numeric column: bounded by the schema.
@@ -112,7 +119,7 @@ def _column_facts(df: DataFrame, cols: Sequence[str]) -> tuple[int, dict[str, in
             {c: bool(row[f"v{i}"]) for i, c in enumerate(cols)})
 
 
-def _pair_stats(df: DataFrame, pairs: list[tuple[str, str]]) -> tuple[DataFrame, dict[str, bool]]:
+def _pair_stats(df: DataFrame, pairs: list[tuple[str, str]], facts=None) -> tuple[DataFrame, dict[str, bool]]:
     """Pearson r for each pair over the rows where both values are present.
 
     Plain sums of shifted values (each column centred on its mean, so the
@@ -123,7 +130,7 @@ def _pair_stats(df: DataFrame, pairs: list[tuple[str, str]]) -> tuple[DataFrame,
     code-generated, partially aggregated on every partition.
     """
     cols = sorted({c for p in pairs for c in p}, key=lambda c: df.columns.index(c))
-    n_rows, nn, mean, varies = _column_facts(df, cols)
+    n_rows, nn, mean, varies = facts if facts is not None else _column_facts(df, cols)
     full = {c for c in cols if nn[c] == n_rows}
 
     def centred(c: str) -> Column:
@@ -173,12 +180,14 @@ def pair_correlations(df: DataFrame, columns: Sequence[str] | None = None) -> tu
     with the column list and which columns vary. Shared by the correlation
     matrix, the heatmap and the strong-correlation list."""
     df = canonicalize(df)
-    cols = list(columns) if columns is not None else nonempty_numeric(df)
     spark = df.sparkSession
+    cand = list(columns) if columns is not None else classify(df).numeric
+    facts = _column_facts(df, cand) if cand else (0, {}, {}, {})
+    cols = [c for c in cand if facts[1][c] > 0]
     if len(cols) < 2:
         return spark.createDataFrame([], "column_a string, column_b string, r double"), cols, {}
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    upper, varies = _pair_stats(df, pairs)
+    upper, varies = _pair_stats(df, pairs, facts)
     return spark.createDataFrame(upper.collect(), upper.schema), cols, varies
 
 

@@ -65,11 +65,13 @@ def profile_report_from(describe: DataFrame, missing: DataFrame, outliers: DataF
 def profile(df: DataFrame, with_charts: bool = True) -> Profile:
     df = canonicalize(df)
     small = findings.schema_bounded
-    missing = small(quality.missing_by_column(df))
-    report = small(quality.quality_report(df, missing=missing))
+    facts = quality.quality_facts(df)
+    missing = facts[0]
+    report = small(quality.quality_report(df, facts))
     mom = small(stats.moments(df))
     num = [r["column"] for r in mom.where(F.col("n") > 0).orderBy("position").collect()]
-    q = exact_quantiles(df, num, [0.25, 0.5, 0.75]) if num else None
+    known = {r["column"]: (r["n"], r["min"], r["max"]) for r in mom.collect()}
+    q = exact_quantiles(df, num, [0.25, 0.5, 0.75], known=known) if num else None
     describe = stats.describe(df, quantiles=q, moment_frame=mom) if num else stats.describe(df)
     outliers = small(stats.iqr_outliers(df, num, quantiles=q)) if num else small(stats.iqr_outliers(df, []))
     pairs = stats.pair_correlations(df, num)

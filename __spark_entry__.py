@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from framescope.functions.classes import shape_frame
 from framescope.operators import ask, charts, findings, preview, quality, stats
+from framescope.plans.chart_data import ChartSpec, chart_data
 from framescope.plans.chart_plan import chart_plan
 from framescope.plans.profile import profile_report_from
 from framescope.session import ensure_checkpoint_dir
@@ -453,6 +454,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "box_by_group": lambda s, d: charts.box_summary(t(s, d, "lineitem"), "l_extendedprice", by="l_returnflag"),
         "heatmap": lambda s, d: charts.heatmap(t(s, d, "lineitem"), decimals=6),
         "chart_plan": lambda s, d: chart_plan(t(s, d, "orders")),
+        "chart_request_box": lambda s, d: chart_data(
+            t(s, d, "lineitem"), ChartSpec("box", x_column="l_returnflag", column="l_tax"))[1],
+        "chart_request_bar": lambda s, d: chart_data(
+            t(s, d, "orders"), ChartSpec("bar", x_column="o_orderpriority", y_column="o_totalprice"))[1],
+        "chart_request_histogram": lambda s, d: chart_data(
+            t(s, d, "lineitem"), ChartSpec("histogram", column="l_quantity"))[1],
         # questions
         "sum_by_group": lambda s, d: ask.shape_result(
             ask.sum_by_group(t(s, d, "lineitem"), "l_returnflag", "l_extendedprice")),
@@ -761,6 +768,12 @@ def oracle_sql() -> dict[str, str]:
               (8, 'Correlation Heatmap', NULL, NULL, NULL))
             AS plan(chart_id, chart_type, x_axis, y_axis, "column")
             WHERE (SELECT count(*) FROM orders) > 0""",
+        "chart_request_box": _sql_box("lineitem", "l_tax", "l_returnflag"),
+        "chart_request_bar": """SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean_y,
+              CAST(row_number() OVER (ORDER BY avg(o_totalprice) DESC, o_orderpriority) AS INTEGER) AS rank
+            FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority
+            ORDER BY avg(o_totalprice) DESC, o_orderpriority LIMIT 15""",
+        "chart_request_histogram": _sql_histogram("lineitem", "l_quantity"),
         "sum_by_group": """SELECT l_returnflag, round(coalesce(sum(l_extendedprice), 0), 4) AS l_extendedprice
             FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag ORDER BY l_returnflag LIMIT 20""",
         "count_by_group": """SELECT o_orderpriority, count(*) AS count FROM orders WHERE o_orderpriority IS NOT NULL

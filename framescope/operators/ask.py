@@ -96,8 +96,17 @@ def count_above(df: DataFrame, column: str, threshold: float) -> DataFrame:
 
 
 def rows_above(df: DataFrame, column: str, threshold: float) -> DataFrame:
-    """P8 as a filter: the rows themselves (pushed down to the scan)."""
-    return canonicalize(df).where(qcol(column) > F.lit(threshold))
+    """P8 as a filter: the rows themselves.
+
+    The comparison is applied to the raw column so it reaches the Parquet
+    scan as a pushed filter (row groups skipped by their statistics); NaN,
+    which Spark orders above every number, is excluded explicitly since it
+    counts as missing."""
+    c = qcol(column)
+    cond = c > F.lit(threshold)
+    if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
+        cond = cond & ~F.isnan(c)
+    return canonicalize(df.where(cond))
 
 
 def best_month(df: DataFrame, date_col: str, value: str) -> DataFrame:

@@ -32,8 +32,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder of this session.
 
     On a cluster the folder comes from ``spark.checkpoint.dir`` (a shared
-    file system). Only when nothing is configured (local tests) a fresh
-    scratch folder is created.
+    file system) and its absence is an error. Only a local-mode session
+    without the setting (tests) gets a fresh scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -46,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key
             configured = None
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         configured = tempfile.mkdtemp(prefix="framescope-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -68,3 +68,9 @@ def test_capped_and_shaped(messy_df):
     assert len(rows) == 10 and all(r["truncated"] for r in rows)
     shaped = ask.shape_result(messy_df).first()
     assert isinstance(shaped["date"], str) and len(shaped["date"]) == 10
+
+
+def test_rows_above_excludes_nan(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (5.0,), (None,)], "v double")
+    assert [r["v"] for r in ask.rows_above(df, "v", 2).collect()] == [5.0]
+    assert ask.count_above(df, "v", 2).first()["count"] == 1

@@ -113,16 +113,17 @@ def chart_observations(
     counts of its columns; one "review visually" row when nothing applies."""
     strong, outliers = schema_bounded(strong), schema_bounded(outliers)
     cols = chart_columns(plan, columns)
-    per_chart = cols.groupBy("chart_id").agg(
-        F.array_sort(F.collect_list(F.struct("position", "column"))).alias("cs")
-    )
     top2 = strong.where(F.col("rank") <= OBSERVATION_CORRELATIONS)
-    # plan rows x top-2 correlations: at most 2 rows per chart.
-    corr = per_chart.join(F.broadcast(top2), F.exists(
-        "cs", lambda s: (s["column"] == F.col("column_a")) | (s["column"] == F.col("column_b")))).select(
+    # Two equi-joins (chart column = either side of the pair), then one row
+    # per (chart, correlation); top2 has at most 2 rows.
+    touching = cols.join(F.broadcast(top2.withColumnRenamed("column_a", "column")), "column").unionByName(
+        cols.join(F.broadcast(top2.withColumnRenamed("column_b", "column")), "column"),
+        allowMissingColumns=True,
+    )
+    corr = touching.select(
         "chart_id", F.col("rank").alias("order"),
         F.concat(sentence_case(F.col("description")), F.lit(".")).alias("text"),
-    )
+    ).distinct()
     out = cols.join(F.broadcast(outliers), "column").select(
         "chart_id", (F.lit(100) + F.col("position")).alias("order"),
         F.concat(F.col("column"), F.lit(" has "), F.col("count").cast("string"),

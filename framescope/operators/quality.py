@@ -9,7 +9,7 @@ fixed schema.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,13 +112,15 @@ def dedup_rows(df: DataFrame, drop_duplicates: bool = True, drop_empty: bool = T
     return out
 
 
-def numeric_as_text(df: DataFrame) -> DataFrame:
+def numeric_as_text(df: DataFrame, sample_rows: int | None = None, order_by: list[str] | None = None) -> DataFrame:
     """Q6: text columns whose non-missing values look numeric.
 
     ``column, checked, numeric_like, share, flagged``; one wide aggregation
-    over all text columns. All values are checked (deterministic); the
-    reference looks at the first 50 in file order, which a partitioned
-    frame does not have.
+    over all text columns. All values are checked by default
+    (deterministic). ``sample_rows=50`` with an ``order_by`` key checks only
+    the first 50 non-missing values of each column in that order (a frame
+    has no file order); the per-column limit is applied on every partition
+    before the shuffle.
     """
     df = canonicalize(df)
     text_cols = classify(df).categorical
@@ -126,6 +128,21 @@ def numeric_as_text(df: DataFrame) -> DataFrame:
         return df.sparkSession.createDataFrame(
             [], "position int, column string, checked bigint, numeric_like bigint, share double, flagged boolean"
         )
+    if sample_rows is not None:
+        if not order_by:
+            raise ValueError("sample_rows needs an order_by key")
+        positions = {c: i for i, c in enumerate(df.columns)}
+        items = F.array(*[F.struct(F.lit(positions[c]).alias("position"), F.lit(c).alias("column"),
+                                   qcol(c).cast("string").alias("value")) for c in text_cols])
+        key = F.struct(*[qcol(k) for k in order_by])
+        long = df.select(key.alias("_k"), F.inline(items)).where(F.col("value").isNotNull())
+        w = Window.partitionBy("position").orderBy("_k")
+        first = long.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= sample_rows)
+        like = F.regexp_replace("value", NUMERIC_TEXT_STRIP, "").rlike(NUMERIC_TEXT_PATTERN)
+        share = F.col("numeric_like") / F.col("checked")
+        return first.groupBy("position", "column").agg(
+            F.count("value").alias("checked"), F.count_if(like).alias("numeric_like")
+        ).withColumn("share", F.round(share, 4)).withColumn("flagged", share > NUMERIC_TEXT_SHARE)
     aggs = []
     for i, c in enumerate(text_cols):
         s = qcol(c).cast("string")

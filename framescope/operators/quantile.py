@@ -349,3 +349,27 @@ def _ungrouped_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         x0, x1 = targets[(c, k0)][0], targets[(c, k1)][0]
         out.append((c, p, x0 if x0 == x1 else x0 + frac * (x1 - x0)))
     return spark.createDataFrame(out, "column string, p double, value double")
+
+
+def approx_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                     group_cols: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:
+    """Approximate quantiles (``percentile_approx``, a bounded sketch per
+    group; rank error at most n / accuracy). Same output as
+    :func:`exact_quantiles`. Note that the sketch returns data values
+    rather than interpolating between them."""
+    vals = long_values(df, columns, group_cols)
+    gk = [f"_g{i}" for i in range(len(group_cols))]
+    plist = [float(p) for p in probs]
+    q = vals.groupBy(*gk, "column").agg(F.percentile_approx("v", plist, accuracy).alias("qs"))
+    return q.select(
+        *[F.col(k).alias(g) for k, g in zip(gk, group_cols)], "column",
+        F.inline(F.arrays_zip(F.array(*[F.lit(p) for p in plist]).alias("p"), F.col("qs").alias("value"))),
+    )
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], group_cols: Sequence[str] = (),
+              exact: bool = True, **kw) -> DataFrame:
+    """Exact (default) or approximate quantiles."""
+    if exact:
+        return exact_quantiles(df, columns, probs, group_cols, **kw)
+    return approx_quantiles(df, columns, probs, group_cols)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canon import canonicalize, qcol
 from ..functions.classes import classify
-from .quantile import exact_quantiles
+from .quantile import exact_quantiles, quantiles as _quantiles
 
 # Fixed values used by the reference semantics.
 STRONG_CORRELATION = 0.6
@@ -248,11 +248,12 @@ def strong_correlations(df: DataFrame, threshold: float = STRONG_CORRELATION) ->
     return strong_from_pairs(pair_correlations(df), threshold)
 
 
-def quartiles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``column, q1, median, q3`` exact (linear interpolation)."""
+def quartiles(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+    """``column, q1, median, q3`` - exact (linear interpolation) by
+    default, ``exact=False`` for the bounded-memory sketch."""
     df = canonicalize(df)
     cols = list(columns) if columns is not None else classify(df).numeric
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    q = _quantiles(df, cols, [0.25, 0.5, 0.75], exact=exact)
     return q.groupBy("column").agg(
         F.max(F.when(F.col("p") == 0.25, F.col("value"))).alias("q1"),
         F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("median"),
@@ -261,7 +262,7 @@ def quartiles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, only_found: bool = True,
-                 quantiles: DataFrame | None = None) -> DataFrame:
+                 quantiles: DataFrame | None = None, exact: bool = True) -> DataFrame:
     """``column, count, percentage, lower, upper`` with the 1.5·IQR rule.
 
     Columns need at least 4 values and a non-zero IQR. Pass 1 is the
@@ -276,7 +277,7 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, only_found
     )
     if not cols:
         return empty
-    q = quantiles if quantiles is not None else exact_quantiles(df, cols, [0.25, 0.75])
+    q = quantiles if quantiles is not None else _quantiles(df, cols, [0.25, 0.75], exact=exact)
     bounds = q.groupBy().agg(*[
         F.max(F.when((F.col("column") == c) & (F.col("p") == p), F.col("value"))).alias(f"{k}{i}")
         for i, c in enumerate(cols) for p, k in ((0.25, "a"), (0.75, "b"))

@@ -74,3 +74,11 @@ def test_missing_matches_pandas(messy_df, messy_pdf):
     exp = messy_pdf.isnull().sum().to_dict()
     assert got == {k: int(v) for k, v in exp.items()}
     assert np.isclose(sum(got.values()), 220)
+
+
+def test_numeric_as_text_first_values_by_key(spark):
+    rows = [(i, "$1,200" if i < 50 else "abc") for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    first = quality.numeric_as_text(df, sample_rows=50, order_by=["id"]).first()
+    assert first["checked"] == 50 and first["flagged"]
+    assert not quality.numeric_as_text(df).first()["flagged"]

@@ -127,3 +127,11 @@ def test_grouped_quantiles_checkpointed_state(spark, monkeypatch):
     assert len(got) == 10
     for r in got:
         assert r["value"] == pytest.approx(pdf[pdf.g == r["g"]]["v"].quantile(r["p"]), abs=1e-12)
+
+
+def test_approx_quantiles_close(spark):
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"v": rng.normal(0, 1, 5000)})
+    q = stats.quartiles(spark.createDataFrame(pdf), exact=False).first()
+    for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        assert q[name] == pytest.approx(pdf.v.quantile(p), abs=0.01)

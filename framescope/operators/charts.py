@@ -172,9 +172,14 @@ def box_summary(df: DataFrame, column: str, by: str | None = None, decimals: int
         q1, med, q3 = F.col("q1"), F.col("med"), F.col("q3")
         keys = [qcol(g) for g in group] + ["q1", "med", "q3"]
     else:
-        sq = qw.select(F.struct("q1", "med", "q3").alias("q")).scalar()
+        # three values: read them and use them as literals
+        qrow = qw.first()
+        if qrow is None or qrow["q1"] is None:
+            return df.sparkSession.createDataFrame(
+                [], "n bigint, q1 double, median double, q3 double, whisker_lo double, whisker_hi double, "
+                    "fliers bigint")
         joined = base
-        q1, med, q3 = sq["q1"], sq["med"], sq["q3"]
+        q1, med, q3 = F.lit(qrow["q1"]), F.lit(qrow["med"]), F.lit(qrow["q3"])
         keys = []
     iqr = q3 - q1
     lov, hiv = q1 - BOX_WHISKER * iqr, q3 + BOX_WHISKER * iqr

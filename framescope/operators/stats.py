@@ -132,42 +132,42 @@ def _pair_stats(df: DataFrame, pairs: list[tuple[str, str]], facts=None) -> tupl
     cols = sorted({c for p in pairs for c in p}, key=lambda c: df.columns.index(c))
     n_rows, nn, mean, varies = facts if facts is not None else _column_facts(df, cols)
     full = {c for c in cols if nn[c] == n_rows}
+    idx = {c: i for i, c in enumerate(cols)}
+    # centred copies of the columns, projected once; the aggregates below are
+    # SQL expressions over them (one JVM call each, not one per operator)
+    centred = df.select(*[
+        (qcol(c).cast("double") - F.lit(float(mean[c]) if mean[c] is not None else 0.0)).alias(f"_x{idx[c]}")
+        for c in cols
+    ])
 
-    def centred(c: str) -> Column:
-        return qcol(c).cast("double") - F.lit(mean[c] if mean[c] is not None else 0.0)
+    def sq(name: str) -> str:
+        return name.replace("'", "\\'")
 
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_AGGREGATION):
         chunk = pairs[start:start + PAIRS_PER_AGGREGATION]
-        aggs: dict[str, Column] = {}
-        structs = []
+        aggs: dict[str, str] = {"n_all": "count(1)"}
+        items = []
         for i, (a, b) in enumerate(chunk):
-            x, y = centred(a), centred(b)
+            x, y = f"_x{idx[a]}", f"_x{idx[b]}"
             if a in full and b in full:
-                ka, kb = f"s_{cols.index(a)}", f"s_{cols.index(b)}"
-                qa, qb = f"q_{cols.index(a)}", f"q_{cols.index(b)}"
-                aggs.setdefault(ka, F.sum(x).alias(ka))
-                aggs.setdefault(kb, F.sum(y).alias(kb))
-                aggs.setdefault(qa, F.sum(x * x).alias(qa))
-                aggs.setdefault(qb, F.sum(y * y).alias(qb))
-                aggs.setdefault("n_all", F.count(F.lit(1)).alias("n_all"))
-                n, sx, sy, qx, qy = "n_all", ka, kb, qa, qb
+                n, sx, sy, qx, qy = "n_all", f"s{idx[a]}", f"s{idx[b]}", f"q{idx[a]}", f"q{idx[b]}"
+                aggs[sx], aggs[sy] = f"sum({x})", f"sum({y})"
+                aggs[qx], aggs[qy] = f"sum({x} * {x})", f"sum({y} * {y})"
             else:
-                both = x.isNotNull() & y.isNotNull()
-                xm, ym = F.when(both, x), F.when(both, y)
+                both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
                 n, sx, sy, qx, qy = f"pn{i}", f"psx{i}", f"psy{i}", f"pqx{i}", f"pqy{i}"
-                aggs[n] = F.count(xm).alias(n)
-                aggs[sx], aggs[sy] = F.sum(xm).alias(sx), F.sum(ym).alias(sy)
-                aggs[qx], aggs[qy] = F.sum(xm * xm).alias(qx), F.sum(ym * ym).alias(qy)
-            aggs[f"p{i}"] = F.sum(x * y).alias(f"p{i}")
-            cn = F.col(n)
-            cov = F.col(f"p{i}") - F.col(sx) * F.col(sy) / cn
-            vx = F.col(qx) - F.col(sx) * F.col(sx) / cn
-            vy = F.col(qy) - F.col(sy) * F.col(sy) / cn
-            r = F.when((cn > 1) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
-            structs.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), r.alias("r")))
-        wide = df.agg(*aggs.values())
-        parts.append(_long_from_wide(wide, structs))
+                aggs[n] = f"count_if({both})"
+                aggs[sx], aggs[sy] = f"sum(IF({both}, {x}, NULL))", f"sum(IF({both}, {y}, NULL))"
+                aggs[qx] = f"sum(IF({both}, {x} * {x}, NULL))"
+                aggs[qy] = f"sum(IF({both}, {y} * {y}, NULL))"
+            aggs[f"p{i}"] = f"sum({x} * {y})"
+            cov = f"(p{i} - {sx} * {sy} / {n})"
+            vx, vy = f"({qx} - {sx} * {sx} / {n})", f"({qy} - {sy} * {sy} / {n})"
+            r = f"IF({n} > 1 AND {vx} > 0 AND {vy} > 0, {cov} / sqrt({vx} * {vy}), CAST(NULL AS DOUBLE))"
+            items.append(f"named_struct('column_a', '{sq(a)}', 'column_b', '{sq(b)}', 'r', {r})")
+        wide = centred.agg(*[F.expr(f"{e} AS {k}") for k, e in aggs.items()])
+        parts.append(wide.selectExpr(f"inline(array({', '.join(items)}))"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -278,22 +278,24 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, only_found
     if not cols:
         return empty
     q = quantiles if quantiles is not None else _quantiles(df, cols, [0.25, 0.75], exact=exact)
-    bounds = q.groupBy().agg(*[
-        F.max(F.when((F.col("column") == c) & (F.col("p") == p), F.col("value"))).alias(f"{k}{i}")
-        for i, c in enumerate(cols) for p, k in ((0.25, "a"), (0.75, "b"))
-    ])
-    b = bounds.select(F.struct(*bounds.columns).alias("b")).scalar()
+    # The quartiles are (columns x 2) values: read them once and use them
+    # as literals in the single counting pass.
+    qv = {(r["column"], r["p"]): r["value"] for r in q.collect()}
     aggs, structs = [], []
     for i, c in enumerate(cols):
+        if (c, 0.25) not in qv:
+            continue
         v = qcol(c).cast("double")
-        q1, q3 = b[f"a{i}"], b[f"b{i}"]
+        q1, q3 = qv[(c, 0.25)], qv[(c, 0.75)]
         iqr = q3 - q1
         lo, hi = q1 - OUTLIER_WHISKER * iqr, q3 + OUTLIER_WHISKER * iqr
-        aggs += [F.count(v).alias(f"n{i}"), F.count_if((v < lo) | (v > hi)).alias(f"o{i}")]
+        aggs += [F.count(v).alias(f"n{i}"), F.count_if((v < F.lit(lo)) | (v > F.lit(hi))).alias(f"o{i}")]
         structs.append(F.struct(
             F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"o{i}").alias("count"),
-            lo.alias("lower"), hi.alias("upper"), iqr.alias("iqr"),
+            F.lit(lo).alias("lower"), F.lit(hi).alias("upper"), F.lit(iqr).alias("iqr"),
         ))
+    if not aggs:
+        return empty
     wide = df.agg(*aggs)
     out = _long_from_wide(wide, structs).where(
         (F.col("n") >= OUTLIER_MIN_VALUES) & (F.col("iqr") != 0)

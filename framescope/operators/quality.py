@@ -90,17 +90,50 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
     return df.select(*[qcol(c) for c in keep])
 
 
+DUPLICATE_CANDIDATES_BROADCAST = 1_000_000
+
+
+def _hash_input(df: DataFrame, name: str) -> Column:
+    """Column as fed to the row hash: maps as JSON text, -0.0 as 0.0 (the
+    grouping treats them as equal, the hash would not)."""
+    t = df.schema[name].dataType
+    if isinstance(t, T.MapType):
+        return F.to_json(qcol(name))
+    if isinstance(t, (T.FloatType, T.DoubleType)):
+        return qcol(name) + F.lit(0.0)
+    return qcol(name)
+
+
 def duplicate_rows(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     """Q3: rows beyond the first of each identical row (nulls compare equal).
 
-    ``groupBy`` over every column with partial aggregation: a hot duplicate
-    group is summed map-side and never reaches one task whole. Not
-    ``count_distinct``, which skips rows holding a null.
+    Exact, in two steps sized for very large tables:
+
+    1. group by a 64-bit hash of the row (8 bytes shuffled per row instead
+       of the row, partially aggregated); a hash seen once is a row
+       without a duplicate, since identical rows hash alike;
+    2. only rows whose hash was seen more than once are grouped by their
+       full values, which also settles hash collisions. When a
+       size-checked count shows few such hashes they are broadcast into a
+       semi-join; otherwise the whole table is grouped by its values.
+
+    Not ``count_distinct``, which skips rows holding a null.
     """
+    spark = df.sparkSession
     df = canonicalize(df)
     cols = subset or df.columns
     keys = [_groupable(df, c) for c in cols]
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    h = F.xxhash64(*[_hash_input(df, c) for c in cols]).alias("_h")
+    hashed = df.select(h, *keys)
+    candidates = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("_h")
+    probe = candidates.limit(DUPLICATE_CANDIDATES_BROADCAST + 1).count()
+    if probe == 0:
+        return spark.createDataFrame([(0,)], "duplicates bigint")
+    if probe <= DUPLICATE_CANDIDATES_BROADCAST:
+        rows = hashed.join(F.broadcast(candidates), "_h", "left_semi").drop("_h")
+    else:
+        rows = df.select(*keys)
+    counts = rows.groupBy(*[qcol(c) for c in rows.columns]).agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicates"))
 
 
@@ -166,10 +199,8 @@ def numeric_as_text(df: DataFrame, sample_rows: int | None = None, order_by: lis
     )
 
 
-def quality_facts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Missing counts and numeric-as-text counts from ONE aggregation,
-    returned as two local relations (one row per column)."""
-    df = canonicalize(df)
+def quality_fact_aggs(df: DataFrame) -> list[Column]:
+    """Aggregate expressions behind :func:`quality_facts` (canonical frame)."""
     cols = df.columns
     text_cols = classify(df).categorical
     aggs = [F.count(F.lit(1)).alias("__total")] + [F.count(qcol(c)).alias(f"__nn{i}") for i, c in enumerate(cols)]
@@ -177,7 +208,12 @@ def quality_facts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         s = qcol(c).cast("string")
         like = F.regexp_replace(s, NUMERIC_TEXT_STRIP, "").rlike(NUMERIC_TEXT_PATTERN)
         aggs.append(F.count_if(like).alias(f"__k{j}"))
-    row = df.agg(*aggs).first()
+    return aggs
+
+
+def quality_facts_from_row(df: DataFrame, row) -> tuple[DataFrame, DataFrame]:
+    cols = df.columns
+    text_cols = classify(df).categorical
     spark = df.sparkSession
     total = row["__total"]
     missing = spark.createDataFrame(
@@ -194,6 +230,13 @@ def quality_facts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return missing, nat
 
 
+def quality_facts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Missing counts and numeric-as-text counts from ONE aggregation,
+    returned as two local relations (one row per column)."""
+    df = canonicalize(df)
+    return quality_facts_from_row(df, df.agg(*quality_fact_aggs(df)).first())
+
+
 def quality_report(df: DataFrame, facts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Q9: one row with every quality fact of the table.
 

@@ -48,30 +48,38 @@ def _long_from_wide(wide: DataFrame, structs: list[Column]) -> DataFrame:
     return wide.select(F.inline(F.array(*structs)))
 
 
-def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``position, column, n, mean, std, min, max`` (unrounded) for numeric
-    columns, one wide aggregation. ``std`` is the sample deviation, 0.0 for
-    a single value."""
-    df = canonicalize(df)
-    cols = list(columns) if columns is not None else classify(df).numeric
-    pos = {c: i for i, c in enumerate(df.columns)}
+def moment_aggs(cols: Sequence[str]) -> list[Column]:
+    """Aggregate expressions behind :func:`moments` (canonical frame)."""
     aggs = []
     for i, c in enumerate(cols):
         v = qcol(c).cast("double")
         aggs += [
-            F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
-            F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
+            F.count(v).alias(f"mo_n{i}"), F.avg(v).alias(f"mo_m{i}"), F.stddev_samp(v).alias(f"mo_s{i}"),
+            F.min(v).alias(f"mo_lo{i}"), F.max(v).alias(f"mo_hi{i}"),
         ]
-    wide = df.agg(*aggs)
-    return _long_from_wide(wide, [
-        F.struct(
-            F.lit(pos[c]).alias("position"), F.lit(c).alias("column"),
-            F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"),
-            F.when(F.col(f"n{i}") > 1, F.col(f"s{i}")).otherwise(F.lit(0.0)).alias("std"),
-            F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
-        )
-        for i, c in enumerate(cols)
-    ])
+    return aggs
+
+
+def moments_from_row(df: DataFrame, cols: Sequence[str], row) -> DataFrame:
+    pos = {c: i for i, c in enumerate(df.columns)}
+    rows = []
+    for i, c in enumerate(cols):
+        n = row[f"mo_n{i}"]
+        rows.append((pos[c], c, n, row[f"mo_m{i}"], (row[f"mo_s{i}"] if n > 1 else 0.0),
+                     row[f"mo_lo{i}"], row[f"mo_hi{i}"]))
+    return df.sparkSession.createDataFrame(
+        rows, "position int, column string, n bigint, mean double, std double, min double, max double")
+
+
+def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``position, column, n, mean, std, min, max`` (unrounded) for numeric
+    columns from ONE wide aggregation, as a local relation (one row per
+    column). ``std`` is the sample deviation, 0.0 for a single value."""
+    df = canonicalize(df)
+    cols = list(columns) if columns is not None else classify(df).numeric
+    if not cols:
+        return moments_from_row(df, [], None)
+    return moments_from_row(df, cols, df.agg(*moment_aggs(cols)).first())
 
 
 def describe(df: DataFrame, decimals: int = 4, quantiles: DataFrame | None = None,
@@ -88,7 +96,6 @@ def describe(df: DataFrame, decimals: int = 4, quantiles: DataFrame | None = Non
         )
     if moment_frame is None:
         moment_frame = moments(df, num)
-        moment_frame = moment_frame.sparkSession.createDataFrame(moment_frame.collect(), moment_frame.schema)
     mom = moment_frame.where(F.col("n") > 0)
     if quantiles is None:
         # count/min/max from the moments feed the quantile job's first pass
@@ -104,19 +111,27 @@ def describe(df: DataFrame, decimals: int = 4, quantiles: DataFrame | None = Non
     )
 
 
+def column_fact_aggs(cols: Sequence[str]) -> list[Column]:
+    """Aggregate expressions behind :func:`_column_facts`."""
+    return [
+        F.count(F.lit(1)).alias("pf_n"),
+        *[F.count(qcol(c)).alias(f"pf_c{i}") for i, c in enumerate(cols)],
+        *[F.avg(qcol(c).cast("double")).alias(f"pf_m{i}") for i, c in enumerate(cols)],
+        *[(F.max(qcol(c).cast("double")) > F.min(qcol(c).cast("double"))).alias(f"pf_v{i}")
+          for i, c in enumerate(cols)],
+    ]
+
+
+def column_facts_from_row(cols: Sequence[str], row) -> tuple:
+    return (row["pf_n"], {c: row[f"pf_c{i}"] for i, c in enumerate(cols)},
+            {c: row[f"pf_m{i}"] for i, c in enumerate(cols)},
+            {c: bool(row[f"pf_v{i}"]) for i, c in enumerate(cols)})
+
+
 def _column_facts(df: DataFrame, cols: Sequence[str]) -> tuple[int, dict[str, int], dict[str, float], dict[str, bool]]:
     """Row count, non-missing count, mean and "varies" (min < max) per
     column: one small aggregation, one row of 3N+1 values back."""
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count(qcol(c)).alias(f"c{i}") for i, c in enumerate(cols)],
-        *[F.avg(qcol(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
-        *[(F.max(qcol(c).cast("double")) > F.min(qcol(c).cast("double"))).alias(f"v{i}")
-          for i, c in enumerate(cols)],
-    ).first()
-    return (row["n"], {c: row[f"c{i}"] for i, c in enumerate(cols)},
-            {c: row[f"m{i}"] for i, c in enumerate(cols)},
-            {c: bool(row[f"v{i}"]) for i, c in enumerate(cols)})
+    return column_facts_from_row(cols, df.agg(*column_fact_aggs(cols)).first())
 
 
 def _pair_stats(df: DataFrame, pairs: list[tuple[str, str]], facts=None) -> tuple[DataFrame, dict[str, bool]]:
@@ -174,7 +189,8 @@ def _pair_stats(df: DataFrame, pairs: list[tuple[str, str]], facts=None) -> tupl
     return out, varies
 
 
-def pair_correlations(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFrame, list[str], dict]:
+def pair_correlations(df: DataFrame, columns: Sequence[str] | None = None,
+                      facts: tuple | None = None) -> tuple[DataFrame, list[str], dict]:
     """Unrounded r for every column pair (i < j) of the non-empty numeric
     columns, as a local relation (one row per pair: bounded by the schema),
     with the column list and which columns vary. Shared by the correlation
@@ -182,7 +198,8 @@ def pair_correlations(df: DataFrame, columns: Sequence[str] | None = None) -> tu
     df = canonicalize(df)
     spark = df.sparkSession
     cand = list(columns) if columns is not None else classify(df).numeric
-    facts = _column_facts(df, cand) if cand else (0, {}, {}, {})
+    if facts is None:
+        facts = _column_facts(df, cand) if cand else (0, {}, {}, {})
     cols = [c for c in cand if facts[1][c] > 0]
     if len(cols) < 2:
         return spark.createDataFrame([], "column_a string, column_b string, r double"), cols, {}

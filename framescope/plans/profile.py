@@ -2,10 +2,11 @@
 
 ``profile(df)`` returns named frames: quality, statistics, chart data,
 observations, follow-ups and findings, all computed on the raw (canonical)
-frame. Every heavy fact is computed once and shared: the missing counts
-feed the quality report and the issue list; one moments aggregation and one
-quantile job feed the description and the outliers; one pair-correlation
-aggregation feeds the matrix, the heatmap and the strong pairs. Those
+frame. Every heavy fact is computed once and shared: one scan gives the
+missing counts, the numeric-looking text counts, the moments and the
+correlation centring facts; one quantile job feeds the description and the
+outliers; one pair-correlation aggregation feeds the matrix, the heatmap
+and the strong pairs. Those
 shared facts are small (bounded by the schema) and kept as local
 relations; the chart frames stay lazy.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canon import canonicalize
-from ..functions.classes import shape_frame
+from ..functions.classes import classify, shape_frame
 from ..operators import charts, findings, quality, stats
 from ..operators.quantile import exact_quantiles
 from .chart_plan import chart_plan
@@ -65,16 +66,21 @@ def profile_report_from(describe: DataFrame, missing: DataFrame, outliers: DataF
 def profile(df: DataFrame, with_charts: bool = True) -> Profile:
     df = canonicalize(df)
     small = findings.schema_bounded
-    facts = quality.quality_facts(df)
+    numeric = classify(df).numeric
+    # ONE scan for every per-column fact: missing counts, numeric-looking
+    # text, moments, and the correlation centring facts.
+    row = df.agg(*quality.quality_fact_aggs(df), *stats.moment_aggs(numeric),
+                 *stats.column_fact_aggs(numeric)).first()
+    facts = quality.quality_facts_from_row(df, row)
     missing = facts[0]
     report = small(quality.quality_report(df, facts))
-    mom = small(stats.moments(df))
+    mom = stats.moments_from_row(df, numeric, row)
     num = [r["column"] for r in mom.where(F.col("n") > 0).orderBy("position").collect()]
     known = {r["column"]: (r["n"], r["min"], r["max"]) for r in mom.collect()}
     q = exact_quantiles(df, num, [0.25, 0.5, 0.75], known=known) if num else None
     describe = stats.describe(df, quantiles=q, moment_frame=mom) if num else stats.describe(df)
     outliers = small(stats.iqr_outliers(df, num, quantiles=q)) if num else small(stats.iqr_outliers(df, []))
-    pairs = stats.pair_correlations(df, num)
+    pairs = stats.pair_correlations(df, num, facts=stats.column_facts_from_row(numeric, row))
     strong = small(stats.strong_from_pairs(pairs))
     tops = small(stats.top_values(df))
     plan = chart_plan(df)

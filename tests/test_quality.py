@@ -82,3 +82,12 @@ def test_numeric_as_text_first_values_by_key(spark):
     first = quality.numeric_as_text(df, sample_rows=50, order_by=["id"]).first()
     assert first["checked"] == 50 and first["flagged"]
     assert not quality.numeric_as_text(df).first()["flagged"]
+
+
+def test_duplicates_hash_prefilter_paths(spark, monkeypatch):
+    rows = [(1, None, 0.0), (1, None, -0.0), (None, 1, 2.0), (1, None, 2.0), (2, 2, 3.0), (2, 2, 3.0)]
+    df = spark.createDataFrame(rows, "a int, b int, c double")
+    assert quality.duplicate_rows(df).first()["duplicates"] == 2  # -0.0 equals 0.0
+    monkeypatch.setattr(quality, "DUPLICATE_CANDIDATES_BROADCAST", 0)
+    assert quality.duplicate_rows(df).first()["duplicates"] == 2
+    assert quality.duplicate_rows(df.select("a", "b")).first()["duplicates"] == 3

@@ -122,6 +122,10 @@ def exact_quantiles(
         raise ValueError("need at least one column and one probability")
     if not group_cols:
         return _ungrouped_quantiles(df, list(columns), list(probs), buckets, final_rows, max_passes, known)
+    few = _few_groups(df, list(group_cols))
+    if few is not None:
+        return _quantiles_per_known_group(df, list(columns), list(probs), list(group_cols), few,
+                                          buckets, final_rows, max_passes)
     grouped = bool(group_cols)
     gk = [f"_g{i}" for i in range(len(group_cols))]
     keys = gk + ["column"]
@@ -259,6 +263,39 @@ def quantile_wide(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
     ])
 
 
+FEW_GROUPS = 64
+
+
+def _few_groups(df: DataFrame, group_cols: list[str]) -> list[tuple] | None:
+    """The distinct group keys when a bounded probe finds at most
+    ``FEW_GROUPS`` of them, else None."""
+    probe = (df.select(*[qcol(g) for g in group_cols]).distinct()
+             .limit(FEW_GROUPS + 1).collect())
+    return None if len(probe) > FEW_GROUPS else [tuple(r) for r in probe]
+
+
+def _quantiles_per_known_group(df, columns, probs, group_cols, groups, buckets, final_rows, max_passes):
+    """Few groups: each (group, column) pair becomes one masked column and
+    the driver-bounded selection runs on them all at once."""
+    names, where = [], {}
+    masked = []
+    for gi, key in enumerate(groups):
+        match = None
+        for g, v in zip(group_cols, key):
+            cond = qcol(g).eqNullSafe(F.lit(v))
+            match = cond if match is None else match & cond
+        for ci, c in enumerate(columns):
+            name = f"__q{gi}_{ci}"
+            names.append(name)
+            where[name] = (key, c)
+            masked.append(F.when(match, qcol(c).cast("double")).alias(name))
+    per = _ungrouped_quantiles(df.select(*masked), names, probs, buckets, final_rows, max_passes)
+    rows = [where[r["column"]][0] + (where[r["column"]][1], r["p"], r["value"]) for r in per.collect()]
+    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join(f"`{g}` {fields[g]}" for g in group_cols) + ", column string, p double, value double"
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def _ungrouped_quantiles(df: DataFrame, columns: list[str], probs: list[float], buckets: int,
                          final_rows: int, max_passes: int, known: dict | None = None) -> DataFrame:
     """The same selection without groups.

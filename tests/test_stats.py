@@ -120,6 +120,7 @@ def test_grouped_quantiles_checkpointed_state(spark, monkeypatch):
     from framescope.operators import quantile as q
 
     monkeypatch.setattr(q, "LOCAL_STATE_ROWS", 0)
+    monkeypatch.setattr(q, "FEW_GROUPS", 0)
     rng = np.random.default_rng(11)
     pdf = pd.DataFrame({"g": rng.integers(0, 5, 2000), "v": rng.normal(0, 1, 2000)})
     got = exact_quantiles(spark.createDataFrame(pdf), ["v"], [0.25, 0.5], group_cols=["g"],
@@ -135,3 +136,16 @@ def test_approx_quantiles_close(spark):
     q = stats.quartiles(spark.createDataFrame(pdf), exact=False).first()
     for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
         assert q[name] == pytest.approx(pdf.v.quantile(p), abs=0.01)
+
+
+def test_grouped_quantiles_many_groups_distributed_path(spark, monkeypatch):
+    from framescope.operators import quantile as q
+
+    monkeypatch.setattr(q, "FEW_GROUPS", 2)
+    rng = np.random.default_rng(13)
+    pdf = pd.DataFrame({"g": rng.integers(0, 6, 3000), "v": rng.exponential(3, 3000)})
+    got = exact_quantiles(spark.createDataFrame(pdf), ["v"], [0.5, 0.9], group_cols=["g"],
+                          final_rows=50, buckets=8).collect()
+    assert len(got) == 12
+    for r in got:
+        assert r["value"] == pytest.approx(pdf[pdf.g == r["g"]]["v"].quantile(r["p"]), abs=1e-12)

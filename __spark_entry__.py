@@ -394,8 +394,8 @@ def _describe_single_value(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _observations(df: DataFrame) -> DataFrame:
-    return findings.chart_observations(
-        chart_plan(df), df.columns, stats.strong_correlations(df), stats.iqr_outliers(df))
+    plan, strong, outliers = findings.shared_inputs(df)
+    return findings.chart_observations(plan, df.columns, strong, outliers)
 
 
 def _q_messy(fn):

@@ -26,61 +26,78 @@ PIE_TOP = 8
 BOX_WHISKER = 1.5
 
 
-def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
-    """``bin, lo, hi, count`` with equal-width bins from min to max.
-
-    ``bins`` defaults to ``min(30, max(5, distinct values))``; the last bin
-    is closed; a constant column spans value +/- 0.5. Bin placement repeats
-    numpy's arithmetic (edge ``i`` = ``i * step + lo``, index estimate then
-    one-step correction against the edges), so counts equal
-    ``numpy.histogram``. Bounds arrive as one scalar-subquery row; empty
-    bins come from a generated range of at most ``bins`` rows.
+def histograms(df: DataFrame, columns: Sequence[str], bins: int | None = None) -> DataFrame:
+    """C1 for several columns at once: ``column, bin, lo, hi, count``.
+
+    Equal-width bins from min to max; ``bins`` defaults to
+    ``min(30, max(5, distinct values))``; the last bin is closed; a
+    constant column spans value +/- 0.5. Bin placement repeats numpy's
+    arithmetic (edge ``i`` = ``i * step + lo``, index estimate then one-step
+    correction against the edges), so counts equal ``numpy.histogram``.
+
+    Two jobs for any number of columns: one aggregation for every range and
+    distinct count (four numbers per column come back), one pass that bins
+    all columns together (partially aggregated; output at most 30 rows per
+    column). Empty bins come from the known bin frame.
     """
     df = canonicalize(df)
-    v = qcol(column).cast("double")
-    vals = df.select(v.alias("v")).where(F.col("v").isNotNull())
-    nb = (
-        F.lit(int(bins)) if bins is not None
-        else F.least(F.lit(HIST_MAX_BINS), F.greatest(F.lit(HIST_MIN_BINS), F.count_distinct("v").cast("int")))
-    )
-    stats = vals.agg(F.min("v").alias("mn"), F.max("v").alias("mx"), nb.alias("nb"), F.count("v").alias("n"))
-    stats = stats.select(
-        F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
-        F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"),
-        "nb", "n",
-    )
-    b = stats.select(F.struct("lo", "hi", "nb", "n").alias("b")).scalar()
-    lo, hi, n = b["lo"], b["hi"], b["nb"]
-    step = (hi - lo) / n
-
-    def edge(k: Column) -> Column:
-        return F.when(k == n, hi).otherwise(k * step + lo)
-
-    est = F.least(((F.col("v") - lo) * (n / (hi - lo))).cast("int"), n - 1)
-    corrected = (
-        F.when(F.col("v") < edge(F.col("i")), F.col("i") - 1)
-        .when((F.col("i") != n - 1) & (F.col("v") >= edge(F.col("i") + 1)), F.col("i") + 1)
-        .otherwise(F.col("i"))
-    )
+    cols = list(columns)
+    vals = {c: qcol(c).cast("double") for c in cols}
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.min(vals[c]).alias(f"mn{i}"), F.max(vals[c]).alias(f"mx{i}"), F.count(vals[c]).alias(f"n{i}")]
+        if bins is None:
+            aggs.append(F.count_distinct(vals[c]).alias(f"d{i}"))
+    row = df.agg(*aggs).first()
+    spec = []  # (column index, lo, hi, nb)
+    for i, c in enumerate(cols):
+        if not row[f"n{i}"]:
+            continue
+        lo, hi = row[f"mn{i}"], row[f"mx{i}"]
+        if lo == hi:
+            lo, hi = lo - 0.5, hi + 0.5
+        nb = int(bins) if bins is not None else min(HIST_MAX_BINS, max(HIST_MIN_BINS, row[f"d{i}"]))
+        spec.append((i, lo, hi, nb))
+    frame_rows = []
+    for i, lo, hi, nb in spec:
+        step = (hi - lo) / nb
+        for k in range(nb):
+            frame_rows.append((i, cols[i], k, k * step + lo, hi if k + 1 == nb else (k + 1) * step + lo))
+    frame = df.sparkSession.createDataFrame(
+        frame_rows, "cid int, column string, bin int, lo double, hi double")
+    if not spec:
+        return frame.select("column", "bin", "lo", "hi", F.lit(0).cast("long").alias("count"))
+    items = []
+    for i, lo, hi, nb in spec:
+        v = vals[cols[i]]
+        step = (hi - lo) / nb
+
+        def edge(k: Column, lo=lo, hi=hi, nb=nb, step=step) -> Column:
+            return F.when(k == nb, F.lit(hi)).otherwise(k * F.lit(step) + F.lit(lo))
+
+        est = F.least(((v - F.lit(lo)) * F.lit(nb / (hi - lo))).cast("int"), F.lit(nb - 1))
+        binned = (
+            F.when(v < edge(est), est - 1)
+            .when((est != nb - 1) & (v >= edge(est + 1)), est + 1)
+            .otherwise(est)
+        )
+        items.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("cid"), binned.alias("bin"))))
     counts = (
-        vals.select("v", est.alias("i")).select(corrected.alias("bin"))
-        .groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+        df.select(F.inline(F.array(*items))).where(F.col("cid").isNotNull())
+        .groupBy("cid", "bin").agg(F.count(F.lit(1)).alias("count"))
     )
-    frame = stats.where(F.col("n") > 0).select(
-        F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bin"), "lo", "hi", "nb"
-    ).select(
-        "bin",
-        (F.col("bin") * ((F.col("hi") - F.col("lo")) / F.col("nb")) + F.col("lo")).alias("bin_lo"),
-        F.when(F.col("bin") + 1 == F.col("nb"), F.col("hi"))
-        .otherwise((F.col("bin") + 1) * ((F.col("hi") - F.col("lo")) / F.col("nb")) + F.col("lo")).alias("bin_hi"),
-    )
-    # ``frame`` has at most 30 rows (or the requested bins).
-    return F.broadcast(frame).join(counts, "bin", "left").select(
-        F.col("bin").cast("int").alias("bin"), F.col("bin_lo").alias("lo"), F.col("bin_hi").alias("hi"),
+    # ``frame`` has at most 30 rows per column (or the requested bins).
+    return F.broadcast(frame).join(counts, ["cid", "bin"], "left").select(
+        "column", F.col("bin").cast("int").alias("bin"), "lo", "hi",
         F.coalesce("count", F.lit(0)).cast("long").alias("count"),
     )
 
 
+def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
+    """``bin, lo, hi, count`` for one column (see :func:`histograms`)."""
+    return histograms(df, [column], bins).drop("column")
+
+
 def bar_counts(df: DataFrame, column: str, k: int = BAR_TOP) -> DataFrame:
     """``value, count, rank`` for the k most frequent values."""
     return value_counts(df, column, k)

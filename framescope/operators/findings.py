@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canon import canonicalize
 from ..functions.classes import classify
-from ..plans.chart_plan import AXIS_COUNT, AXIS_FREQUENCY, chart_plan
+from ..plans.chart_plan import AXIS_COUNT, AXIS_FREQUENCY
 from .stats import iqr_outliers, strong_correlations, top_values
 
 # Finding limits and texts.
@@ -40,6 +40,31 @@ def schema_bounded(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
+def shared_inputs(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chart plan, strong correlations and outliers of a table with their
+    per-column facts gathered in ONE scan: the plan's counts, the moments
+    (whose count/min/max seed the quantile job) and the correlation
+    centring facts. Then one pair-sum pass, the quantile passes and one
+    outlier count."""
+    from ..operators.quantile import exact_quantiles
+    from ..plans.chart_plan import plan_aggs, plan_frame, plan_rows_from
+    from .stats import column_fact_aggs, column_facts_from_row, moment_aggs, moments_from_row
+    from .stats import pair_correlations, strong_from_pairs
+
+    df = canonicalize(df)
+    numeric = classify(df).numeric
+    row = df.agg(*plan_aggs(df), *moment_aggs(numeric), *column_fact_aggs(numeric)).first()
+    plan = plan_frame(df, plan_rows_from(df, row))
+    mom = moments_from_row(df, numeric, row).collect()
+    num = [r["column"] for r in mom if r["n"] > 0]
+    strong = schema_bounded(strong_from_pairs(
+        pair_correlations(df, num, facts=column_facts_from_row(numeric, row))))
+    known = {r["column"]: (r["n"], r["min"], r["max"]) for r in mom}
+    q = exact_quantiles(df, num, [0.25, 0.75], known=known) if num else None
+    outliers = schema_bounded(iqr_outliers(df, num, quantiles=q))
+    return plan, strong, outliers
+
+
 def sentence_case(c: Column) -> Column:
     """First character upper-case, the rest lower-case."""
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))
@@ -155,9 +180,8 @@ def follow_ups(
     df = canonicalize(df)
     spark = df.sparkSession
     cls = classify(df)
-    plan = plan if plan is not None else chart_plan(df)
-    strong = strong if strong is not None else schema_bounded(strong_correlations(df))
-    outliers = outliers if outliers is not None else schema_bounded(iqr_outliers(df))
+    if plan is None or strong is None or outliers is None:
+        plan, strong, outliers = shared_inputs(df)
     charted = plan.select(F.explode(F.array_compact(F.array("column", "x_axis", "y_axis"))).alias("name")).distinct()
 
     def listed(names: list[str]) -> DataFrame:

@@ -3,7 +3,8 @@
 One aggregation gathers the facts the choice depends on (non-missing
 count per column, distinct count per text column, complete date/value
 pairs); the plan itself is then a small frame built from that single row
-(its size is bounded by the limits 4/3/1/1/1).
+(its size is bounded by the limits 4/3/1/1/1). The aggregation can ride
+along with other per-column facts (see the profile).
 """
 
 from __future__ import annotations
@@ -30,37 +31,54 @@ AXIS_COUNT = "Count"
 PLAN_SCHEMA = "chart_id int, chart_type string, x_axis string, y_axis string, column string"
 
 
-def plan_rows(df: DataFrame) -> list[tuple]:
+def plan_aggs(df: DataFrame) -> list:
+    """Aggregate expressions the plan depends on (canonical frame):
+    non-missing count per column, distinct count per text column, and the
+    complete (first date, numeric) pairs per numeric column."""
+    cls = classify(df)
+    aggs = [F.count(qcol(c)).alias(f"cp_n{i}") for i, c in enumerate(df.columns)]
+    aggs += [F.count_distinct(qcol(c)).alias(f"cp_d{i}") for i, c in enumerate(cls.categorical)]
+    if cls.datetime:
+        d = qcol(cls.datetime[0])
+        aggs += [F.count_if(d.isNotNull() & qcol(c).isNotNull()).alias(f"cp_p{i}")
+                 for i, c in enumerate(cls.numeric)]
+    return aggs
+
+
+def plan_rows_from(df: DataFrame, row) -> list[tuple]:
     """The plan as Python rows (bounded by the chart limits)."""
-    df = canonicalize(df)
     cls = classify(df)
     cats = cls.categorical
-    aggs = [F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]
-    aggs += [F.count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(cats)]
-    facts = df.agg(*aggs)
     pos = {c: i for i, c in enumerate(df.columns)}
-    row = facts.first()
-    numeric = [c for c in cls.numeric if row[f"n{pos[c]}"] > 0]
-    cats_ne = [c for c in cats if row[f"n{pos[c]}"] > 0]
+    numeric = [c for c in cls.numeric if row[f"cp_n{pos[c]}"] > 0]
+    cats_ne = [c for c in cats if row[f"cp_n{pos[c]}"] > 0]
     rows: list[tuple] = []
     for c in numeric[:HIST_COLUMNS]:
         rows.append((CHART_HISTOGRAM, c, AXIS_FREQUENCY, c))
     for c in cats_ne[:BAR_COLUMNS]:
         rows.append((CHART_BAR, AXIS_COUNT, c, c))
     for c in cats_ne:
-        if PIE_MIN_VALUES <= row[f"d{cats.index(c)}"] <= PIE_MAX_VALUES:
+        if PIE_MIN_VALUES <= row[f"cp_d{cats.index(c)}"] <= PIE_MAX_VALUES:
             rows.append((CHART_PIE, None, None, c))
             break
     if cls.datetime and numeric:
         d, v = cls.datetime[0], numeric[0]
-        pairs = df.where(qcol(d).isNotNull() & qcol(v).isNotNull()).limit(1).count()
-        if pairs:
+        if row[f"cp_p{cls.numeric.index(v)}"] > 0:
             rows.append((CHART_TREND, d, v, None))
     if len(numeric) >= 2:
         rows.append((CHART_HEATMAP, None, None, None))
     return [(i + 1, *r) for i, r in enumerate(rows)]
 
 
+def plan_rows(df: DataFrame) -> list[tuple]:
+    df = canonicalize(df)
+    return plan_rows_from(df, df.agg(*plan_aggs(df)).first())
+
+
+def plan_frame(df: DataFrame, rows: list[tuple]) -> DataFrame:
+    return df.sparkSession.createDataFrame(rows, PLAN_SCHEMA)
+
+
 def chart_plan(df: DataFrame) -> DataFrame:
     """``chart_id, chart_type, x_axis, y_axis, column`` for the automatic
     charts of this table."""

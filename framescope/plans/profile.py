@@ -22,7 +22,7 @@ from ..functions.canon import canonicalize
 from ..functions.classes import classify, shape_frame
 from ..operators import charts, findings, quality, stats
 from ..operators.quantile import exact_quantiles
-from .chart_plan import chart_plan
+from .chart_plan import plan_aggs, plan_frame, plan_rows_from
 
 
 @dataclass
@@ -70,7 +70,7 @@ def profile(df: DataFrame, with_charts: bool = True) -> Profile:
     # ONE scan for every per-column fact: missing counts, numeric-looking
     # text, moments, and the correlation centring facts.
     row = df.agg(*quality.quality_fact_aggs(df), *stats.moment_aggs(numeric),
-                 *stats.column_fact_aggs(numeric)).first()
+                 *stats.column_fact_aggs(numeric), *plan_aggs(df)).first()
     facts = quality.quality_facts_from_row(df, row)
     missing = facts[0]
     report = small(quality.quality_report(df, facts))
@@ -83,7 +83,7 @@ def profile(df: DataFrame, with_charts: bool = True) -> Profile:
     pairs = stats.pair_correlations(df, num, facts=stats.column_facts_from_row(numeric, row))
     strong = small(stats.strong_from_pairs(pairs))
     tops = small(stats.top_values(df))
-    plan = chart_plan(df)
+    plan = plan_frame(df, plan_rows_from(df, row))
     prof = Profile(
         shape=shape_frame(df),
         quality=report,
@@ -97,10 +97,13 @@ def profile(df: DataFrame, with_charts: bool = True) -> Profile:
         chart_plan=plan,
     )
     if with_charts:
-        for row in plan.collect():  # at most 10 chart rows
+        plan_rows = plan.collect()  # at most 10 chart rows
+        hist_cols = [r["column"] for r in plan_rows if r["chart_type"] == "Histogram"]
+        hists = small(charts.histograms(df, hist_cols)) if hist_cols else None
+        for row in plan_rows:
             t = row["chart_type"]
             if t == "Histogram":
-                prof.charts[row["chart_id"]] = charts.histogram(df, row["column"])
+                prof.charts[row["chart_id"]] = hists.where(F.col("column") == row["column"]).drop("column")
             elif t == "Bar Chart":
                 prof.charts[row["chart_id"]] = charts.bar_counts(df, row["column"])
             elif t == "Pie Chart":

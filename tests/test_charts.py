@@ -80,3 +80,15 @@ def test_line_series_sorted_complete_pairs(messy_df):
     rows = charts.line_series(messy_df, "date", "revenue").collect()
     assert len(rows) == 205 - 15
     assert [r["date"] for r in rows] == sorted(r["date"] for r in rows)
+
+
+def test_histograms_many_columns_match_numpy(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"a": rng.normal(0, 1, 1500), "b": rng.integers(0, 7, 1500).astype(float),
+                        "c": np.full(1500, 2.5)})
+    h = charts.histograms(spark.createDataFrame(pdf), ["a", "b", "c"]).toPandas()
+    for c in ("a", "b", "c"):
+        got = h[h["column"] == c].sort_values("bin")
+        counts, edges = np.histogram(pdf[c], bins=min(30, max(5, pdf[c].nunique())))
+        assert list(got["count"]) == list(counts)
+        assert list(got["lo"]) == list(edges[:-1]) and list(got["hi"]) == list(edges[1:])

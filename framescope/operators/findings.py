@@ -47,14 +47,15 @@ def shared_inputs(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     centring facts. Then one pair-sum pass, the quantile passes and one
     outlier count."""
     from ..operators.quantile import exact_quantiles
-    from ..plans.chart_plan import plan_aggs, plan_frame, plan_rows_from
+    from ..plans.chart_plan import PIE_PROBE, distinct_up_to, plan_aggs, plan_frame, plan_rows_from
     from .stats import column_fact_aggs, column_facts_from_row, moment_aggs, moments_from_row
     from .stats import pair_correlations, strong_from_pairs
 
     df = canonicalize(df)
     numeric = classify(df).numeric
     row = df.agg(*plan_aggs(df), *moment_aggs(numeric), *column_fact_aggs(numeric)).first()
-    plan = plan_frame(df, plan_rows_from(df, row))
+    top9 = schema_bounded(top_values(df, k=PIE_PROBE))
+    plan = plan_frame(df, plan_rows_from(df, row, distinct_up_to(top9)))
     mom = moments_from_row(df, numeric, row).collect()
     num = [r["column"] for r in mom if r["n"] > 0]
     strong = schema_bounded(strong_from_pairs(

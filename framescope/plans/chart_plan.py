@@ -31,13 +31,16 @@ AXIS_COUNT = "Count"
 PLAN_SCHEMA = "chart_id int, chart_type string, x_axis string, y_axis string, column string"
 
 
+PIE_PROBE = PIE_MAX_VALUES + 1
+
+
 def plan_aggs(df: DataFrame) -> list:
     """Aggregate expressions the plan depends on (canonical frame):
-    non-missing count per column, distinct count per text column, and the
-    complete (first date, numeric) pairs per numeric column."""
+    non-missing count per column and the complete (first date, numeric)
+    pairs per numeric column. (How many distinct values a text column has
+    only matters up to 9; see :func:`distinct_up_to`.)"""
     cls = classify(df)
     aggs = [F.count(qcol(c)).alias(f"cp_n{i}") for i, c in enumerate(df.columns)]
-    aggs += [F.count_distinct(qcol(c)).alias(f"cp_d{i}") for i, c in enumerate(cls.categorical)]
     if cls.datetime:
         d = qcol(cls.datetime[0])
         aggs += [F.count_if(d.isNotNull() & qcol(c).isNotNull()).alias(f"cp_p{i}")
@@ -45,7 +48,18 @@ def plan_aggs(df: DataFrame) -> list:
     return aggs
 
 
-def plan_rows_from(df: DataFrame, row) -> list[tuple]:
+def distinct_up_to(top: DataFrame) -> dict[str, int]:
+    """Distinct values per text column, exact up to 8 and 9 meaning "more",
+    read off a per-column top-9 value frame (``column, value, count,
+    rank``): a column with at most 8 rows there has exactly that many
+    values."""
+    out: dict[str, int] = {}
+    for r in top.groupBy("column").count().collect():
+        out[r["column"]] = r["count"]
+    return out
+
+
+def plan_rows_from(df: DataFrame, row, distinct: dict[str, int]) -> list[tuple]:
     """The plan as Python rows (bounded by the chart limits)."""
     cls = classify(df)
     cats = cls.categorical
@@ -58,7 +72,7 @@ def plan_rows_from(df: DataFrame, row) -> list[tuple]:
     for c in cats_ne[:BAR_COLUMNS]:
         rows.append((CHART_BAR, AXIS_COUNT, c, c))
     for c in cats_ne:
-        if PIE_MIN_VALUES <= row[f"cp_d{cats.index(c)}"] <= PIE_MAX_VALUES:
+        if PIE_MIN_VALUES <= distinct.get(c, 0) <= PIE_MAX_VALUES:
             rows.append((CHART_PIE, None, None, c))
             break
     if cls.datetime and numeric:
@@ -71,8 +85,10 @@ def plan_rows_from(df: DataFrame, row) -> list[tuple]:
 
 
 def plan_rows(df: DataFrame) -> list[tuple]:
+    from ..operators.stats import top_values
+
     df = canonicalize(df)
-    return plan_rows_from(df, df.agg(*plan_aggs(df)).first())
+    return plan_rows_from(df, df.agg(*plan_aggs(df)).first(), distinct_up_to(top_values(df, k=PIE_PROBE)))
 
 
 def plan_frame(df: DataFrame, rows: list[tuple]) -> DataFrame:

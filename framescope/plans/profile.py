@@ -22,7 +22,7 @@ from ..functions.canon import canonicalize
 from ..functions.classes import classify, shape_frame
 from ..operators import charts, findings, quality, stats
 from ..operators.quantile import exact_quantiles
-from .chart_plan import plan_aggs, plan_frame, plan_rows_from
+from .chart_plan import PIE_PROBE, distinct_up_to, plan_aggs, plan_frame, plan_rows_from
 
 
 @dataclass
@@ -82,8 +82,11 @@ def profile(df: DataFrame, with_charts: bool = True) -> Profile:
     outliers = small(stats.iqr_outliers(df, num, quantiles=q)) if num else small(stats.iqr_outliers(df, []))
     pairs = stats.pair_correlations(df, num, facts=stats.column_facts_from_row(numeric, row))
     strong = small(stats.strong_from_pairs(pairs))
-    tops = small(stats.top_values(df))
-    plan = plan_frame(df, plan_rows_from(df, row))
+    # one top-9 job: the profile's top-5 values and the pie rule's
+    # "2 to 8 distinct values" test
+    top9 = small(stats.top_values(df, k=PIE_PROBE))
+    tops = top9.where(F.col("rank") <= stats.TOP_VALUES_PROFILE)
+    plan = plan_frame(df, plan_rows_from(df, row, distinct_up_to(top9)))
     prof = Profile(
         shape=shape_frame(df),
         quality=report,

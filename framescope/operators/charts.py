@@ -140,7 +140,7 @@ def auto_pie_column(df: DataFrame, categorical: Sequence[str]) -> str | None:
 def pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     """``x, y`` complete cases."""
     df = canonicalize(df)
-    return df.select(qcol(x), qcol(y)).na.drop("any")
+    return df.select(qcol(x), qcol(y)).where(qcol(x).isNotNull() & qcol(y).isNotNull())
 
 
 def line_series(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -141,7 +141,14 @@ def dedup_rows(df: DataFrame, drop_duplicates: bool = True, drop_empty: bool = T
     """Q7: drop fully empty columns, then identical rows."""
     out = drop_empty_columns(df) if drop_empty else df
     if drop_duplicates:
-        out = canonicalize(out).dropDuplicates()
+        out = canonicalize(out)
+        maps = [f.name for f in out.schema.fields if isinstance(f.dataType, T.MapType)]
+        if not maps:
+            return out.dropDuplicates()
+        # maps cannot be compared: de-duplicate on their JSON text
+        keyed = out.select("*", *[F.to_json(qcol(m)).alias(f"__json{i}") for i, m in enumerate(maps)])
+        subset = [c for c in out.columns if c not in maps] + [f"__json{i}" for i in range(len(maps))]
+        out = keyed.dropDuplicates(subset).select(*[qcol(c) for c in out.columns])
     return out
 
 

@@ -24,6 +24,7 @@ BAR_TOP = 10
 BAR_MEAN_TOP = 15
 PIE_TOP = 8
 BOX_WHISKER = 1.5
+DISTINCT_PROBE_ROWS = 5_000
 
 
 def histograms(df: DataFrame, columns: Sequence[str], bins: int | None = None) -> DataFrame:
@@ -42,11 +43,26 @@ def histograms(df: DataFrame, columns: Sequence[str], bins: int | None = None) -
     """
     df = canonicalize(df)
     cols = list(columns)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, bin int, lo double, hi double, count bigint")
     vals = {c: qcol(c).cast("double") for c in cols}
+    # The bin count needs the exact number of distinct values only below 30:
+    # any 30 distinct values seen in a first slice of rows (``take`` reads
+    # partitions incrementally) prove "30 or more". Only the other columns
+    # get an exact distributed distinct count, cheap for them since partial
+    # aggregation collapses their few values.
+    wide = set()
+    if bins is None and cols:
+        seen = [set() for _ in cols]
+        for r in df.select(*[vals[c] for c in cols]).take(DISTINCT_PROBE_ROWS):
+            for i, v in enumerate(r):
+                if v is not None:
+                    seen[i].add(v)
+        wide = {c for i, c in enumerate(cols) if len(seen[i]) >= HIST_MAX_BINS}
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.min(vals[c]).alias(f"mn{i}"), F.max(vals[c]).alias(f"mx{i}"), F.count(vals[c]).alias(f"n{i}")]
-        if bins is None:
+        if bins is None and c not in wide:
             aggs.append(F.count_distinct(vals[c]).alias(f"d{i}"))
     row = df.agg(*aggs).first()
     spec = []  # (column index, lo, hi, nb)
@@ -56,7 +72,12 @@ def histograms(df: DataFrame, columns: Sequence[str], bins: int | None = None) -
         lo, hi = row[f"mn{i}"], row[f"mx{i}"]
         if lo == hi:
             lo, hi = lo - 0.5, hi + 0.5
-        nb = int(bins) if bins is not None else min(HIST_MAX_BINS, max(HIST_MIN_BINS, row[f"d{i}"]))
+        if bins is not None:
+            nb = int(bins)
+        elif c in wide:
+            nb = HIST_MAX_BINS
+        else:
+            nb = min(HIST_MAX_BINS, max(HIST_MIN_BINS, row[f"d{i}"]))
         spec.append((i, lo, hi, nb))
     frame_rows = []
     for i, lo, hi, nb in spec:
@@ -67,7 +88,7 @@ def histograms(df: DataFrame, columns: Sequence[str], bins: int | None = None) -
         frame_rows, "cid int, column string, bin int, lo double, hi double")
     if not spec:
         return frame.select("column", "bin", "lo", "hi", F.lit(0).cast("long").alias("count"))
-    items = []
+    binned_cols = []
     for i, lo, hi, nb in spec:
         v = vals[cols[i]]
         step = (hi - lo) / nb
@@ -81,9 +102,14 @@ def histograms(df: DataFrame, columns: Sequence[str], bins: int | None = None) -
             .when((est != nb - 1) & (v >= edge(est + 1)), est + 1)
             .otherwise(est)
         )
-        items.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("cid"), binned.alias("bin"))))
+        binned_cols.append((i, binned.alias(f"_b{i}")))
+    # bins first as plain projected columns (code generated, shared
+    # sub-expressions), then one small (column, bin) row per value
+    projected = df.select(*[b for _, b in binned_cols])
+    items = [F.when(F.col(f"_b{i}").isNotNull(), F.struct(F.lit(i).alias("cid"), F.col(f"_b{i}").alias("bin")))
+             for i, _ in binned_cols]
     counts = (
-        df.select(F.inline(F.array(*items))).where(F.col("cid").isNotNull())
+        projected.select(F.inline(F.array(*items))).where(F.col("cid").isNotNull())
         .groupBy("cid", "bin").agg(F.count(F.lit(1)).alias("count"))
     )
     # ``frame`` has at most 30 rows per column (or the requested bins).

@@ -335,13 +335,22 @@ def _ungrouped_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                 out.setdefault((c, lo, hi, below, cnt), []).append(k)
         return out
 
+    vcol = {c: f"_v{i}" for i, c in enumerate(columns)}
+
     def in_brackets(br: dict, value_of) -> DataFrame:
-        items = []
+        """(bid, b, v) for every value inside an open bracket. Values and
+        bucket numbers are plain projected columns first (code generated,
+        shared sub-expressions); the generator only assembles small rows."""
+        base = df.select(*[vals[c].alias(vcol[c]) for c in {k[0] for k in br}])
+        proj = []
         for bid, (c, lo, hi, _below, _cnt) in enumerate(br):
-            v = vals[c]
-            items.append(F.when(v.between(F.lit(lo), F.lit(hi)), F.struct(
-                F.lit(bid).alias("bid"), value_of(v, lo, hi).alias("b"), v.alias("v"))))
-        return df.select(F.inline(F.array(*items))).where(F.col("bid").isNotNull())
+            v = F.col(vcol[c])
+            proj.append(F.when(v.between(F.lit(lo), F.lit(hi)), value_of(v, lo, hi)).alias(f"_b{bid}"))
+        staged = base.select("*", *proj)
+        items = [F.when(F.col(f"_b{bid}").isNotNull(), F.struct(
+            F.lit(bid).alias("bid"), F.col(f"_b{bid}").alias("b"), F.col(vcol[key[0]]).alias("v")))
+            for bid, key in enumerate(br)]
+        return staged.select(F.inline(F.array(*items))).where(F.col("bid").isNotNull())
 
     for _ in range(max_passes):
         br = brackets(lambda cnt, stalled: cnt > final_rows and not stalled)

@@ -41,6 +41,9 @@ LINEITEM_NUM = LINEITEM[:8]
 ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 EVENTS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
+CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+CONVERSATIONS = ["conv_id", "turn", "role", "text"]
 
 MESSY = LINEITEM + ["empty_num", "near_empty"]
 MESSY_NUM = LINEITEM_NUM + ["empty_num"]
@@ -257,7 +260,8 @@ def _sql_quality_report(view: str, cols: list[str], text_cols: list[str], n_num:
     allc = ", ".join(_q(c) for c in cols)
     miss = " + ".join(f"(total - c{i})" for i in range(len(cols)))
     colsw = " + ".join(f"CAST(total - c{i} > 0 AS INTEGER)" for i in range(len(cols)))
-    return f"""WITH {MESSY_SQL if view == 'messy_lineitem' else ''} ,
+    view_cte = f"{MESSY_SQL},\n" if view == "messy_lineitem" else ""
+    return f"""WITH {view_cte}
       m AS (SELECT count(*) AS total, {cnt} FROM {view}),
       t AS (SELECT {txt} FROM {view}),
       d AS (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates
@@ -495,6 +499,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "profile_report": lambda s, d: profile_report_from(
             stats.describe(t(s, d, "events")), quality.missing_by_column(t(s, d, "events")),
             stats.iqr_outliers(t(s, d, "events"))),
+        # other tables: whole document texts, customers, conversations
+        "quality_report_documents": lambda s, d: quality.quality_report(t(s, d, "documents")),
+        "top_values_documents": lambda s, d: stats.top_values(t(s, d, "documents")),
+        "numeric_as_text_conversations": lambda s, d: quality.numeric_as_text(t(s, d, "conversations")),
+        "describe_customer": lambda s, d: stats.describe(t(s, d, "customer")),
+        "box_by_segment": lambda s, d: charts.box_summary(t(s, d, "customer"), "c_acctbal", by="c_mktsegment"),
+        "correlation_customer": lambda s, d: stats.correlation_matrix(t(s, d, "customer")),
+        "sum_by_role": lambda s, d: ask.group_agg(t(s, d, "conversations"), ["role"], "turn", "sum"),
         # sources
         "csv_roundtrip": _csv_roundtrip,
     }
@@ -644,6 +656,14 @@ def oracle_sql() -> dict[str, str]:
         "profile_report": lambda s, d: profile_report_from(
             stats.describe(t(s, d, "events")), quality.missing_by_column(t(s, d, "events")),
             stats.iqr_outliers(t(s, d, "events"))),
+        # other tables: whole document texts, customers, conversations
+        "quality_report_documents": lambda s, d: quality.quality_report(t(s, d, "documents")),
+        "top_values_documents": lambda s, d: stats.top_values(t(s, d, "documents")),
+        "numeric_as_text_conversations": lambda s, d: quality.numeric_as_text(t(s, d, "conversations")),
+        "describe_customer": lambda s, d: stats.describe(t(s, d, "customer")),
+        "box_by_segment": lambda s, d: charts.box_summary(t(s, d, "customer"), "c_acctbal", by="c_mktsegment"),
+        "correlation_customer": lambda s, d: stats.correlation_matrix(t(s, d, "customer")),
+        "sum_by_role": lambda s, d: ask.group_agg(t(s, d, "conversations"), ["role"], "turn", "sum"),
         # sources
         "csv_roundtrip": _csv_roundtrip,
     }
@@ -824,6 +844,21 @@ def oracle_sql() -> dict[str, str]:
             + f"SELECT chart_id, position, {_q('column')} FROM cc)",
         "chart_plan_messy": m + _sql_chart_plan(
             "messy_lineitem", MESSY_NUM, ["l_returnflag", "l_linestatus", "near_empty"], ["l_shipdate"]),
+        "quality_report_documents": _sql_quality_report(
+            "documents", DOCUMENTS, ["text", "lang", "source"], 2, 3, 0),
+        "top_values_documents": f"""SELECT * FROM (
+            SELECT c AS {_q('column')}, v AS value, count(*) AS count,
+                   CAST(row_number() OVER (PARTITION BY c ORDER BY count(*) DESC, v) AS INTEGER) AS rank
+            FROM (SELECT 'text' AS c, text AS v FROM documents
+                  UNION ALL SELECT 'lang', lang FROM documents
+                  UNION ALL SELECT 'source', source FROM documents)
+            WHERE v IS NOT NULL GROUP BY c, v) WHERE rank <= 5""",
+        "numeric_as_text_conversations": _sql_numeric_as_text("conversations", [(2, "role"), (3, "text")]),
+        "describe_customer": _sql_describe("customer", ["c_custkey", "c_nationkey", "c_acctbal"]),
+        "box_by_segment": _sql_box("customer", "c_acctbal", "c_mktsegment"),
+        "correlation_customer": _sql_corr_matrix("customer", ["c_custkey", "c_nationkey", "c_acctbal"], 3),
+        "sum_by_role": """SELECT role, CAST(coalesce(sum(turn), 0) AS BIGINT) AS turn FROM conversations
+            WHERE role IS NOT NULL GROUP BY role""",
         "key_findings": corr + f""", st AS (SELECT * FROM ({_sql_strong('correlated', CORRELATED_NUM)})),
             cf AS (SELECT rank, 'correlation' AS kind, column_a || ', ' || column_b AS subject,
                           upper(substr(description, 1, 1)) || lower(substr(description, 2)) || '.' AS text

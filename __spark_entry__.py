@@ -447,6 +447,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bar_counts": lambda s, d: charts.bar_counts(t(s, d, "part"), "p_brand"),
         "bar_mean_by_category": lambda s, d: charts.bar_mean_by_category(
             t(s, d, "lineitem"), "l_returnflag", "l_extendedprice"),
+        "bar_mean_with_missing": lambda s, d: charts.bar_mean_by_category(
+            messy_lineitem(s, d), "l_linenumber", "empty_num"),
         "pie_auto": lambda s, d: charts.pie_shares(
             t(s, d, "orders"), charts.auto_pie_column(t(s, d, "orders"), ["o_orderstatus", "o_orderpriority"])),
         "pie_top8_shares": lambda s, d: charts.pie_shares(t(s, d, "part"), "p_brand"),
@@ -604,9 +606,14 @@ def oracle_sql() -> dict[str, str]:
         "histogram_constant": corr + "SELECT * FROM (" + _sql_histogram("correlated", "constant") + ")",
         "bar_counts": _sql_top("part", "p_brand", 10),
         "bar_mean_by_category": """SELECT l_returnflag, round(avg(l_extendedprice), 4) AS mean_y,
-              CAST(row_number() OVER (ORDER BY avg(l_extendedprice) DESC, l_returnflag) AS INTEGER) AS rank
+              CAST(row_number() OVER (ORDER BY avg(l_extendedprice) DESC NULLS LAST, l_returnflag) AS INTEGER)
+                AS rank
             FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag
-            ORDER BY avg(l_extendedprice) DESC, l_returnflag LIMIT 15""",
+            ORDER BY avg(l_extendedprice) DESC NULLS LAST, l_returnflag LIMIT 15""",
+        "bar_mean_with_missing": m + """SELECT l_linenumber, round(avg(empty_num), 4) AS mean_y,
+              CAST(row_number() OVER (ORDER BY avg(empty_num) DESC NULLS LAST, l_linenumber) AS INTEGER) AS rank
+            FROM messy_lineitem WHERE l_linenumber IS NOT NULL GROUP BY l_linenumber
+            ORDER BY avg(empty_num) DESC NULLS LAST, l_linenumber LIMIT 15""",
         "pie_auto": f"""WITH vc AS ({_sql_top('orders', 'o_orderstatus', 8)})
             SELECT value, count, round(count * 100.0 / (SELECT sum(count) FROM vc), 1) AS share, rank FROM vc""",
         "pie_top8_shares": f"""WITH vc AS ({_sql_top('part', 'p_brand', 8)})
@@ -761,9 +768,14 @@ def oracle_sql() -> dict[str, str]:
         "histogram_constant": corr + "SELECT * FROM (" + _sql_histogram("correlated", "constant") + ")",
         "bar_counts": _sql_top("part", "p_brand", 10),
         "bar_mean_by_category": """SELECT l_returnflag, round(avg(l_extendedprice), 4) AS mean_y,
-              CAST(row_number() OVER (ORDER BY avg(l_extendedprice) DESC, l_returnflag) AS INTEGER) AS rank
+              CAST(row_number() OVER (ORDER BY avg(l_extendedprice) DESC NULLS LAST, l_returnflag) AS INTEGER)
+                AS rank
             FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag
-            ORDER BY avg(l_extendedprice) DESC, l_returnflag LIMIT 15""",
+            ORDER BY avg(l_extendedprice) DESC NULLS LAST, l_returnflag LIMIT 15""",
+        "bar_mean_with_missing": m + """SELECT l_linenumber, round(avg(empty_num), 4) AS mean_y,
+              CAST(row_number() OVER (ORDER BY avg(empty_num) DESC NULLS LAST, l_linenumber) AS INTEGER) AS rank
+            FROM messy_lineitem WHERE l_linenumber IS NOT NULL GROUP BY l_linenumber
+            ORDER BY avg(empty_num) DESC NULLS LAST, l_linenumber LIMIT 15""",
         "pie_auto": f"""WITH vc AS ({_sql_top('orders', 'o_orderstatus', 8)})
             SELECT value, count, round(count * 100.0 / (SELECT sum(count) FROM vc), 1) AS share, rank FROM vc""",
         "pie_top8_shares": f"""WITH vc AS ({_sql_top('part', 'p_brand', 8)})
@@ -790,9 +802,10 @@ def oracle_sql() -> dict[str, str]:
             WHERE (SELECT count(*) FROM orders) > 0""",
         "chart_request_box": _sql_box("lineitem", "l_tax", "l_returnflag"),
         "chart_request_bar": """SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean_y,
-              CAST(row_number() OVER (ORDER BY avg(o_totalprice) DESC, o_orderpriority) AS INTEGER) AS rank
+              CAST(row_number() OVER (ORDER BY avg(o_totalprice) DESC NULLS LAST, o_orderpriority) AS INTEGER)
+                AS rank
             FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority
-            ORDER BY avg(o_totalprice) DESC, o_orderpriority LIMIT 15""",
+            ORDER BY avg(o_totalprice) DESC NULLS LAST, o_orderpriority LIMIT 15""",
         "chart_request_histogram": _sql_histogram("lineitem", "l_quantity"),
         "sum_by_group": """SELECT l_returnflag, round(coalesce(sum(l_extendedprice), 0), 4) AS l_extendedprice
             FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag ORDER BY l_returnflag LIMIT 20""",

@@ -131,12 +131,14 @@ def bar_counts(df: DataFrame, column: str, k: int = BAR_TOP) -> DataFrame:
 
 def bar_mean_by_category(df: DataFrame, x: str, y: str, k: int = BAR_MEAN_TOP, decimals: int | None = 4) -> DataFrame:
     """Mean of ``y`` per ``x`` value (missing keys dropped), the ``k``
-    highest: ``x, mean_y, rank``."""
+    highest: ``x, mean_y, rank``. A group whose ``y`` is all missing has no
+    mean and sorts last."""
     df = canonicalize(df)
     g = df.where(qcol(x).isNotNull()).groupBy(qcol(x).alias(x)).agg(F.avg(qcol(y)).alias("mean_y"))
-    g = g.where(F.col("mean_y").isNotNull())
-    top = g.orderBy(F.col("mean_y").desc(), qcol(x).asc()).limit(k)
-    w = Window.orderBy(F.col("mean_y").desc(), qcol(x).asc())
+    order = [F.col("mean_y").desc_nulls_last(), qcol(x).asc()]
+    top = g.orderBy(*order).limit(k)
+    # a window over the k kept rows only
+    w = Window.orderBy(*order)
     m = F.round("mean_y", decimals) if decimals is not None else F.col("mean_y")
     return top.select(qcol(x), m.alias("mean_y"), F.row_number().over(w).alias("rank"))
 

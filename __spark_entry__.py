@@ -19,7 +19,7 @@ from framescope.functions.classes import shape_frame
 from framescope.operators import ask, charts, findings, preview, quality, stats
 from framescope.plans.chart_data import ChartSpec, chart_data
 from framescope.plans.chart_plan import chart_plan
-from framescope.plans.profile import profile_report_from
+from framescope.plans.profile import profile
 from framescope.session import ensure_checkpoint_dir
 from framescope.sources.files import load_dataset
 from framescope.sources.sinks import write_result
@@ -498,9 +498,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chart_columns": lambda s, d: findings.chart_columns(chart_plan(correlated(s, d)), CORRELATED),
         "chart_plan_messy": lambda s, d: chart_plan(messy_lineitem(s, d)),
         "headline": lambda s, d: findings.headline(correlated(s, d)),
-        "profile_report": lambda s, d: profile_report_from(
-            stats.describe(t(s, d, "events")), quality.missing_by_column(t(s, d, "events")),
-            stats.iqr_outliers(t(s, d, "events"))),
+        "profile_report": lambda s, d: profile(t(s, d, "events"), with_charts=False).report(),
         # other tables: whole document texts, customers, conversations
         "quality_report_documents": lambda s, d: quality.quality_report(t(s, d, "documents")),
         "top_values_documents": lambda s, d: stats.top_values(t(s, d, "documents")),
@@ -660,9 +658,7 @@ def oracle_sql() -> dict[str, str]:
         "chart_columns": lambda s, d: findings.chart_columns(chart_plan(correlated(s, d)), CORRELATED),
         "chart_plan_messy": lambda s, d: chart_plan(messy_lineitem(s, d)),
         "headline": lambda s, d: findings.headline(correlated(s, d)),
-        "profile_report": lambda s, d: profile_report_from(
-            stats.describe(t(s, d, "events")), quality.missing_by_column(t(s, d, "events")),
-            stats.iqr_outliers(t(s, d, "events"))),
+        "profile_report": lambda s, d: profile(t(s, d, "events"), with_charts=False).report(),
         # other tables: whole document texts, customers, conversations
         "quality_report_documents": lambda s, d: quality.quality_report(t(s, d, "documents")),
         "top_values_documents": lambda s, d: stats.top_values(t(s, d, "documents")),

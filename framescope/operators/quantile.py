@@ -115,8 +115,11 @@ def exact_quantiles(
 
     Returns ``[*group_cols], column string, p double, value double`` with one
     row per (group, column, p) for every column that has at least one
-    non-missing value. Runs the refinement passes eagerly; the returned
-    frame is lazy over small checkpointed tables plus one final pass.
+    non-missing value. The passes run eagerly. Three layouts of the same
+    selection: without groups, and with at most ``FEW_GROUPS`` groups, the
+    brackets stay on the driver (their number is fixed by the request) and
+    the answer is a local relation; with more groups the bracket table is a
+    DataFrame joined on the group keys and checkpointed between passes.
     """
     if not columns or not probs:
         raise ValueError("need at least one column and one probability")

@@ -104,6 +104,17 @@ def _hash_input(df: DataFrame, name: str) -> Column:
     return qcol(name)
 
 
+def duplicate_candidates(df: DataFrame, subset: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with their hash ``_h``, hashes seen more than once). The
+    second frame groups by the hash alone: 8 bytes per row cross the
+    shuffle, partially aggregated."""
+    cols = subset or df.columns
+    keys = [_groupable(df, c) for c in cols]
+    hashed = df.select(F.xxhash64(*[_hash_input(df, c) for c in cols]).alias("_h"), *keys)
+    candidates = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("_h")
+    return hashed, candidates
+
+
 def duplicate_rows(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     """Q3: rows beyond the first of each identical row (nulls compare equal).
 
@@ -121,18 +132,14 @@ def duplicate_rows(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     df = canonicalize(df)
-    cols = subset or df.columns
-    keys = [_groupable(df, c) for c in cols]
-    h = F.xxhash64(*[_hash_input(df, c) for c in cols]).alias("_h")
-    hashed = df.select(h, *keys)
-    candidates = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("_h")
+    hashed, candidates = duplicate_candidates(df, subset)
     probe = candidates.limit(DUPLICATE_CANDIDATES_BROADCAST + 1).count()
     if probe == 0:
         return spark.createDataFrame([(0,)], "duplicates bigint")
     if probe <= DUPLICATE_CANDIDATES_BROADCAST:
         rows = hashed.join(F.broadcast(candidates), "_h", "left_semi").drop("_h")
     else:
-        rows = df.select(*keys)
+        rows = hashed.drop("_h")
     counts = rows.groupBy(*[qcol(c) for c in rows.columns]).agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicates"))
 

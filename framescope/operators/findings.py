@@ -47,6 +47,7 @@ def shared_inputs(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     centring facts. Then one pair-sum pass, the quantile passes and one
     outlier count."""
     from ..operators.quantile import exact_quantiles
+    from ..session import run_concurrently
     from ..plans.chart_plan import PIE_PROBE, distinct_up_to, plan_aggs, plan_frame, plan_rows_from
     from .stats import column_fact_aggs, column_facts_from_row, moment_aggs, moments_from_row
     from .stats import pair_correlations, strong_from_pairs
@@ -54,15 +55,24 @@ def shared_inputs(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     df = canonicalize(df)
     numeric = classify(df).numeric
     row = df.agg(*plan_aggs(df), *moment_aggs(numeric), *column_fact_aggs(numeric)).first()
-    top9 = schema_bounded(top_values(df, k=PIE_PROBE))
-    plan = plan_frame(df, plan_rows_from(df, row, distinct_up_to(top9)))
     mom = moments_from_row(df, numeric, row).collect()
     num = [r["column"] for r in mom if r["n"] > 0]
-    strong = schema_bounded(strong_from_pairs(
-        pair_correlations(df, num, facts=column_facts_from_row(numeric, row))))
     known = {r["column"]: (r["n"], r["min"], r["max"]) for r in mom}
-    q = exact_quantiles(df, num, [0.25, 0.75], known=known) if num else None
-    outliers = schema_bounded(iqr_outliers(df, num, quantiles=q))
+
+    def plan_branch():
+        top9 = schema_bounded(top_values(df, k=PIE_PROBE))
+        return plan_frame(df, plan_rows_from(df, row, distinct_up_to(top9)))
+
+    def strong_branch():
+        return schema_bounded(strong_from_pairs(
+            pair_correlations(df, num, facts=column_facts_from_row(numeric, row))))
+
+    def outlier_branch():
+        q = exact_quantiles(df, num, [0.25, 0.75], known=known) if num else None
+        return schema_bounded(iqr_outliers(df, num, quantiles=q))
+
+    # independent branches: their jobs overlap
+    plan, strong, outliers = run_concurrently(plan_branch, strong_branch, outlier_branch)
     return plan, strong, outliers
 
 

@@ -22,6 +22,7 @@ from ..functions.canon import canonicalize
 from ..functions.classes import classify, shape_frame
 from ..operators import charts, findings, quality, stats
 from ..operators.quantile import exact_quantiles
+from ..session import run_concurrently
 from .chart_plan import PIE_PROBE, distinct_up_to, plan_aggs, plan_frame, plan_rows_from
 
 
@@ -73,20 +74,37 @@ def profile(df: DataFrame, with_charts: bool = True) -> Profile:
                  *stats.column_fact_aggs(numeric), *plan_aggs(df)).first()
     facts = quality.quality_facts_from_row(df, row)
     missing = facts[0]
-    report = small(quality.quality_report(df, facts))
     mom = stats.moments_from_row(df, numeric, row)
-    num = [r["column"] for r in mom.where(F.col("n") > 0).orderBy("position").collect()]
-    known = {r["column"]: (r["n"], r["min"], r["max"]) for r in mom.collect()}
-    q = exact_quantiles(df, num, [0.25, 0.5, 0.75], known=known) if num else None
+    mom_rows = mom.collect()
+    num = [r["column"] for r in sorted(mom_rows, key=lambda r: r["position"]) if r["n"] > 0]
+    known = {r["column"]: (r["n"], r["min"], r["max"]) for r in mom_rows}
+
+    # Four independent branches, submitted together (their jobs overlap):
+    def quantile_branch():
+        q = exact_quantiles(df, num, [0.25, 0.5, 0.75], known=known) if num else None
+        return q, small(stats.iqr_outliers(df, num, quantiles=q))
+
+    def correlation_branch():
+        pairs = stats.pair_correlations(df, num, facts=stats.column_facts_from_row(numeric, row))
+        return pairs, small(stats.strong_from_pairs(pairs))
+
+    def values_branch():
+        # one top-9 job: the top-5 values and the pie rule's "2 to 8
+        # distinct values" test; then the histograms the plan asks for
+        top9 = small(stats.top_values(df, k=PIE_PROBE))
+        rows = plan_rows_from(df, row, distinct_up_to(top9))
+        hist_cols = [r[4] for r in rows if r[1] == "Histogram"] if with_charts else []
+        hists = small(charts.histograms(df, hist_cols)) if hist_cols else None
+        return top9, rows, hists
+
+    def quality_branch():
+        return small(quality.quality_report(df, facts))
+
+    (q, outliers), (pairs, strong), (top9, rows, hists), report = run_concurrently(
+        quantile_branch, correlation_branch, values_branch, quality_branch)
     describe = stats.describe(df, quantiles=q, moment_frame=mom) if num else stats.describe(df)
-    outliers = small(stats.iqr_outliers(df, num, quantiles=q)) if num else small(stats.iqr_outliers(df, []))
-    pairs = stats.pair_correlations(df, num, facts=stats.column_facts_from_row(numeric, row))
-    strong = small(stats.strong_from_pairs(pairs))
-    # one top-9 job: the profile's top-5 values and the pie rule's
-    # "2 to 8 distinct values" test
-    top9 = small(stats.top_values(df, k=PIE_PROBE))
     tops = top9.where(F.col("rank") <= stats.TOP_VALUES_PROFILE)
-    plan = plan_frame(df, plan_rows_from(df, row, distinct_up_to(top9)))
+    plan = plan_frame(df, rows)
     prof = Profile(
         shape=shape_frame(df),
         quality=report,
@@ -100,10 +118,7 @@ def profile(df: DataFrame, with_charts: bool = True) -> Profile:
         chart_plan=plan,
     )
     if with_charts:
-        plan_rows = plan.collect()  # at most 10 chart rows
-        hist_cols = [r["column"] for r in plan_rows if r["chart_type"] == "Histogram"]
-        hists = small(charts.histograms(df, hist_cols)) if hist_cols else None
-        for row in plan_rows:
+        for row in plan.collect():  # at most 10 chart rows
             t = row["chart_type"]
             if t == "Histogram":
                 prof.charts[row["chart_id"]] = hists.where(F.col("column") == row["column"]).drop("column")

@@ -66,3 +66,16 @@ def reliable_checkpoint(df):
     out = cached.checkpoint(eager=True)
     cached.unpersist()
     return out
+
+
+def run_concurrently(*steps):
+    """Run independent eager steps (each a zero-argument callable that
+    triggers Spark jobs) from separate driver threads, so their jobs share
+    the cluster instead of queueing behind each other; results in order."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    if len(steps) <= 1:
+        return [s() for s in steps]
+    with ThreadPoolExecutor(max_workers=len(steps)) as pool:
+        futures = [pool.submit(s) for s in steps]
+        return [f.result() for f in futures]

@@ -85,9 +85,13 @@ def key_findings(df: DataFrame, strong: DataFrame | None = None, tops: DataFrame
     """``rank, kind, subject, text`` - the 3 strongest correlations and
     the most frequent value of the first 2 text columns, else one
     "no pattern" row."""
+    from ..session import run_concurrently
+
     df = canonicalize(df)
-    strong = strong if strong is not None else schema_bounded(strong_correlations(df))
-    tops = tops if tops is not None else schema_bounded(top_values(df))
+    strong, tops = run_concurrently(
+        (lambda: strong) if strong is not None else (lambda: schema_bounded(strong_correlations(df))),
+        (lambda: tops) if tops is not None else (lambda: schema_bounded(top_values(df))),
+    )
     corr = strong.where(F.col("rank") <= FINDING_CORRELATIONS).select(
         F.col("rank").alias("rank"), F.lit("correlation").alias("kind"),
         F.concat_ws(", ", "column_a", "column_b").alias("subject"),
@@ -114,12 +118,19 @@ def key_findings(df: DataFrame, strong: DataFrame | None = None, tops: DataFrame
         Window.orderBy("rank")).cast("int"))
 
 
-def headline(df: DataFrame, strong: DataFrame | None = None) -> DataFrame:
-    """``total_rows, total_columns, strong_correlations, summary``."""
-    strong = strong if strong is not None else strong_correlations(df)
-    k = strong.agg(F.count(F.lit(1))).scalar()
-    return df.agg(F.count(F.lit(1)).alias("total_rows")).select(
-        "total_rows", F.lit(len(df.columns)).alias("total_columns"), k.alias("strong_correlations"),
+def headline(df: DataFrame, strong: DataFrame | None = None, total_rows: int | None = None) -> DataFrame:
+    """``total_rows, total_columns, strong_correlations, summary``
+    (pass ``total_rows`` when already counted)."""
+    from ..session import run_concurrently
+
+    def count_strong():
+        s = strong if strong is not None else strong_correlations(df)
+        return s.count()
+
+    k, rows = run_concurrently(count_strong, (lambda: total_rows) if total_rows is not None else df.count)
+    spark = df.sparkSession
+    return spark.createDataFrame(
+        [(rows, len(df.columns), k)], "total_rows bigint, total_columns int, strong_correlations bigint"
     ).select(
         "*",
         F.format_string(

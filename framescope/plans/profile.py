@@ -133,5 +133,5 @@ def profile(df: DataFrame, with_charts: bool = True) -> Profile:
     prof.observations = findings.chart_observations(plan, df.columns, strong, outliers)
     prof.follow_ups = findings.follow_ups(df, plan, strong, outliers)
     prof.findings = findings.key_findings(df, strong, tops)
-    prof.headline = findings.headline(df, strong)
+    prof.headline = findings.headline(df, strong, total_rows=row["__total"])
     return prof

@@ -118,18 +118,18 @@ def profile(df: DataFrame, with_charts: bool = True) -> Profile:
         chart_plan=plan,
     )
     if with_charts:
-        for row in plan.collect():  # at most 10 chart rows
-            t = row["chart_type"]
+        for chart in plan.collect():  # at most 10 chart rows
+            t = chart["chart_type"]
             if t == "Histogram":
-                prof.charts[row["chart_id"]] = hists.where(F.col("column") == row["column"]).drop("column")
+                prof.charts[chart["chart_id"]] = hists.where(F.col("column") == chart["column"]).drop("column")
             elif t == "Bar Chart":
-                prof.charts[row["chart_id"]] = charts.bar_counts(df, row["column"])
+                prof.charts[chart["chart_id"]] = charts.bar_counts(df, chart["column"])
             elif t == "Pie Chart":
-                prof.charts[row["chart_id"]] = charts.pie_shares(df, row["column"])
+                prof.charts[chart["chart_id"]] = charts.pie_shares(df, chart["column"])
             elif t == "Trend Line":
-                prof.charts[row["chart_id"]] = charts.trend_series(df, row["x_axis"], row["y_axis"])
+                prof.charts[chart["chart_id"]] = charts.trend_series(df, chart["x_axis"], chart["y_axis"])
             else:
-                prof.charts[row["chart_id"]] = stats.matrix_from_pairs(pairs, None)
+                prof.charts[chart["chart_id"]] = stats.matrix_from_pairs(pairs, None)
     prof.observations = findings.chart_observations(plan, df.columns, strong, outliers)
     prof.follow_ups = findings.follow_ups(df, plan, strong, outliers)
     prof.findings = findings.key_findings(df, strong, tops)

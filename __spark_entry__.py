@@ -179,7 +179,7 @@ def _sql_outliers(view: str, cols: list[str]) -> str:
     parts = []
     for c in cols:
         v = f"CAST({_q(c)} AS DOUBLE)"
-        parts.append(f"""SELECT '{c}' AS {_q('column')}, count_if({v} < lo OR {v} > hi) AS count,
+        parts.append(f"""SELECT '{c}' AS {_q('column')}, CAST(count_if({v} < lo OR {v} > hi) AS BIGINT) AS count,
             round(count_if({v} < lo OR {v} > hi) / count({v}) * 100, 2) AS percentage,
             round(any_value(lo), 4) AS lower, round(any_value(hi), 4) AS upper
           FROM {view}, (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi, q3 - q1 AS iqr
@@ -206,7 +206,7 @@ def _sql_box(view: str, col: str, by: str | None) -> str:
       s AS (SELECT {g}count({v}) AS n, any_value(q1) AS q1, any_value(med) AS med, any_value(q3) AS q3,
                    max(CASE WHEN {v} <= q3 + 1.5 * (q3 - q1) THEN {v} END) AS hi_in,
                    min(CASE WHEN {v} >= q1 - 1.5 * (q3 - q1) THEN {v} END) AS lo_in,
-                   count_if({v} < q1 - 1.5 * (q3 - q1) OR {v} > q3 + 1.5 * (q3 - q1)) AS fliers
+                   CAST(count_if({v} < q1 - 1.5 * (q3 - q1) OR {v} > q3 + 1.5 * (q3 - q1)) AS BIGINT) AS fliers
             FROM (SELECT * FROM {view} {wh}) AS base JOIN q {jn} {gb})
     SELECT {g}n, round(q1, 4) AS q1, round(med, 4) AS median, round(q3, 4) AS q3,
            round(CASE WHEN lo_in IS NULL OR lo_in > q1 THEN q1 ELSE lo_in END, 4) AS whisker_lo,
@@ -241,7 +241,7 @@ def _sql_numeric_as_text(view: str, cols: list[tuple[int, str]]) -> str:
         s = f"CAST({_q(c)} AS VARCHAR)"
         like = f"regexp_matches(regexp_replace({s}, '[,$%\\s]', '', 'g'), '^-?\\d+\\.?\\d*$')"
         parts.append(f"""SELECT {pos} AS position, '{c}' AS {_q('column')}, count({s}) AS checked,
-            count_if({like}) AS numeric_like, round(count_if({like}) / count({s}), 4) AS share,
+            CAST(count_if({like}) AS BIGINT) AS numeric_like, round(count_if({like}) / count({s}), 4) AS share,
             count_if({like}) / count({s}) > 0.8 AS flagged FROM {view} HAVING count({s}) > 0""")
     return _union(parts)
 
@@ -521,7 +521,7 @@ def oracle_sql() -> dict[str, str]:
         "missing_by_column": m + _sql_missing("messy_lineitem", MESSY),
         "missing_total": m + f""", mc AS ({_sql_missing('messy_lineitem', MESSY)})
             SELECT CAST(coalesce(sum(missing), 0) AS BIGINT) AS missing_values,
-                   count_if(missing > 0) AS columns_with_missing FROM mc""",
+                   CAST(count_if(missing > 0) AS BIGINT) AS columns_with_missing FROM mc""",
         "empty_columns": m + f""", mc AS ({_sql_missing('messy_lineitem', MESSY)})
             SELECT position, {_q('column')} FROM mc WHERE missing = total""",
         "near_empty_columns": m + f""", mc AS ({_sql_missing('messy_lineitem', MESSY)})
@@ -681,7 +681,7 @@ def oracle_sql() -> dict[str, str]:
         "missing_by_column": m + _sql_missing("messy_lineitem", MESSY),
         "missing_total": m + f""", mc AS ({_sql_missing('messy_lineitem', MESSY)})
             SELECT CAST(coalesce(sum(missing), 0) AS BIGINT) AS missing_values,
-                   count_if(missing > 0) AS columns_with_missing FROM mc""",
+                   CAST(count_if(missing > 0) AS BIGINT) AS columns_with_missing FROM mc""",
         "empty_columns": m + f""", mc AS ({_sql_missing('messy_lineitem', MESSY)})
             SELECT position, {_q('column')} FROM mc WHERE missing = total""",
         "near_empty_columns": m + f""", mc AS ({_sql_missing('messy_lineitem', MESSY)})
@@ -824,7 +824,7 @@ def oracle_sql() -> dict[str, str]:
         "max_col": "SELECT max(o_totalprice) AS value FROM orders",
         "min_col": "SELECT min(o_totalprice) AS value FROM orders",
         "row_count": 'SELECT count(*) AS "rows" FROM orders',
-        "count_above": "SELECT count_if(o_totalprice > 250000) AS count FROM orders",
+        "count_above": "SELECT CAST(count_if(o_totalprice > 250000) AS BIGINT) AS count FROM orders",
         "rows_above": "SELECT * FROM orders WHERE o_totalprice > 450000",
         "capped_result": """SELECT *, (SELECT count(*) > 200 FROM (SELECT 1 FROM orders LIMIT 201)) AS truncated
             FROM orders ORDER BY o_orderkey LIMIT 200""",

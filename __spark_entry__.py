@@ -474,6 +474,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             ask.group_agg(t(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "sum")),
         "median_by_group": lambda s, d: ask.shape_result(
             ask.group_agg(t(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "median")),
+        "mean_by_group": lambda s, d: ask.shape_result(
+            ask.group_agg(t(s, d, "orders"), ["o_orderpriority"], "o_totalprice", "mean")),
+        "max_by_two_keys": lambda s, d: ask.group_agg(
+            t(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", "max"),
+        "count_by_two_keys": lambda s, d: ask.group_agg(
+            t(s, d, "lineitem"), ["l_returnflag", "l_shipdate"], "l_orderkey", "count"),
+        "top_n_numeric": lambda s, d: ask.top_n_values(t(s, d, "lineitem"), "l_quantity", 7),
         "nunique_by_group": lambda s, d: ask.group_agg(t(s, d, "orders"), ["o_orderstatus"], "o_custkey", "nunique"),
         "argmax_group": lambda s, d: ask.shape_result(
             ask.argmax_group(t(s, d, "lineitem"), "l_returnflag", "l_extendedprice")),
@@ -634,6 +641,13 @@ def oracle_sql() -> dict[str, str]:
             ask.group_agg(t(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "sum")),
         "median_by_group": lambda s, d: ask.shape_result(
             ask.group_agg(t(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "median")),
+        "mean_by_group": lambda s, d: ask.shape_result(
+            ask.group_agg(t(s, d, "orders"), ["o_orderpriority"], "o_totalprice", "mean")),
+        "max_by_two_keys": lambda s, d: ask.group_agg(
+            t(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", "max"),
+        "count_by_two_keys": lambda s, d: ask.group_agg(
+            t(s, d, "lineitem"), ["l_returnflag", "l_shipdate"], "l_orderkey", "count"),
+        "top_n_numeric": lambda s, d: ask.top_n_values(t(s, d, "lineitem"), "l_quantity", 7),
         "nunique_by_group": lambda s, d: ask.group_agg(t(s, d, "orders"), ["o_orderstatus"], "o_custkey", "nunique"),
         "argmax_group": lambda s, d: ask.shape_result(
             ask.argmax_group(t(s, d, "lineitem"), "l_returnflag", "l_extendedprice")),
@@ -812,6 +826,14 @@ def oracle_sql() -> dict[str, str]:
             GROUP BY l_returnflag, l_linestatus""",
         "median_by_group": """SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS l_extendedprice
             FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag""",
+        "mean_by_group": """SELECT o_orderpriority, round(avg(o_totalprice), 4) AS o_totalprice FROM orders
+            WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority""",
+        "max_by_two_keys": """SELECT l_returnflag, l_linestatus, max(l_extendedprice) AS l_extendedprice FROM lineitem
+            WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY l_returnflag, l_linestatus""",
+        "count_by_two_keys": """SELECT l_returnflag, l_shipdate, count(l_orderkey) AS l_orderkey FROM lineitem
+            WHERE l_returnflag IS NOT NULL AND l_shipdate IS NOT NULL GROUP BY l_returnflag, l_shipdate""",
+        "top_n_numeric": """SELECT l_quantity, count(*) AS count FROM lineitem WHERE l_quantity IS NOT NULL
+            GROUP BY l_quantity ORDER BY count DESC, l_quantity LIMIT 7""",
         "nunique_by_group": """SELECT o_orderstatus, count(DISTINCT o_custkey) AS o_custkey FROM orders
             WHERE o_orderstatus IS NOT NULL GROUP BY o_orderstatus""",
         "argmax_group": """SELECT l_returnflag, round(coalesce(sum(l_extendedprice), 0), 4) AS total FROM lineitem

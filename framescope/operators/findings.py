@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canon import canonicalize
 from ..functions.classes import classify
+from ..functions.text import fill
 from ..plans.chart_plan import AXIS_COUNT, AXIS_FREQUENCY
 from .stats import iqr_outliers, strong_correlations, top_values
 
@@ -25,6 +26,15 @@ FOLLOW_UP_HEATMAP_COLUMNS = 3
 OBSERVATION_CORRELATIONS = 2
 NO_PATTERN = "No strong patterns were detected in the available numeric or categorical data."
 NO_OBSERVATION = "Review the chart visually for notable patterns or clusters."
+TOP_VALUE_TEXT = "'{}' is the most frequent value in '{}' ({} occurrences)."
+HEADLINE_TEXT = ("The dataset contains {} records across {} columns. "
+                 "{} notable relationship(s) were found between numeric fields, summarized below.")
+OUTLIER_OBSERVATION_TEXT = "{} has {} outlier value(s) ({}% of records)."
+SCATTER_TITLE, SCATTER_REQUEST = "{} vs {}", "scatter plot between {} and {}"
+LINE_TITLE, LINE_REQUEST = "{} Trend Over Time", "line chart between {} and {}"
+BAR_TITLE, BAR_REQUEST = "{} by {}", "bar chart comparing {} and {}"
+BOX_TITLE, BOX_REQUEST = "{} Outlier Review", "boxplot for {}"
+HEATMAP_TITLE, HEATMAP_REQUEST = "Full Correlation Overview", "correlation heatmap for all numeric columns"
 
 FINDING_SCHEMA = "rank int, kind string, subject string, text string"
 FOLLOW_UP_SCHEMA = (
@@ -108,8 +118,7 @@ def key_findings(df: DataFrame, strong: DataFrame | None = None, tops: DataFrame
     top = first.select(
         (F.lit(FINDING_CORRELATIONS) + F.col("col_rank")).cast("int").alias("rank"),
         F.lit("top_value").alias("kind"), F.col("column").alias("subject"),
-        F.format_string("'%s' is the most frequent value in '%s' (%d occurrences).",
-                        "value", "column", "count").alias("text"),
+        fill(TOP_VALUE_TEXT, F.col("value"), F.col("column"), F.col("count").cast("string")).alias("text"),
     )
     found = corr.unionByName(top)
     none = df.sparkSession.createDataFrame([(0, "none", None, NO_PATTERN)], FINDING_SCHEMA)
@@ -133,10 +142,8 @@ def headline(df: DataFrame, strong: DataFrame | None = None, total_rows: int | N
         [(rows, len(df.columns), k)], "total_rows bigint, total_columns int, strong_correlations bigint"
     ).select(
         "*",
-        F.format_string(
-            "The dataset contains %d records across %d columns. %d notable relationship(s) were found "
-            "between numeric fields, summarized below.", "total_rows", "total_columns", "strong_correlations"
-        ).alias("summary"),
+        fill(HEADLINE_TEXT, *[F.col(c).cast("string") for c in ("total_rows", "total_columns",
+                                                               "strong_correlations")]).alias("summary"),
     )
 
 
@@ -173,9 +180,8 @@ def chart_observations(
     ).distinct()
     out = cols.join(F.broadcast(outliers), "column").select(
         "chart_id", (F.lit(100) + F.col("position")).alias("order"),
-        F.concat(F.col("column"), F.lit(" has "), F.col("count").cast("string"),
-                 F.lit(" outlier value(s) ("), F.col("percentage").cast("string"),
-                 F.lit("% of records).")).alias("text"),
+        fill(OUTLIER_OBSERVATION_TEXT, F.col("column"), F.col("count").cast("string"),
+             F.col("percentage").cast("string")).alias("text"),
     )
     found = corr.unionByName(out)
     fallback = plan.select("chart_id").join(found.select("chart_id").distinct(), "chart_id", "left_anti").select(
@@ -209,14 +215,12 @@ def follow_ups(
     def listed(names: list[str]) -> DataFrame:
         return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "pos int, name string")
 
-    # Titles and chart requests of the follow-ups.
     r1 = strong.where(F.col("rank") <= FOLLOW_UP_SCATTERS).select(
         F.lit(1).alias("rule"), F.col("rank").alias("sub"), F.lit("scatter").alias("chart_type"),
         F.col("column_a").alias("x_column"), F.col("column_b").alias("y_column"),
         F.lit(None).cast("string").alias("column"),
-        F.concat_ws(" vs ", "column_a", "column_b").alias("title"),
-        F.concat(F.lit("scatter plot between "), F.col("column_a"), F.lit(" and "), F.col("column_b")).alias(
-            "chart_request"),
+        fill(SCATTER_TITLE, F.col("column_a"), F.col("column_b")).alias("title"),
+        fill(SCATTER_REQUEST, F.col("column_a"), F.col("column_b")).alias("chart_request"),
     )
     parts = [r1]
     if cls.datetime and cls.numeric:
@@ -225,8 +229,8 @@ def follow_ups(
         parts.append(first.select(
             F.lit(2).alias("rule"), F.lit(1).alias("sub"), F.lit("line").alias("chart_type"),
             F.lit(d).alias("x_column"), F.col("name").alias("y_column"), F.lit(None).cast("string").alias("column"),
-            F.concat(F.col("name"), F.lit(" Trend Over Time")).alias("title"),
-            F.concat(F.lit(f"line chart between {d} and "), F.col("name")).alias("chart_request"),
+            fill(LINE_TITLE, F.col("name")).alias("title"),
+            fill(LINE_REQUEST, F.lit(d), F.col("name")).alias("chart_request"),
         ))
     if cls.categorical and cls.numeric:
         v = cls.numeric[0]
@@ -234,8 +238,8 @@ def follow_ups(
         parts.append(first.select(
             F.lit(3).alias("rule"), F.lit(1).alias("sub"), F.lit("bar").alias("chart_type"),
             F.col("name").alias("x_column"), F.lit(v).alias("y_column"), F.lit(None).cast("string").alias("column"),
-            F.concat(F.lit(f"{v} by "), F.col("name")).alias("title"),
-            F.concat(F.lit("bar chart comparing "), F.col("name"), F.lit(f" and {v}")).alias("chart_request"),
+            fill(BAR_TITLE, F.lit(v), F.col("name")).alias("title"),
+            fill(BAR_REQUEST, F.col("name"), F.lit(v)).alias("chart_request"),
         ))
     if cls.numeric:
         pos = listed(cls.numeric).withColumnRenamed("name", "column")
@@ -243,13 +247,12 @@ def follow_ups(
         parts.append(heavy.orderBy("pos").limit(1).select(
             F.lit(4).alias("rule"), F.lit(1).alias("sub"), F.lit("box").alias("chart_type"),
             F.lit(None).cast("string").alias("x_column"), F.lit(None).cast("string").alias("y_column"),
-            F.col("column"), F.concat(F.col("column"), F.lit(" Outlier Review")).alias("title"),
-            F.concat(F.lit("boxplot for "), F.col("column")).alias("chart_request"),
+            F.col("column"), fill(BOX_TITLE, F.col("column")).alias("title"),
+            fill(BOX_REQUEST, F.col("column")).alias("chart_request"),
         ))
     if len(cls.numeric) >= FOLLOW_UP_HEATMAP_COLUMNS:
         parts.append(spark.createDataFrame(
-            [(5, 1, "heatmap", None, None, None, "Full Correlation Overview",
-              "correlation heatmap for all numeric columns")],
+            [(5, 1, "heatmap", None, None, None, HEATMAP_TITLE, HEATMAP_REQUEST)],
             "rule int, sub int, chart_type string, x_column string, y_column string, column string, "
             "title string, chart_request string",
         ))

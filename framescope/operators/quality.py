@@ -15,12 +15,20 @@ from pyspark.sql import types as T
 
 from ..functions.canon import canonicalize, qcol
 from ..functions.classes import classify
+from ..functions.text import fill
 
 # The numeric-looking test used on text columns.
 NUMERIC_TEXT_STRIP = r"[,$%\s]"
 NUMERIC_TEXT_PATTERN = r"^-?\d+\.?\d*$"
 NUMERIC_TEXT_SHARE = 0.8
 NEAR_EMPTY_LOW = 0.9
+# The suggestion texts.
+MISSING_TEXT = "Fill or drop {} missing values across {} column(s)."
+DUPLICATES_TEXT = "Remove {} duplicate row(s)."
+EMPTY_TEXT = "Drop fully empty column(s): {}."
+NEAR_EMPTY_TEXT = "Review near-empty column(s) (>90% missing): {}."
+NUMERIC_TEXT_TEXT = "Convert text-formatted numeric column(s) to numeric type: {}."
+NO_ISSUES_TEXT = "No major data quality issues detected."
 
 
 def _groupable(df: DataFrame, name: str) -> Column:
@@ -307,38 +315,35 @@ def quality_issues(df: DataFrame, report: DataFrame | None = None) -> DataFrame:
     already computed); at most five rows."""
     r = report if report is not None else quality_report(df)
     join = lambda c: F.array_join(c, ", ")
-    # The suggestion texts.
     issues = F.array(
         F.when(F.col("missing_values") > 0, F.struct(
             F.lit(1).alias("rank"), F.lit("missing_values").alias("issue"),
             F.col("missing_columns").alias("columns"), F.col("missing_values").alias("n"),
-            F.format_string("Fill or drop %d missing values across %d column(s).",
-                            "missing_values", "columns_with_missing").alias("message"))),
+            fill(MISSING_TEXT, F.col("missing_values").cast("string"),
+                 F.col("columns_with_missing").cast("string")).alias("message"))),
         F.when(F.col("duplicates") > 0, F.struct(
             F.lit(2).alias("rank"), F.lit("duplicates").alias("issue"),
             F.array().cast("array<string>").alias("columns"), F.col("duplicates").alias("n"),
-            F.format_string("Remove %d duplicate row(s).", "duplicates").alias("message"))),
+            fill(DUPLICATES_TEXT, F.col("duplicates").cast("string")).alias("message"))),
         F.when(F.size("empty_columns") > 0, F.struct(
             F.lit(3).alias("rank"), F.lit("empty_columns").alias("issue"),
             F.col("empty_columns").alias("columns"), F.size("empty_columns").cast("long").alias("n"),
-            F.concat(F.lit("Drop fully empty column(s): "), join(F.col("empty_columns")), F.lit(".")).alias("message"))),
+            fill(EMPTY_TEXT, join(F.col("empty_columns"))).alias("message"))),
         F.when(F.size("near_empty_columns") > 0, F.struct(
             F.lit(4).alias("rank"), F.lit("near_empty_columns").alias("issue"),
             F.col("near_empty_columns").alias("columns"), F.size("near_empty_columns").cast("long").alias("n"),
-            F.concat(F.lit("Review near-empty column(s) (>90% missing): "),
-                     join(F.col("near_empty_columns")), F.lit(".")).alias("message"))),
+            fill(NEAR_EMPTY_TEXT, join(F.col("near_empty_columns"))).alias("message"))),
         F.when(F.size("suspected_numeric_as_text") > 0, F.struct(
             F.lit(5).alias("rank"), F.lit("numeric_as_text").alias("issue"),
             F.col("suspected_numeric_as_text").alias("columns"),
             F.size("suspected_numeric_as_text").cast("long").alias("n"),
-            F.concat(F.lit("Convert text-formatted numeric column(s) to numeric type: "),
-                     join(F.col("suspected_numeric_as_text")), F.lit(".")).alias("message"))),
+            fill(NUMERIC_TEXT_TEXT, join(F.col("suspected_numeric_as_text"))).alias("message"))),
     )
     found = r.select(F.array_compact(issues).alias("issues"))
     none_row = F.array(F.struct(
         F.lit(0).alias("rank"), F.lit("no_issues").alias("issue"),
         F.array().cast("array<string>").alias("columns"), F.lit(0).cast("long").alias("n"),
-        F.lit("No major data quality issues detected.").alias("message"),
+        F.lit(NO_ISSUES_TEXT).alias("message"),
     ))
     return found.select(
         F.inline(F.when(F.size("issues") > 0, F.col("issues")).otherwise(none_row))

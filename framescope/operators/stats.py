@@ -24,10 +24,17 @@ from pyspark.sql import functions as F
 
 from ..functions.canon import canonicalize, qcol
 from ..functions.classes import classify
+from ..functions.text import fill, fixed2
 from .quantile import exact_quantiles, quantiles as _quantiles
 
 # Fixed values used by the reference semantics.
 STRONG_CORRELATION = 0.6
+CORRELATION_TEXT = "{} is {} correlated with {} ({})"
+DIRECTION_POSITIVE = "positively"
+DIRECTION_NEGATIVE = "negatively"
+ROLE_NUMERIC_TEXT = "A numeric measure ranging from {} to {}."
+ROLE_DATETIME_TEXT = "A date/time field used to track values over time."
+ROLE_CATEGORICAL_TEXT = "A categorical field with {} distinct value(s)."
 OUTLIER_WHISKER = 1.5
 OUTLIER_MIN_VALUES = 4
 TOP_VALUES_PROFILE = 5
@@ -236,15 +243,14 @@ def strong_from_pairs(pairs: tuple[DataFrame, list[str], dict], threshold: float
     r = upper.withColumn("r", F.round("r", 3))
     strong = r.where(F.abs("r") >= threshold)
     pa = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(pos[c]))])
-    direction = F.when(F.col("r") > 0, F.lit("positively")).otherwise(F.lit("negatively"))
+    direction = F.when(F.col("r") > 0, F.lit(DIRECTION_POSITIVE)).otherwise(F.lit(DIRECTION_NEGATIVE))
     # a window over at most one row per column pair
     w = Window.orderBy(F.abs("r").desc(), pa[F.col("column_a")], pa[F.col("column_b")])
     return strong.select(
         F.row_number().over(w).alias("rank"), "column_a", "column_b", "r",
         direction.alias("direction"),
-        F.concat_ws(" ", "column_a", F.lit("is"), direction, F.lit("correlated with"), "column_b",
-                    F.concat(F.lit("("), F.regexp_replace(F.format_number("r", 2), ",", ""), F.lit(")"))
-                    ).alias("description"),
+        fill(CORRELATION_TEXT, F.col("column_a"), direction, F.col("column_b"), fixed2(F.col("r"))
+             ).alias("description"),
     )
 
 
@@ -397,9 +403,7 @@ def column_roles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         if kind == "numeric" or is_bool:
             v = qcol(c).cast("double")
             aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-            fmt = lambda x: F.regexp_replace(F.format_number(x, 2), ",", "")
-            desc = F.concat(F.lit("A numeric measure ranging from "), fmt(F.col(f"lo{i}")),
-                            F.lit(" to "), fmt(F.col(f"hi{i}")), F.lit("."))
+            desc = fill(ROLE_NUMERIC_TEXT, fixed2(F.col(f"lo{i}")), fixed2(F.col(f"hi{i}")))
             structs.append(F.struct(
                 F.lit(c).alias("column"), F.lit("numeric").alias("class"),
                 F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
@@ -409,7 +413,7 @@ def column_roles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
                 F.lit(c).alias("column"), F.lit("datetime").alias("class"),
                 F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("max"),
                 F.lit(None).cast("long").alias("distinct"),
-                F.lit("A date/time field used to track values over time.").alias("description")))
+                F.lit(ROLE_DATETIME_TEXT).alias("description")))
         else:
             key = F.to_json(qcol(c)) if kind == "other" else qcol(c)
             aggs.append(F.count_distinct(key).alias(f"d{i}"))
@@ -417,7 +421,6 @@ def column_roles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
                 F.lit(c).alias("column"), F.lit(kind).alias("class"),
                 F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("max"),
                 F.col(f"d{i}").cast("long").alias("distinct"),
-                F.concat(F.lit("A categorical field with "), F.col(f"d{i}").cast("string"),
-                         F.lit(" distinct value(s).")).alias("description")))
+                fill(ROLE_CATEGORICAL_TEXT, F.col(f"d{i}").cast("string")).alias("description")))
     wide = df.agg(*aggs) if aggs else df.sparkSession.range(1).select(F.lit(1).alias("_"))
     return _long_from_wide(wide, structs)

@@ -171,10 +171,14 @@ def pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(qcol(x), qcol(y)).where(qcol(x).isNotNull() & qcol(y).isNotNull())
 
 
-def line_series(df: DataFrame, x: str, y: str) -> DataFrame:
+def line_series(df: DataFrame, x: str, y: str, sample_fraction: float | None = None) -> DataFrame:
     """Complete (x, y) pairs sorted by x (a range-partitioned
-    sort; no single-task ordering)."""
-    return pairs(df, x, y).orderBy(qcol(x))
+    sort; no single-task ordering). ``sample_fraction`` thins the points for
+    display; by default every pair is kept."""
+    p = pairs(df, x, y)
+    if sample_fraction is not None:
+        p = p.sample(fraction=sample_fraction, seed=0)
+    return p.orderBy(qcol(x))
 
 
 trend_series = line_series

@@ -111,6 +111,7 @@ def key_findings(df: DataFrame, strong: DataFrame | None = None, tops: DataFrame
     order = F.create_map(*[x for i, c in enumerate(cats) for x in (F.lit(c), F.lit(i))]) if cats else None
     first = tops.where(F.col("rank") == 1)
     if order is not None:
+        # one row per text column
         w = Window.orderBy(order[F.col("column")])
         first = first.withColumn("col_rank", F.row_number().over(w)).where(F.col("col_rank") <= FINDING_TOP_COLUMNS)
     else:
@@ -123,6 +124,7 @@ def key_findings(df: DataFrame, strong: DataFrame | None = None, tops: DataFrame
     found = corr.unionByName(top)
     none = df.sparkSession.createDataFrame([(0, "none", None, NO_PATTERN)], FINDING_SCHEMA)
     has_any = found.agg(F.count(F.lit(1)) > 0).scalar()
+    # at most five rows
     return found.unionByName(none.where(~has_any)).withColumn("rank", F.dense_rank().over(
         Window.orderBy("rank")).cast("int"))
 
@@ -260,6 +262,7 @@ def follow_ups(
     for p in parts[1:]:
         allrows = allrows.unionByName(p)
     top = allrows.orderBy("rule", "sub").limit(FOLLOW_UP_LIMIT)
+    # the rank window sees the five kept rows only
     w = Window.orderBy("rule", "sub")
     return top.select(F.row_number().over(w).alias("rank"), "rule", "chart_type", "x_column", "y_column",
                       "column", "title", "chart_request")

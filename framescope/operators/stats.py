@@ -360,6 +360,7 @@ def value_counts(df: DataFrame, column: str, k: int) -> DataFrame:
         F.count(F.lit(1)).alias("count")
     )
     top = counts.orderBy(F.col("count").desc(), F.col("value").asc()).limit(k)
+    # the rank window sees the k kept rows only
     w = Window.orderBy(F.col("count").desc(), F.col("value").asc())
     return top.select("value", "count", F.row_number().over(w).alias("rank"))
 

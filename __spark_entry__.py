@@ -451,7 +451,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             messy_lineitem(s, d), "l_linenumber", "empty_num"),
         "pie_auto": lambda s, d: charts.pie_shares(
             t(s, d, "orders"), charts.auto_pie_column(t(s, d, "orders"), ["o_orderstatus", "o_orderpriority"])),
-        "pie_top8_shares": lambda s, d: charts.pie_shares(t(s, d, "part"), "p_brand"),
+        "pie_top_shares": lambda s, d: charts.pie_shares(t(s, d, "part"), "p_brand"),
         "trend": lambda s, d: charts.trend_series(t(s, d, "orders"), "o_orderdate", "o_orderkey"),
         "line_series": lambda s, d: charts.line_series(t(s, d, "events"), "ts", "value"),
         "area_series": lambda s, d: charts.area_series(t(s, d, "orders"), "o_orderdate", "o_totalprice"),
@@ -621,174 +621,7 @@ def oracle_sql() -> dict[str, str]:
             ORDER BY avg(empty_num) DESC NULLS LAST, l_linenumber LIMIT 15""",
         "pie_auto": f"""WITH vc AS ({_sql_top('orders', 'o_orderstatus', 8)})
             SELECT value, count, round(count * 100.0 / (SELECT sum(count) FROM vc), 1) AS share, rank FROM vc""",
-        "pie_top8_shares": f"""WITH vc AS ({_sql_top('part', 'p_brand', 8)})
-            SELECT value, count, round(count * 100.0 / (SELECT sum(count) FROM vc), 1) AS share, rank FROM vc""",
-        "trend": """SELECT o_orderdate, o_orderkey FROM orders
-            WHERE o_orderdate IS NOT NULL AND o_orderkey IS NOT NULL ORDER BY o_orderdate""",
-        "line_series": "SELECT ts, value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL ORDER BY ts",
-        "area_series": """SELECT o_orderdate, o_totalprice FROM orders
-            WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL ORDER BY o_orderdate""",
-        "scatter_pairs": "SELECT user_id, value FROM events",
-        "box_summary": _sql_box("lineitem", "l_extendedprice", None),
-        "box_by_group": _sql_box("lineitem", "l_extendedprice", "l_returnflag"),
-        "heatmap": _sql_corr_matrix("lineitem", LINEITEM_NUM, 6),
-        "chart_plan": _sql_chart_plan("orders", ["o_orderkey", "o_custkey", "o_totalprice"],
-                                      ["o_orderstatus", "o_orderpriority"], ["o_orderdate"]),
-        "sum_by_group": lambda s, d: ask.shape_result(
-            ask.sum_by_group(t(s, d, "lineitem"), "l_returnflag", "l_extendedprice")),
-        "count_by_group": lambda s, d: ask.count_by_group(t(s, d, "orders"), "o_orderpriority"),
-        "sum_by_two_keys": lambda s, d: ask.shape_result(
-            ask.group_agg(t(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "sum")),
-        "median_by_group": lambda s, d: ask.shape_result(
-            ask.group_agg(t(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "median")),
-        "mean_by_group": lambda s, d: ask.shape_result(
-            ask.group_agg(t(s, d, "orders"), ["o_orderpriority"], "o_totalprice", "mean")),
-        "max_by_two_keys": lambda s, d: ask.group_agg(
-            t(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", "max"),
-        "count_by_two_keys": lambda s, d: ask.group_agg(
-            t(s, d, "lineitem"), ["l_returnflag", "l_shipdate"], "l_orderkey", "count"),
-        "top_n_numeric": lambda s, d: ask.top_n_values(t(s, d, "lineitem"), "l_quantity", 7),
-        "nunique_by_group": lambda s, d: ask.group_agg(t(s, d, "orders"), ["o_orderstatus"], "o_custkey", "nunique"),
-        "argmax_group": lambda s, d: ask.shape_result(
-            ask.argmax_group(t(s, d, "lineitem"), "l_returnflag", "l_extendedprice")),
-        "best_month": lambda s, d: ask.shape_result(ask.best_month(t(s, d, "orders"), "o_orderdate", "o_totalprice")),
-        "avg_col": lambda s, d: ask.shape_result(ask.avg_col(t(s, d, "orders"), "o_totalprice")),
-        "max_col": lambda s, d: ask.max_col(t(s, d, "orders"), "o_totalprice"),
-        "min_col": lambda s, d: ask.min_col(t(s, d, "orders"), "o_totalprice"),
-        "row_count": lambda s, d: ask.row_count(t(s, d, "orders")),
-        "count_above": lambda s, d: ask.count_above(t(s, d, "orders"), "o_totalprice", 250000),
-        "rows_above": lambda s, d: ask.rows_above(t(s, d, "orders"), "o_totalprice", 450000),
-        "capped_result": lambda s, d: ask.capped(t(s, d, "orders"), ["o_orderkey"]),
-        "shaped_result": lambda s, d: ask.shape_result(t(s, d, "orders")),
-        # previews
-        "sample_values": lambda s, d: preview.sample_values(t(s, d, "part"), ["p_partkey"]),
-        "preview": lambda s, d: preview.preview(t(s, d, "part"), ["p_partkey"]),
-        # findings
-        "key_findings": lambda s, d: findings.key_findings(correlated(s, d)),
-        "follow_ups": lambda s, d: findings.follow_ups(correlated(s, d)),
-        "follow_ups_orders": lambda s, d: findings.follow_ups(t(s, d, "orders")),
-        "chart_observations": lambda s, d: _observations(correlated(s, d)),
-        "chart_observations_events": lambda s, d: _observations(t(s, d, "events")),
-        "chart_columns": lambda s, d: findings.chart_columns(chart_plan(correlated(s, d)), CORRELATED),
-        "chart_plan_messy": lambda s, d: chart_plan(messy_lineitem(s, d)),
-        "headline": lambda s, d: findings.headline(correlated(s, d)),
-        "profile_report": lambda s, d: profile(t(s, d, "events"), with_charts=False).report(),
-        # other tables: whole document texts, customers, conversations
-        "quality_report_documents": lambda s, d: quality.quality_report(t(s, d, "documents")),
-        "top_values_documents": lambda s, d: stats.top_values(t(s, d, "documents")),
-        "numeric_as_text_conversations": lambda s, d: quality.numeric_as_text(t(s, d, "conversations")),
-        "describe_customer": lambda s, d: stats.describe(t(s, d, "customer")),
-        "box_by_segment": lambda s, d: charts.box_summary(t(s, d, "customer"), "c_acctbal", by="c_mktsegment"),
-        "correlation_customer": lambda s, d: stats.correlation_matrix(t(s, d, "customer")),
-        "sum_by_role": lambda s, d: ask.group_agg(t(s, d, "conversations"), ["role"], "turn", "sum"),
-        # sources
-        "csv_roundtrip": _csv_roundtrip,
-    }
-
-
-def oracle_sql() -> dict[str, str]:
-    m = _with(MESSY_SQL)
-    corr = _with(CORRELATED_SQL)
-    return {
-        "dataset_shape": 'SELECT count(*) AS "rows", 6 AS "columns", 3 AS numeric_columns, '
-                         '2 AS categorical_columns, 1 AS datetime_columns FROM orders',
-        "missing_by_column": m + _sql_missing("messy_lineitem", MESSY),
-        "missing_total": m + f""", mc AS ({_sql_missing('messy_lineitem', MESSY)})
-            SELECT CAST(coalesce(sum(missing), 0) AS BIGINT) AS missing_values,
-                   CAST(count_if(missing > 0) AS BIGINT) AS columns_with_missing FROM mc""",
-        "empty_columns": m + f""", mc AS ({_sql_missing('messy_lineitem', MESSY)})
-            SELECT position, {_q('column')} FROM mc WHERE missing = total""",
-        "near_empty_columns": m + f""", mc AS ({_sql_missing('messy_lineitem', MESSY)})
-            SELECT position, {_q('column')}, round(missing / total, 4) AS missing_share FROM mc
-            WHERE total > 0 AND missing / total >= 0.9 AND missing / total < 1.0""",
-        "drop_empty_columns": m + "SELECT " + ", ".join(c for c in MESSY if c != "empty_num") + " FROM messy_lineitem",
-        "duplicate_rows": """SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates
-            FROM (SELECT count(*) AS n FROM documents GROUP BY text, lang, source)""",
-        "duplicate_rows_lineitem": """SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates
-            FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_quantity, l_discount, l_returnflag)""",
-        "dedup_rows": m + "SELECT DISTINCT l_quantity, l_discount, l_returnflag FROM messy_lineitem",
-        "numeric_as_text": _with(MESSY_EVENTS_SQL) + _sql_numeric_as_text(
-            "messy_events", [(3, "event_type"), (5, "props"), (6, "money_text")]),
-        "quality_report": _sql_quality_report(
-            "messy_lineitem", MESSY, ["l_returnflag", "l_linestatus", "near_empty"], 9, 3, 1),
-        "quality_issues": f"""WITH r AS ({_sql_quality_report(
-            'messy_lineitem', MESSY, ['l_returnflag', 'l_linestatus', 'near_empty'], 9, 3, 1)}),
-          issues AS (
-            SELECT 1 AS rank, 'missing_values' AS issue, missing_columns AS columns, missing_values AS n,
-                   printf('Fill or drop %d missing values across %d column(s).', missing_values,
-                          columns_with_missing) AS message FROM r WHERE missing_values > 0
-            UNION ALL
-            SELECT 2, 'duplicates', []::VARCHAR[], duplicates, printf('Remove %d duplicate row(s).', duplicates)
-              FROM r WHERE duplicates > 0
-            UNION ALL
-            SELECT 3, 'empty_columns', empty_columns, CAST(len(empty_columns) AS BIGINT),
-                   'Drop fully empty column(s): ' || array_to_string(empty_columns, ', ') || '.'
-              FROM r WHERE len(empty_columns) > 0
-            UNION ALL
-            SELECT 4, 'near_empty_columns', near_empty_columns, CAST(len(near_empty_columns) AS BIGINT),
-                   'Review near-empty column(s) (>90% missing): ' || array_to_string(near_empty_columns, ', ') || '.'
-              FROM r WHERE len(near_empty_columns) > 0
-            UNION ALL
-            SELECT 5, 'numeric_as_text', suspected_numeric_as_text, CAST(len(suspected_numeric_as_text) AS BIGINT),
-                   'Convert text-formatted numeric column(s) to numeric type: '
-                     || array_to_string(suspected_numeric_as_text, ', ') || '.'
-              FROM r WHERE len(suspected_numeric_as_text) > 0)
-          SELECT * FROM issues
-          UNION ALL
-          SELECT 0, 'no_issues', []::VARCHAR[], CAST(0 AS BIGINT), 'No major data quality issues detected.'
-          WHERE NOT EXISTS (SELECT 1 FROM issues)""",
-        "describe_lineitem": _sql_describe("lineitem", LINEITEM_NUM),
-        "describe_with_nulls": m + _sql_describe("messy_lineitem", MESSY_NUM),
-        "describe_single_value": """WITH v AS (SELECT l_quantity, CASE WHEN l_extendedprice =
-              (SELECT max(l_extendedprice) FROM lineitem) THEN l_extendedprice END AS top_price FROM lineitem)
-            """ + _sql_describe("v", ["l_quantity", "top_price"]),
-        "correlation_matrix": _sql_corr_matrix("lineitem", LINEITEM_NUM, 3),
-        "correlation_with_nulls": m + _sql_corr_matrix("messy_lineitem", LINEITEM_NUM, 3),
-        "correlation_constant": corr + _sql_corr_matrix("correlated", CORRELATED_NUM, 3),
-        "strong_correlations": corr + "SELECT * FROM (" + _sql_strong("correlated", CORRELATED_NUM) + ")",
-        "quartiles": _sql_quartiles("events", ["event_id", "user_id", "value"]),
-        "iqr_outliers": _sql_outliers("events", ["event_id", "user_id", "value"]),
-        "iqr_outliers_orders": _sql_outliers("orders", ["o_orderkey", "o_custkey", "o_totalprice"]),
-        "distinct_counts": _union([
-            f"SELECT '{c}' AS {_q('column')}, count(DISTINCT {c}) AS {_q('distinct')} FROM orders" for c in ORDERS
-        ]),
-        "column_roles": _union([
-            f"""SELECT '{c}' AS {_q('column')}, 'numeric' AS class, CAST(min({c}) AS DOUBLE) AS min,
-                CAST(max({c}) AS DOUBLE) AS max, CAST(NULL AS BIGINT) AS {_q('distinct')},
-                'A numeric measure ranging from ' || printf('%.2f', CAST(min({c}) AS DOUBLE)) || ' to '
-                  || printf('%.2f', CAST(max({c}) AS DOUBLE)) || '.' AS description FROM orders"""
-            for c in ("o_orderkey", "o_custkey", "o_totalprice")
-        ] + [
-            f"""SELECT '{c}', 'categorical', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), count(DISTINCT {c}),
-                'A categorical field with ' || count(DISTINCT {c}) || ' distinct value(s).' FROM orders"""
-            for c in ("o_orderstatus", "o_orderpriority")
-        ] + [
-            """SELECT 'o_orderdate', 'datetime', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT),
-                'A date/time field used to track values over time.' FROM (SELECT count(*) FROM orders)"""
-        ]),
-        "top_values_all": f"""SELECT * FROM (
-            SELECT c AS {_q('column')}, v AS value, count(*) AS count,
-                   CAST(row_number() OVER (PARTITION BY c ORDER BY count(*) DESC, v) AS INTEGER) AS rank
-            FROM (SELECT 'o_orderstatus' AS c, o_orderstatus AS v FROM orders
-                  UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders)
-            WHERE v IS NOT NULL GROUP BY c, v) WHERE rank <= 5""",
-        "top_n_values": """SELECT p_brand, count(*) AS count FROM part WHERE p_brand IS NOT NULL
-            GROUP BY p_brand ORDER BY count DESC, p_brand LIMIT 5""",
-        "histogram_value": _sql_histogram("events", "value"),
-        "histogram_constant": corr + "SELECT * FROM (" + _sql_histogram("correlated", "constant") + ")",
-        "bar_counts": _sql_top("part", "p_brand", 10),
-        "bar_mean_by_category": """SELECT l_returnflag, round(avg(l_extendedprice), 4) AS mean_y,
-              CAST(row_number() OVER (ORDER BY avg(l_extendedprice) DESC NULLS LAST, l_returnflag) AS INTEGER)
-                AS rank
-            FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag
-            ORDER BY avg(l_extendedprice) DESC NULLS LAST, l_returnflag LIMIT 15""",
-        "bar_mean_with_missing": m + """SELECT l_linenumber, round(avg(empty_num), 4) AS mean_y,
-              CAST(row_number() OVER (ORDER BY avg(empty_num) DESC NULLS LAST, l_linenumber) AS INTEGER) AS rank
-            FROM messy_lineitem WHERE l_linenumber IS NOT NULL GROUP BY l_linenumber
-            ORDER BY avg(empty_num) DESC NULLS LAST, l_linenumber LIMIT 15""",
-        "pie_auto": f"""WITH vc AS ({_sql_top('orders', 'o_orderstatus', 8)})
-            SELECT value, count, round(count * 100.0 / (SELECT sum(count) FROM vc), 1) AS share, rank FROM vc""",
-        "pie_top8_shares": f"""WITH vc AS ({_sql_top('part', 'p_brand', 8)})
+        "pie_top_shares": f"""WITH vc AS ({_sql_top('part', 'p_brand', 8)})
             SELECT value, count, round(count * 100.0 / (SELECT sum(count) FROM vc), 1) AS share, rank FROM vc""",
         "trend": """SELECT o_orderdate, o_orderkey FROM orders
             WHERE o_orderdate IS NOT NULL AND o_orderkey IS NOT NULL ORDER BY o_orderdate""",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canon import canonicalize, qcol
 from .quantile import exact_quantiles
-from .stats import correlation_matrix, value_counts
+from .stats import correlation_matrix, top_values, value_counts
 
 # Chart limits.
 HIST_MIN_BINS = 5
@@ -153,14 +153,15 @@ def pie_shares(df: DataFrame, column: str, k: int = PIE_TOP) -> DataFrame:
 
 
 def auto_pie_column(df: DataFrame, categorical: Sequence[str]) -> str | None:
-    """First text column with 2..8 distinct values (one aggregation job)."""
+    """First text column with 2..8 distinct values. Read off a per-column
+    top-9 of the values (exact up to 8, "more" at 9), so no column's
+    distinct values are counted in full."""
     if not categorical:
         return None
-    row = canonicalize(df).agg(*[
-        F.count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(categorical)
-    ]).first()
-    for i, c in enumerate(categorical):
-        if 2 <= row[f"d{i}"] <= PIE_TOP:
+    top9 = top_values(df, list(categorical), k=PIE_TOP + 1)
+    seen = {r["column"]: r["count"] for r in top9.groupBy("column").count().collect()}
+    for c in categorical:
+        if 2 <= seen.get(c, 0) <= PIE_TOP:
             return c
     return None
 

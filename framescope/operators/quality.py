@@ -124,7 +124,8 @@ def duplicate_candidates(df: DataFrame, subset: list[str] | None = None) -> tupl
 
 
 def duplicate_rows(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
-    """Q3: rows beyond the first of each identical row (nulls compare equal).
+    """Q3: rows beyond the first of each identical row (nulls compare equal);
+    one row ``duplicates`` (computed when called).
 
     Exact, in two steps sized for very large tables:
 
@@ -149,7 +150,8 @@ def duplicate_rows(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     else:
         rows = hashed.drop("_h")
     counts = rows.groupBy(*[qcol(c) for c in rows.columns]).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicates"))
+    total = counts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long")).first()[0]
+    return spark.createDataFrame([(total,)], "duplicates bigint")
 
 
 def dedup_rows(df: DataFrame, drop_duplicates: bool = True, drop_empty: bool = True) -> DataFrame:
@@ -267,8 +269,14 @@ def quality_report(df: DataFrame, facts: tuple[DataFrame, DataFrame] | None = No
     empty_columns, near_empty_columns, suspected_numeric_as_text``.
     Column lists keep schema order.
     """
+    from ..session import run_concurrently
+
     cls = classify(df)
-    m, nat_frame = facts if facts is not None else quality_facts(df)
+    # the column facts and the duplicate count are independent jobs
+    (m, nat_frame), dup = run_concurrently(
+        (lambda: facts) if facts is not None else (lambda: quality_facts(df)),
+        lambda: duplicate_rows(df),
+    )
     ordered = F.array_sort(
         F.collect_list(F.struct("position", "column")), lambda a, b: a["position"] - b["position"]
     )
@@ -293,14 +301,13 @@ def quality_report(df: DataFrame, facts: tuple[DataFrame, DataFrame] | None = No
     nat = nat_frame.where("flagged").agg(
         F.transform(ordered, lambda s: s["column"]).alias("suspected_numeric_as_text")
     )
-    dup = duplicate_rows(df)
     # One-row facts are attached as scalar subqueries: each runs once and
     # is inlined as a value, no join.
     return by_missing.select(
         F.coalesce("total_rows", F.lit(0)).cast("long").alias("total_rows"),
         F.lit(len(df.columns)).alias("total_columns"),
         "missing_values", "columns_with_missing", "missing_columns",
-        dup.scalar().alias("duplicates"),
+        F.lit(dup.first()["duplicates"]).cast("long").alias("duplicates"),
         F.lit(len(cls.numeric)).alias("numeric_columns"),
         F.lit(len(cls.categorical)).alias("categorical_columns"),
         F.lit(len(cls.datetime)).alias("datetime_columns"),

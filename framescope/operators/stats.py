@@ -17,6 +17,7 @@ Layout of the work:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,6 +40,7 @@ OUTLIER_WHISKER = 1.5
 OUTLIER_MIN_VALUES = 4
 TOP_VALUES_PROFILE = 5
 PAIRS_PER_AGGREGATION = 500
+GRAM_MIN_COLUMNS = 16
 
 
 def nonempty_numeric(df: DataFrame) -> list[str]:
@@ -166,6 +168,14 @@ def _pair_stats(df: DataFrame, pairs: list[tuple[str, str]], facts=None) -> tupl
         return name.replace("'", "\\'")
 
     parts = []
+    gram_cols = [c for c in cols if c in full] if n_rows > 1 else []
+    if len(gram_cols) >= GRAM_MIN_COLUMNS:
+        # Many complete columns: one pass builds their whole centred Gram
+        # matrix with BLAS (Spark ML's Pearson correlation); only pairs that
+        # touch a column with missing values need the masked sums below.
+        parts.append(_gram_correlations(centred, gram_cols, idx))
+        gram = set(gram_cols)
+        pairs = [(a, b) for a, b in pairs if not (a in gram and b in gram)]
     for start in range(0, len(pairs), PAIRS_PER_AGGREGATION):
         chunk = pairs[start:start + PAIRS_PER_AGGREGATION]
         aggs: dict[str, str] = {"n_all": "count(1)"}
@@ -196,6 +206,24 @@ def _pair_stats(df: DataFrame, pairs: list[tuple[str, str]], facts=None) -> tupl
     return out, varies
 
 
+def _gram_correlations(centred: DataFrame, cols: list[str], idx: dict[str, int]) -> DataFrame:
+    """Pearson r for every pair of complete columns from one Gram-matrix
+    pass (``pyspark.ml.stat.Correlation``: per-partition BLAS updates,
+    tree-aggregated; the N x N result is bounded by the schema)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    names = [f"_x{idx[c]}" for c in cols]
+    vec = VectorAssembler(inputCols=names, outputCol="_vec").transform(centred.select(*names)).select("_vec")
+    m = Correlation.corr(vec, "_vec", "pearson").head()[0].toArray()
+    rows = []
+    for i, a in enumerate(cols):
+        for j in range(i + 1, len(cols)):
+            r = float(m[i, j])
+            rows.append((a, cols[j], None if math.isnan(r) else r))
+    return centred.sparkSession.createDataFrame(rows, "column_a string, column_b string, r double")
+
+
 def pair_correlations(df: DataFrame, columns: Sequence[str] | None = None,
                       facts: tuple | None = None) -> tuple[DataFrame, list[str], dict]:
     """Unrounded r for every column pair (i < j) of the non-empty numeric

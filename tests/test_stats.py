@@ -149,3 +149,23 @@ def test_grouped_quantiles_many_groups_distributed_path(spark, monkeypatch):
     assert len(got) == 12
     for r in got:
         assert r["value"] == pytest.approx(pdf[pdf.g == r["g"]]["v"].quantile(r["p"]), abs=1e-12)
+
+
+def test_wide_table_gram_and_masked_paths(spark):
+    rng = np.random.default_rng(17)
+    n = 3000
+    data = {f"c{i}": rng.normal(0, 1, n) + (i % 3) * rng.normal(0, 1, n) for i in range(17)}
+    data["k"] = np.full(n, 2.0)
+    data["m1"] = np.where(rng.random(n) < 0.2, np.nan, data["c0"] * 3 + rng.normal(0, 1, n))
+    data["m2"] = np.where(rng.random(n) < 0.1, np.nan, rng.normal(0, 1, n))
+    pdf = pd.DataFrame(data)
+    got = {(r["column_a"], r["column_b"]): r["r"]
+           for r in stats.correlation_matrix(spark.createDataFrame(pdf), decimals=None).collect()}
+    exp = pdf.corr()
+    for (a, b), r in got.items():
+        e = exp.loc[a, b]
+        if np.isnan(e):
+            assert r is None
+        else:
+            assert r == pytest.approx(e, abs=1e-9)
+    assert len(got) == 20 * 20

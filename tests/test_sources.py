@@ -53,3 +53,28 @@ def test_payload_is_plain_and_capped(spark):
     p = to_payload(df, cap=200)
     assert p["truncated"] is True and len(p["rows"]) == 200
     assert all(type(v) in (int, float) for row in p["rows"] for v in row)
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json", "orc"])
+def test_table_formats_roundtrip(spark, clean_df, tmp_path, fmt):
+    from framescope.sources.sinks import write_result
+
+    path = str(tmp_path / f"out.{fmt}")
+    write_result(clean_df, path, fmt=fmt)
+    back = load_dataset(spark, path)
+    assert back.count() == 50 and set(back.columns) == {"x", "y", "label"}
+
+
+def test_csv_quoting_and_multiline(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('id,note\n1,"a, b"\n2,"line one\nline two"\n3,plain\n')
+    df = load_dataset(spark, str(path), multi_line=True)
+    notes = {r["id"]: r["note"] for r in df.collect()}
+    assert notes == {1: "a, b", 2: "line one\nline two", 3: "plain"}
+
+
+def test_dates_kept_as_text_on_request(spark, tmp_path):
+    path = tmp_path / "d.csv"
+    path.write_text("day,v\n2024-01-01,1\n2024-01-02,2\n")
+    assert dict(load_dataset(spark, str(path)).dtypes)["day"] == "timestamp"
+    assert dict(load_dataset(spark, str(path), infer_dates=False).dtypes)["day"] == "string"

@@ -158,7 +158,12 @@ def auto_pie_column(df: DataFrame, categorical: Sequence[str]) -> str | None:
     distinct values are counted in full."""
     if not categorical:
         return None
-    top9 = top_values(df, list(categorical), k=PIE_TOP + 1)
+    from ..functions.classes import columns_with_few_values
+
+    few = columns_with_few_values(canonicalize(df), list(categorical), PIE_TOP)
+    if not few:
+        return None
+    top9 = top_values(df, few, k=PIE_TOP + 1)
     seen = {r["column"]: r["count"] for r in top9.groupBy("column").count().collect()}
     for c in categorical:
         if 2 <= seen.get(c, 0) <= PIE_TOP:

@@ -58,7 +58,7 @@ def shared_inputs(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     outlier count."""
     from ..operators.quantile import exact_quantiles
     from ..session import run_concurrently
-    from ..plans.chart_plan import PIE_PROBE, distinct_up_to, plan_aggs, plan_frame, plan_rows_from
+    from ..plans.chart_plan import pie_candidates_up_to, plan_aggs, plan_frame, plan_rows_from
     from .stats import column_fact_aggs, column_facts_from_row, moment_aggs, moments_from_row
     from .stats import pair_correlations, strong_from_pairs
 
@@ -70,8 +70,7 @@ def shared_inputs(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     known = {r["column"]: (r["n"], r["min"], r["max"]) for r in mom}
 
     def plan_branch():
-        top9 = schema_bounded(top_values(df, k=PIE_PROBE))
-        return plan_frame(df, plan_rows_from(df, row, distinct_up_to(top9)))
+        return plan_frame(df, plan_rows_from(df, row, pie_candidates_up_to(df)))
 
     def strong_branch():
         return schema_bounded(strong_from_pairs(

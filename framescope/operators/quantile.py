@@ -21,8 +21,10 @@ state per task:
    outright (a hot value that holds a third of the table resolves in one
    pass, never lands in one task).
 
-The small bracket table is checkpointed after each pass (the checkpoint
-folder of the session) so lineage does not grow with the number of passes
+Without groups (or with few groups) the bracket table is bounded by the
+request and kept on the driver, turned into literal range tests. With many
+groups it is a DataFrame checkpointed after each pass (the checkpoint
+folder of the session), so lineage does not grow with the number of passes
 and a lost executor only recomputes the last pass.
 """
 
@@ -270,10 +272,13 @@ FEW_GROUPS = 64
 
 
 def _few_groups(df: DataFrame, group_cols: list[str]) -> list[tuple] | None:
-    """The distinct group keys when a bounded probe finds at most
-    ``FEW_GROUPS`` of them, else None."""
-    probe = (df.select(*[qcol(g) for g in group_cols]).distinct()
-             .limit(FEW_GROUPS + 1).collect())
+    """The distinct group keys when there are at most ``FEW_GROUPS`` of
+    them, else None. A first slice of rows showing more keys settles "many"
+    without a shuffle; otherwise a bounded distinct probe decides."""
+    keys = df.select(*[qcol(g) for g in group_cols])
+    if len({tuple(r) for r in keys.take(5_000)}) > FEW_GROUPS:
+        return None
+    probe = keys.distinct().limit(FEW_GROUPS + 1).collect()
     return None if len(probe) > FEW_GROUPS else [tuple(r) for r in probe]
 
 

@@ -84,11 +84,22 @@ def plan_rows_from(df: DataFrame, row, distinct: dict[str, int]) -> list[tuple]:
     return [(i + 1, *r) for i, r in enumerate(rows)]
 
 
-def plan_rows(df: DataFrame) -> list[tuple]:
+def pie_candidates_up_to(df: DataFrame) -> dict[str, int]:
+    """:func:`distinct_up_to` for the text columns that can still qualify
+    for the pie (a first slice of rows rules out columns with many values);
+    the others count as "more than 8"."""
+    from ..functions.classes import columns_with_few_values
     from ..operators.stats import top_values
 
+    cats = classify(df).categorical
+    few = columns_with_few_values(df, cats, PIE_MAX_VALUES)
+    known = distinct_up_to(top_values(df, few, k=PIE_PROBE)) if few else {}
+    return {c: known.get(c, 0) if c in few else PIE_PROBE for c in cats}
+
+
+def plan_rows(df: DataFrame) -> list[tuple]:
     df = canonicalize(df)
-    return plan_rows_from(df, df.agg(*plan_aggs(df)).first(), distinct_up_to(top_values(df, k=PIE_PROBE)))
+    return plan_rows_from(df, df.agg(*plan_aggs(df)).first(), pie_candidates_up_to(df))
 
 
 def plan_frame(df: DataFrame, rows: list[tuple]) -> DataFrame:

@@ -168,14 +168,18 @@ def _pair_stats(df: DataFrame, pairs: list[tuple[str, str]], facts=None) -> tupl
         return name.replace("'", "\\'")
 
     parts = []
-    gram_cols = [c for c in cols if c in full] if n_rows > 1 else []
-    if len(gram_cols) >= GRAM_MIN_COLUMNS:
-        # Many complete columns: one pass builds their whole centred Gram
-        # matrix with BLAS (Spark ML's Pearson correlation); only pairs that
-        # touch a column with missing values need the masked sums below.
-        parts.append(_gram_correlations(centred, gram_cols, idx))
-        gram = set(gram_cols)
-        pairs = [(a, b) for a, b in pairs if not (a in gram and b in gram)]
+    if len(cols) >= GRAM_MIN_COLUMNS and n_rows > 1:
+        # Many columns: every pairwise-complete sum is an entry of one Gram
+        # matrix, built in one pass with BLAS (see _gram_pairs); pairs it
+        # cannot settle fall through to the masked sums below.
+        if len(full) == len(cols):
+            # no missing values anywhere: the correlation matrix is the answer
+            parts.append(_gram_correlations(centred, cols, idx))
+            pairs = []
+        else:
+            settled, rest = _gram_pairs(centred, cols, idx, full, n_rows, pairs)
+            parts.append(settled)
+            pairs = rest
     for start in range(0, len(pairs), PAIRS_PER_AGGREGATION):
         chunk = pairs[start:start + PAIRS_PER_AGGREGATION]
         aggs: dict[str, str] = {"n_all": "count(1)"}
@@ -200,12 +204,91 @@ def _pair_stats(df: DataFrame, pairs: list[tuple[str, str]], facts=None) -> tupl
             items.append(f"named_struct('column_a', '{sq(a)}', 'column_b', '{sq(b)}', 'r', {r})")
         wide = centred.agg(*[F.expr(f"{e} AS {k}") for k, e in aggs.items()])
         parts.append(wide.selectExpr(f"inline(array({', '.join(items)}))"))
-    out = parts[0]
+    out = parts[0] if parts else centred.sparkSession.createDataFrame(
+        [], "column_a string, column_b string, r double")
     for p in parts[1:]:
         out = out.unionByName(p)
     return out, varies
 
 
+def _gram_pairs(centred: DataFrame, cols: list[str], idx: dict[str, int], full: set, n: int,
+                pairs: list[tuple[str, str]]) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Pearson r over pairwise-complete rows for many columns at once.
+
+    With ``x`` the centred values (0 where missing), ``q = x * x`` and ``m``
+    the presence flag of each column that has missing values, every sum
+    the coefficient needs - pair counts, masked sums, masked sums of
+    squares, sums of products - is an entry of the Gram matrix
+    ``sum(v v^T)`` of ``v = [x, q, m]``. Spark ML computes that vector's
+    means and variances (``Summarizer``) and correlations
+    (``Correlation``: per-partition BLAS updates, tree-aggregated), from
+    which each entry follows as ``(n-1) r s_a s_b + n mean_a mean_b``.
+    Returns (settled pairs, pairs left to the masked sums).
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation, Summarizer
+
+    nullable = [c for c in cols if c not in full]
+    comp: dict[tuple[str, str], int] = {}
+    exprs = []
+    for c in cols:
+        x = F.col(f"_x{idx[c]}")
+        comp[("x", c)] = len(exprs)
+        exprs.append(F.coalesce(x, F.lit(0.0)).alias(f"_gx{idx[c]}"))
+        if nullable:  # squares only matter when some rows are masked
+            comp[("q", c)] = len(exprs)
+            exprs.append(F.coalesce(x * x, F.lit(0.0)).alias(f"_gq{idx[c]}"))
+    for c in nullable:
+        comp[("m", c)] = len(exprs)
+        exprs.append(F.col(f"_x{idx[c]}").isNotNull().cast("double").alias(f"_gm{idx[c]}"))
+    staged = centred.select(*exprs)
+    vec = VectorAssembler(inputCols=staged.columns, outputCol="_vec").transform(staged).select("_vec")
+    summary = vec.select(Summarizer.metrics("mean", "variance").summary(F.col("_vec")).alias("s")).first()["s"]
+    mean = [float(v) for v in summary["mean"].toArray()]
+    var = [float(v) for v in summary["variance"].toArray()]
+    corr = Correlation.corr(vec, "_vec", "pearson").head()[0].toArray().tolist()
+
+    def gram(a: int, b: int) -> float | None:
+        if a == b:
+            return (n - 1) * var[a] + n * mean[a] * mean[a]
+        if var[a] == 0 or var[b] == 0:
+            return n * mean[a] * mean[b]
+        r = corr[a][b]
+        if math.isnan(r):
+            return None
+        return (n - 1) * r * math.sqrt(var[a] * var[b]) + n * mean[a] * mean[b]
+
+    def total(a: int) -> float:
+        return n * mean[a]
+
+    settled, rest = [], []
+    for a, b in pairs:
+        xa, xb, qa, qb = comp[("x", a)], comp[("x", b)], comp.get(("q", a)), comp.get(("q", b))
+        ma, mb = comp.get(("m", a)), comp.get(("m", b))
+        if ma is None and mb is None:
+            vals = (float(n), total(xa), total(xb), gram(xa, xa), gram(xb, xb), gram(xa, xb))
+        elif ma is None:
+            vals = (total(mb), gram(xa, mb), total(xb), gram(qa, mb), total(qb), gram(xa, xb))
+        elif mb is None:
+            vals = (total(ma), total(xa), gram(xb, ma), total(qa), gram(qb, ma), gram(xa, xb))
+        else:
+            vals = (gram(ma, mb), gram(xa, mb), gram(xb, ma), gram(qa, mb), gram(qb, ma), gram(xa, xb))
+        if any(v is None for v in vals):
+            rest.append((a, b))
+            continue
+        cnt, sx, sy, qx, qy, p = vals
+        cnt = round(cnt)
+        r = None
+        if cnt > 1:
+            cov = p - sx * sy / cnt
+            vx, vy = qx - sx * sx / cnt, qy - sy * sy / cnt
+            if vx > 0 and vy > 0:
+                r = cov / math.sqrt(vx * vy)
+        settled.append((a, b, r))
+    frame = centred.sparkSession.createDataFrame(settled, "column_a string, column_b string, r double")
+    return frame, rest
+
+
 def _gram_correlations(centred: DataFrame, cols: list[str], idx: dict[str, int]) -> DataFrame:
     """Pearson r for every pair of complete columns from one Gram-matrix
     pass (``pyspark.ml.stat.Correlation``: per-partition BLAS updates,

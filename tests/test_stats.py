@@ -169,3 +169,19 @@ def test_wide_table_gram_and_masked_paths(spark):
         else:
             assert r == pytest.approx(e, abs=1e-9)
     assert len(got) == 20 * 20
+
+
+def test_wide_table_all_columns_with_missing_values(spark):
+    rng = np.random.default_rng(19)
+    n = 4000
+    base = rng.normal(0, 1, n)
+    data = {}
+    for i in range(18):
+        v = base * (i % 4) + rng.normal(50, 2 + i, n)
+        data[f"c{i}"] = np.where(rng.random(n) < 0.05 + 0.02 * i, np.nan, v)
+    pdf = pd.DataFrame(data)
+    got = {(r["column_a"], r["column_b"]): r["r"]
+           for r in stats.correlation_matrix(spark.createDataFrame(pdf), decimals=None).collect()}
+    exp = pdf.corr()
+    for (a, b), r in got.items():
+        assert r == pytest.approx(exp.loc[a, b], abs=1e-9)

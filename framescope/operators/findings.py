@@ -59,12 +59,12 @@ def shared_inputs(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     from ..operators.quantile import exact_quantiles
     from ..session import run_concurrently
     from ..plans.chart_plan import pie_candidates_up_to, plan_aggs, plan_frame, plan_rows_from
-    from .stats import column_fact_aggs, column_facts_from_row, moment_aggs, moments_from_row
+    from .stats import column_facts_from_moments, moment_aggs, moments_from_row
     from .stats import pair_correlations, strong_from_pairs
 
     df = canonicalize(df)
     numeric = classify(df).numeric
-    row = df.agg(*plan_aggs(df), *moment_aggs(numeric), *column_fact_aggs(numeric)).first()
+    row = df.agg(F.count(F.lit(1)).alias("__rows"), *plan_aggs(df), *moment_aggs(numeric)).first()
     mom = moments_from_row(df, numeric, row).collect()
     num = [r["column"] for r in mom if r["n"] > 0]
     known = {r["column"]: (r["n"], r["min"], r["max"]) for r in mom}
@@ -74,7 +74,7 @@ def shared_inputs(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     def strong_branch():
         return schema_bounded(strong_from_pairs(
-            pair_correlations(df, num, facts=column_facts_from_row(numeric, row))))
+            pair_correlations(df, num, facts=column_facts_from_moments(numeric, row, row["__rows"]))))
 
     def outlier_branch():
         q = exact_quantiles(df, num, [0.25, 0.75], known=known) if num else None

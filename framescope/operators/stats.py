@@ -137,6 +137,14 @@ def column_facts_from_row(cols: Sequence[str], row) -> tuple:
             {c: bool(row[f"pf_v{i}"]) for i, c in enumerate(cols)})
 
 
+def column_facts_from_moments(cols: Sequence[str], row, n_rows: int) -> tuple:
+    """The correlation centring facts read off the moments aggregation
+    (count, mean, min < max), so a fused scan need not repeat them."""
+    return (n_rows, {c: row[f"mo_n{i}"] for i, c in enumerate(cols)},
+            {c: row[f"mo_m{i}"] for i, c in enumerate(cols)},
+            {c: row[f"mo_lo{i}"] is not None and row[f"mo_hi{i}"] > row[f"mo_lo{i}"] for i, c in enumerate(cols)})
+
+
 def _column_facts(df: DataFrame, cols: Sequence[str]) -> tuple[int, dict[str, int], dict[str, float], dict[str, bool]]:
     """Row count, non-missing count, mean and "varies" (min < max) per
     column: one small aggregation, one row of 3N+1 values back."""

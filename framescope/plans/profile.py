@@ -70,8 +70,7 @@ def profile(df: DataFrame, with_charts: bool = True) -> Profile:
     numeric = classify(df).numeric
     # ONE scan for every per-column fact: missing counts, numeric-looking
     # text, moments, and the correlation centring facts.
-    row = df.agg(*quality.quality_fact_aggs(df), *stats.moment_aggs(numeric),
-                 *stats.column_fact_aggs(numeric), *plan_aggs(df)).first()
+    row = df.agg(*quality.quality_fact_aggs(df), *stats.moment_aggs(numeric), *plan_aggs(df)).first()
     facts = quality.quality_facts_from_row(df, row)
     missing = facts[0]
     mom = stats.moments_from_row(df, numeric, row)
@@ -85,7 +84,8 @@ def profile(df: DataFrame, with_charts: bool = True) -> Profile:
         return q, small(stats.iqr_outliers(df, num, quantiles=q))
 
     def correlation_branch():
-        pairs = stats.pair_correlations(df, num, facts=stats.column_facts_from_row(numeric, row))
+        pairs = stats.pair_correlations(
+            df, num, facts=stats.column_facts_from_moments(numeric, row, row["__total"]))
         return pairs, small(stats.strong_from_pairs(pairs))
 
     def values_branch():

@@ -326,7 +326,9 @@ def pair_correlations(df: DataFrame, columns: Sequence[str] | None = None,
     cand = list(columns) if columns is not None else classify(df).numeric
     if facts is None:
         facts = _column_facts(df, cand) if cand else (0, {}, {}, {})
-    cols = [c for c in cand if facts[1][c] > 0]
+    # named columns are all kept (an empty one gets missing coefficients);
+    # the automatic choice is the non-empty numeric columns
+    cols = cand if columns is not None else [c for c in cand if facts[1][c] > 0]
     if len(cols) < 2:
         return spark.createDataFrame([], "column_a string, column_b string, r double"), cols, {}
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]

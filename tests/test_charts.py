@@ -92,3 +92,28 @@ def test_histograms_many_columns_match_numpy(spark):
         counts, edges = np.histogram(pdf[c], bins=min(30, max(5, pdf[c].nunique())))
         assert list(got["count"]) == list(counts)
         assert list(got["lo"]) == list(edges[:-1]) and list(got["hi"]) == list(edges[1:])
+
+
+@pytest.mark.parametrize("spec,chart_type,columns", [
+    (ChartSpec("line", "date", "spend"), "Line", ["date", "spend"]),
+    (ChartSpec("area", "date", "revenue"), "Area", ["date", "revenue"]),
+    (ChartSpec("pie", x_column="category"), "Pie", ["value", "count", "share", "rank"]),
+    (ChartSpec("box", column="spend"), "Box",
+     ["n", "q1", "median", "q3", "whisker_lo", "whisker_hi", "fliers"]),
+    (ChartSpec("box", x_column="category", y_column="spend"), "Box",
+     ["category", "n", "q1", "median", "q3", "whisker_lo", "whisker_hi", "fliers"]),
+    (ChartSpec("histogram", x_column="spend"), "Histogram", ["bin", "lo", "hi", "count"]),
+    (ChartSpec("heatmap"), "Heatmap", ["column_a", "column_b", "r"]),
+])
+def test_chart_dispatch_every_type(messy_df, spec, chart_type, columns):
+    meta, frame = chart_data(messy_df, spec)
+    assert meta.chart_type == chart_type
+    assert frame.columns == columns
+    assert frame.count() > 0
+
+
+def test_custom_heatmap_keeps_empty_numeric_columns(spark):
+    df = spark.createDataFrame([(1.0, 2.0, None), (2.0, 1.0, None), (3.0, 5.0, None)], "a double, b double, e double")
+    _, frame = chart_data(df, ChartSpec("heatmap"))
+    got = {(r["column_a"], r["column_b"]): r["r"] for r in frame.collect()}
+    assert ("e", "a") in got and got[("e", "a")] is None

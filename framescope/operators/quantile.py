@@ -79,24 +79,18 @@ def _materialize(df: DataFrame, grouped: bool) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def _maybe_broadcast(df: DataFrame, grouped: bool) -> DataFrame:
-    # Without groups the bracket table has one row per value column: its
-    # size is bounded by the schema, so it is always safe to broadcast.
-    # With groups it grows with the number of groups; AQE then broadcasts it
-    # only when its measured size is under the broadcast threshold.
-    return df if grouped else F.broadcast(df)
-
-
-def _in_brackets(vals: DataFrame, brackets: DataFrame, keys: list[str], grouped: bool) -> DataFrame:
+def _in_brackets(vals: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
     """Each value joined to the bracket(s) of its (group, column) that
     contain it: an equi-join on the keys with a range condition (code
     generated; no per-row lambda). Output keeps the bracket as struct
-    ``t``."""
+    ``t``. The bracket table grows with the number of groups, so no
+    broadcast is forced: AQE broadcasts it when its measured size is under
+    the threshold and otherwise joins by key, splitting skewed keys."""
     b = brackets.select(*[F.col(k).alias(f"_b{k}") for k in keys],
                         F.struct(*[c for c in brackets.columns if c not in keys]).alias("t"))
     cond = [F.col(k) == F.col(f"_b{k}") for k in keys]
     cond.append(F.col("v").between(F.col("t.lo"), F.col("t.hi")))
-    joined = vals.join(_maybe_broadcast(b, grouped), cond)
+    joined = vals.join(b, cond)
     return joined.select(*keys, "v", "t")
 
 
@@ -170,7 +164,7 @@ def exact_quantiles(
         # two ranks of a quantile, or all ranks before the first pass) read
         # the same histogram.
         brackets = big.groupBy(*keys, "lo", "hi", "below", "cnt").agg(F.collect_list("rank").alias("ranks"))
-        hit = _in_brackets(vals, brackets.select(*keys, "lo", "hi"), keys, grouped)
+        hit = _in_brackets(vals, brackets.select(*keys, "lo", "hi"), keys)
         half_lo = F.col("t.lo") * 0.5
         scaled = (F.col("v") * 0.5 - half_lo) / (F.col("t.hi") * 0.5 - half_lo)
         bucket = F.least(F.floor(scaled * buckets), F.lit(buckets - 1)).cast("int")
@@ -181,7 +175,7 @@ def exact_quantiles(
         ).agg(F.count("v").alias("c"), F.min("v").alias("bmin"), F.max("v").alias("bmax"))
         info = brackets.select(*keys, F.col("lo").alias("old_lo"), F.col("hi").alias("old_hi"), "below",
                                F.col("cnt").alias("old_cnt"), "ranks")
-        hist = hist.join(_maybe_broadcast(info, grouped), keys + ["old_lo", "old_hi"])
+        hist = hist.join(info, keys + ["old_lo", "old_hi"])
         # at most ``buckets`` rows per window partition
         w = Window.partitionBy(*keys, "old_lo", "old_hi").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
         hist = hist.withColumn("cum", F.sum("c").over(w)).select("*", F.explode("ranks").alias("rank"))
@@ -203,7 +197,7 @@ def exact_quantiles(
     # Ranks that share a bracket (always the case before any refinement,
     # usually for the two ranks of one quantile) share one window.
     brackets = open_.groupBy(*keys, "lo", "hi", "below").agg(F.collect_list("rank").alias("ranks"))
-    hit = _in_brackets(vals, brackets, keys, grouped)
+    hit = _in_brackets(vals, brackets, keys)
     # Each window partition holds one bracket: at most ``final_rows`` rows.
     w = Window.partitionBy(*keys, "t.lo", "t.hi").orderBy("v")
     pos = F.col("t.below") + F.row_number().over(w) - 1

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canon import canonicalize
-from ..functions.classes import classify, shape_frame
+from ..functions.classes import classify, schema_frame, shape_frame
 from ..operators import charts, findings, quality, stats
 from ..operators.quantile import exact_quantiles
 from ..session import run_concurrently
@@ -29,6 +29,7 @@ from .chart_plan import PIE_PROBE, distinct_up_to, plan_aggs, plan_frame, plan_r
 @dataclass
 class Profile:
     shape: DataFrame
+    schema: DataFrame
     quality: DataFrame
     issues: DataFrame
     missing: DataFrame
@@ -107,6 +108,7 @@ def profile(df: DataFrame, with_charts: bool = True) -> Profile:
     plan = plan_frame(df, rows)
     prof = Profile(
         shape=shape_frame(df),
+        schema=schema_frame(df.sparkSession, df),
         quality=report,
         issues=quality.quality_issues(df, report),
         missing=missing,

@@ -67,3 +67,10 @@ def test_entry_smoke(spark):
 def test_every_query_runs_at_smallest_scale(spark, name):
     df = E.queries()[name](spark, "/root/testdata/sf0.001")
     assert df.count() >= 0
+
+
+def test_profile_reports_schema(messy_df):
+    prof = profile(messy_df, with_charts=False)
+    rows = prof.schema.orderBy("position").collect()
+    assert [r["column"] for r in rows] == messy_df.columns
+    assert [r["class"] for r in rows] == ["datetime", "categorical", "numeric", "numeric", "categorical"]

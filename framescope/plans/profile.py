@@ -66,11 +66,15 @@ def profile_report_from(describe: DataFrame, missing: DataFrame, outliers: DataF
 
 
 def profile(df: DataFrame, with_charts: bool = True) -> Profile:
+    """Every profile frame of ``df``. Shared facts are computed once
+    (eagerly, as small local relations); chart frames and findings stay
+    lazy frames over them. ``with_charts=False`` skips the chart frames."""
     df = canonicalize(df)
     small = findings.schema_bounded
     numeric = classify(df).numeric
     # ONE scan for every per-column fact: missing counts, numeric-looking
-    # text, moments, and the correlation centring facts.
+    # text, moments (which also give the correlation centring facts) and
+    # the chart plan's counts.
     row = df.agg(*quality.quality_fact_aggs(df), *stats.moment_aggs(numeric), *plan_aggs(df)).first()
     facts = quality.quality_facts_from_row(df, row)
     missing = facts[0]

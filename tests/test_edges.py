@@ -88,3 +88,17 @@ def test_dedup_with_map_and_dotted_columns(odd_df):
     doubled = odd_df.unionByName(odd_df)
     assert quality.duplicate_rows(doubled).first()["duplicates"] == 40
     assert quality.dedup_rows(doubled).count() == 40
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)),
+                          st.one_of(st.none(), st.sampled_from(["a", "b"])),
+                          st.sampled_from([0.0, -0.0, 1.5, float("nan")])),
+                min_size=0, max_size=60),
+       st.booleans())
+def test_duplicates_property(spark, monkeypatch, rows, force_full_grouping):
+    if force_full_grouping:
+        monkeypatch.setattr(quality, "DUPLICATE_CANDIDATES_BROADCAST", 0)
+    pdf = pd.DataFrame(rows, columns=["i", "s", "d"])
+    df = spark.createDataFrame(rows, "i int, s string, d double")
+    assert quality.duplicate_rows(df).first()["duplicates"] == int(pdf.duplicated().sum())

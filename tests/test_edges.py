@@ -102,3 +102,20 @@ def test_duplicates_property(spark, monkeypatch, rows, force_full_grouping):
     pdf = pd.DataFrame(rows, columns=["i", "s", "d"])
     df = spark.createDataFrame(rows, "i int, s string, d double")
     assert quality.duplicate_rows(df).first()["duplicates"] == int(pdf.duplicated().sum())
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.just(float("nan")), st.floats(-1e4, 1e4, allow_nan=False)),
+                min_size=1, max_size=80))
+def test_describe_property(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    s = pd.Series(values, dtype=float).dropna()
+    got = stats.describe(df).collect()
+    if s.empty:
+        assert got == []
+        return
+    r = got[0]
+    assert r["n"] == len(s)
+    for name, exp in (("mean", s.mean()), ("median", s.median()), ("min", s.min()), ("max", s.max()),
+                      ("std", s.std() if len(s) > 1 else 0.0)):
+        assert r[name] == pytest.approx(round(float(exp), 4), abs=2e-4)

@@ -119,3 +119,13 @@ def test_describe_property(spark, values):
     for name, exp in (("mean", s.mean()), ("median", s.median()), ("min", s.min()), ("max", s.max()),
                       ("std", s.std() if len(s) > 1 else 0.0)):
         assert r[name] == pytest.approx(round(float(exp), 4), abs=2e-4)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.sampled_from(["x", "y", "z", "w", "v", "u", "t"])), min_size=1, max_size=80))
+def test_top_values_property(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    got = [(r["value"], r["count"]) for r in stats.top_values(df).orderBy("rank").collect()]
+    vc = pd.Series(values, dtype=object).value_counts(dropna=True)
+    exp = sorted(vc.items(), key=lambda kv: (-kv[1], kv[0]))[:5]
+    assert got == [(k, int(v)) for k, v in exp]

@@ -72,8 +72,9 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, infer_
 def infer_column_types(df: DataFrame, infer_dates: bool = True) -> DataFrame:
     """Per text column, the narrowest of bigint / double / boolean /
     timestamp that every non-missing value casts to (``try_cast``), else
-    text. One aggregation decides all columns; the result is a lazy
-    projection."""
+    text; a column with no value at all becomes double, as a numeric
+    reader would type it. One aggregation decides all columns; the result
+    is a lazy projection."""
     cands = ["bigint", "double", "boolean"] + (["timestamp"] if infer_dates else [])
     aggs = []
     for i, c in enumerate(df.columns):
@@ -89,7 +90,9 @@ def infer_column_types(df: DataFrame, infer_dates: bool = True) -> DataFrame:
     out = []
     for i, c in enumerate(df.columns):
         chosen = None
-        if row[f"n_{i}"] > 0:
+        if row[f"n_{i}"] == 0:
+            chosen = "double"  # a column without any value reads as an empty number column
+        else:
             for t in cands:
                 if row[f"bad_{t}_{i}"] == 0:
                     chosen = t

@@ -78,3 +78,10 @@ def test_dates_kept_as_text_on_request(spark, tmp_path):
     path.write_text("day,v\n2024-01-01,1\n2024-01-02,2\n")
     assert dict(load_dataset(spark, str(path)).dtypes)["day"] == "timestamp"
     assert dict(load_dataset(spark, str(path), infer_dates=False).dtypes)["day"] == "string"
+
+
+def test_all_missing_csv_column_is_numeric(spark, tmp_path):
+    path = tmp_path / "e.csv"
+    path.write_text("a,empty\n1,\n2,NA\n")
+    df = load_dataset(spark, str(path))
+    assert dict(df.dtypes) == {"a": "bigint", "empty": "double"}

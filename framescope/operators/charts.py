@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canon import canonicalize, qcol
-from .quantile import exact_quantiles
+from .quantile import quantiles
 from .stats import correlation_matrix, top_values, value_counts
 
 # Chart limits.
@@ -200,7 +200,8 @@ def scatter_pairs(df: DataFrame, x: str, y: str, sample_fraction: float | None =
     return out
 
 
-def box_summary(df: DataFrame, column: str, by: str | None = None, decimals: int | None = 4) -> DataFrame:
+def box_summary(df: DataFrame, column: str, by: str | None = None, decimals: int | None = 4,
+                exact: bool = True) -> DataFrame:
     """``[by], n, q1, median, q3, whisker_lo, whisker_hi, fliers``.
 
     Whiskers sit at the furthest values within 1.5 IQR of the box (never
@@ -216,7 +217,7 @@ def box_summary(df: DataFrame, column: str, by: str | None = None, decimals: int
     base = base.where(F.col("v").isNotNull())
     if by:
         base = base.where(qcol(by).isNotNull())
-    q = exact_quantiles(base, ["v"], [0.25, 0.5, 0.75], group_cols=group)
+    q = quantiles(base, ["v"], [0.25, 0.5, 0.75], group_cols=group, exact=exact)
     qw = q.groupBy(*[qcol(g) for g in group]).agg(
         F.max(F.when(F.col("p") == 0.25, F.col("value"))).alias("q1"),
         F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("med"),

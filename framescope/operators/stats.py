@@ -92,7 +92,7 @@ def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def describe(df: DataFrame, decimals: int = 4, quantiles: DataFrame | None = None,
-             moment_frame: DataFrame | None = None) -> DataFrame:
+             moment_frame: DataFrame | None = None, exact: bool = True) -> DataFrame:
     """A1-A5: ``column, n, mean, median, std, min, max`` for every non-empty
     numeric column, rounded to ``decimals``. ``quantiles`` (column, p,
     value with p = 0.5) and ``moment_frame`` may be passed in when already
@@ -109,7 +109,8 @@ def describe(df: DataFrame, decimals: int = 4, quantiles: DataFrame | None = Non
     if quantiles is None:
         # count/min/max from the moments feed the quantile job's first pass
         known = {r["column"]: (r["n"], r["min"], r["max"]) for r in moment_frame.collect()}
-        quantiles = exact_quantiles(df, num, [0.5], known=known)
+        quantiles = (exact_quantiles(df, num, [0.5], known=known) if exact
+                     else _quantiles(df, num, [0.5], exact=False))
     q = quantiles
     med = q.where(F.col("p") == 0.5).select("column", F.col("value").alias("median"))
     r = lambda c: F.round(c, decimals)

@@ -185,3 +185,15 @@ def test_wide_table_all_columns_with_missing_values(spark):
     exp = pdf.corr()
     for (a, b), r in got.items():
         assert r == pytest.approx(exp.loc[a, b], abs=1e-9)
+
+
+def test_approximate_describe_and_box(spark):
+    from framescope.operators import charts
+
+    rng = np.random.default_rng(23)
+    pdf = pd.DataFrame({"v": rng.normal(10, 2, 4000), "g": rng.choice(["a", "b"], 4000)})
+    df = spark.createDataFrame(pdf)
+    d = stats.describe(df, exact=False).first()
+    assert d["median"] == pytest.approx(pdf.v.median(), abs=0.02)
+    b = {r["g"]: r for r in charts.box_summary(df, "v", by="g", exact=False).collect()}
+    assert b["a"]["median"] == pytest.approx(pdf[pdf.g == "a"].v.median(), abs=0.05)

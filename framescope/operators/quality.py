@@ -236,6 +236,8 @@ def quality_fact_aggs(df: DataFrame) -> list[Column]:
 
 
 def quality_facts_from_row(df: DataFrame, row) -> tuple[DataFrame, DataFrame]:
+    """(missing counts, numeric-looking text) frames from an aggregation row
+    holding :func:`quality_fact_aggs`."""
     cols = df.columns
     text_cols = classify(df).categorical
     spark = df.sparkSession

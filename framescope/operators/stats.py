@@ -70,6 +70,8 @@ def moment_aggs(cols: Sequence[str]) -> list[Column]:
 
 
 def moments_from_row(df: DataFrame, cols: Sequence[str], row) -> DataFrame:
+    """The moments frame built from an aggregation row holding
+    :func:`moment_aggs`."""
     pos = {c: i for i, c in enumerate(df.columns)}
     rows = []
     for i, c in enumerate(cols):
@@ -133,6 +135,7 @@ def column_fact_aggs(cols: Sequence[str]) -> list[Column]:
 
 
 def column_facts_from_row(cols: Sequence[str], row) -> tuple:
+    """(rows, non-missing counts, means, varies) from :func:`column_fact_aggs`."""
     return (row["pf_n"], {c: row[f"pf_c{i}"] for i, c in enumerate(cols)},
             {c: row[f"pf_m{i}"] for i, c in enumerate(cols)},
             {c: bool(row[f"pf_v{i}"]) for i, c in enumerate(cols)})

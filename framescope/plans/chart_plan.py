@@ -98,11 +98,13 @@ def pie_candidates_up_to(df: DataFrame) -> dict[str, int]:
 
 
 def plan_rows(df: DataFrame) -> list[tuple]:
+    """The plan rows of a table: one facts aggregation plus the pie probe."""
     df = canonicalize(df)
     return plan_rows_from(df, df.agg(*plan_aggs(df)).first(), pie_candidates_up_to(df))
 
 
 def plan_frame(df: DataFrame, rows: list[tuple]) -> DataFrame:
+    """Plan rows as a small local frame (``PLAN_SCHEMA``)."""
     return df.sparkSession.createDataFrame(rows, PLAN_SCHEMA)
 
 

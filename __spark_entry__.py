@@ -8,6 +8,7 @@ names on both sides.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import uuid
 from collections.abc import Callable
@@ -24,6 +25,11 @@ from framescope.session import ensure_checkpoint_dir
 from framescope.sources.files import load_dataset
 from framescope.sources.sinks import write_result
 
+if importlib.util.find_spec("framescope.llm") and importlib.util.find_spec("corpus_pipeline"):
+    from framescope.llm import registry as corpus
+else:  # the corpus operators are an optional part
+    corpus = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -406,7 +412,7 @@ def _q_messy(fn):
     return lambda spark, d: fn(messy_lineitem(spark, d))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def _table_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     t = _t
     return {
         # shape and classes
@@ -519,7 +525,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
+def _table_oracle_sql() -> dict[str, str]:
     m = _with(MESSY_SQL)
     corr = _with(CORRELATED_SQL)
     return {
@@ -766,6 +772,14 @@ def oracle_sql() -> dict[str, str]:
     }
 
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _table_queries() | (corpus.queries() if corpus else {})
+
+
+def oracle_sql() -> dict[str, str]:
+    return _table_oracle_sql() | (corpus.oracle_sql() if corpus else {})
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the end-to-end profile of lineitem at sf0.001, as its long
     report ``section, column, metric, value`` (descriptive statistics,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framescope.llm import decontaminate, rules
+from framescope.llm import decontaminate, html, quality, rules, secrets, toxicity, warc
 from framescope.llm.common import small_batches
 
 
@@ -14,20 +14,50 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return html.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return secrets.scanned(_table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return warc.round_trip(spark, _table(spark, sf_dir, "pages")).drop("url")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("strength")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_main_text": op1_main_text,
         "op3_decontaminate": op3_decontaminate,
+        "op5_secrets": op5_secrets,
+        "op6_quality": op6_quality,
+        "op8_warc": op8_warc,
         "op9_quality_rules": op9_quality_rules,
+        "op10_toxicity": op10_toxicity,
     }
 
 
@@ -86,5 +116,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m JOIN host ON m.source IS NOT DISTINCT FROM host.source"""
 
 
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+k AS (SELECT payload_digest, max(page_id) AS keeper FROM d WHERE payload_bytes >= 1000
+      GROUP BY payload_digest HAVING count(*) > 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
+FROM d LEFT JOIN k USING (payload_digest)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op8_warc": OP8_SQL, "op9_quality_rules": OP9_SQL}

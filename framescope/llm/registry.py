@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framescope.llm import decontaminate, html, quality, rules, secrets, toxicity, warc
+from framescope.llm import decontaminate, html, lm, quality, rules, secrets, simhash, toxicity, warc
 from framescope.llm.common import small_batches
 
 
@@ -19,11 +19,19 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.scored(_table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return secrets.scanned(_table(spark, sf_dir, "documents"))
@@ -52,7 +60,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
+        "op2_lm_score": op2_lm_score,
         "op3_decontaminate": op3_decontaminate,
+        "op4_simhash": op4_simhash,
         "op5_secrets": op5_secrets,
         "op6_quality": op6_quality,
         "op8_warc": op8_warc,

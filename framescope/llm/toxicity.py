@@ -56,17 +56,26 @@ _LEET = re.compile(r"(?<![^\W_])(?=[\d@$!]*[^\W\d_])(?:[^\W_]|[@$!](?=[^\W_]))+"
 _LEET_TABLE = str.maketrans(DIGITS | SIGNS)
 _MARKS = re.compile(r"[̀-ͯ]+")
 _GAPS = re.compile(r"[\W\d_]+")
+_OTHER = re.compile(r"[^\x00-\x7f\u0300-\u036f]")
+_LEET_BYTES = b"0123456789@$!"
+_LETTERS = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
 _HAS_LEET = re.compile(r"[^\W\d_][\d@$!]|[\d@$!][^\W\d_]")
 
 
 def fold(text: str | None) -> str:
     """Folded words between single spaces, with a space at either end."""
-    t = text or ""
+    t = (text or "").lower()
     if not t.isascii():
-        t = unicodedata.normalize("NFKD", t).lower().translate(_TABLE)
-        t = _MARKS.sub("", t)
-    else:
-        t = t.lower()
+        t = unicodedata.normalize("NFKD", t.replace("ß", "ss")).lower()
+        if _OTHER.search(t):
+            return _fold_any(_MARKS.sub("", t.translate(_TABLE)))
+    raw = t.encode("ascii", "ignore")  # what goes are combining marks
+    if len(raw.translate(None, _LEET_BYTES)) < len(raw) and _HAS_LEET.search(t := raw.decode()):
+        return _fold_any(t)
+    return f" {b' '.join(raw.translate(_LETTERS).split()).decode()} "
+
+
+def _fold_any(t: str) -> str:
     if _HAS_LEET.search(t):
         t = _LEET.sub(lambda m: m[0].translate(_LEET_TABLE), t)
     return f" {_GAPS.sub(' ', t).strip()} "

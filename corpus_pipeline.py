@@ -1 +1,60 @@
-"""The corpus pipeline (stages follow with their operators)."""
+"""The corpus pipeline: quality, near-duplicates, decontamination, secrets,
+mixing. Every stage takes the documents its predecessor kept and returns
+their columns; the last adds each copy's rate and number."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from framescope.llm import decontaminate, mixing, quality, secrets, simhash
+from framescope.llm.common import shared_folder, small_batches
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    small_batches(spark)
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (4-word shingles, at
+    most 4 differing bits)."""
+    return simhash.keep_one(docs, simhash.SHINGLE, simhash.BITS)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by the name of the kind."""
+    small_batches(spark)
+    return secrets.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to the target domain weights."""
+    return mixing.mixed(docs)
+
+
+STAGES = [
+    ("quality classifier", good),
+    ("SimHash near-dedup", distinct),
+    ("benchmark decontamination", clean),
+    ("secret scans", redacted),
+    ("mixing sources to target weights", mixed),
+]
+
+#: The stages' models cannot be stated in SQL; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's rows are written and reread."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        path = shared_folder(spark, f"pipeline-{i}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

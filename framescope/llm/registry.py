@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framescope.llm import decontaminate, html, lm, quality, rules, secrets, simhash, toxicity, warc
+import corpus_pipeline
+from framescope.llm import decontaminate, html, lm, mixing, quality, rules, secrets, simhash, toxicity, warc
 from framescope.llm.common import small_batches
 
 
@@ -42,6 +43,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.domain_totals(_table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return warc.round_trip(spark, _table(spark, sf_dir, "pages")).drop("url")
@@ -65,9 +70,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_secrets": op5_secrets,
         "op6_quality": op6_quality,
+        "op7_mixing": op7_mixing,
         "op8_warc": op8_warc,
         "op9_quality_rules": op9_quality_rules,
         "op10_toxicity": op10_toxicity,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -138,4 +145,5 @@ FROM d LEFT JOIN k USING (payload_digest)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op8_warc": OP8_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op8_warc": OP8_SQL, "op9_quality_rules": OP9_SQL} | (
+        {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

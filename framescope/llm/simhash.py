@@ -327,8 +327,8 @@ def components(documents: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     rooted = prints.join(roots, prints["fp"] == roots["a"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
     rooted = written(rooted, "simhash-rooted")
-    ids = (rooted.join(rooted.where("linked").select("root").distinct(), "root", "left_semi")
-           .groupBy(F.col("root").alias("r")).agg(F.min("least").alias("id")))
+    least = rooted.where("linked").groupBy(F.col("root").alias("r")).agg(F.min("least").alias("m"))
+    ids = least.join(prints, F.col("r") == F.col("fp")).select("r", F.least("m", "least").alias("id"))
     named = rooted.join(ids, F.col("root") == F.col("r"), "left").select(
         F.col("fp").alias("f"), "root", F.coalesce("id", "least").alias("component_id"))
     return table.join(named, F.col("fp") == F.col("f"), "left").select("doc_id", "tk", "fp", "root", "component_id")

@@ -298,7 +298,8 @@ def star_rounds(edges: DataFrame) -> DataFrame:
     state = mark(now)
     while state[0]:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        # written, so that both sides of the join are plain exchanges: a hub's many edges can be split
+        least = written(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "star-least")
         large = (both.join(least, F.col("a") == F.col("u")).where("b > a")
                  .select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct())
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))

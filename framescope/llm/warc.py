@@ -103,8 +103,9 @@ def _whole(value: str | None) -> int | None:
 
 def _inflated(source) -> Iterator[bytes]:
     """The content of a gzip file of any number of members, in chunks."""
-    gz = zlib.decompressobj(GZIP)
+    gz, seen = zlib.decompressobj(GZIP), False
     while block := source.read(CHUNK):
+        seen = True
         while block:
             if gz.eof:
                 gz = zlib.decompressobj(GZIP)
@@ -114,6 +115,8 @@ def _inflated(source) -> Iterator[bytes]:
             block = gz.unconsumed_tail or gz.unused_data
     while data := gz.decompress(gz.unconsumed_tail, CHUNK):
         yield data
+    if seen and not gz.eof:
+        raise ValueError("the archive ends inside its gzip stream")
 
 
 def _fields(head: bytes) -> dict[str, str]:

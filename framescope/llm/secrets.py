@@ -35,7 +35,7 @@ KINDS = ("assign", "access", "hex", "markov")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
-LEAST, PER_CHAR = 16, 1.8
+LEAST, PER_CHAR = 16, 1.3
 #: Pseudo-count of each transition between characters of tokens.
 SMOOTH = 2.0
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"

@@ -103,22 +103,3 @@ def schema_frame(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.createDataFrame(
         rows, "position int, column string, dtype string, class string"
     )
-
-
-def columns_with_few_values(df: DataFrame, columns: list[str], limit: int, probe_rows: int = 5_000) -> list[str]:
-    """The columns that may hold at most ``limit`` distinct values.
-
-    A first slice of rows (``take`` reads partitions incrementally) that
-    already shows more than ``limit`` distinct values proves a column has
-    many; only the other columns need an exact look.
-    """
-    if not columns:
-        return []
-    from ..functions.canon import qcol
-
-    seen = [set() for _ in columns]
-    for r in df.select(*[qcol(c) for c in columns]).take(probe_rows):
-        for i, v in enumerate(r):
-            if v is not None:
-                seen[i].add(v)
-    return [c for i, c in enumerate(columns) if len(seen[i]) <= limit]

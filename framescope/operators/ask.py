@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.canon import canonicalize, qcol
-from .quantile import exact_quantiles
+from .quantile import grouped_quantiles
 
 # Result caps.
 TABLE_ROWS = 20
@@ -23,35 +23,40 @@ RESULT_ROWS = 200
 DECIMALS = 4
 
 
-def sum_by_group(df: DataFrame, group: str, value: str, limit: int | None = TABLE_ROWS) -> DataFrame:
-    """K1: ``[group, value]`` = total of ``value`` per group (an all-missing
-    group totals 0), ordered by the group key, first ``limit`` rows."""
+def total(df: DataFrame, value: str) -> Column:
+    """Sum of a column, 0 without values. Integers are summed as
+    ``decimal(38,0)``, so no table overflows the total."""
+    t = df.schema[value].dataType
+    c = qcol(value)
+    if isinstance(t, T.IntegralType):
+        c, kind = c.cast("decimal(28,0)"), "decimal(38,0)"
+    elif isinstance(t, T.DecimalType):
+        kind = f"decimal({min(38, t.precision + 10)},{t.scale})"
+    else:
+        kind = "double"
+    return F.coalesce(F.sum(c), F.lit(0).cast(kind))
+
+
+def _totals(df: DataFrame, group: Column, value: str) -> DataFrame:
+    """``_g, _t``: total of a column per group that is not null."""
     df = canonicalize(df)
-    out = (
-        df.where(qcol(group).isNotNull())
-        .groupBy(qcol(group).alias(group))
-        .agg(F.coalesce(F.sum(qcol(value)), F.lit(0).cast(_sum_type(df, value))).alias(value))
-        .orderBy(qcol(group))
-    )
-    return out.limit(limit) if limit is not None else out
+    return df.where(group.isNotNull()).groupBy(group.alias("_g")).agg(total(df, value).alias("_t"))
 
 
-def _sum_type(df: DataFrame, value: str) -> str:
-    t = df.schema[value].dataType
-    if isinstance(t, (T.FloatType, T.DoubleType)):
-        return "double"
-    if isinstance(t, T.DecimalType):
-        return t.simpleString()
-    return "bigint"
+def sum_by_group(df: DataFrame, group: str, value: str, limit: int | None = TABLE_ROWS) -> DataFrame:
+    """K1: ``[group, value]`` = total of ``value`` per group (an all-missing
+    group totals 0), ordered by the group key, first ``limit`` rows."""
+    out = _totals(df, qcol(group), value).orderBy("_g")
+    out = out.limit(limit) if limit is not None else out
+    return out.select(F.col("_g").alias(group), F.col("_t").alias(value))
 
 
 def count_by_group(df: DataFrame, group: str, limit: int = TABLE_ROWS) -> DataFrame:
     """K2 / K9: ``[group, count]``, most frequent first (ties: key asc)."""
-    df = canonicalize(df)
-    counts = df.where(qcol(group).isNotNull()).groupBy(qcol(group).alias(group)).agg(
-        F.count(F.lit(1)).alias("count")
-    )
-    return counts.orderBy(F.col("count").desc(), qcol(group).asc()).limit(limit)
+    counts = canonicalize(df).where(qcol(group).isNotNull()).groupBy(qcol(group).alias("_g")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    return counts.orderBy(F.col("_n").desc(), F.col("_g").asc()).limit(limit).select(
+        F.col("_g").alias(group), F.col("_n").alias("count"))
 
 
 top_n_values = count_by_group
@@ -60,10 +65,8 @@ top_n_values = count_by_group
 def argmax_group(df: DataFrame, group: str, value: str) -> DataFrame:
     """K3: the group with the highest total ``value`` (ties: smallest key):
     ``[group, total]``."""
-    totals = sum_by_group(df, group, value, limit=None)
-    return totals.orderBy(F.col(value).desc(), qcol(group).asc()).limit(1).select(
-        qcol(group), F.col(value).alias("total")
-    )
+    return _totals(df, qcol(group), value).orderBy(F.col("_t").desc(), F.col("_g").asc()).limit(1).select(
+        F.col("_g").alias(group), F.col("_t").alias("total"))
 
 
 def _scalar(df: DataFrame, expr: Column) -> DataFrame:
@@ -112,18 +115,12 @@ def rows_above(df: DataFrame, column: str, threshold: float) -> DataFrame:
 def best_month(df: DataFrame, date_col: str, value: str) -> DataFrame:
     """Calendar month (``yyyy-MM``) with the highest total ``value``:
     ``month, total``."""
-    df = canonicalize(df)
     month = F.date_format(qcol(date_col), "yyyy-MM")
-    totals = (
-        df.where(qcol(date_col).isNotNull())
-        .groupBy(month.alias("month"))
-        .agg(F.coalesce(F.sum(qcol(value)), F.lit(0).cast(_sum_type(df, value))).alias("total"))
-    )
-    return totals.orderBy(F.col("total").desc(), F.col("month").asc()).limit(1)
+    return _totals(df, month, value).orderBy(F.col("_t").desc(), F.col("_g").asc()).limit(1).select(
+        F.col("_g").alias("month"), F.col("_t").alias("total"))
 
 
 _AGGS = {
-    "sum": lambda c: F.sum(c),
     "mean": lambda c: F.avg(c),
     "min": lambda c: F.min(c),
     "max": lambda c: F.max(c),
@@ -141,24 +138,29 @@ def group_agg(df: DataFrame, keys: Sequence[str], value: str, agg: str = "sum")
     kept = df
     for k in keys:
         kept = kept.where(qcol(k).isNotNull())
+    names = [f"_g{i}" for i in range(len(keys))]
+    own = [F.col(n).alias(k) for n, k in zip(names, keys)]
+    groups = kept.groupBy(*[qcol(k).alias(n) for k, n in zip(keys, names)])
     if agg == "median":
-        q = exact_quantiles(kept, [value], [0.5], group_cols=keys)
-        present = kept.groupBy(*[qcol(k).alias(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-        return present.join(q, keys, "left").select(*[qcol(k) for k in keys], F.col("value").alias(value))
-    if agg not in _AGGS:
+        q = grouped_quantiles(kept, [value], [0.5], keys)
+        present = groups.agg(F.count(F.lit(1)).alias("_n"))
+        return present.join(q, names, "left").select(*own, F.col("_q0_0").alias(value))
+    if agg != "sum" and agg not in _AGGS:
         raise ValueError(f"Unsupported aggregation: '{agg}'.")
-    expr = _AGGS[agg](qcol(value))
-    if agg == "sum":
-        expr = F.coalesce(expr, F.lit(0).cast(_sum_type(df, value)))
-    return kept.groupBy(*[qcol(k).alias(k) for k in keys]).agg(expr.alias(value))
+    expr = total(df, value) if agg == "sum" else _AGGS[agg](qcol(value))
+    return groups.agg(expr.alias("_a")).select(*own, F.col("_a").alias(value))
 
 
 def capped(df: DataFrame, order_by: Sequence[str], cap: int = RESULT_ROWS) -> DataFrame:
-    """The first ``cap`` rows by ``order_by`` plus ``truncated``
-    (true when more rows exist). Only ``cap + 1`` rows are ever asked for."""
-    probe = df.orderBy(*[qcol(c) for c in order_by]).limit(cap + 1)
-    more = probe.agg(F.count(F.lit(1)) > cap).scalar()
-    return df.orderBy(*[qcol(c) for c in order_by]).limit(cap).select("*", more.alias("truncated"))
+    """The first ``cap`` rows by ``order_by`` plus ``truncated`` (true
+    when more rows exist): ``cap + 1`` rows are taken once and counted."""
+    order = [qcol(c) for c in order_by]
+    row = F.struct(*[qcol(c).alias(c) for c in df.columns]).alias("_r")
+    taken = df.orderBy(*order).limit(cap + 1).select(row, F.row_number().over(Window.orderBy(*order)).alias("_i"))
+    # both windows see the cap + 1 rows only
+    more = F.count(F.lit(1)).over(Window.partitionBy()) > cap
+    return taken.select("_r", "_i", more.alias("_m")).where(F.col("_i") <= cap).select(
+        *[F.col("_r").getField(c).alias(c) for c in df.columns], F.col("_m").alias("truncated"))
 
 
 def shape_result(df: DataFrame, decimals: int = DECIMALS) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canon import canonicalize, qcol
-from .quantile import quantiles
-from .stats import correlation_matrix, top_values, value_counts
+from .quantile import grouped_quantiles, quantiles
+from .stats import correlation_matrix, exact_distinct, top_values, value_counts
 
 # Chart limits.
 HIST_MIN_BINS = 5
@@ -24,7 +24,17 @@ BAR_TOP = 10
 BAR_MEAN_TOP = 15
 PIE_TOP = 8
 BOX_WHISKER = 1.5
-DISTINCT_PROBE_ROWS = 5_000
+
+
+#: A sketched distinct count this many times a limit is certainly above it.
+CERTAINLY_MANY = 2
+
+
+def finite(column: str) -> Column:
+    """A column's finite values; infinities have no place on an axis and are
+    left out of the bins."""
+    v = qcol(column).cast("double")
+    return F.when(F.abs(v) < F.lit(float("inf")), v)
 
 
 def histograms(df: DataFrame, columns: Sequence[str], bins: int | None = None) -> DataFrame:
@@ -45,26 +55,16 @@ def histograms(df: DataFrame, columns: Sequence[str], bins: int | None = None) -
     cols = list(columns)
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, bin int, lo double, hi double, count bigint")
-    vals = {c: qcol(c).cast("double") for c in cols}
+    vals = {c: finite(c) for c in cols}
     # The bin count needs the exact number of distinct values only below 30:
-    # any 30 distinct values seen in a first slice of rows (``take`` reads
-    # partitions incrementally) prove "30 or more". Only the other columns
-    # get an exact distributed distinct count, cheap for them since partial
-    # aggregation collapses their few values.
-    wide = set()
-    if bins is None and cols:
-        seen = [set() for _ in cols]
-        for r in df.select(*[vals[c] for c in cols]).take(DISTINCT_PROBE_ROWS):
-            for i, v in enumerate(r):
-                if v is not None:
-                    seen[i].add(v)
-        wide = {c for i, c in enumerate(cols) if len(seen[i]) >= HIST_MAX_BINS}
+    # the sketch in the range scan tells which columns certainly have more.
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.min(vals[c]).alias(f"mn{i}"), F.max(vals[c]).alias(f"mx{i}"), F.count(vals[c]).alias(f"n{i}")]
-        if bins is None and c not in wide:
-            aggs.append(F.count_distinct(vals[c]).alias(f"d{i}"))
+        aggs += [F.min(vals[c]).alias(f"mn{i}"), F.max(vals[c]).alias(f"mx{i}"), F.count(vals[c]).alias(f"n{i}"),
+                 F.approx_count_distinct(vals[c]).alias(f"a{i}")]
     row = df.agg(*aggs).first()
+    few = [c for i, c in enumerate(cols) if bins is None and row[f"a{i}"] < CERTAINLY_MANY * HIST_MAX_BINS]
+    distinct = exact_distinct(df.select(*[vals[c].alias(c) for c in few]), few)
     spec = []  # (column index, lo, hi, nb)
     for i, c in enumerate(cols):
         if not row[f"n{i}"]:
@@ -74,10 +74,8 @@ def histograms(df: DataFrame, columns: Sequence[str], bins: int | None = None) -
             lo, hi = lo - 0.5, hi + 0.5
         if bins is not None:
             nb = int(bins)
-        elif c in wide:
-            nb = HIST_MAX_BINS
         else:
-            nb = min(HIST_MAX_BINS, max(HIST_MIN_BINS, row[f"d{i}"]))
+            nb = min(HIST_MAX_BINS, max(HIST_MIN_BINS, distinct.get(c, HIST_MAX_BINS)))
         spec.append((i, lo, hi, nb))
     frame_rows = []
     for i, lo, hi, nb in spec:
@@ -134,13 +132,13 @@ def bar_mean_by_category(df: DataFrame, x: str, y: str, k: int = BAR_MEAN_TOP, d
     highest: ``x, mean_y, rank``. A group whose ``y`` is all missing has no
     mean and sorts last."""
     df = canonicalize(df)
-    g = df.where(qcol(x).isNotNull()).groupBy(qcol(x).alias(x)).agg(F.avg(qcol(y)).alias("mean_y"))
-    order = [F.col("mean_y").desc_nulls_last(), qcol(x).asc()]
+    g = df.where(qcol(x).isNotNull()).groupBy(qcol(x).alias("_x")).agg(F.avg(qcol(y)).alias("_m"))
+    order = [F.col("_m").desc_nulls_last(), F.col("_x").asc()]
     top = g.orderBy(*order).limit(k)
     # a window over the k kept rows only
     w = Window.orderBy(*order)
-    m = F.round("mean_y", decimals) if decimals is not None else F.col("mean_y")
-    return top.select(qcol(x), m.alias("mean_y"), F.row_number().over(w).alias("rank"))
+    m = F.round("_m", decimals) if decimals is not None else F.col("_m")
+    return top.select(F.col("_x").alias(x), m.alias("mean_y"), F.row_number().over(w).alias("rank"))
 
 
 def pie_shares(df: DataFrame, column: str, k: int = PIE_TOP) -> DataFrame:
@@ -152,15 +150,22 @@ def pie_shares(df: DataFrame, column: str, k: int = PIE_TOP) -> DataFrame:
     return vc.select("value", "count", F.round(F.col("count") * 100.0 / total, 1).alias("share"), "rank")
 
 
+def columns_with_few_values(df: DataFrame, columns: Sequence[str], limit: int) -> list[str]:
+    """The columns that may hold at most ``limit`` distinct values: those
+    whose sketched number (one aggregation) is not certainly above it."""
+    if not columns:
+        return []
+    row = canonicalize(df).agg(*[F.approx_count_distinct(qcol(c)).alias(f"a{i}") for i, c in enumerate(columns)]).first()
+    return [c for i, c in enumerate(columns) if row[f"a{i}"] <= CERTAINLY_MANY * limit + 2]
+
+
 def auto_pie_column(df: DataFrame, categorical: Sequence[str]) -> str | None:
     """First text column with 2..8 distinct values. Read off a per-column
     top-9 of the values (exact up to 8, "more" at 9), so no column's
     distinct values are counted in full."""
     if not categorical:
         return None
-    from ..functions.classes import columns_with_few_values
-
-    few = columns_with_few_values(canonicalize(df), list(categorical), PIE_TOP)
+    few = columns_with_few_values(df, categorical, PIE_TOP)
     if not few:
         return None
     top9 = top_values(df, few, k=PIE_TOP + 1)
@@ -177,27 +182,20 @@ def pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(qcol(x), qcol(y)).where(qcol(x).isNotNull() & qcol(y).isNotNull())
 
 
-def line_series(df: DataFrame, x: str, y: str, sample_fraction: float | None = None) -> DataFrame:
+def line_series(df: DataFrame, x: str, y: str) -> DataFrame:
     """Complete (x, y) pairs sorted by x (a range-partitioned
-    sort; no single-task ordering). ``sample_fraction`` thins the points for
-    display; by default every pair is kept."""
-    p = pairs(df, x, y)
-    if sample_fraction is not None:
-        p = p.sample(fraction=sample_fraction, seed=0)
-    return p.orderBy(qcol(x))
+    sort; no single-task ordering)."""
+    return pairs(df, x, y).orderBy(qcol(x))
 
 
 trend_series = line_series
 area_series = line_series
 
 
-def scatter_pairs(df: DataFrame, x: str, y: str, sample_fraction: float | None = None) -> DataFrame:
+def scatter_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     """(x, y) as they are (missing values kept, as the scatter
-    call receives them). ``sample_fraction`` thins points for display."""
-    out = canonicalize(df).select(qcol(x), qcol(y))
-    if sample_fraction is not None:
-        out = out.sample(fraction=sample_fraction, seed=0)
-    return out
+    call receives them)."""
+    return canonicalize(df).select(qcol(x), qcol(y))
 
 
 def box_summary(df: DataFrame, column: str, by: str | None = None, decimals: int | None = 4,
@@ -212,50 +210,45 @@ def box_summary(df: DataFrame, column: str, by: str | None = None, decimals: int
     through an equi-join on the group key (one quartile row per group).
     """
     df = canonicalize(df)
-    group = [by] if by else []
-    base = df.select(*[qcol(g).alias(g) for g in group], qcol(column).cast("double").alias("v"))
-    base = base.where(F.col("v").isNotNull())
+    probs = [0.25, 0.5, 0.75]
+    # internal names carry no names of the table
+    base = df.select(*([qcol(by).alias("_g0")] if by else []), qcol(column).cast("double").alias("_v"))
+    base = base.where(F.col("_v").isNotNull())
+    v = F.col("_v")
     if by:
-        base = base.where(qcol(by).isNotNull())
-    q = quantiles(base, ["v"], [0.25, 0.5, 0.75], group_cols=group, exact=exact)
-    qw = q.groupBy(*[qcol(g) for g in group]).agg(
-        F.max(F.when(F.col("p") == 0.25, F.col("value"))).alias("q1"),
-        F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("med"),
-        F.max(F.when(F.col("p") == 0.75, F.col("value"))).alias("q3"),
-    )
-    if group:
-        joined = base.join(qw, group)
-        q1, med, q3 = F.col("q1"), F.col("med"), F.col("q3")
-        keys = [qcol(g) for g in group] + ["q1", "med", "q3"]
+        base = base.where(F.col("_g0").isNotNull())
+        if exact:
+            qw = grouped_quantiles(base, ["_v"], probs, ["_g0"]).select(
+                F.col("_g0").alias("_k"), *[F.col(f"_q0_{j}").alias(n) for j, n in enumerate(("_a", "_m", "_z"))])
+        else:
+            qw = base.groupBy(F.col("_g0").alias("_k")).agg(F.percentile_approx("_v", probs).alias("_q")).select(
+                "_k", *[F.col("_q")[j].alias(n) for j, n in enumerate(("_a", "_m", "_z"))])
+        joined = base.join(qw, F.col("_g0") == F.col("_k"))
+        keys = ["_g0", "_a", "_m", "_z"]
     else:
         # three values: read them and use them as literals
-        qrow = qw.first()
-        if qrow is None or qrow["q1"] is None:
+        q = {r["p"]: r["value"] for r in quantiles(base, ["_v"], probs, exact=exact).collect()}
+        if not q:
             return df.sparkSession.createDataFrame(
                 [], "n bigint, q1 double, median double, q3 double, whisker_lo double, whisker_hi double, "
                     "fliers bigint")
-        joined = base
-        q1, med, q3 = F.lit(qrow["q1"]), F.lit(qrow["med"]), F.lit(qrow["q3"])
-        keys = []
-    iqr = q3 - q1
-    lov, hiv = q1 - BOX_WHISKER * iqr, q3 + BOX_WHISKER * iqr
-    v = F.col("v")
+        joined = base.select("_v", *[F.lit(q[p]).alias(n) for p, n in zip(probs, ("_a", "_m", "_z"))])
+        keys = ["_a", "_m", "_z"]
+    iqr = F.col("_z") - F.col("_a")
+    lov, hiv = F.col("_a") - BOX_WHISKER * iqr, F.col("_z") + BOX_WHISKER * iqr
     agg = joined.groupBy(*keys).agg(
-        F.count(v).alias("n"),
-        F.max(F.when(v <= hiv, v)).alias("hi_in"),
-        F.min(F.when(v >= lov, v)).alias("lo_in"),
-        F.count_if((v < lov) | (v > hiv)).alias("fliers"),
+        F.count(v).alias("_n"),
+        F.max(F.when(v <= hiv, v)).alias("_hi"),
+        F.min(F.when(v >= lov, v)).alias("_lo"),
+        F.count_if((v < lov) | (v > hiv)).alias("_f"),
     )
-    if not group:
-        agg = agg.where(F.col("n") > 0).select(
-            "*", q1.alias("q1"), med.alias("med"), q3.alias("q3"))
-    wl = F.when(F.col("lo_in").isNull() | (F.col("lo_in") > F.col("q1")), F.col("q1")).otherwise(F.col("lo_in"))
-    wh = F.when(F.col("hi_in").isNull() | (F.col("hi_in") < F.col("q3")), F.col("q3")).otherwise(F.col("hi_in"))
+    wl = F.when(F.col("_lo").isNull() | (F.col("_lo") > F.col("_a")), F.col("_a")).otherwise(F.col("_lo"))
+    wh = F.when(F.col("_hi").isNull() | (F.col("_hi") < F.col("_z")), F.col("_z")).otherwise(F.col("_hi"))
     r = (lambda c: F.round(c, decimals)) if decimals is not None else (lambda c: c)
     return agg.select(
-        *[qcol(g) for g in group], "n",
-        r(F.col("q1")).alias("q1"), r(F.col("med")).alias("median"), r(F.col("q3")).alias("q3"),
-        r(wl).alias("whisker_lo"), r(wh).alias("whisker_hi"), "fliers",
+        *([F.col("_g0").alias(by)] if by else []), F.col("_n").alias("n"),
+        r(F.col("_a")).alias("q1"), r(F.col("_m")).alias("median"), r(F.col("_z")).alias("q3"),
+        r(wl).alias("whisker_lo"), r(wh).alias("whisker_hi"), F.col("_f").alias("fliers"),
     )
 
 

@@ -31,9 +31,18 @@ NUMERIC_TEXT_TEXT = "Convert text-formatted numeric column(s) to numeric type: {
 NO_ISSUES_TEXT = "No major data quality issues detected."
 
 
+def _holds_map(t: T.DataType) -> bool:
+    if isinstance(t, T.MapType):
+        return True
+    if isinstance(t, T.StructType):
+        return any(_holds_map(f.dataType) for f in t.fields)
+    return isinstance(t, T.ArrayType) and _holds_map(t.elementType)
+
+
 def _groupable(df: DataFrame, name: str) -> Column:
-    """Map columns cannot be grouped or compared; use their JSON text."""
-    if isinstance(df.schema[name].dataType, T.MapType):
+    """Values that are or hold a map cannot be grouped, compared or hashed;
+    use their JSON text."""
+    if _holds_map(df.schema[name].dataType):
         return F.to_json(qcol(name)).alias(name)
     return qcol(name)
 
@@ -98,14 +107,11 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
     return df.select(*[qcol(c) for c in keep])
 
 
-DUPLICATE_CANDIDATES_BROADCAST = 1_000_000
-
-
 def _hash_input(df: DataFrame, name: str) -> Column:
     """Column as fed to the row hash: maps as JSON text, -0.0 as 0.0 (the
     grouping treats them as equal, the hash would not)."""
     t = df.schema[name].dataType
-    if isinstance(t, T.MapType):
+    if _holds_map(t):
         return F.to_json(qcol(name))
     if isinstance(t, (T.FloatType, T.DoubleType)):
         return qcol(name) + F.lit(0.0)
@@ -113,13 +119,13 @@ def _hash_input(df: DataFrame, name: str) -> Column:
 
 
 def duplicate_candidates(df: DataFrame, subset: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows with their hash ``_h``, hashes seen more than once). The
-    second frame groups by the hash alone: 8 bytes per row cross the
-    shuffle, partially aggregated."""
+    """(rows as ``_0, _1, ...`` with their hash ``_h``, hashes ``_c`` seen
+    more than once). The second frame groups by the hash alone: 8 bytes per
+    row cross the shuffle, partially aggregated."""
     cols = subset or df.columns
-    keys = [_groupable(df, c) for c in cols]
+    keys = [_groupable(df, c).alias(f"_{i}") for i, c in enumerate(cols)]
     hashed = df.select(F.xxhash64(*[_hash_input(df, c) for c in cols]).alias("_h"), *keys)
-    candidates = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("_h")
+    candidates = hashed.groupBy(F.col("_h").alias("_c")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_c")
     return hashed, candidates
 
 
@@ -132,25 +138,18 @@ def duplicate_rows(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     1. group by a 64-bit hash of the row (8 bytes shuffled per row instead
        of the row, partially aggregated); a hash seen once is a row
        without a duplicate, since identical rows hash alike;
-    2. only rows whose hash was seen more than once are grouped by their
-       full values, which also settles hash collisions. When a
-       size-checked count shows few such hashes they are broadcast into a
-       semi-join; otherwise the whole table is grouped by its values.
+    2. only rows whose hash was seen more than once (a semi-join on the
+       hash) are grouped by their full values, which also settles hash
+       collisions.
 
     Not ``count_distinct``, which skips rows holding a null.
     """
     spark = df.sparkSession
     df = canonicalize(df)
     hashed, candidates = duplicate_candidates(df, subset)
-    probe = candidates.limit(DUPLICATE_CANDIDATES_BROADCAST + 1).count()
-    if probe == 0:
-        return spark.createDataFrame([(0,)], "duplicates bigint")
-    if probe <= DUPLICATE_CANDIDATES_BROADCAST:
-        rows = hashed.join(F.broadcast(candidates), "_h", "left_semi").drop("_h")
-    else:
-        rows = hashed.drop("_h")
-    counts = rows.groupBy(*[qcol(c) for c in rows.columns]).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long")).first()[0]
+    rows = hashed.join(candidates, F.col("_h") == F.col("_c"), "left_semi").drop("_h")
+    counts = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long")).first()[0]
     return spark.createDataFrame([(total,)], "duplicates bigint")
 
 
@@ -159,7 +158,7 @@ def dedup_rows(df: DataFrame, drop_duplicates: bool = True, drop_empty: bool = T
     out = drop_empty_columns(df) if drop_empty else df
     if drop_duplicates:
         out = canonicalize(out)
-        maps = [f.name for f in out.schema.fields if isinstance(f.dataType, T.MapType)]
+        maps = [f.name for f in out.schema.fields if _holds_map(f.dataType)]
         if not maps:
             return out.dropDuplicates()
         # maps cannot be compared: de-duplicate on their JSON text
@@ -169,15 +168,11 @@ def dedup_rows(df: DataFrame, drop_duplicates: bool = True, drop_empty: bool = T
     return out
 
 
-def numeric_as_text(df: DataFrame, sample_rows: int | None = None, order_by: list[str] | None = None) -> DataFrame:
+def numeric_as_text(df: DataFrame) -> DataFrame:
     """Q6: text columns whose non-missing values look numeric.
 
     ``column, checked, numeric_like, share, flagged``; one wide aggregation
-    over all text columns. All values are checked by default
-    (deterministic). ``sample_rows=50`` with an ``order_by`` key checks only
-    the first 50 non-missing values of each column in that order (a frame
-    has no file order); the per-column limit is applied on every partition
-    before the shuffle.
+    over all values of all text columns.
     """
     df = canonicalize(df)
     text_cols = classify(df).categorical
@@ -185,21 +180,6 @@ def numeric_as_text(df: DataFrame, sample_rows: int | None = None, order_by: lis
         return df.sparkSession.createDataFrame(
             [], "position int, column string, checked bigint, numeric_like bigint, share double, flagged boolean"
         )
-    if sample_rows is not None:
-        if not order_by:
-            raise ValueError("sample_rows needs an order_by key")
-        positions = {c: i for i, c in enumerate(df.columns)}
-        items = F.array(*[F.struct(F.lit(positions[c]).alias("position"), F.lit(c).alias("column"),
-                                   qcol(c).cast("string").alias("value")) for c in text_cols])
-        key = F.struct(*[qcol(k) for k in order_by])
-        long = df.select(key.alias("_k"), F.inline(items)).where(F.col("value").isNotNull())
-        w = Window.partitionBy("position").orderBy("_k")
-        first = long.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= sample_rows)
-        like = F.regexp_replace("value", NUMERIC_TEXT_STRIP, "").rlike(NUMERIC_TEXT_PATTERN)
-        share = F.col("numeric_like") / F.col("checked")
-        return first.groupBy("position", "column").agg(
-            F.count("value").alias("checked"), F.count_if(like).alias("numeric_like")
-        ).withColumn("share", F.round(share, 4)).withColumn("flagged", share > NUMERIC_TEXT_SHARE)
     aggs = []
     for i, c in enumerate(text_cols):
         s = qcol(c).cast("string")
@@ -318,6 +298,18 @@ def quality_report(df: DataFrame, facts: tuple[DataFrame, DataFrame] | None = No
     )
 
 
+def quality_columns(df: DataFrame) -> DataFrame:
+    """Q9 in detail: ``position, column, class, missing, empty, near_empty``
+    of every column (the report's name lists and missing counts)."""
+    cls = classify(df)
+    kinds = F.create_map(*[x for c in df.columns for x in (F.lit(c), F.lit(cls.of(c)))])
+    share = F.col("missing") / F.col("total")
+    empty = F.col("missing") == F.col("total")
+    return missing_by_column(df).select(
+        "position", "column", kinds[F.col("column")].alias("class"), "missing", empty.alias("empty"),
+        F.coalesce(~empty & (share >= NEAR_EMPTY_LOW), F.lit(False)).alias("near_empty"))
+
+
 def quality_issues(df: DataFrame, report: DataFrame | None = None) -> DataFrame:
     """Q8: the issue list (``rank, issue, columns, n, message``), or one
     ``no_issues`` row. Built from the one-row report (pass it in when

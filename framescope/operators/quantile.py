@@ -1,31 +1,27 @@
-"""Exact quantiles (linear interpolation) as a distributed selection job.
-
-Spark's exact ``percentile``/``median`` aggregate keeps a value -> count map
-per group and merges all of it in the final aggregation task: for a global
-quantile over a high-cardinality column that one task holds every distinct
-value of the table. This operator gets the same exact answer with bounded
-state per task:
-
-1. one pass: ``n``, ``min``, ``max`` per (group, column), partially
-   aggregated;
-2. the quantile ``p`` needs the values at 0-based ranks ``floor((n-1)p)``
-   and the next one (the same interpolation as pandas, DuckDB's
-   ``quantile_cont`` and Spark's ``percentile``);
-3. each rank keeps a value bracket ``[lo, hi]`` and the number of values
-   below it. A refinement pass splits every open bracket into ``buckets``
-   equal-width buckets, counts them with a partial aggregation (shuffle
-   size: buckets per rank, not rows), and keeps the bucket that holds the
-   rank. Brackets shrink by about ``buckets`` x per pass;
-4. once a bracket holds at most ``final_rows`` values, a window over just
-   those rows picks the rank exactly. A bracket whose ends meet is solved
-   outright (a hot value that holds a third of the table resolves in one
-   pass, never lands in one task).
-
-Without groups (or with few groups) the bracket table is bounded by the
-request and kept on the driver, turned into literal range tests. With many
-groups it is a DataFrame checkpointed after each pass (the checkpoint
-folder of the session), so lineage does not grow with the number of passes
-and a lost executor only recomputes the last pass.
+"""Exact quantiles (linear interpolation) with bounded state per task.
+
+Spark's exact ``percentile`` merges a value -> count map per group in one
+task; for a global quantile of a column with many values that task holds
+them all. Two jobs give the same answers without it:
+
+* **Whole table** (:func:`exact_quantiles` without groups): each wanted rank
+  keeps a bracket of values. A read counts the values below and inside each
+  bracket and sketches the inside at ``GRID`` evenly spaced ranks
+  (``percentile_approx``); the grid points around the wanted rank are the
+  next bracket. The sketch cuts *ranks*, so a bracket's rows shrink by about
+  ``GRID / 4`` a read whatever the distribution (heavy tails and infinities
+  are ordinary values). When brackets hold few rows, a last read counts the
+  rows below exactly, groups the values inside, and picks the rank; it also
+  proves that the rank was inside, and a bracket that missed is widened.
+* **By group** (:func:`grouped_quantiles`): values are counted per (group,
+  slice, value), the slices being ranges between sketched quantiles of the
+  whole column. Equal values are combined before the shuffle, and a group's
+  values are ordered slice by slice, so a hot group spreads over as many
+  tasks as there are slices and a hot value is one row. The running count of
+  the slices before turns places in a slice into ranks.
+
+Ranks are 0-based ``floor((n - 1) p)`` and the next one, as in pandas,
+DuckDB's ``quantile_cont`` and Spark's ``percentile``.
 """
 
 from __future__ import annotations
@@ -33,386 +29,206 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canon import qcol
-from ..session import reliable_checkpoint
-
-DEFAULT_BUCKETS = 4096
-DEFAULT_FINAL_ROWS = 50_000
-
-
-def long_values(df: DataFrame, columns: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
-    """(group keys as _g0.., column, v) with missing values (null/NaN) removed.
-
-    One generator over the projected columns; the scan reads only the
-    columns named here.
-    """
-    gsel = [qcol(g).alias(f"_g{i}") for i, g in enumerate(group_cols)]
-    items = F.array(*[
-        F.struct(F.lit(c).alias("column"), qcol(c).cast("double").alias("v")) for c in columns
-    ])
-    return (
-        df.select(*gsel, F.inline(items))
-        .where(F.col("v").isNotNull() & ~F.isnan("v"))
-    )
-
-
-LOCAL_STATE_ROWS = 10_000
 
+GRID = 2_000
+ACCURACY = 20_000
+#: A bracket of at most this many rows is ordered by one window.
+FINAL_ROWS = 200_000
+#: Rows of a column that a slice of the grouped job holds, about.
+SLICE_ROWS = 500_000
+MIN_SLICES, MAX_SLICES = 16, 256
 
-def _materialize(df: DataFrame, grouped: bool) -> DataFrame:
-    """Cut the lineage of a bracket table.
 
-    Without groups the table has at most (value columns x ranks) rows - a
-    size fixed by the request, not the data. With groups it grows with the
-    number of groups: it is fetched only when a bounded probe shows at most
-    ``LOCAL_STATE_ROWS`` rows, otherwise it is checkpointed to the session's
-    checkpoint folder.
-    """
-    if grouped:
-        probe = df.limit(LOCAL_STATE_ROWS + 1).collect()
-        if len(probe) > LOCAL_STATE_ROWS:
-            return reliable_checkpoint(df)
-        return df.sparkSession.createDataFrame(probe, df.schema)
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+def _value(name: str) -> Column:
+    v = qcol(name).cast("double")
+    return F.when(~F.isnan(v), v)
 
 
-def _in_brackets(vals: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
-    """Each value joined to the bracket(s) of its (group, column) that
-    contain it: an equi-join on the keys with a range condition (code
-    generated; no per-row lambda). Output keeps the bracket as struct
-    ``t``. The bracket table grows with the number of groups, so no
-    broadcast is forced: AQE broadcasts it when its measured size is under
-    the threshold and otherwise joins by key, splitting skewed keys."""
-    b = brackets.select(*[F.col(k).alias(f"_b{k}") for k in keys],
-                        F.struct(*[c for c in brackets.columns if c not in keys]).alias("t"))
-    cond = [F.col(k) == F.col(f"_b{k}") for k in keys]
-    cond.append(F.col("v").between(F.col("t.lo"), F.col("t.hi")))
-    joined = vals.join(b, cond)
-    return joined.select(*keys, "v", "t")
-
-
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    group_cols: Sequence[str] = (),
-    buckets: int = DEFAULT_BUCKETS,
-    final_rows: int = DEFAULT_FINAL_ROWS,
-    max_passes: int = 64,
-    known: dict[str, tuple] | None = None,
-) -> DataFrame:
-    """Exact linear-interpolated quantiles.
-
-    ``known`` (no groups only) maps column -> (count, min, max) when a
-    caller already has them, saving the first pass.
-
-    Returns ``[*group_cols], column string, p double, value double`` with one
-    row per (group, column, p) for every column that has at least one
-    non-missing value. The passes run eagerly. Three layouts of the same
-    selection: without groups, and with at most ``FEW_GROUPS`` groups, the
-    brackets stay on the driver (their number is fixed by the request) and
-    the answer is a local relation; with more groups the bracket table is a
-    DataFrame joined on the group keys and checkpointed between passes.
-    """
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], group_cols: Sequence[str] = (),
+                    final_rows: int = FINAL_ROWS, grid: int = GRID, known: dict[str, tuple] | None = None) -> DataFrame:
+    """``[*group_cols], column, p, value``: one row per (group, column, p)
+    for every column with a value. ``known`` maps column -> (count, min, max)
+    where a caller has them already (no groups only). Group columns named
+    ``column``, ``p`` or ``value`` need :func:`grouped_quantiles`."""
     if not columns or not probs:
         raise ValueError("need at least one column and one probability")
     if not group_cols:
-        return _ungrouped_quantiles(df, list(columns), list(probs), buckets, final_rows, max_passes, known)
-    few = _few_groups(df, list(group_cols))
-    if few is not None:
-        return _quantiles_per_known_group(df, list(columns), list(probs), list(group_cols), few,
-                                          buckets, final_rows, max_passes)
-    grouped = bool(group_cols)
-    gk = [f"_g{i}" for i in range(len(group_cols))]
-    keys = gk + ["column"]
-    vals = long_values(df, columns, group_cols)
-
-    counts = _materialize(
-        vals.groupBy(*keys).agg(
-            F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-        ),
-        grouped,
-    )
-
-    plist = F.array(*[F.lit(float(p)) for p in probs])
-    per_p = (
-        counts.select(*keys, "n", F.explode(plist).alias("p"))
-        .withColumn("h", (F.col("n") - 1) * F.col("p"))
-        .withColumn("k0", F.floor("h").cast("long"))
-        .withColumn("k1", F.least(F.col("k0") + 1, F.col("n") - 1))
-        .withColumn("frac", F.col("h") - F.col("k0"))
-    )
-    ranks = per_p.select(*keys, F.explode(F.array("k0", "k1")).alias("rank")).distinct()
-    state = ranks.join(counts, keys).select(
-        *keys, "rank", "lo", "hi",
-        F.lit(0).cast("long").alias("below"),
-        F.col("n").alias("cnt"),
-        F.lit(False).alias("stalled"),
-    )
-
-    open_big = (F.col("lo") < F.col("hi")) & (F.col("cnt") > final_rows) & ~F.col("stalled")
-    for _ in range(max_passes):
-        state = _materialize(state, grouped)
-        big = state.where(open_big)
-        if big.isEmpty():
-            break
-        rest = state.where(~open_big)
-        # One histogram per distinct bracket; the ranks that share it (the
-        # two ranks of a quantile, or all ranks before the first pass) read
-        # the same histogram.
-        brackets = big.groupBy(*keys, "lo", "hi", "below", "cnt").agg(F.collect_list("rank").alias("ranks"))
-        hit = _in_brackets(vals, brackets.select(*keys, "lo", "hi"), keys)
-        half_lo = F.col("t.lo") * 0.5
-        scaled = (F.col("v") * 0.5 - half_lo) / (F.col("t.hi") * 0.5 - half_lo)
-        bucket = F.least(F.floor(scaled * buckets), F.lit(buckets - 1)).cast("int")
-        # (group, column, bracket ends, bucket) is the whole aggregation key;
-        # the bracket's other fields join back on the small result.
-        hist = hit.groupBy(
-            *keys, F.col("t.lo").alias("old_lo"), F.col("t.hi").alias("old_hi"), bucket.alias("b"),
-        ).agg(F.count("v").alias("c"), F.min("v").alias("bmin"), F.max("v").alias("bmax"))
-        info = brackets.select(*keys, F.col("lo").alias("old_lo"), F.col("hi").alias("old_hi"), "below",
-                               F.col("cnt").alias("old_cnt"), "ranks")
-        hist = hist.join(info, keys + ["old_lo", "old_hi"])
-        # at most ``buckets`` rows per window partition
-        w = Window.partitionBy(*keys, "old_lo", "old_hi").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.withColumn("cum", F.sum("c").over(w)).select("*", F.explode("ranks").alias("rank"))
-        want = F.col("rank") - F.col("below")
-        picked = hist.where((F.col("cum") - F.col("c") <= want) & (want < F.col("cum"))).select(
-            *keys, "rank",
-            F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
-            (F.col("below") + F.col("cum") - F.col("c")).alias("below"),
-            F.col("c").alias("cnt"),
-            ((F.col("c") == F.col("old_cnt")) & (F.col("bmin") == F.col("old_lo"))
-             & (F.col("bmax") == F.col("old_hi"))).alias("stalled"),
-        )
-        state = rest.unionByName(picked)
-
-    solved = state.where(F.col("lo") == F.col("hi")).select(*keys, "rank", F.col("lo").alias("x"))
-    open_ = state.where(F.col("lo") < F.col("hi"))
-    if open_.isEmpty():
-        return _finish(per_p, solved, keys, gk, group_cols, grouped)
-    # Ranks that share a bracket (always the case before any refinement,
-    # usually for the two ranks of one quantile) share one window.
-    brackets = open_.groupBy(*keys, "lo", "hi", "below").agg(F.collect_list("rank").alias("ranks"))
-    hit = _in_brackets(vals, brackets, keys)
-    # Each window partition holds one bracket: at most ``final_rows`` rows.
-    w = Window.partitionBy(*keys, "t.lo", "t.hi").orderBy("v")
-    pos = F.col("t.below") + F.row_number().over(w) - 1
-    exact = (
-        hit.withColumn("pos", pos)
-        .where(F.array_contains(F.col("t.ranks"), F.col("pos")))
-        .select(*keys, F.col("pos").alias("rank"), F.col("v").alias("x"))
-    )
-    return _finish(per_p, solved.unionByName(exact), keys, gk, group_cols, grouped)
-
+        return _whole_table(df, list(columns), [float(p) for p in probs], final_rows, grid, known)
+    wide = grouped_quantiles(df, columns, probs, group_cols)
+    items = [F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("p"), F.col(f"_q{i}_{j}").alias("value"))
+             for i, c in enumerate(columns) for j, p in enumerate(probs)]
+    named = [F.col(f"_g{i}").alias(g) for i, g in enumerate(group_cols)]
+    return wide.select(*named, F.inline(F.array(*items))).where(F.col("value").isNotNull())
 
-def _finish(per_p, at_rank, keys, gk, group_cols, grouped):
-    if grouped:
-        probe = per_p.limit(LOCAL_STATE_ROWS + 1).collect()
-        if len(probe) > LOCAL_STATE_ROWS:
-            return _interpolate(per_p, at_rank, keys, gk, group_cols)
-        # few (group, column, p) rows: interpolate here (bounded by the probe)
-        x = {tuple(r[k] for k in keys) + (r["rank"],): r["x"] for r in at_rank.collect()}
-        rows = []
-        for r in probe:
-            key = tuple(r[k] for k in keys)
-            x0, x1 = x[key + (r["k0"],)], x[key + (r["k1"],)]
-            rows.append(key + (r["p"], x0 if x0 == x1 else x0 + r["frac"] * (x1 - x0)))
-        fields = [per_p.schema[k] for k in keys]
-        schema = ", ".join(f"`{g}` {f.dataType.simpleString()}" for g, f in zip(list(group_cols), fields))
-        schema += ", column string, p double, value double"
-        return per_p.sparkSession.createDataFrame(rows, schema)
-    # Without groups the answer has (columns x probabilities) rows: fetch the
-    # few rank values and interpolate here instead of joining tiny frames
-    # through shuffles.
-    x = {(r["column"], r["rank"]): r["x"] for r in at_rank.collect()}
-    rows = []
-    for r in per_p.collect():
-        x0, x1 = x[(r["column"], r["k0"])], x[(r["column"], r["k1"])]
-        rows.append((r["column"], r["p"], x0 if x0 == x1 else x0 + r["frac"] * (x1 - x0)))
-    return per_p.sparkSession.createDataFrame(rows, "column string, p double, value double")
 
+class _Bracket:
+    """Values ``lo..hi`` holding the wanted rank: ``below`` values are
+    smaller, ``rows`` are inside (both known once counted)."""
 
-def _interpolate(per_p, at_rank, keys, gk, group_cols):
-    x0 = at_rank.withColumnRenamed("rank", "k0").withColumnRenamed("x", "x0")
-    x1 = at_rank.withColumnRenamed("rank", "k1").withColumnRenamed("x", "x1")
-    out = (
-        per_p.join(x0, keys + ["k0"]).join(x1, keys + ["k1"])
-        .select(
-            *[F.col(k).alias(g) for k, g in zip(gk, group_cols)],
-            "column", "p",
-            F.when(F.col("x0") == F.col("x1"), F.col("x0"))
-            .otherwise(F.col("x0") + F.col("frac") * (F.col("x1") - F.col("x0")))
-            .alias("value"),
-        )
-    )
-    return out
+    def __init__(self, column: int, rank: int, rows: int) -> None:
+        self.column, self.rank, self.rows = column, rank, rows
+        self.lo, self.hi = -math.inf, math.inf
+        self.below = 0
 
+    def inside(self, v: Column) -> Column:
+        return (v >= F.lit(self.lo)) & (v <= F.lit(self.hi))
 
-def quantile_wide(df: DataFrame, columns: Sequence[str], probs: Sequence[float], **kw) -> DataFrame:
-    """One row, one column per (column, p): ``{column}__q{p}``. Small frame
-    for broadcasting bounds back onto the data."""
-    q = exact_quantiles(df, columns, probs, **kw)
-    return q.groupBy().agg(*[
-        F.max(F.when((F.col("column") == c) & (F.col("p") == float(p)), F.col("value"))).alias(f"{c}__q{p}")
-        for c in columns for p in probs
-    ])
 
-
-FEW_GROUPS = 64
-
-
-def _few_groups(df: DataFrame, group_cols: list[str]) -> list[tuple] | None:
-    """The distinct group keys when there are at most ``FEW_GROUPS`` of
-    them, else None. A first slice of rows showing more keys settles "many"
-    without a shuffle; otherwise a bounded distinct probe decides."""
-    keys = df.select(*[qcol(g) for g in group_cols])
-    if len({tuple(r) for r in keys.take(5_000)}) > FEW_GROUPS:
-        return None
-    probe = keys.distinct().limit(FEW_GROUPS + 1).collect()
-    return None if len(probe) > FEW_GROUPS else [tuple(r) for r in probe]
-
-
-def _quantiles_per_known_group(df, columns, probs, group_cols, groups, buckets, final_rows, max_passes):
-    """Few groups: each (group, column) pair becomes one masked column and
-    the driver-bounded selection runs on them all at once."""
-    names, where = [], {}
-    masked = []
-    for gi, key in enumerate(groups):
-        match = None
-        for g, v in zip(group_cols, key):
-            cond = qcol(g).eqNullSafe(F.lit(v))
-            match = cond if match is None else match & cond
-        for ci, c in enumerate(columns):
-            name = f"__q{gi}_{ci}"
-            names.append(name)
-            where[name] = (key, c)
-            masked.append(F.when(match, qcol(c).cast("double")).alias(name))
-    per = _ungrouped_quantiles(df.select(*masked), names, probs, buckets, final_rows, max_passes)
-    rows = [where[r["column"]][0] + (where[r["column"]][1], r["p"], r["value"]) for r in per.collect()]
-    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"`{g}` {fields[g]}" for g in group_cols) + ", column string, p double, value double"
-    return df.sparkSession.createDataFrame(rows, schema)
-
-
-def _ungrouped_quantiles(df: DataFrame, columns: list[str], probs: list[float], buckets: int,
-                         final_rows: int, max_passes: int, known: dict | None = None) -> DataFrame:
-    """The same selection without groups.
-
-    The bracket table then has at most (columns x ranks) entries, a size
-    fixed by the request, so it lives on the driver and each pass turns it
-    into literal range tests: no join, and the first pass is a plain wide
-    ``count/min/max`` aggregation without any generator.
-    """
+def _whole_table(df: DataFrame, columns: list[str], probs: list[float], final_rows: int, grid: int,
+                 known: dict | None) -> DataFrame:
     spark = df.sparkSession
-    vals = {c: F.when(~F.isnan(qcol(c).cast("double")), qcol(c).cast("double")) for c in columns}
+    vals = df.select(*[_value(c).alias(f"_v{i}") for i, c in enumerate(columns)])
     if known is not None and all(c in known for c in columns):
-        row = {f"{k}{i}": known[c][j] for i, c in enumerate(columns) for j, k in enumerate(("n", "lo", "hi"))}
+        sizes = [known[c][0] for c in columns]
     else:
-        row = df.agg(*[x for i, c in enumerate(columns) for x in (
-            F.count(vals[c]).alias(f"n{i}"), F.min(vals[c]).alias(f"lo{i}"),
-            F.max(vals[c]).alias(f"hi{i}"))]).first()
-    targets = {}   # (column, rank) -> [lo, hi, below, cnt, stalled]
-    per_p = []
-    for i, c in enumerate(columns):
-        n = row[f"n{i}"]
-        if not n:
-            continue
-        for p in probs:
-            h = (n - 1) * float(p)
+        sizes = list(vals.agg(*[F.count(f"_v{i}") for i in range(len(columns))]).first())
+    wanted = []  # (column, p, lower rank, upper rank, fraction)
+    brackets: dict[tuple[int, int], _Bracket] = {}
+    for i, n in enumerate(sizes):
+        for p in probs if n else ():
+            h = (n - 1) * p
             k0 = math.floor(h)
             k1 = min(k0 + 1, n - 1)
-            per_p.append((c, float(p), k0, k1, h - k0))
+            wanted.append((i, p, k0, k1, h - k0))
             for k in (k0, k1):
-                targets.setdefault((c, k), [row[f"lo{i}"], row[f"hi{i}"], 0, n, False])
-
-    def brackets(pred):
-        """Distinct open brackets -> ranks that read them."""
-        out: dict[tuple, list] = {}
-        for (c, k), (lo, hi, below, cnt, stalled) in targets.items():
-            if lo < hi and pred(cnt, stalled):
-                out.setdefault((c, lo, hi, below, cnt), []).append(k)
-        return out
-
-    vcol = {c: f"_v{i}" for i, c in enumerate(columns)}
-
-    def in_brackets(br: dict, value_of) -> DataFrame:
-        """(bid, b, v) for every value inside an open bracket. Values and
-        bucket numbers are plain projected columns first (code generated,
-        shared sub-expressions); the generator only assembles small rows."""
-        base = df.select(*[vals[c].alias(vcol[c]) for c in {k[0] for k in br}])
-        proj = []
-        for bid, (c, lo, hi, _below, _cnt) in enumerate(br):
-            v = F.col(vcol[c])
-            proj.append(F.when(v.between(F.lit(lo), F.lit(hi)), value_of(v, lo, hi)).alias(f"_b{bid}"))
-        staged = base.select("*", *proj)
-        items = [F.when(F.col(f"_b{bid}").isNotNull(), F.struct(
-            F.lit(bid).alias("bid"), F.col(f"_b{bid}").alias("b"), F.col(vcol[key[0]]).alias("v")))
-            for bid, key in enumerate(br)]
-        return staged.select(F.inline(F.array(*items))).where(F.col("bid").isNotNull())
-
-    for _ in range(max_passes):
-        br = brackets(lambda cnt, stalled: cnt > final_rows and not stalled)
-        if not br:
-            break
-        keys = list(br)
-
-        def bucket_of(v, lo, hi):
-            scaled = (v * 0.5 - F.lit(lo * 0.5)) / F.lit(hi * 0.5 - lo * 0.5)
-            return F.least(F.floor(scaled * buckets), F.lit(buckets - 1)).cast("int")
-
-        hist = in_brackets(br, bucket_of).groupBy("bid", "b").agg(
-            F.count("v").alias("c"), F.min("v").alias("bmin"), F.max("v").alias("bmax"))
-        w = Window.partitionBy("bid").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.withColumn("cum", F.sum("c").over(w))
-        # wanted offsets per bracket, as a literal map bid -> offsets
-        want = F.create_map(*[x for bid, key in enumerate(keys) for x in (
-            F.lit(bid), F.array(*[F.lit(k - key[3]) for k in br[key]]))])
-        hit = hist.select("*", F.explode(want[F.col("bid")]).alias("off")).where(
-            (F.col("cum") - F.col("c") <= F.col("off")) & (F.col("off") < F.col("cum")))
-        for r in hit.collect():  # one row per open rank
-            c, lo, hi, below, cnt = keys[r["bid"]]
-            k = below + r["off"]
-            targets[(c, k)] = [r["bmin"], r["bmax"], below + r["cum"] - r["c"], r["c"],
-                               r["c"] == cnt and r["bmin"] == lo and r["bmax"] == hi]
-
-    br = brackets(lambda cnt, stalled: True)
-    if br:
-        keys = list(br)
-        rows = in_brackets(br, lambda v, lo, hi: F.lit(0))
-        # Each window partition holds one bracket: at most ``final_rows`` rows.
-        w = Window.partitionBy("bid").orderBy("v")
-        want = F.create_map(*[x for bid, key in enumerate(keys) for x in (
-            F.lit(bid), F.array(*[F.lit(k - key[3]) for k in br[key]]))])
-        picked = rows.withColumn("off", F.row_number().over(w) - 1).where(
-            F.array_contains(want[F.col("bid")], F.col("off")))
-        for r in picked.select("bid", "off", "v").collect():
-            c, lo, hi, below, cnt = keys[r["bid"]]
-            targets[(c, below + r["off"])] = [r["v"], r["v"], below + r["off"], 1, False]
+                brackets.setdefault((i, k), _Bracket(i, k, n))
+    found: dict[tuple[int, int], float] = {}
+    width = 2
+    while len(found) < len(brackets):
+        todo = {k: b for k, b in brackets.items() if k not in found}
+        while large := [b for b in todo.values() if b.rows > final_rows and b.lo < b.hi]:
+            _narrow(vals, large, grid, width)
+        found.update(_pick(vals, list(todo.values())))
+        for k, b in todo.items():
+            if k not in found:  # the sketch missed the rank: start over with a wider margin
+                b.lo, b.hi, b.below, b.rows = -math.inf, math.inf, 0, sizes[b.column]
+        width *= 4
+        if width > grid:  # margins as wide as the grid cannot miss
+            final_rows = max(sizes)
     out = []
-    for c, p, k0, k1, frac in per_p:
-        x0, x1 = targets[(c, k0)][0], targets[(c, k1)][0]
-        out.append((c, p, x0 if x0 == x1 else x0 + frac * (x1 - x0)))
+    for i, p, k0, k1, frac in wanted:
+        x0, x1 = found[i, k0], found[i, k1]
+        out.append((columns[i], p, x0 if x0 == x1 else x0 + frac * (x1 - x0)))
     return spark.createDataFrame(out, "column string, p double, value double")
 
 
+def _narrow(vals: DataFrame, brackets: list[_Bracket], grid: int, width: int) -> None:
+    """One read: count below and inside each bracket, sketch the inside, and
+    keep the grid points around the wanted rank."""
+    ranges: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        ranges.setdefault((b.column, b.lo, b.hi), []).append(b)
+    aggs = []
+    points = [j / grid for j in range(grid + 1)]
+    for r, (c, lo, hi) in enumerate(ranges):
+        v = F.col(f"_v{c}")
+        inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
+        aggs += [F.count_if(v < F.lit(lo)).alias(f"b{r}"), F.count_if(inside).alias(f"n{r}"),
+                 F.percentile_approx(F.when(inside, v), points, ACCURACY).alias(f"s{r}")]
+    row = vals.agg(*aggs).first()
+    for r, own in enumerate(ranges.values()):
+        below, n, sketch = row[f"b{r}"], row[f"n{r}"], row[f"s{r}"]
+        for b in own:
+            at = (b.rank - below) / n * grid if n else 0
+            lo, hi = max(0, math.floor(at) - width), min(grid, math.ceil(at) + width)
+            b.below = below
+            before = b.lo, b.hi
+            if n:
+                b.lo, b.hi = (sketch[lo] if lo else b.lo), (sketch[hi] if hi < grid else b.hi)
+            # a bracket that no longer shrinks holds few different values
+            b.rows = n * (hi - lo) // grid if (b.lo, b.hi) != before else 0
+
+
+def _pick(vals: DataFrame, brackets: list[_Bracket]) -> dict[tuple[int, int], float]:
+    """One read: the values at the wanted ranks that lie in their brackets.
+    Values below collapse to one row a task, equal values to one row."""
+    ranges: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        ranges.setdefault((b.column, b.lo, b.hi), []).append(b)
+    items, ranks = [], []
+    for r, ((c, lo, hi), own) in enumerate(ranges.items()):
+        v = F.col(f"_v{c}")
+        items.append(F.when(v <= F.lit(hi), F.struct(
+            F.lit(r).alias("_r"), (v >= F.lit(lo)).alias("_in"), F.when(v >= F.lit(lo), v + F.lit(0.0)).alias("_v"))))
+        ranks += [F.lit(r), F.array(*[F.lit(b.rank).cast("bigint") for b in own])]
+    counts = (vals.select(F.inline(F.array_compact(F.array(*items)))).groupBy("_r", "_in", "_v")
+              .agg(F.count(F.lit(1)).alias("_c")))
+    order = Window.partitionBy("_r").orderBy(F.col("_in").asc(), F.col("_v").asc())
+    cum = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    picked = (counts.withColumn("_to", cum)
+              .select("*", F.explode(F.create_map(*ranks)[F.col("_r")]).alias("_k"))
+              .where(F.col("_in") & (F.col("_to") - F.col("_c") <= F.col("_k")) & (F.col("_k") < F.col("_to"))))
+    column = {r: key[0] for r, key in enumerate(ranges)}
+    return {(column[x["_r"]], x["_k"]): x["_v"] for x in picked.select("_r", "_k", "_v").collect()}
+
+
+def grouped_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                      group_cols: Sequence[str]) -> DataFrame:
+    """One row per group: ``_g<i>`` the keys, ``_n<c>`` the number of values
+    and ``_q<c>_<p>`` the quantiles, numbered in the order given (names of
+    the table cannot clash). Rows with a null key or value do not count."""
+    keys = [f"_g{i}" for i in range(len(group_cols))]
+    base = df.select(*[qcol(g).alias(k) for g, k in zip(group_cols, keys)],
+                     *[_value(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    for k in keys:
+        base = base.where(F.col(k).isNotNull())
+    sizes = base.agg(F.count(F.lit(1)), *[
+        F.percentile_approx(f"_v{i}", [j / MAX_SLICES for j in range(1, MAX_SLICES)]) for i in range(len(columns))]).first()
+    slices = min(MAX_SLICES, max(MIN_SLICES, sizes[0] // SLICE_ROWS))
+    items = []
+    for i in range(len(columns)):
+        v = F.col(f"_v{i}")
+        cuts = sorted(set((sizes[i + 1] or [])[MAX_SLICES // slices - 1::MAX_SLICES // slices]))
+        place = sum([(v > F.lit(x)).cast("int") for x in cuts], F.lit(0))
+        items.append(F.when(v.isNotNull(), F.struct(
+            F.lit(i).alias("_c"), place.alias("_s"), (v + F.lit(0.0)).alias("_v"))))
+    counts = (base.select(*keys, F.inline(F.array_compact(F.array(*items))))
+              .groupBy(*keys, "_c", "_s", "_v").agg(F.count(F.lit(1)).alias("_k")))
+    in_slice = Window.partitionBy(*keys, "_c", "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = counts.withColumn("_to", F.sum("_k").over(in_slice))
+    group = Window.partitionBy(*keys, "_c")
+    totals = (counts.groupBy(*keys, "_c", "_s").agg(F.sum("_k").alias("_t"))
+              .withColumn("_all", F.sum("_t").over(group))
+              .withColumn("_before", F.sum("_t").over(group.orderBy("_s").rowsBetween(Window.unboundedPreceding, 0))
+                          - F.col("_t")))
+    ranked = ordered.join(totals, [*keys, "_c", "_s"])
+    to, rows = F.col("_before") + F.col("_to"), F.col("_k")
+    aggs = []
+    for j, p in enumerate(probs):
+        h = (F.col("_all") - 1) * F.lit(float(p))
+        for name, k in ((f"_lo{j}", F.floor(h)), (f"_hi{j}", F.least(F.floor(h) + 1, F.col("_all") - 1))):
+            aggs.append(F.max(F.when((to - rows <= k) & (k < to), F.col("_v"))).alias(name))
+        aggs.append(F.max(h - F.floor(h)).alias(f"_f{j}"))
+    picked = ranked.groupBy(*keys, "_c").agg(F.max("_all").alias("_n"), *aggs)
+    for j in range(len(probs)):
+        lo, hi = F.col(f"_lo{j}"), F.col(f"_hi{j}")
+        picked = picked.withColumn(f"_x{j}", F.when(lo == hi, lo).otherwise(lo + F.col(f"_f{j}") * (hi - lo)))
+    own = [(i, F.col("_c") == i) for i in range(len(columns))]
+    return picked.groupBy(*keys).agg(
+        *[F.max(F.when(is_own, F.col("_n"))).alias(f"_n{i}") for i, is_own in own],
+        *[F.max(F.when(is_own, F.col(f"_x{j}"))).alias(f"_q{i}_{j}") for i, is_own in own for j in range(len(probs))])
+
+
 def approx_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                      group_cols: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:
     """Approximate quantiles (``percentile_approx``, a bounded sketch per
     group; rank error at most n / accuracy). Same output as
     :func:`exact_quantiles`. Note that the sketch returns data values
     rather than interpolating between them."""
-    vals = long_values(df, columns, group_cols)
-    gk = [f"_g{i}" for i in range(len(group_cols))]
+    keys = [qcol(g).alias(f"_g{i}") for i, g in enumerate(group_cols)]
     plist = [float(p) for p in probs]
-    q = vals.groupBy(*gk, "column").agg(F.percentile_approx("v", plist, accuracy).alias("qs"))
-    return q.select(
-        *[F.col(k).alias(g) for k, g in zip(gk, group_cols)], "column",
-        F.inline(F.arrays_zip(F.array(*[F.lit(p) for p in plist]).alias("p"), F.col("qs").alias("value"))),
-    )
+    wide = df.select(*keys, *[_value(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    names = [f"_g{i}" for i in range(len(group_cols))]
+    q = wide.groupBy(*names).agg(*[
+        F.percentile_approx(f"_v{i}", plist, accuracy).alias(f"_q{i}") for i in range(len(columns))])
+    items = [F.struct(F.lit(c).alias("column"), F.lit(p).alias("p"), F.col(f"_q{i}")[j].alias("value"))
+             for i, c in enumerate(columns) for j, p in enumerate(plist)]
+    return q.select(*[F.col(k).alias(g) for k, g in zip(names, group_cols)],
+                    F.inline(F.array(*items))).where(F.col("value").isNotNull())
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], group_cols: Sequence[str] = (),

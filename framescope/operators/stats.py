@@ -40,7 +40,9 @@ OUTLIER_WHISKER = 1.5
 OUTLIER_MIN_VALUES = 4
 TOP_VALUES_PROFILE = 5
 PAIRS_PER_AGGREGATION = 500
-GRAM_MIN_COLUMNS = 16
+#: Spread below this share of the mean square is rounding: the column is
+#: constant on the pair's rows.
+CONSTANT = 1e-12
 
 
 def nonempty_numeric(df: DataFrame) -> list[str]:
@@ -123,13 +125,18 @@ def describe(df: DataFrame, decimals: int = 4, quantiles: DataFrame | None = Non
     )
 
 
+def _varies(low: Column, high: Column) -> Column:
+    """More than one value, all finite."""
+    return (high > low) & (F.abs(low) < F.lit(math.inf)) & (F.abs(high) < F.lit(math.inf))
+
+
 def column_fact_aggs(cols: Sequence[str]) -> list[Column]:
     """Aggregate expressions behind :func:`_column_facts`."""
     return [
         F.count(F.lit(1)).alias("pf_n"),
         *[F.count(qcol(c)).alias(f"pf_c{i}") for i, c in enumerate(cols)],
         *[F.avg(qcol(c).cast("double")).alias(f"pf_m{i}") for i, c in enumerate(cols)],
-        *[(F.max(qcol(c).cast("double")) > F.min(qcol(c).cast("double"))).alias(f"pf_v{i}")
+        *[_varies(F.min(qcol(c).cast("double")), F.max(qcol(c).cast("double"))).alias(f"pf_v{i}")
           for i, c in enumerate(cols)],
     ]
 
@@ -146,7 +153,7 @@ def column_facts_from_moments(cols: Sequence[str], row, n_rows: int) -> tuple:
     (count, mean, min < max), so a fused scan need not repeat them."""
     return (n_rows, {c: row[f"mo_n{i}"] for i, c in enumerate(cols)},
             {c: row[f"mo_m{i}"] for i, c in enumerate(cols)},
-            {c: row[f"mo_lo{i}"] is not None and row[f"mo_hi{i}"] > row[f"mo_lo{i}"] for i, c in enumerate(cols)})
+            {c: row[f"mo_lo{i}"] is not None and -math.inf < row[f"mo_lo{i}"] < row[f"mo_hi{i}"] < math.inf for i, c in enumerate(cols)})
 
 
 def _column_facts(df: DataFrame, cols: Sequence[str]) -> tuple[int, dict[str, int], dict[str, float], dict[str, bool]]:
@@ -172,7 +179,7 @@ def _pair_stats(df: DataFrame, pairs: list[tuple[str, str]], facts=None) -> tupl
     # centred copies of the columns, projected once; the aggregates below are
     # SQL expressions over them (one JVM call each, not one per operator)
     centred = df.select(*[
-        (qcol(c).cast("double") - F.lit(float(mean[c]) if mean[c] is not None else 0.0)).alias(f"_x{idx[c]}")
+        (qcol(c).cast("double") - F.lit(float(mean[c]) if mean[c] is not None and math.isfinite(mean[c]) else 0.0)).alias(f"_x{idx[c]}")
         for c in cols
     ])
 
@@ -180,18 +187,6 @@ def _pair_stats(df: DataFrame, pairs: list[tuple[str, str]], facts=None) -> tupl
         return name.replace("'", "\\'")
 
     parts = []
-    if len(cols) >= GRAM_MIN_COLUMNS and n_rows > 1:
-        # Many columns: every pairwise-complete sum is an entry of one Gram
-        # matrix, built in one pass with BLAS (see _gram_pairs); pairs it
-        # cannot settle fall through to the masked sums below.
-        if len(full) == len(cols):
-            # no missing values anywhere: the correlation matrix is the answer
-            parts.append(_gram_correlations(centred, cols, idx))
-            pairs = []
-        else:
-            settled, rest = _gram_pairs(centred, cols, idx, full, n_rows, pairs)
-            parts.append(settled)
-            pairs = rest
     for start in range(0, len(pairs), PAIRS_PER_AGGREGATION):
         chunk = pairs[start:start + PAIRS_PER_AGGREGATION]
         aggs: dict[str, str] = {"n_all": "count(1)"}
@@ -212,7 +207,9 @@ def _pair_stats(df: DataFrame, pairs: list[tuple[str, str]], facts=None) -> tupl
             aggs[f"p{i}"] = f"sum({x} * {y})"
             cov = f"(p{i} - {sx} * {sy} / {n})"
             vx, vy = f"({qx} - {sx} * {sx} / {n})", f"({qy} - {sy} * {sy} / {n})"
-            r = f"IF({n} > 1 AND {vx} > 0 AND {vy} > 0, {cov} / sqrt({vx} * {vy}), CAST(NULL AS DOUBLE))"
+            # an infinite value makes sums NaN, which Spark orders above all numbers: no coefficient
+            r = (f"nullif(IF({n} > 1 AND {vx} > {CONSTANT} * {qx} AND {vy} > {CONSTANT} * {qy}, "
+                 f"{cov} / sqrt({vx} * {vy}), CAST(NULL AS DOUBLE)), CAST('NaN' AS DOUBLE))")
             items.append(f"named_struct('column_a', '{sq(a)}', 'column_b', '{sq(b)}', 'r', {r})")
         wide = centred.agg(*[F.expr(f"{e} AS {k}") for k, e in aggs.items()])
         parts.append(wide.selectExpr(f"inline(array({', '.join(items)}))"))
@@ -223,102 +220,6 @@ def _pair_stats(df: DataFrame, pairs: list[tuple[str, str]], facts=None) -> tupl
     return out, varies
 
 
-def _gram_pairs(centred: DataFrame, cols: list[str], idx: dict[str, int], full: set, n: int,
-                pairs: list[tuple[str, str]]) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """Pearson r over pairwise-complete rows for many columns at once.
-
-    With ``x`` the centred values (0 where missing), ``q = x * x`` and ``m``
-    the presence flag of each column that has missing values, every sum
-    the coefficient needs - pair counts, masked sums, masked sums of
-    squares, sums of products - is an entry of the Gram matrix
-    ``sum(v v^T)`` of ``v = [x, q, m]``. Spark ML computes that vector's
-    means and variances (``Summarizer``) and correlations
-    (``Correlation``: per-partition BLAS updates, tree-aggregated), from
-    which each entry follows as ``(n-1) r s_a s_b + n mean_a mean_b``.
-    Returns (settled pairs, pairs left to the masked sums).
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation, Summarizer
-
-    nullable = [c for c in cols if c not in full]
-    comp: dict[tuple[str, str], int] = {}
-    exprs = []
-    for c in cols:
-        x = F.col(f"_x{idx[c]}")
-        comp[("x", c)] = len(exprs)
-        exprs.append(F.coalesce(x, F.lit(0.0)).alias(f"_gx{idx[c]}"))
-        if nullable:  # squares only matter when some rows are masked
-            comp[("q", c)] = len(exprs)
-            exprs.append(F.coalesce(x * x, F.lit(0.0)).alias(f"_gq{idx[c]}"))
-    for c in nullable:
-        comp[("m", c)] = len(exprs)
-        exprs.append(F.col(f"_x{idx[c]}").isNotNull().cast("double").alias(f"_gm{idx[c]}"))
-    staged = centred.select(*exprs)
-    vec = VectorAssembler(inputCols=staged.columns, outputCol="_vec").transform(staged).select("_vec")
-    summary = vec.select(Summarizer.metrics("mean", "variance").summary(F.col("_vec")).alias("s")).first()["s"]
-    mean = [float(v) for v in summary["mean"].toArray()]
-    var = [float(v) for v in summary["variance"].toArray()]
-    corr = Correlation.corr(vec, "_vec", "pearson").head()[0].toArray().tolist()
-
-    def gram(a: int, b: int) -> float | None:
-        if a == b:
-            return (n - 1) * var[a] + n * mean[a] * mean[a]
-        if var[a] == 0 or var[b] == 0:
-            return n * mean[a] * mean[b]
-        r = corr[a][b]
-        if math.isnan(r):
-            return None
-        return (n - 1) * r * math.sqrt(var[a] * var[b]) + n * mean[a] * mean[b]
-
-    def total(a: int) -> float:
-        return n * mean[a]
-
-    settled, rest = [], []
-    for a, b in pairs:
-        xa, xb, qa, qb = comp[("x", a)], comp[("x", b)], comp.get(("q", a)), comp.get(("q", b))
-        ma, mb = comp.get(("m", a)), comp.get(("m", b))
-        if ma is None and mb is None:
-            vals = (float(n), total(xa), total(xb), gram(xa, xa), gram(xb, xb), gram(xa, xb))
-        elif ma is None:
-            vals = (total(mb), gram(xa, mb), total(xb), gram(qa, mb), total(qb), gram(xa, xb))
-        elif mb is None:
-            vals = (total(ma), total(xa), gram(xb, ma), total(qa), gram(qb, ma), gram(xa, xb))
-        else:
-            vals = (gram(ma, mb), gram(xa, mb), gram(xb, ma), gram(qa, mb), gram(qb, ma), gram(xa, xb))
-        if any(v is None for v in vals):
-            rest.append((a, b))
-            continue
-        cnt, sx, sy, qx, qy, p = vals
-        cnt = round(cnt)
-        r = None
-        if cnt > 1:
-            cov = p - sx * sy / cnt
-            vx, vy = qx - sx * sx / cnt, qy - sy * sy / cnt
-            if vx > 0 and vy > 0:
-                r = cov / math.sqrt(vx * vy)
-        settled.append((a, b, r))
-    frame = centred.sparkSession.createDataFrame(settled, "column_a string, column_b string, r double")
-    return frame, rest
-
-
-def _gram_correlations(centred: DataFrame, cols: list[str], idx: dict[str, int]) -> DataFrame:
-    """Pearson r for every pair of complete columns from one Gram-matrix
-    pass (``pyspark.ml.stat.Correlation``: per-partition BLAS updates,
-    tree-aggregated; the N x N result is bounded by the schema)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    names = [f"_x{idx[c]}" for c in cols]
-    vec = VectorAssembler(inputCols=names, outputCol="_vec").transform(centred.select(*names)).select("_vec")
-    m = Correlation.corr(vec, "_vec", "pearson").head()[0].toArray()
-    rows = []
-    for i, a in enumerate(cols):
-        for j in range(i + 1, len(cols)):
-            r = float(m[i, j])
-            rows.append((a, cols[j], None if math.isnan(r) else r))
-    return centred.sparkSession.createDataFrame(rows, "column_a string, column_b string, r double")
-
-
 def pair_correlations(df: DataFrame, columns: Sequence[str] | None = None,
                       facts: tuple | None = None) -> tuple[DataFrame, list[str], dict]:
     """Unrounded r for every column pair (i < j) of the non-empty numeric
@@ -464,14 +365,43 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact:
     cols = list(columns) if columns is not None else [
         c for c in df.columns if classify(df).of(c) != "other"
     ]
-    fn = F.count_distinct if exact else F.approx_count_distinct
-    wide = df.agg(*[fn(qcol(c)).alias(f"d{i}") for i, c in enumerate(cols)])
+    if exact:
+        found = exact_distinct(df, cols)
+        return df.sparkSession.createDataFrame([(c, found[c]) for c in cols], "column string, distinct bigint")
+    wide = df.agg(*[F.approx_count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(cols)])
     return _long_from_wide(wide, [
         F.struct(F.lit(c).alias("column"), F.col(f"d{i}").cast("long").alias("distinct"))
         for i, c in enumerate(cols)
     ])
 
 
+def _distinct_key(df: DataFrame, c: str) -> Column:
+    """A short key that two values share exactly if they are equal: their
+    text, or its SHA-256 where that is shorter (no long text is shuffled);
+    -0.0 counts as 0.0."""
+    t = df.schema[c].dataType.typeName()
+    v = qcol(c) + F.lit(0.0) if t in ("float", "double") else qcol(c)
+    if t in ("array", "map", "struct", "variant"):
+        v = F.to_json(v)
+    elif t == "binary":
+        v = F.hex(v)
+    v = v.cast("string")
+    return F.when(F.length(v) > 32, F.unhex(F.sha2(v.cast("binary"), 256))).otherwise(v.cast("binary"))
+
+
+def exact_distinct(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Distinct values of each column (missing excluded): one row a
+    (column, key), partially aggregated, then counted by column. No column
+    repeats the others' rows."""
+    if not columns:
+        return {}
+    items = [F.when(qcol(c).isNotNull(), F.struct(F.lit(i).alias("_c"), _distinct_key(df, c).alias("_k")))
+             for i, c in enumerate(columns)]
+    keys = df.select(F.inline(F.array_compact(F.array(*items)))).distinct()
+    found = dict(keys.groupBy("_c").agg(F.count(F.lit(1))).collect())  # a row a column
+    return {c: found.get(i, 0) for i, c in enumerate(columns)}
+
+
 def value_counts(df: DataFrame, column: str, k: int) -> DataFrame:
     """A11 for one column, typed: ``value, count, rank`` - the ``k`` most
     frequent values, count desc then value asc.
@@ -523,6 +453,8 @@ def column_roles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     cls = classify(df)
     cols = list(columns) if columns is not None else df.columns
     aggs, structs = [], []
+    text = [c for c in cols if cls.of(c) not in ("numeric", "datetime") and df.schema[c].dataType.typeName() != "boolean"]
+    distinct = exact_distinct(df, text)
     for i, c in enumerate(cols):
         kind = cls.of(c)
         is_bool = df.schema[c].dataType.typeName() == "boolean"
@@ -541,12 +473,11 @@ def column_roles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
                 F.lit(None).cast("long").alias("distinct"),
                 F.lit(ROLE_DATETIME_TEXT).alias("description")))
         else:
-            key = F.to_json(qcol(c)) if kind == "other" else qcol(c)
-            aggs.append(F.count_distinct(key).alias(f"d{i}"))
+            n = F.lit(distinct[c])
             structs.append(F.struct(
                 F.lit(c).alias("column"), F.lit(kind).alias("class"),
                 F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("max"),
-                F.col(f"d{i}").cast("long").alias("distinct"),
-                fill(ROLE_CATEGORICAL_TEXT, F.col(f"d{i}").cast("string")).alias("description")))
+                n.cast("long").alias("distinct"),
+                fill(ROLE_CATEGORICAL_TEXT, n.cast("string")).alias("description")))
     wide = df.agg(*aggs) if aggs else df.sparkSession.range(1).select(F.lit(1).alias("_"))
     return _long_from_wide(wide, structs)

@@ -1,7 +1,7 @@
 """Sources (S1-S5): load a table the way the reference's loader does.
 
-* CSV with a header row and inferred types (RFC-4180 quoting; multi-line
-  fields on request);
+* CSV with a header row and inferred types (RFC-4180 quoting, quoted line
+  breaks included);
 * encoding fallback: UTF-8, else ISO-8859-1 (Spark never fails on bad
   bytes; it substitutes U+FFFD, so validity is tested explicitly);
 * the usual text null tokens (``NA``, ``N/A``, ``null``...) read as missing,
@@ -31,32 +31,46 @@ NULL_TOKENS = (
 FALLBACK_ENCODING = "ISO-8859-1"
 
 
+# Full forms of the values that a text column may be read as; the casts
+# alone would also take "10D" for a number and "12:30" for a time of today.
+INTEGER = r"^[+-]?[0-9]+$"
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?([iI]nf|[iI]nfinity|INF|INFINITY)$"
+BOOLEAN = r"^([tT]rue|[fF]alse|TRUE|FALSE)$"
+MOMENT = (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    if ":" not in path.split("/", 1)[0]:
-        return os.path.exists(path)
-    jvm = spark.sparkContext._jvm  # noqa: SLF001 - Hadoop file system check
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
-    return fs.exists(hpath)
+    """A path or glob that the session's file systems know (a path without a
+    scheme lies on the default one)."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    files = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+    found = files.globStatus(hpath)
+    return found is not None and len(found) > 0
 
 
-def is_valid_utf8(spark: SparkSession, path: str) -> bool:
-    """True when every line of the file is valid UTF-8. ``read.text`` keeps
-    the raw line bytes, split across tasks; the first bad line ends the
-    scan (``limit(1)``), a boolean comes back."""
-    lines = spark.read.text(path)
-    return lines.where(~F.is_valid_utf8("value")).limit(1).count() == 0
+def csv_layout(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """Encoding, and whether quoted fields may span lines, from one read of
+    the raw lines (split across tasks): a line that is not valid UTF-8 means
+    the fallback encoding, and a quoted line break leaves a line with an odd
+    number of quotes."""
+    quotes = F.octet_length("value") - F.octet_length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    row = spark.read.text(path).agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("broken")).first()
+    return FALLBACK_ENCODING if row["utf8"] is False else "UTF-8", bool(row["broken"])
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, infer_types: bool = True,
              null_tokens: tuple[str, ...] = NULL_TOKENS, infer_dates: bool = True,
-             multi_line: bool = False) -> DataFrame:
+             multi_line: bool | None = None) -> DataFrame:
     """Header CSV, encoding fallback, null tokens, inferred types.
 
-    ``multi_line=True`` accepts quoted fields that span lines, at the price
-    of one task per file (a multi-line file cannot be split)."""
-    if encoding is None:
-        encoding = "UTF-8" if is_valid_utf8(spark, path) else FALLBACK_ENCODING
+    Files with quoted line breaks are found and read whole, one task a file
+    (their lines cannot be told apart from the middle); others are split.
+    ``encoding`` and ``multi_line`` may be given instead of being found."""
+    if encoding is None or multi_line is None:
+        found = csv_layout(spark, path)
+        encoding = encoding or found[0]
+        multi_line = found[1] if multi_line is None else multi_line
     text = (
         spark.read.option("header", True).option("inferSchema", False)
         .option("multiLine", multi_line).option("escape", '"').option("encoding", encoding)
@@ -71,32 +85,23 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, infer_
 
 def infer_column_types(df: DataFrame, infer_dates: bool = True) -> DataFrame:
     """Per text column, the narrowest of bigint / double / boolean /
-    timestamp that every non-missing value casts to (``try_cast``), else
-    text; a column with no value at all becomes double, as a numeric
-    reader would type it. One aggregation decides all columns; the result
-    is a lazy projection."""
-    cands = ["bigint", "double", "boolean"] + (["timestamp"] if infer_dates else [])
+    timestamp whose full form every non-missing value has (and that the cast
+    accepts), else text; a column with no value at all becomes double, as a
+    numeric reader would type it. One aggregation decides all columns; the
+    result is a lazy projection."""
+    forms = {"bigint": INTEGER, "double": NUMBER, "boolean": BOOLEAN} | ({"timestamp": MOMENT} if infer_dates else {})
     aggs = []
     for i, c in enumerate(df.columns):
-        v = qcol(c)
-        for t in cands:
-            if t == "boolean":
-                ok = F.lower(F.trim(v)).isin("true", "false")
-            else:
-                ok = F.trim(v).try_cast(t).isNotNull()
+        v = F.trim(qcol(c))
+        for t, form in forms.items():
+            ok = v.rlike(form) & v.try_cast(t).isNotNull()
             aggs.append(F.count_if(v.isNotNull() & ~ok).alias(f"bad_{t}_{i}"))
         aggs.append(F.count(v).alias(f"n_{i}"))
     row = df.agg(*aggs).first()
     out = []
     for i, c in enumerate(df.columns):
-        chosen = None
-        if row[f"n_{i}"] == 0:
-            chosen = "double"  # a column without any value reads as an empty number column
-        else:
-            for t in cands:
-                if row[f"bad_{t}_{i}"] == 0:
-                    chosen = t
-                    break
+        fits = [t for t in forms if row[f"bad_{t}_{i}"] == 0]
+        chosen = "double" if row[f"n_{i}"] == 0 else next(iter(fits), None)
         out.append(F.trim(qcol(c)).try_cast(chosen).alias(c) if chosen else qcol(c))
     return df.select(*out)
 

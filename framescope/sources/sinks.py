@@ -7,6 +7,7 @@ import datetime as _dt
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.ask import RESULT_ROWS, shape_result
 
@@ -27,6 +28,27 @@ def _plain(v):
     return v
 
 
+def answer_kind(df: DataFrame, keys: int = 0) -> DataFrame:
+    """How an answer is shown, as one row ``kind, columns``: ``table``, or
+    ``scalar`` for one value (a single row with one column besides its
+    ``keys``), or ``none`` without rows. At most two rows are looked at."""
+    rows = df.limit(2).agg(F.count(F.lit(1)).alias("n"))
+    one = F.lit(len(df.columns) - keys == 1)
+    kind = F.when(F.col("n") == 0, "none").when((F.col("n") == 1) & one, "scalar").otherwise("table")
+    return rows.select(kind.alias("kind"), F.lit(len(df.columns)).alias("columns"))
+
+
+def to_answer(df: DataFrame, keys: int = 0, cap: int = RESULT_ROWS) -> dict:
+    """The value of a one-value answer as ``{"scalar"}`` (None without rows),
+    else the table of :func:`to_payload` as ``{"table"}``."""
+    table = to_payload(df, cap)
+    if not table["rows"]:
+        return {"scalar": None}
+    if len(table["rows"]) == 1 and len(table["columns"]) - keys == 1:
+        return {"scalar": table["rows"][0][keys]}
+    return {"table": table}
+
+
 def to_payload(df: DataFrame, cap: int = RESULT_ROWS) -> dict:
     """``{"columns", "rows", "truncated"}`` with at most ``cap`` rows; one
     extra row is fetched to know whether more exist."""

@@ -51,35 +51,35 @@ def test_pie_shares_over_kept_slices(spark):
     assert top["value"] == "v9" and top["share"] == round(10 * 100 / kept, 1)
 
 
-def test_chart_plan_skips_empty_and_has_no_trend_without_dates(clean_df, messy_df):
-    plan = chart_plan(messy_df).collect()
+def test_chart_plan_skips_empty_and_has_no_trend_without_dates(bodies_df, readings_df):
+    plan = chart_plan(readings_df).collect()
     used = {r["column"] for r in plan} | {r["x_axis"] for r in plan} | {r["y_axis"] for r in plan}
-    assert "empty_col" not in used
+    assert "remark" not in used
     assert any(r["chart_type"] == "Trend Line" for r in plan)
-    assert not any(r["chart_type"] == "Trend Line" for r in chart_plan(clean_df).collect())
+    assert not any(r["chart_type"] == "Trend Line" for r in chart_plan(bodies_df).collect())
 
 
-def test_chart_dispatch(clean_df):
-    meta, frame = chart_data(clean_df, ChartSpec("scatter", "x", "y"))
-    assert meta.chart_type == "Scatter Plot" and frame.count() == 50
-    meta, frame = chart_data(clean_df, ChartSpec("bar", x_column="label"))
+def test_chart_dispatch(bodies_df):
+    meta, frame = chart_data(bodies_df, ChartSpec("scatter", "height", "weight"))
+    assert meta.chart_type == "Scatter Plot" and frame.count() == 36
+    meta, frame = chart_data(bodies_df, ChartSpec("bar", x_column="side"))
     assert meta.x_axis == "Count" and frame.count() == 2
-    meta, frame = chart_data(clean_df, ChartSpec("bar", "label", "x"))
-    assert frame.columns == ["label", "mean_y", "rank"]
+    meta, frame = chart_data(bodies_df, ChartSpec("bar", "side", "height"))
+    assert frame.columns == ["side", "mean_y", "rank"]
     with pytest.raises(ValueError):
-        chart_data(clean_df, ChartSpec("gibberish"))
+        chart_data(bodies_df, ChartSpec("gibberish"))
     with pytest.raises(ColumnNotFoundError):
-        chart_data(clean_df, ChartSpec("histogram", column="nope"))
+        chart_data(bodies_df, ChartSpec("histogram", column="nope"))
     with pytest.raises(ValueError):
-        chart_data(clean_df, ChartSpec("line", x_column="x"))
+        chart_data(bodies_df, ChartSpec("line", x_column="height"))
     with pytest.raises(ValueError):
-        chart_data(clean_df.select("x", "label"), ChartSpec("heatmap"))
+        chart_data(bodies_df.select("height", "side"), ChartSpec("heatmap"))
 
 
-def test_line_series_sorted_complete_pairs(messy_df):
-    rows = charts.line_series(messy_df, "date", "revenue").collect()
-    assert len(rows) == 205 - 15
-    assert [r["date"] for r in rows] == sorted(r["date"] for r in rows)
+def test_line_series_sorted_complete_pairs(readings_df):
+    rows = charts.line_series(readings_df, "taken", "rain").collect()
+    assert len(rows) == 167 - 12
+    assert [r["taken"] for r in rows] == sorted(r["taken"] for r in rows)
 
 
 def test_histograms_many_columns_match_numpy(spark):
@@ -95,18 +95,18 @@ def test_histograms_many_columns_match_numpy(spark):
 
 
 @pytest.mark.parametrize("spec,chart_type,columns", [
-    (ChartSpec("line", "date", "spend"), "Line", ["date", "spend"]),
-    (ChartSpec("area", "date", "revenue"), "Area", ["date", "revenue"]),
-    (ChartSpec("pie", x_column="category"), "Pie", ["value", "count", "share", "rank"]),
-    (ChartSpec("box", column="spend"), "Box",
+    (ChartSpec("line", "taken", "wind"), "Line", ["taken", "wind"]),
+    (ChartSpec("area", "taken", "rain"), "Area", ["taken", "rain"]),
+    (ChartSpec("pie", x_column="station"), "Pie", ["value", "count", "share", "rank"]),
+    (ChartSpec("box", column="wind"), "Box",
      ["n", "q1", "median", "q3", "whisker_lo", "whisker_hi", "fliers"]),
-    (ChartSpec("box", x_column="category", y_column="spend"), "Box",
-     ["category", "n", "q1", "median", "q3", "whisker_lo", "whisker_hi", "fliers"]),
-    (ChartSpec("histogram", x_column="spend"), "Histogram", ["bin", "lo", "hi", "count"]),
+    (ChartSpec("box", x_column="station", y_column="wind"), "Box",
+     ["station", "n", "q1", "median", "q3", "whisker_lo", "whisker_hi", "fliers"]),
+    (ChartSpec("histogram", x_column="wind"), "Histogram", ["bin", "lo", "hi", "count"]),
     (ChartSpec("heatmap"), "Heatmap", ["column_a", "column_b", "r"]),
 ])
-def test_chart_dispatch_every_type(messy_df, spec, chart_type, columns):
-    meta, frame = chart_data(messy_df, spec)
+def test_chart_dispatch_every_type(readings_df, spec, chart_type, columns):
+    meta, frame = chart_data(readings_df, spec)
     assert meta.chart_type == chart_type
     assert frame.columns == columns
     assert frame.count() > 0

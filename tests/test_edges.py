@@ -70,7 +70,7 @@ def test_boolean_is_categorical(spark):
        st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.9, 1.0]))
 def test_quantile_property(spark, values, p):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    got = exact_quantiles(df, ["v"], [p], final_rows=20, buckets=4).first()["value"]
+    got = exact_quantiles(df, ["v"], [p], final_rows=20, grid=16).first()["value"]
     assert got == pytest.approx(float(np.quantile(np.array(values, dtype=float), p)), rel=1e-12, abs=1e-9)
 
 
@@ -95,10 +95,8 @@ def test_dedup_with_map_and_dotted_columns(odd_df):
                           st.one_of(st.none(), st.sampled_from(["a", "b"])),
                           st.sampled_from([0.0, -0.0, 1.5, float("nan")])),
                 min_size=0, max_size=60),
-       st.booleans())
-def test_duplicates_property(spark, monkeypatch, rows, force_full_grouping):
-    if force_full_grouping:
-        monkeypatch.setattr(quality, "DUPLICATE_CANDIDATES_BROADCAST", 0)
+       )
+def test_duplicates_property(spark, rows):
     pdf = pd.DataFrame(rows, columns=["i", "s", "d"])
     df = spark.createDataFrame(rows, "i int, s string, d double")
     assert quality.duplicate_rows(df).first()["duplicates"] == int(pdf.duplicated().sum())

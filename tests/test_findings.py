@@ -13,8 +13,8 @@ def test_follow_ups_propose_correlated_pair(correlated_df):
     assert {recs[0]["x_column"], recs[0]["y_column"]} == {"x", "y"}
 
 
-def test_follow_ups_limit_and_fields(messy_df):
-    recs = findings.follow_ups(messy_df).collect()
+def test_follow_ups_limit_and_fields(readings_df):
+    recs = findings.follow_ups(readings_df).collect()
     assert len(recs) <= 5
     for r in recs:
         assert r["title"] and r["chart_request"]
@@ -26,10 +26,10 @@ def test_key_findings_fallback(spark):
     assert [r["kind"] for r in rows] == ["none"]
 
 
-def test_key_findings_grounded(correlated_df, clean_df):
+def test_key_findings_grounded(correlated_df, bodies_df):
     rows = findings.key_findings(correlated_df).collect()
-    assert rows[0]["text"].startswith("X is positively correlated with y")
-    tops = findings.key_findings(clean_df).collect()
+    assert rows[0]["text"].startswith("X is negatively correlated with y")
+    tops = findings.key_findings(bodies_df).collect()
     assert tops[0]["kind"] == "top_value" and "most frequent value in 'label'" in tops[0]["text"]
 
 
@@ -40,15 +40,15 @@ def test_observations_cover_every_chart(correlated_df):
     assert {r["chart_id"] for r in obs.collect()} == {r["chart_id"] for r in plan.collect()}
 
 
-def test_chart_columns_skip_axis_labels(clean_df):
-    plan = chart_plan(clean_df)
-    cols = {r["column"] for r in findings.chart_columns(plan, clean_df.columns).collect()}
-    assert "Frequency" not in cols and "Count" not in cols and "label" in cols
+def test_chart_columns_skip_axis_labels(bodies_df):
+    plan = chart_plan(bodies_df)
+    cols = {r["column"] for r in findings.chart_columns(plan, bodies_df.columns).collect()}
+    assert "Frequency" not in cols and "Count" not in cols and "side" in cols
 
 
-def test_end_to_end_profile(messy_df):
-    prof = profile(messy_df)
-    assert prof.quality.first()["duplicates"] == 5
+def test_end_to_end_profile(readings_df):
+    prof = profile(readings_df)
+    assert prof.quality.first()["duplicates"] == 7
     assert {r["chart_id"] for r in prof.observations.collect()} == set(prof.charts)
     assert prof.follow_ups.count() <= 5
 
@@ -69,8 +69,8 @@ def test_every_query_runs_at_smallest_scale(spark, name):
     assert df.count() >= 0
 
 
-def test_profile_reports_schema(messy_df):
-    prof = profile(messy_df, with_charts=False)
+def test_profile_reports_schema(readings_df):
+    prof = profile(readings_df, with_charts=False)
     rows = prof.schema.orderBy("position").collect()
-    assert [r["column"] for r in rows] == messy_df.columns
+    assert [r["column"] for r in rows] == readings_df.columns
     assert [r["class"] for r in rows] == ["datetime", "categorical", "numeric", "numeric", "categorical"]

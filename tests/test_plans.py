@@ -28,18 +28,55 @@ def test_group_total_reads_two_columns(spark):
     assert "partial_sum" in p
 
 
-@pytest.mark.parametrize("make", [
-    lambda s: quality.quality_report(E.messy_lineitem(s, SF)),
-    lambda s: stats.describe(s.read.parquet(f"{SF}/lineitem.parquet")),
-    lambda s: stats.iqr_outliers(s.read.parquet(f"{SF}/events.parquet")),
-    lambda s: charts.box_summary(s.read.parquet(f"{SF}/lineitem.parquet"), "l_tax", by="l_returnflag"),
-    lambda s: charts.histograms(s.read.parquet(f"{SF}/lineitem.parquet"), ["l_quantity", "l_tax"]),
-    lambda s: findings.follow_ups(E.correlated(s, SF)),
-    lambda s: stats.correlation_matrix(E.messy_lineitem(s, SF)),
-])
-def test_no_cartesian_products(spark, make):
-    p = plan_of(make(spark))
-    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+PASSES = {
+    "quality": lambda s: quality.quality_report(E.messy_lineitem(s, SF)),
+    "describe": lambda s: stats.describe(s.read.parquet(f"{SF}/lineitem.parquet")),
+    "outliers": lambda s: stats.iqr_outliers(s.read.parquet(f"{SF}/events.parquet")),
+    "box": lambda s: charts.box_summary(s.read.parquet(f"{SF}/lineitem.parquet"), "l_tax", by="l_returnflag"),
+    "histograms": lambda s: charts.histograms(s.read.parquet(f"{SF}/lineitem.parquet"), ["l_quantity", "l_tax"]),
+    "follow-ups": lambda s: findings.follow_ups(E.correlated(s, SF)),
+    "correlation": lambda s: stats.correlation_matrix(E.messy_lineitem(s, SF)),
+    "roles": lambda s: stats.column_roles(s.read.parquet(f"{SF}/orders.parquet")),
+}
+
+
+def passes_of(spark, make) -> list[str]:
+    """The plans of every job that an operator runs, its own passes included:
+    the eager actions go through these three methods."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plans, kept = [], {n: getattr(DataFrame, n) for n in ("collect", "count", "head")}
+
+    def noted(f):
+        def run(self, *args):
+            plans.append(plan_of(self))
+            return f(self, *args)
+
+        return run
+
+    try:
+        for n, f in kept.items():
+            setattr(DataFrame, n, noted(f))
+        make(spark).collect()
+    finally:
+        for n, f in kept.items():
+            setattr(DataFrame, n, f)
+    return plans
+
+
+@pytest.mark.parametrize("name", PASSES)
+def test_no_cartesian_products_in_any_pass(spark, name):
+    plans = passes_of(spark, PASSES[name])
+    assert any("FileScan parquet" in p for p in plans)
+    for p in plans:
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p and "Expand" not in p
+
+
+def test_sorted_and_shuffled_input_give_the_same_plan(spark):
+    df = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_tax", "l_partkey", "l_returnflag")
+    for make in (lambda d: charts.histograms(d, ["l_tax", "l_partkey"]), lambda d: charts.bar_counts(d, "l_returnflag")):
+        first, second = (len(passes_of(spark, lambda s, o=o: make(df.orderBy(o)))) for o in ("l_tax", "l_partkey"))
+        assert first == second
 
 
 def test_duplicate_prefilter_shuffles_hashes_only(spark):

@@ -3,32 +3,32 @@ import numpy as np
 from framescope.operators import quality
 
 
-def test_detects_missing_and_duplicates(messy_df, messy_pdf):
-    r = quality.quality_report(messy_df).first()
-    assert r["missing_values"] == int(messy_pdf.isnull().sum().sum()) == 220
-    assert r["duplicates"] == 5
-    assert "empty_col" in r["empty_columns"]
-    assert r["total_rows"] == 205 and r["total_columns"] == 5
+def test_detects_missing_and_duplicates(readings_df, readings_pdf):
+    r = quality.quality_report(readings_df).first()
+    assert r["missing_values"] == int(readings_pdf.isnull().sum().sum()) == 179
+    assert r["duplicates"] == 7
+    assert "remark" in r["empty_columns"]
+    assert r["total_rows"] == 167 and r["total_columns"] == 5
 
 
-def test_no_issues_on_clean_data(clean_df):
-    r = quality.quality_report(clean_df).first()
+def test_no_issues_on_clean_data(bodies_df):
+    r = quality.quality_report(bodies_df).first()
     assert r["missing_values"] == 0 and r["duplicates"] == 0 and r["empty_columns"] == []
-    issues = quality.quality_issues(clean_df).collect()
+    issues = quality.quality_issues(bodies_df).collect()
     assert [i["issue"] for i in issues] == ["no_issues"]
 
 
-def test_issue_messages(messy_df):
-    issues = {i["issue"]: i for i in quality.quality_issues(messy_df).collect()}
-    assert issues["missing_values"]["message"] == "Fill or drop 220 missing values across 2 column(s)."
-    assert issues["duplicates"]["message"] == "Remove 5 duplicate row(s)."
-    assert issues["empty_columns"]["message"] == "Drop fully empty column(s): empty_col."
+def test_issue_messages(readings_df):
+    issues = {i["issue"]: i for i in quality.quality_issues(readings_df).collect()}
+    assert issues["missing_values"]["message"] == "Fill or drop 179 missing values across 2 column(s)."
+    assert issues["duplicates"]["message"] == "Remove 7 duplicate row(s)."
+    assert issues["empty_columns"]["message"] == "Drop fully empty column(s): remark."
 
 
-def test_basic_cleaning(messy_df):
-    cleaned = quality.dedup_rows(messy_df)
-    assert "empty_col" not in cleaned.columns
-    assert cleaned.count() == 200
+def test_basic_cleaning(readings_df):
+    cleaned = quality.dedup_rows(readings_df)
+    assert "remark" not in cleaned.columns
+    assert cleaned.count() == 160
     assert quality.duplicate_rows(cleaned).first()["duplicates"] == 0
 
 
@@ -65,29 +65,19 @@ def test_numeric_as_text_patterns(spark):
     assert quality.numeric_as_text(df2).first()["flagged"]
 
 
-def test_drop_empty_columns_keeps_order(messy_df):
-    assert quality.drop_empty_columns(messy_df).columns == ["date", "category", "spend", "revenue"]
+def test_drop_empty_columns_keeps_order(readings_df):
+    assert quality.drop_empty_columns(readings_df).columns == ["taken", "station", "wind", "rain"]
 
 
-def test_missing_matches_pandas(messy_df, messy_pdf):
-    got = {r["column"]: r["missing"] for r in quality.missing_by_column(messy_df).collect()}
-    exp = messy_pdf.isnull().sum().to_dict()
+def test_missing_matches_pandas(readings_df, readings_pdf):
+    got = {r["column"]: r["missing"] for r in quality.missing_by_column(readings_df).collect()}
+    exp = readings_pdf.isnull().sum().to_dict()
     assert got == {k: int(v) for k, v in exp.items()}
-    assert np.isclose(sum(got.values()), 220)
+    assert np.isclose(sum(got.values()), 179)
 
 
-def test_numeric_as_text_first_values_by_key(spark):
-    rows = [(i, "$1,200" if i < 50 else "abc") for i in range(200)]
-    df = spark.createDataFrame(rows, "id int, t string")
-    first = quality.numeric_as_text(df, sample_rows=50, order_by=["id"]).first()
-    assert first["checked"] == 50 and first["flagged"]
-    assert not quality.numeric_as_text(df).first()["flagged"]
-
-
-def test_duplicates_hash_prefilter_paths(spark, monkeypatch):
+def test_duplicates_hash_prefilter_paths(spark):
     rows = [(1, None, 0.0), (1, None, -0.0), (None, 1, 2.0), (1, None, 2.0), (2, 2, 3.0), (2, 2, 3.0)]
     df = spark.createDataFrame(rows, "a int, b int, c double")
     assert quality.duplicate_rows(df).first()["duplicates"] == 2  # -0.0 equals 0.0
-    monkeypatch.setattr(quality, "DUPLICATE_CANDIDATES_BROADCAST", 0)
-    assert quality.duplicate_rows(df).first()["duplicates"] == 2
     assert quality.duplicate_rows(df.select("a", "b")).first()["duplicates"] == 3

@@ -5,29 +5,53 @@ from framescope.sources.files import load_dataset
 from framescope.sources.sinks import to_payload
 
 
-def test_load_csv_roundtrip(spark, clean_pdf, tmp_path):
-    path = tmp_path / "test.csv"
-    clean_pdf.to_csv(path, index=False)
-    df = load_dataset(spark, str(path))
-    assert df.count() == len(clean_pdf)
-    assert dict(df.dtypes) == {"x": "double", "y": "double", "label": "string"}
+def test_load_csv_roundtrip(spark, bodies_pdf, tmp_path):
+    bodies_pdf.to_csv(tmp_path / "bodies.CSV", index=False)
+    df = load_dataset(spark, str(tmp_path / "bodies.CSV"))
+    assert dict(df.dtypes) == {"height": "double", "weight": "double", "side": "string"}
+    assert sorted(map(tuple, df.collect())) == sorted(bodies_pdf.itertuples(index=False, name=None))
+
+
+def test_sources_that_cannot_be_read(spark, tmp_path):
+    for gone in (tmp_path / "none.csv", tmp_path / "none*.csv", tmp_path / "no" / "folder.parquet"):
+        with pytest.raises(FileNotFoundError):
+            load_dataset(spark, str(gone))
+    (tmp_path / "sheet.ods").write_bytes(b"PK")
+    with pytest.raises(ValueError, match="ods"):
+        load_dataset(spark, str(tmp_path / "sheet.ods"))
+
 
+def test_globs_and_urls(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"part{i}.csv").write_text(f"a,b\n{i},x\n")
+    for path in (f"{tmp_path}/part*.csv", f"file://{tmp_path}/part[0-9].csv"):
+        assert sorted(r["a"] for r in load_dataset(spark, path).collect()) == [0, 1, 2]
 
-def test_missing_file(spark):
-    with pytest.raises(FileNotFoundError):
-        load_dataset(spark, "/tmp/does_not_exist_xyz.csv")
 
+def test_codes_and_times_stay_text(spark, tmp_path):
+    (tmp_path / "codes.csv").write_text(
+        "code,clock,month,n,x,big,flag,at\n10D,12:30,2024-01,1,1e3,99999999999999999999,True,2024-01-02T03:04:05Z\n"
+        "25F,09:15,2024-02,+2,.5,1,false,2024-02-03 04:05\n")
+    types = dict(load_dataset(spark, str(tmp_path / "codes.csv")).dtypes)
+    assert types == {"code": "string", "clock": "string", "month": "string", "n": "bigint", "x": "double",
+                     "big": "double", "flag": "boolean", "at": "timestamp"}
 
-def test_unsupported_extension(spark, tmp_path):
-    path = tmp_path / "test.txt"
-    path.write_text("hello")
-    with pytest.raises(ValueError):
-        load_dataset(spark, str(path))
 
+def test_answers(spark, bodies_df):
+    from framescope.operators import ask
+    from framescope.sources.sinks import answer_kind, to_answer
 
-def test_shape(clean_df):
-    row = shape_frame(clean_df).first()
-    assert (row["rows"], row["columns"]) == (50, 3)
+    one, table = ask.row_count(bodies_df), ask.count_by_group(bodies_df, "side")
+    assert to_answer(one) == {"scalar": 36} and answer_kind(one).first()["kind"] == "scalar"
+    assert [r[0] for r in to_answer(table, keys=1)["table"]["rows"]] == ["right", "left"]
+    assert to_answer(table.limit(1), keys=1) == {"scalar": 24}
+    assert to_answer(table.limit(0), keys=1) == {"scalar": None}
+    assert [answer_kind(t, 1).first()["kind"] for t in (table, table.limit(1), table.limit(0))] == ["table", "scalar", "none"]
+
+
+def test_shape(bodies_df):
+    row = shape_frame(bodies_df).first()
+    assert (row["rows"], row["columns"]) == (36, 3)
     assert (row["numeric_columns"], row["categorical_columns"], row["datetime_columns"]) == (2, 1, 0)
 
 
@@ -56,19 +80,19 @@ def test_payload_is_plain_and_capped(spark):
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "json", "orc"])
-def test_table_formats_roundtrip(spark, clean_df, tmp_path, fmt):
+def test_table_formats_roundtrip(spark, bodies_df, tmp_path, fmt):
     from framescope.sources.sinks import write_result
 
     path = str(tmp_path / f"out.{fmt}")
-    write_result(clean_df, path, fmt=fmt)
+    write_result(bodies_df, path, fmt=fmt)
     back = load_dataset(spark, path)
-    assert back.count() == 50 and set(back.columns) == {"x", "y", "label"}
+    assert back.count() == 36 and set(back.columns) == {"height", "weight", "side"}
 
 
 def test_csv_quoting_and_multiline(spark, tmp_path):
     path = tmp_path / "q.csv"
     path.write_text('id,note\n1,"a, b"\n2,"line one\nline two"\n3,plain\n')
-    df = load_dataset(spark, str(path), multi_line=True)
+    df = load_dataset(spark, str(path))
     notes = {r["id"]: r["note"] for r in df.collect()}
     assert notes == {1: "a, b", 2: "line one\nline two", 3: "plain"}
 

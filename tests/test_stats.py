@@ -10,24 +10,24 @@ from framescope.operators.quantile import exact_quantiles
 
 def test_correlation_detected(correlated_df):
     strong = stats.strong_correlations(correlated_df).collect()
-    assert len(strong) >= 1 and strong[0]["r"] > 0.9
-    assert strong[0]["description"].startswith("x is positively correlated with y (")
+    assert len(strong) == 1 and strong[0]["r"] < -0.9
+    assert strong[0]["description"].startswith("x is negatively correlated with y (")
 
 
-def test_single_numeric_column_has_empty_matrix(clean_df):
-    assert stats.correlation_matrix(clean_df.select("x", "label")).count() == 0
+def test_single_numeric_column_has_empty_matrix(bodies_df):
+    assert stats.correlation_matrix(bodies_df.select("height", "side")).count() == 0
 
 
-def test_top_categories(clean_df):
-    tops = stats.top_values(clean_df).collect()
-    assert {r["column"] for r in tops} == {"label"}
+def test_top_categories(bodies_df):
+    tops = stats.top_values(bodies_df).collect()
+    assert {r["column"] for r in tops} == {"side"}
 
 
-def test_describe_matches_pandas(messy_df, messy_pdf):
-    got = {r["column"]: r for r in stats.describe(messy_df).collect()}
-    assert set(got) == {"spend", "revenue"}
-    for c in ("spend", "revenue"):
-        s = messy_pdf[c].dropna()
+def test_describe_matches_pandas(readings_df, readings_pdf):
+    got = {r["column"]: r for r in stats.describe(readings_df).collect()}
+    assert set(got) == {"wind", "rain"}
+    for c in ("wind", "rain"):
+        s = readings_pdf[c].dropna()
         assert got[c]["n"] == len(s)
         for k, v in (("mean", s.mean()), ("median", s.median()), ("std", s.std()), ("min", s.min()),
                      ("max", s.max())):
@@ -39,11 +39,11 @@ def test_std_is_zero_for_one_value(spark):
     assert stats.describe(df).first()["std"] == 0.0
 
 
-def test_correlation_matches_pandas_pairwise(messy_df, messy_pdf):
-    got = {(r["column_a"], r["column_b"]): r["r"] for r in stats.correlation_matrix(messy_df).collect()}
-    exp = messy_pdf[["spend", "revenue"]].corr().round(3)
-    for a in ("spend", "revenue"):
-        for b in ("spend", "revenue"):
+def test_correlation_matches_pandas_pairwise(readings_df, readings_pdf):
+    got = {(r["column_a"], r["column_b"]): r["r"] for r in stats.correlation_matrix(readings_df).collect()}
+    exp = readings_pdf[["wind", "rain"]].corr().round(3)
+    for a in ("wind", "rain"):
+        for b in ("wind", "rain"):
             assert got[(a, b)] == pytest.approx(exp.loc[a, b], abs=1e-9)
 
 
@@ -71,16 +71,16 @@ def test_outliers_need_four_values_and_spread(tiny_df, spark):
     assert stats.iqr_outliers(const).count() == 0  # iqr == 0 is skipped
 
 
-def test_distinct_and_roles(clean_df):
-    d = {r["column"]: r["distinct"] for r in stats.distinct_counts(clean_df).collect()}
-    assert d["label"] == 2
-    roles = {r["column"]: r for r in stats.column_roles(clean_df).collect()}
-    assert roles["label"]["description"] == "A categorical field with 2 distinct value(s)."
-    assert roles["x"]["description"].startswith("A numeric measure ranging from ")
+def test_distinct_and_roles(bodies_df):
+    d = {r["column"]: r["distinct"] for r in stats.distinct_counts(bodies_df).collect()}
+    assert d["side"] == 2
+    roles = {r["column"]: r for r in stats.column_roles(bodies_df).collect()}
+    assert roles["side"]["description"] == "A categorical field with 2 distinct value(s)."
+    assert roles["height"]["description"].startswith("A numeric measure ranging from ")
 
 
-@pytest.mark.parametrize("final_rows,buckets", [(1_000_000, 4096), (40, 8)])
-def test_exact_quantiles_against_pandas(spark, final_rows, buckets):
+@pytest.mark.parametrize("final_rows,grid", [(1_000_000, 2000), (40, 16)])
+def test_exact_quantiles_against_pandas(spark, final_rows, grid):
     rng = np.random.default_rng(3)
     n = 3000
     pdf = pd.DataFrame({
@@ -91,10 +91,10 @@ def test_exact_quantiles_against_pandas(spark, final_rows, buckets):
     pdf.loc[:20, "x"] = np.nan
     df = spark.createDataFrame(pdf)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = exact_quantiles(df, ["x", "hot_value"], probs, final_rows=final_rows, buckets=buckets).collect()
+    got = exact_quantiles(df, ["x", "hot_value"], probs, final_rows=final_rows, grid=grid).collect()
     for r in got:
         assert r["value"] == pytest.approx(pdf[r["column"]].quantile(r["p"]), abs=1e-12)
-    got = exact_quantiles(df, ["x"], probs, group_cols=["g"], final_rows=final_rows, buckets=buckets).collect()
+    got = exact_quantiles(df, ["x"], probs, group_cols=["g"], final_rows=final_rows, grid=grid).collect()
     assert len(got) == 3 * len(probs)
     for r in got:
         exp = pdf[pdf.g == r["g"]]["x"].quantile(r["p"])
@@ -103,7 +103,7 @@ def test_exact_quantiles_against_pandas(spark, final_rows, buckets):
 
 def test_quantiles_all_equal_values(spark):
     df = spark.createDataFrame([(2.0,)] * 1000, "v double")
-    got = exact_quantiles(df, ["v"], [0.25, 0.5], final_rows=10, buckets=4).collect()
+    got = exact_quantiles(df, ["v"], [0.25, 0.5], final_rows=10, grid=16).collect()
     assert all(r["value"] == 2.0 for r in got)
 
 
@@ -114,20 +114,34 @@ def test_top_values_ties_by_value(spark):
     assert not any(math.isnan(c) for _, c, _ in got)
 
 
-def test_grouped_quantiles_checkpointed_state(spark, monkeypatch):
-    """Many groups: the bracket table goes through the checkpoint folder
-    instead of the driver; answers stay exact."""
+def test_whole_table_quantiles_of_heavy_tails_in_three_reads(spark, monkeypatch):
     from framescope.operators import quantile as q
 
-    monkeypatch.setattr(q, "LOCAL_STATE_ROWS", 0)
-    monkeypatch.setattr(q, "FEW_GROUPS", 0)
-    rng = np.random.default_rng(11)
-    pdf = pd.DataFrame({"g": rng.integers(0, 5, 2000), "v": rng.normal(0, 1, 2000)})
-    got = exact_quantiles(spark.createDataFrame(pdf), ["v"], [0.25, 0.5], group_cols=["g"],
-                          final_rows=30, buckets=8).collect()
-    assert len(got) == 10
+    reads, largest = [], []
+    narrow, pick = q._narrow, q._pick
+
+    def counted(vals, brackets, *rest):
+        reads.append(1)
+        return narrow(vals, brackets, *rest)
+
+    def bounded(vals, brackets):
+        reads.append(1)
+        largest.extend(b.rows for b in brackets)
+        return pick(vals, brackets)
+
+    monkeypatch.setattr(q, "_narrow", counted)
+    monkeypatch.setattr(q, "_pick", bounded)
+    rng = np.random.default_rng(14)
+    v = np.exp(rng.normal(0, 60, 40_000))
+    v[:3], v[3:9] = np.inf, -np.inf
+    pdf = pd.DataFrame({"v": v})
+    got = exact_quantiles(spark.createDataFrame(pdf), ["v"], [0.0, 0.25, 0.5, 0.9, 1.0], final_rows=500).collect()
+    order = np.sort(v)
     for r in got:
-        assert r["value"] == pytest.approx(pdf[pdf.g == r["g"]]["v"].quantile(r["p"]), abs=1e-12)
+        h = (len(v) - 1) * r["p"]
+        lo, hi = order[int(h)], order[min(int(h) + 1, len(v) - 1)]
+        assert r["value"] == (lo if lo == hi else pytest.approx(lo + (h - int(h)) * (hi - lo), rel=1e-12))
+    assert len(reads) <= 2 and max(largest) <= 500
 
 
 def test_approx_quantiles_close(spark):
@@ -138,20 +152,46 @@ def test_approx_quantiles_close(spark):
         assert q[name] == pytest.approx(pdf.v.quantile(p), abs=0.01)
 
 
-def test_grouped_quantiles_many_groups_distributed_path(spark, monkeypatch):
-    from framescope.operators import quantile as q
+def test_grouped_quantiles_split_a_hot_group(spark):
+    from framescope.operators.quantile import grouped_quantiles
 
-    monkeypatch.setattr(q, "FEW_GROUPS", 2)
     rng = np.random.default_rng(13)
-    pdf = pd.DataFrame({"g": rng.integers(0, 6, 3000), "v": rng.exponential(3, 3000)})
-    got = exact_quantiles(spark.createDataFrame(pdf), ["v"], [0.5, 0.9], group_cols=["g"],
-                          final_rows=50, buckets=8).collect()
-    assert len(got) == 12
+    pdf = pd.DataFrame({"p": np.where(rng.random(6000) < 0.4, 0, rng.integers(0, 300, 6000)), "value": rng.exponential(3, 6000)})
+    wide = grouped_quantiles(spark.createDataFrame(pdf), ["value"], [0.5, 0.9], ["p"])
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [sum(_k" in line]
+    assert windows and all("_s#" in line for line in windows)
+    got = wide.collect()
+    assert len(got) == pdf["p"].nunique()
     for r in got:
-        assert r["value"] == pytest.approx(pdf[pdf.g == r["g"]]["v"].quantile(r["p"]), abs=1e-12)
-
-
-def test_wide_table_gram_and_masked_paths(spark):
+        own = pdf[pdf["p"] == r["_g0"]]["value"]
+        assert (r["_n0"], r["_q0_0"], r["_q0_1"]) == (len(own), pytest.approx(own.quantile(0.5), abs=1e-12),
+                                                      pytest.approx(own.quantile(0.9), abs=1e-12))
+
+
+def test_pairs_agree_at_every_width_and_infinity_has_no_coefficient(spark):
+    rng = np.random.default_rng(29)
+    n = 400
+    a = rng.normal(5, 1, n)
+    b = np.where(np.arange(n) < 50, 1e6 / 3, np.nan)  # constant where it is present
+    c = np.where(np.arange(n) < 50, 0.1, rng.normal(0, 1, n))  # constant on the rows shared with b
+    narrow = pd.DataFrame({"a": a, "b": b, "c": c, "k": np.where(np.arange(n) == 7, np.inf, a)})
+    wide = narrow.assign(**{f"w{i}": rng.normal(0, 1, n) for i in range(20)})
+    got = [{(r["column_a"], r["column_b"]): r["r"] for r in stats.correlation_matrix(
+        spark.createDataFrame(t), decimals=None).collect()} for t in (narrow, wide)]
+    for x in narrow:
+        for y in narrow:
+            assert got[0][x, y] == got[1][x, y] or got[0][x, y] == pytest.approx(got[1][x, y], abs=1e-12)
+            e = narrow.corr().loc[x, y] if "k" not in (x, y) else np.nan
+            if "b" in (x, y) or np.isnan(e):
+                assert got[0][x, y] is None
+            else:
+                assert got[0][x, y] == pytest.approx(e, abs=1e-9)
+    strong = stats.strong_correlations(spark.createDataFrame(narrow)).collect()
+    assert not any("k" in (r["column_a"], r["column_b"]) or "NaN" in r["description"] for r in strong)
+
+
+def test_wide_table_with_missing_values(spark):
     rng = np.random.default_rng(17)
     n = 3000
     data = {f"c{i}": rng.normal(0, 1, n) + (i % 3) * rng.normal(0, 1, n) for i in range(17)}

@@ -23,7 +23,7 @@ from framescope.plans.chart_plan import chart_plan
 from framescope.plans.profile import profile
 from framescope.session import ensure_checkpoint_dir
 from framescope.sources.files import load_dataset
-from framescope.sources.sinks import write_result
+from framescope.sources.sinks import answer_kind, write_result
 
 if importlib.util.find_spec("framescope.llm") and importlib.util.find_spec("corpus_pipeline"):
     from framescope.llm import registry as corpus
@@ -392,10 +392,68 @@ def _sql_observations(view: str, columns: list[str], numeric: list[str], categor
 def _csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, f"csv-{uuid.uuid4().hex}.csv")
-    write_result(_t(spark, d, "part").coalesce(1), path, fmt="csv")
+    write_result(_t(spark, d, "part"), path, fmt="csv")
     return load_dataset(spark, path)
 
 
+def _csv_odd(spark: SparkSession, d: str) -> DataFrame:
+    """Null tokens, codes that look like numbers, and quoted line breaks,
+    written as CSV and read back."""
+    even = F.col("p_size") % 2 == 0
+    table = _t(spark, d, "part").select(
+        "p_partkey", F.concat(F.col("p_size").cast("string"), F.lit("D")).alias("code"),
+        F.when(even, "N/A").otherwise(F.col("p_size").cast("string")).alias("size"),
+        F.concat(F.col("p_name"), F.lit('\n"'), F.col("p_brand"), F.lit('", new')).alias("note"),
+        F.when(even, "null").otherwise(F.col("p_type")).alias("type"))
+    path = os.path.join(ensure_checkpoint_dir(spark), f"csv-{uuid.uuid4().hex}.csv")
+    table.write.option("header", True).option("escape", '"').csv(path)
+    return load_dataset(spark, path)
+
+
+def _csv_latin1(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, written as ISO-8859-1 and read without naming it."""
+    path = os.path.join(ensure_checkpoint_dir(spark), f"csv-{uuid.uuid4().hex}.csv")
+    _t(spark, d, "documents").write.option("header", True).option("escape", '"').option(
+        "encoding", "ISO-8859-1").csv(path)
+    return load_dataset(spark, path, infer_dates=False)
+
+
+def _clashing(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem under the names that operators use themselves."""
+    return _t(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("n"), F.col("l_linestatus").alias("count"), F.col("l_suppkey").alias("value"),
+        F.col("l_linenumber").alias("p"), F.col("l_quantity").alias("_h"), F.col("l_tax").alias("v"))
+
+
+def _tails(spark: SparkSession, d: str) -> DataFrame:
+    """A heavy tail with infinities at one end."""
+    price = F.col("l_extendedprice")
+    return _t(spark, d, "lineitem").select(F.when(F.col("l_orderkey") % 100 == 7, F.lit(float("inf"))).otherwise(
+        price * price * price * price).alias("tail"), "l_quantity")
+
+
+def _unbounded(spark: SparkSession, d: str) -> DataFrame:
+    return correlated(spark, d).withColumn(
+        "k", F.when(F.col("l_orderkey") == 1, F.lit(float("inf"))).otherwise(F.col("l_quantity")))
+
+
+def _profile_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The whole profile of lineitem, charts included, in long form: its
+    report, coefficients, strong pairs, top values and histogram bins."""
+    prof = profile(_t(spark, d, "lineitem"))
+    long = lambda df, section, column, metric, value: df.select(
+        F.lit(section).alias("section"), F.col(column).alias("column"), metric.cast("string").alias("metric"),
+        F.col(value).cast("double").alias("value"))
+    out = prof.report()
+    out = out.unionByName(long(prof.correlations, "correlation", "column_a", F.col("column_b"), "r"))
+    out = out.unionByName(long(prof.strong, "strong", "column_a", F.col("column_b"), "r"))
+    out = out.unionByName(long(prof.top_values, "top", "column", F.col("value"), "count"))
+    for chart in prof.chart_plan.where("chart_type = 'Histogram'").collect():  # at most four
+        bins = prof.charts[chart["chart_id"]].withColumn("name", F.lit(chart["column"]))
+        out = out.unionByName(long(bins, "bin", "name", F.col("bin"), "count"))
+    return out
+
+
 def _describe_single_value(spark: SparkSession, d: str) -> DataFrame:
     li = _t(spark, d, "lineitem")
     top = li.agg(F.max("l_extendedprice")).scalar()
@@ -522,9 +580,41 @@ def _table_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sum_by_role": lambda s, d: ask.group_agg(t(s, d, "conversations"), ["role"], "turn", "sum"),
         # sources
         "csv_roundtrip": _csv_roundtrip,
+        "csv_odd_values": _csv_odd,
+        "csv_latin1": _csv_latin1,
+        "clash_duplicates": lambda s, d: quality.duplicate_rows(_clashing(s, d)),
+        "clash_count": lambda s, d: ask.count_by_group(_clashing(s, d), "n"),
+        "clash_median": lambda s, d: ask.shape_result(ask.group_agg(_clashing(s, d), ["value"], "v", "median")),
+        "clash_box": lambda s, d: charts.box_summary(_clashing(s, d), "_h", by="p"),
+        "median_by_partkey": lambda s, d: ask.shape_result(
+            ask.group_agg(t(s, d, "lineitem"), ["l_partkey"], "l_extendedprice", "median")),
+        "box_by_suppkey": lambda s, d: charts.box_summary(t(s, d, "lineitem"), "l_extendedprice", by="l_suppkey"),
+        "quartiles_heavy_tail": lambda s, d: stats.quartiles(_tails(s, d)),
+        "strong_correlations_infinity": lambda s, d: stats.strong_correlations(_unbounded(s, d)),
+        "sum_by_group_large": lambda s, d: ask.sum_by_group(t(s, d, "lineitem").select(
+            "l_returnflag", (F.col("l_orderkey") + F.lit(1 << 62)).alias("big")), "l_returnflag", "big"),
+        "quality_columns": _q_messy(quality.quality_columns),
+        "answer_kind": lambda s, d: answer_kind(ask.count_by_group(t(s, d, "orders"), "o_orderstatus"), 1).unionAll(
+            answer_kind(ask.row_count(t(s, d, "orders")))),
+        "profile_rows": _profile_rows,
     }
 
 
+def _sql_profile_rows() -> str:
+    """The long form of lineitem's profile from the single oracles."""
+    cells = [("describe", m, _sql_describe("lineitem", LINEITEM_NUM), _q("column"), f"'{m}'", m)
+             for m in ("n", "mean", "median", "std", "min", "max")]
+    cells += [("missing", "", _sql_missing("lineitem", LINEITEM), _q("column"), "'missing'", "missing")]
+    cells += [("outliers", m, _sql_outliers("lineitem", LINEITEM_NUM), _q("column"), f"'{m}'", m)
+              for m in ("count", "percentage")]
+    cells += [("correlation", "", _sql_corr_matrix("lineitem", LINEITEM_NUM, 3), "column_a", "column_b", "r"),
+              ("strong", "", _sql_strong("lineitem", LINEITEM_NUM), "column_a", "column_b", "r")]
+    cells += [("top", "", _sql_top("lineitem", c, 5), f"'{c}'", "value", "count") for c in ("l_returnflag", "l_linestatus")]
+    cells += [("bin", "", _sql_histogram("lineitem", c), f"'{c}'", "bin", "count") for c in LINEITEM_NUM[:4]]
+    return _union([f"SELECT '{section}' AS section, {column} AS {_q('column')}, CAST({metric} AS VARCHAR) AS metric, "
+                   f"CASE WHEN {value} = 0 THEN 0.0 ELSE CAST({value} AS DOUBLE) END AS value FROM ({sql})" for section, _, sql, column, metric, value in cells])
+
+
 def _table_oracle_sql() -> dict[str, str]:
     m = _with(MESSY_SQL)
     corr = _with(CORRELATED_SQL)
@@ -638,17 +728,8 @@ def _table_oracle_sql() -> dict[str, str]:
         "box_summary": _sql_box("lineitem", "l_extendedprice", None),
         "box_by_group": _sql_box("lineitem", "l_extendedprice", "l_returnflag"),
         "heatmap": _sql_corr_matrix("lineitem", LINEITEM_NUM, 6),
-        "chart_plan": """SELECT * FROM (VALUES
-              (1, 'Histogram', 'o_orderkey', 'Frequency', 'o_orderkey'),
-              (2, 'Histogram', 'o_custkey', 'Frequency', 'o_custkey'),
-              (3, 'Histogram', 'o_totalprice', 'Frequency', 'o_totalprice'),
-              (4, 'Bar Chart', 'Count', 'o_orderstatus', 'o_orderstatus'),
-              (5, 'Bar Chart', 'Count', 'o_orderpriority', 'o_orderpriority'),
-              (6, 'Pie Chart', NULL, NULL, 'o_orderstatus'),
-              (7, 'Trend Line', 'o_orderdate', 'o_orderkey', NULL),
-              (8, 'Correlation Heatmap', NULL, NULL, NULL))
-            AS plan(chart_id, chart_type, x_axis, y_axis, "column")
-            WHERE (SELECT count(*) FROM orders) > 0""",
+        "chart_plan": _sql_chart_plan("orders", ["o_orderkey", "o_custkey", "o_totalprice"],
+                                      ["o_orderstatus", "o_orderpriority"], ["o_orderdate"]),
         "chart_request_box": _sql_box("lineitem", "l_tax", "l_returnflag"),
         "chart_request_bar": """SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean_y,
               CAST(row_number() OVER (ORDER BY avg(o_totalprice) DESC NULLS LAST, o_orderpriority) AS INTEGER)
@@ -727,8 +808,40 @@ def _table_oracle_sql() -> dict[str, str]:
         "describe_customer": _sql_describe("customer", ["c_custkey", "c_nationkey", "c_acctbal"]),
         "box_by_segment": _sql_box("customer", "c_acctbal", "c_mktsegment"),
         "correlation_customer": _sql_corr_matrix("customer", ["c_custkey", "c_nationkey", "c_acctbal"], 3),
-        "sum_by_role": """SELECT role, CAST(coalesce(sum(turn), 0) AS BIGINT) AS turn FROM conversations
+        "sum_by_role": """SELECT role, CAST(coalesce(sum(turn), 0) AS DECIMAL(38, 0)) AS turn FROM conversations
             WHERE role IS NOT NULL GROUP BY role""",
+        "csv_roundtrip": "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part",
+        "csv_odd_values": """SELECT p_partkey, CAST(p_size AS VARCHAR) || 'D' AS code,
+              CASE WHEN p_size % 2 <> 0 THEN CAST(p_size AS BIGINT) END AS size,
+              p_name || chr(10) || '"' || p_brand || '", new' AS note,
+              CASE WHEN p_size % 2 <> 0 THEN p_type END AS type FROM part""",
+        "csv_latin1": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+        "clash_duplicates": """SELECT CAST(sum(k - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS k FROM lineitem
+              GROUP BY l_returnflag, l_linestatus, l_suppkey, l_linenumber, l_quantity, l_tax)""",
+        "clash_count": "SELECT l_returnflag AS n, count(*) AS count FROM lineitem GROUP BY l_returnflag",
+        "clash_median": """SELECT l_suppkey AS value, round(quantile_cont(l_tax, 0.5), 4) AS v FROM lineitem
+              GROUP BY l_suppkey""",
+        "clash_box": f"SELECT l_linenumber AS p, * EXCLUDE (l_linenumber) FROM ({_sql_box('lineitem', 'l_quantity', 'l_linenumber')})",
+        "median_by_partkey": """SELECT l_partkey, round(quantile_cont(l_extendedprice, 0.5), 4) AS l_extendedprice
+              FROM lineitem GROUP BY l_partkey""",
+        "box_by_suppkey": _sql_box("lineitem", "l_extendedprice", "l_suppkey"),
+        "quartiles_heavy_tail": """WITH x AS (SELECT CASE WHEN l_orderkey % 100 = 7 THEN CAST('Infinity' AS DOUBLE) ELSE
+                l_extendedprice * l_extendedprice * l_extendedprice * l_extendedprice END AS tail, l_quantity FROM lineitem)
+              SELECT 'tail' AS "column", quantile_cont(tail, 0.25) AS q1, quantile_cont(tail, 0.5) AS median,
+                     quantile_cont(tail, 0.75) AS q3 FROM x
+              UNION ALL SELECT 'l_quantity', quantile_cont(l_quantity, 0.25), quantile_cont(l_quantity, 0.5),
+                     quantile_cont(l_quantity, 0.75) FROM x""",
+        "strong_correlations_infinity": corr + f" SELECT * FROM ({_sql_strong('correlated', CORRELATED_NUM)})",
+        "sum_by_group_large": """SELECT l_returnflag, CAST(sum(CAST(l_orderkey AS HUGEINT) + 4611686018427387904)
+              AS DECIMAL(38, 0)) AS big FROM lineitem GROUP BY l_returnflag""",
+        "quality_columns": m + f"""SELECT c.position, c.{_q('column')}, class, missing, missing = total AS empty,
+              missing < total AND missing / total >= 0.9 AS near_empty
+              FROM ({_sql_missing('messy_lineitem', MESSY)}) c JOIN (VALUES {', '.join(
+                  f"({i}, '{c}', '{'numeric' if c in MESSY_NUM else 'datetime' if c == 'l_shipdate' else 'categorical'}')"
+                  for i, c in enumerate(MESSY))}) k(place, name, class) ON k.name = c.{_q('column')}""",
+        "answer_kind": "SELECT CASE WHEN count(DISTINCT o_orderstatus) > 1 THEN 'table' ELSE 'scalar' END AS kind, 2 AS columns "
+                       "FROM orders UNION ALL SELECT 'scalar', 1 FROM (SELECT count(*) FROM orders)",
+        "profile_rows": _sql_profile_rows(),
         "key_findings": corr + f""", st AS (SELECT * FROM ({_sql_strong('correlated', CORRELATED_NUM)})),
             cf AS (SELECT rank, 'correlation' AS kind, column_a || ', ' || column_b AS subject,
                           upper(substr(description, 1, 1)) || lower(substr(description, 2)) || '.' AS text

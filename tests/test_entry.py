@@ -8,10 +8,10 @@ import __spark_entry__ as E
 ROOT = Path(__file__).resolve().parent.parent
 
 
-def test_every_query_has_an_oracle_except_rows_only():
+def test_every_table_query_has_an_oracle():
     assert set(E.oracle_sql()) <= set(E.queries())
     q, o = set(E._table_queries()), set(E._table_oracle_sql())
-    assert q - o == {"csv_roundtrip"}
+    assert q == o
 
 
 def test_no_duplicate_top_level_definitions():

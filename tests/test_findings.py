@@ -30,7 +30,7 @@ def test_key_findings_grounded(correlated_df, bodies_df):
     rows = findings.key_findings(correlated_df).collect()
     assert rows[0]["text"].startswith("X is negatively correlated with y")
     tops = findings.key_findings(bodies_df).collect()
-    assert tops[0]["kind"] == "top_value" and "most frequent value in 'label'" in tops[0]["text"]
+    assert tops[0]["kind"] == "top_value" and "most frequent value in 'side'" in tops[0]["text"]
 
 
 def test_observations_cover_every_chart(correlated_df):

@@ -51,22 +51,26 @@ MARKS = {
     "contentinfo", "search", "copyright", "legal", "skip", "hidden", "paywall", "header",
 }
 
+# Quotes enclose a value only right after =; others are part of a name or value.
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)", re.S)
 _MARK = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[A-Za-z0-9]+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _BODY = re.compile(r"itemprop\s*=\s*[\"']?articleBody", re.I)
 
 
-def _furniture(name: str, attrs: str) -> bool:
-    if name in FURNITURE:
+def _furniture(name: str, attrs: str, in_content: bool) -> bool:
+    """Whether an element is page furniture; a header inside named content
+    is the article's own."""
+    own = ("header",) if in_content else ()
+    if name in FURNITURE and name not in own:
         return True
     if not attrs or name in ("html", "body") or name in CONTENT:
         return False
     if _HIDDEN.search(attrs):
         return True
-    return any(w.lower() in MARKS for m in _MARK.finditer(attrs)
+    return any(w.lower() in MARKS and w.lower() not in own for m in _MARK.finditer(attrs)
                for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[1] or m[2] or m[3] or "")))
 
 
@@ -129,9 +133,7 @@ def parts(html: str) -> list[tuple[str, str, bool, str]]:
             if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):
                 while stack and stack[-1][0] in (name, "a", "p"):
                     pop()
-            extra = _furniture(name, attrs)
-            if name == "header" and any(names[n] for n in CONTENT):
-                extra = False
+            extra = _furniture(name, attrs, any(names[n] for n in CONTENT))
             if name in BLOCKS or name == "a" or extra:
                 push(name, extra)
         out.append((f"t:{'/' if closing else ''}{name}", "", name in BLOCKS or name in FURNITURE, element))

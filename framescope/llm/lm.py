@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framescope.llm.common import local_copy, lower_ascii, put_file, remainder, shared_folder, small_batches, space_words, written
+from framescope.llm.common import local_copy, lower_ascii, put_file, remainder, shared_files, shared_folder, small_batches, space_words, written
 
 #: Bytes of text that a shard's counts come from, about.
 SHARD_BYTES = 12_000_000
@@ -302,6 +302,15 @@ def _mapped(folder: str, name: str, value: np.dtype) -> tuple[np.ndarray, np.nda
     return raw[:8 * n].view("<u8"), raw[8 * n:].view(value)
 
 
+@functools.lru_cache(maxsize=16)
+def _reachable(folder: str) -> None:
+    """An error, not a model without counts, where the arrays' folder cannot
+    be seen."""
+    files, base = shared_files(folder)
+    if not files.get_file_info(base).type:  # NotFound is zero
+        raise FileNotFoundError(f"the language model's folder cannot be read here: {folder}")
+
+
 def _look_up(folder: str, kind: str, value: np.dtype, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
     """Values of keys (zero where absent), each sought in its shard's file."""
     out = np.zeros(len(keys), dtype=value)
@@ -325,6 +334,8 @@ def _discount(d: tuple[float, ...], n: np.ndarray) -> np.ndarray:
 
 def score_batch(model: Model, texts) -> pd.DataFrame:
     """``n_tokens, n_known, base_score, score`` of some whole texts."""
+    if model.n_bigrams:
+        _reachable(model.folder)
     parts = [tokens(t) for t in texts]
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
     if not len(sizes):

@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -104,12 +106,14 @@ def spans_of(text: str | None, llr: np.ndarray) -> list[tuple[int, int, str]]:
     """All spans of one text, by start and then kind."""
     text = text or ""
     spans = pattern_spans(text)
+    starts, ends = [s for s, _, _ in spans], list(accumulate((e for _, e, _ in spans), max))
     extra = []
     for m in TOKEN.finditer(text):
         token = m[0]
         if len(token) < LEAST or token.isalpha() or not any(c.isdigit() for c in token):
             continue
-        if sum(c.isalpha() for c in token) < 4 or any(s < m.end() and e > m.start() for s, e, _ in spans):
+        before = bisect_left(starts, m.end())  # of the spans that start before its end, one ends after its start
+        if sum(c.isalpha() for c in token) < 4 or before and ends[before - 1] > m.start():
             continue
         codes = _CODE[np.frombuffer(token.encode(), dtype=np.uint8)]
         if llr[codes[:-1], codes[1:]].sum() > PER_CHAR * len(token):

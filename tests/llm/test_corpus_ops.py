@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import dataclasses
 import hashlib
 import math
 import re
@@ -231,6 +232,15 @@ def test_small_shards_and_flushes_count_the_same(spark):
     assert np.allclose(lm.score_batch(one, texts)["score"], lm.score_batch(many, texts)["score"], rtol=1e-12)
 
 
+def test_a_model_whose_folder_is_gone_is_an_error(spark):
+    docs = spark.createDataFrame([(i, "a b c") for i in range(9)], "doc_id long, text string")
+    model = lm.train(docs)
+    gone = dataclasses.replace(model, folder=model.folder + "-gone")
+    assert lm.score_batch(model, ["a b"])["n_known"][0] == 3
+    with pytest.raises(FileNotFoundError):
+        lm.score_batch(gone, ["a b"])
+
+
 # ---- secrets --------------------------------------------------------------
 
 def test_secret_spans_and_digest(spark):
@@ -260,6 +270,21 @@ def test_markov_ratio_finds_unknown_formats_and_leaves_identifiers(spark):
         assert secrets.spans_of(t, llr) == []
 
 
+def test_markov_spans_never_overlap_patterns():
+    rng = np.random.default_rng(12)
+    llr = np.full((secrets.SIZE, secrets.SIZE), 2.0)  # every token looks random
+    pieces = ["token=", "zQ9xB7" * 4, "0123456789abcdef", "AKIA" + "Z9" * 8, "a=b", " ", "words ", ". ", "secret: "]
+    for _ in range(300):
+        text = "".join(rng.choice(pieces, 14))
+        spans = secrets.pattern_spans(text)
+        want = [(m.start(), m.end()) for m in secrets.TOKEN.finditer(text)
+                if len(m[0]) >= secrets.LEAST and any(c.isdigit() for c in m[0]) and sum(c.isalpha() for c in m[0]) >= 4
+                and not any(s < m.end() and e > m.start() for s, e, _ in spans)]
+        found = secrets.spans_of(text, llr)
+        assert [s for s in found if s[2] != "markov"] == spans
+        assert [s[:2] for s in found if s[2] == "markov"] == want
+
+
 def test_redaction_changes_the_length(spark):
     df = spark.createDataFrame([(1, "x AKIA" + "A1" * 8 + " y", 99), (2, "clean", 77), (3, None, None)],
                                "doc_id long, text string, n_chars long")
@@ -291,6 +316,15 @@ def test_main_text_of_labelled_and_other_pages(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def test_stray_quotes_and_headers_of_articles():
+    weights = {"w:p": 1.0, "w:h1": 1.0, "w:!p": -0.1, "t:p": -0.1, "t:/p": -0.1}
+    page = ("<body><article><div class='entry-header'><h1>Its own title</h1></div><p title=don't data-x=\"a > b\" it's>One "
+            "block of it</p><header class=ad><p>Buy it</p></header><p title = 'x>y'>and more</p></article></body>")
+    assert html.extract(page, weights) == "Its own title\nOne block of it\nand more"
+    assert html.extract(page.replace("article>", "div>"), weights) == "One block of it\nand more"
+    assert html.extract("<p>kept words here</p><a href='never closed>lost", weights) == "kept words here"
+
+
 def test_region_is_the_best_contiguous_run():
     rng = np.random.default_rng(6)
     for _ in range(200):

@@ -44,7 +44,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.domain_totals(_table(spark, sf_dir, "documents"))
+    return mixing.domain_totals(_table(spark, sf_dir, "documents"), "source", known=True)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -463,6 +463,23 @@ def test_mixing_meets_targets(spark):
     assert len(copies) == len(p)
 
 
+def test_sources_are_mixed_to_their_targets(spark, tmp_path):
+    from framescope.llm import registry
+
+    text = "the same words in every source"
+    rows = [(i, text, "en", "hot" if i < 60 else f"s{i % 4}" if i < 96 else None, len(text)) for i in range(100)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.op7_mixing(spark, str(tmp_path)).toPandas().merge(
+        spark.createDataFrame(rows, DOCS).select("doc_id", "source").toPandas(), on="doc_id")
+    named = got[got["source"].notna()]
+    assert len(got) == 100 and (named["domain"] == named["source"]).all()
+    tokens = (named["rate"] * named["tokens"]).groupby(named["source"]).sum() + (
+        got.loc[got["source"].isna(), "rate"] * 6).sum() / 5  # unlabelled texts fit every source alike
+    size = np.array([60 + 0.8, *[9.8] * 4])
+    want = (size / size.sum()) ** mixing.TEMPERATURE
+    assert np.allclose(tokens / tokens.sum(), want / want.sum(), atol=1e-3)
+
+
 def test_projected_gradient_keeps_rates_nonnegative(spark):
     rng = np.random.default_rng(1)
     q = rng.dirichlet([0.3] * 3, 200)

@@ -480,6 +480,21 @@ def test_sources_are_mixed_to_their_targets(spark, tmp_path):
     assert np.allclose(tokens / tokens.sum(), want / want.sum(), atol=1e-3)
 
 
+def test_default_targets_keep_documents_of_mixed_language(spark):
+    rng = np.random.default_rng(3)
+    words = {"en": ["the", "house", "with", "water"], "de": ["das", "haus", "mit", "wasser"]}
+    rows = [(i, " ".join(rng.choice(words["en" if i % 10 else "de"], 30)), "en" if i % 10 else "de", "s", 0) for i in range(200)]
+    rows += [(1000 + i, " ".join(rng.permutation(words["en"] + words["de"])), None, "s", 0) for i in range(100)]
+    docs = spark.createDataFrame(rows, DOCS)
+    p = mixing.rated(docs)[0].toPandas()
+    q, t, r = np.stack(p["q"]), p["tokens"].to_numpy(), p["rate"].to_numpy()
+    assert ((q.max(1) > 0.1) & (q.max(1) < 0.9)).any() and r.min() >= 1
+    size, got = t @ q, (r * t) @ q
+    want = mixing.default_targets(size)
+    assert np.allclose(got / got.sum(), want / want.sum(), atol=1e-3) and (got >= want - 1e-3 * size).all()
+    assert mixing.mixed(docs).where("mix_copy = 1").count() == len(rows)
+
+
 def test_projected_gradient_keeps_rates_nonnegative(spark):
     rng = np.random.default_rng(1)
     q = rng.dirichlet([0.3] * 3, 200)

@@ -4,8 +4,11 @@ Texts are folded first: compatibility forms, accents, homoglyphs and digits
 or signs that stand for letters inside a word all become plain lower-case
 letters. The lexicon is learnt from labelled rows: whole words and word
 beginnings whose document frequency is much higher among toxic documents get
-their smoothed log odds as weight; near copies of one document count as one
-(one min-hash of its words names the copies). Phrases around a lexicon word
+their smoothed log odds as weight; near copies of one document count as one.
+Copies are documents whose sets of ``SHINGLE``-word shingles agree in ``NEAR``
+of ``HASHES`` min-hashes (an estimate of their Jaccard similarity) with the
+first of their group; bands of ``BAND`` min-hashes name the candidates. The
+min-hashes of the bounded sample are compared on the driver. Phrases around a lexicon word
 that non-toxic documents use become exceptions, which cancel the match.
 A document's matched weight, normalised by the root of its length, goes
 through a logistic curve fitted to the same rows.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,6 +40,8 @@ SAMPLE = 40_000
 LEAST, SHARE = 5, 0.004
 #: Least weight: toxic documents use the unit e**MIN_WEIGHT times as often.
 MIN_WEIGHT = 2.0
+#: Near copies: words of a shingle, min-hashes of a document, of a band, and the share that must agree.
+SHINGLE, HASHES, BAND, NEAR = 5, 128, 4, 0.8
 PREFIXES = (4, 5, 6, 7, 8, 9)
 FLAG = 0.3
 
@@ -90,11 +96,53 @@ def _units(folded: str) -> set[str]:
     return units
 
 
-def _copies(folded: str) -> int:
-    """One min-hash of the words: near copies mostly share it."""
+_ODD = np.random.default_rng(5).integers(1 << 62, size=HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _key(folded: str) -> int:
+    """A hash of the whole folded text: exact copies share it."""
     import xxhash
 
-    return min((xxhash.xxh32_intdigest(w) for w in set(folded.split())), default=0)
+    return xxhash.xxh3_64_intdigest(folded) >> 1
+
+
+def _sketch(folded: str) -> np.ndarray:
+    """``HASHES`` min-hashes of the text's shingles (of all words, if fewer)."""
+    import xxhash
+
+    words = folded.split()
+    grams = {" ".join(words[i:i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+    h = np.fromiter((xxhash.xxh3_64_intdigest(g) for g in grams), dtype=np.uint64, count=len(grams))
+    least = np.full(HASHES, np.iinfo(np.uint64).max)
+    for i in range(0, len(h), 4096):
+        mixed = h[i:i + 4096] * _ODD[:, None]  # the top bits depend on all bits below
+        least = np.minimum(least, ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).min(1))
+    return (least >> np.uint64(32)).astype(np.uint32)
+
+
+def _groups(keys: np.ndarray, sketches: np.ndarray) -> dict[int, int]:
+    """The key that stands for each near copy of another key's text."""
+    root = np.arange(len(keys))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for k in range(0, HASHES, BAND):
+        band = np.ascontiguousarray(sketches[:, k:k + BAND]).view(f"V{4 * BAND}").ravel()
+        _, which, size = np.unique(band, return_inverse=True, return_counts=True)
+        order = np.argsort(which, kind="stable")
+        for rows in np.split(order, np.cumsum(size)[:-1]):
+            while len(rows) > 1:  # the first takes its near copies, the others go on without it
+                near = (sketches[rows] == sketches[rows[0]]).mean(1) >= NEAR
+                first = find(rows[0])
+                for i in rows[near]:
+                    other = find(i)
+                    root[max(first, other)] = first = min(first, other)
+                rows = rows[~near]
+    return {int(keys[i]): int(keys[find(i)]) for i in range(len(keys)) if find(i) != i}
 
 
 @dataclass
@@ -154,29 +202,44 @@ def learn(documents: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Lexic
     """The lexicon, exceptions and curve from a bounded labelled sample."""
     rows = written(_sample(documents, labels, bound), "toxic-sample")
 
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            folded = [fold(t) for t in b["text"]]
+            yield pd.DataFrame({"copy": [_key(f) for f in folded], "y": b["y"], "sketch": [_sketch(f).tobytes() for f in folded]})
+
+    # at most one row of 4 x HASHES bytes for each row of the bounded sample
+    got = rows.mapInPandas(sketch, "copy long, y int, sketch binary").toPandas().sort_values(["copy", "y"])
+    texts = got.drop_duplicates("copy")
+    near = _groups(texts["copy"].to_numpy(), np.array([np.frombuffer(s, np.uint32) for s in texts["sketch"]],
+                                                      dtype=np.uint32).reshape(-1, HASHES))
+    group = got["copy"].map(lambda c: near.get(c, c))
+    sizes = got.assign(copy=group).drop_duplicates(["copy", "y"]).groupby("y").size().to_dict()
+    if not {0, 1} <= set(sizes):
+        return Lexicon({}, curve=(-40.0, 0.0))
+    many = set(group[group.duplicated(keep=False)])
+
     def count_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = {"unit": [], "y": [], "copy": []}
+            single: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
+            out = set()
             for t, y in zip(b["text"], b["y"]):
                 folded = fold(t)
-                units = _units(folded)
-                out["unit"] += units
-                out["y"] += [y] * len(units)
-                out["copy"] += [_copies(folded)] * len(units)
-            yield pd.DataFrame(out)
+                copy = _key(folded)
+                copy = near.get(copy, copy)
+                if copy in many:
+                    out.update((u, y, copy, 1) for u in _units(folded))
+                else:
+                    single[y].update(_units(folded))
+            out.update((u, y, -1, n) for y, c in single.items() for u, n in c.items())
+            yield pd.DataFrame(list(out), columns=["unit", "y", "copy", "n"])
 
-    def count_copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"y": b["y"], "copy": [_copies(fold(t)) for t in b["text"]]})
-
-    sizes = dict(rows.mapInPandas(count_copies, "y int, copy long").distinct().groupBy("y").count().collect())
-    if not {0, 1} <= set(sizes):
-        return Lexicon({}, curve=(-40.0, 0.0))
     least = max(LEAST, SHARE * sizes[1])
-    of = lambda y: F.sum(F.when(F.col("y") == y, 1).otherwise(0))
+    of = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
     weight = (F.log((of(1) + 0.5) / (sizes[1] + 1)) - F.log((of(0) + 0.5) / (sizes[0] + 1))).alias("w")
-    got = (rows.mapInPandas(count_units, "unit string, y int, copy long").distinct()
-           .groupBy("unit").agg(of(1).alias("n"), weight)
+    # documents without copies are counted in place (copy -1), a group's units once
+    units = (rows.mapInPandas(count_units, "unit string, y int, copy long, n long").groupBy("unit", "y", "copy")
+             .agg(F.when(F.col("copy") < 0, F.sum("n")).otherwise(1).alias("n")))
+    got = (units.groupBy("unit").agg(of(1).alias("n"), weight)
            .where((F.col("n") >= least) & (F.col("w") >= MIN_WEIGHT)).select("unit", "w"))
     lexicon = Lexicon(dict(got.collect()))  # at most one unit for each SHARE of the bounded sample's words
     lexicon.exceptions = _exceptions(rows, lexicon)

@@ -437,6 +437,19 @@ def test_toxicity_held_out_and_disguises(spark):
     assert sum(r["predicted"] == r["toxic"] for r in out) >= 0.9 * len(out)
 
 
+def test_documents_of_one_vocabulary_are_not_copies(spark):
+    rng = np.random.default_rng(9)
+    vocab = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(200)]
+    calm = [" ".join(rng.permutation(vocab)) for _ in range(60)]
+    one = " ".join(rng.permutation(vocab)).split()
+    rows = [(i, t + (" blorgh" if i % 2 else "")) for i, t in enumerate(calm)]  # 30 toxic documents, one word sets them apart
+    rows += [(100 + i, " ".join([*one, "snarfle", f"end{chr(97 + i)}q"])) for i in range(20)]  # near copies of one document
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 or i >= 100)) for i, _ in rows], "doc_id long, toxic int")
+    weights = toxicity.learn(docs, labels).weights
+    assert " blorgh " in weights and " snarfle " not in weights
+
+
 def test_exception_phrase_cancels_its_match():
     a = toxicity.Lexicon({" trash ": 5.0, " tra": 3.0}, [" trash can "]).automaton()
     assert toxicity.matches(a, toxicity.fold("the trash can is here")) == {}

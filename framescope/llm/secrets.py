@@ -5,9 +5,12 @@ Two first-order character models are trained on the scanned corpus itself:
 random strings; a uniform pseudo-count stands for strings not seen yet), and
 *ordinary* on all other text of every document (identifiers and words).
 Transition counts are summed over all documents in Spark. A token of
-``LEAST`` or more characters that mixes digits with letters is a secret of
-kind ``markov`` when its log-likelihood ratio passes ``PER_CHAR`` a
-character, unless it overlaps a span that a pattern found.
+``LEAST`` or more characters, four of them letters, is a secret of kind
+``markov`` when its log-likelihood ratio passes ``PER_CHAR`` a character,
+unless it overlaps a span that a pattern found. Where the whole token does
+not pass, the runs of its parts (between ``/ = _ -``) that have as many
+characters and pass are, best first, so that a name or path in front of a
+random value does not hide it. Several parts without any digit are names.
 
 Spans are ``(start, end, kind)`` in code points, end exclusive. Defined
 cases: null text counts as empty and has no spans; repeated rows count
@@ -37,6 +40,7 @@ KINDS = ("assign", "access", "hex", "markov")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
+PART = re.compile(r"[A-Za-z0-9+]+")
 LEAST, PER_CHAR = 16, 1.3
 #: Pseudo-count of each transition between characters of tokens.
 SMOOTH = 2.0
@@ -102,6 +106,41 @@ def ratios(documents: DataFrame) -> np.ndarray:
     return np.log(p[0]) - np.log(p[1])
 
 
+def _random_runs(token: str, llr: np.ndarray) -> list[tuple[int, int]]:
+    """Where a token is random: the whole of it, else the runs of its parts
+    with the largest ratio over ``PER_CHAR`` a character that do not overlap."""
+    codes = _CODE[np.frombuffer(token.encode(), dtype=np.uint8)]
+    over = np.concatenate([[0.0], np.cumsum(llr[codes[:-1], codes[1:]] - PER_CHAR)]) - PER_CHAR
+    letters = np.concatenate([[0], np.cumsum([c.isalpha() for c in token])])
+    digits = np.concatenate([[0], np.cumsum([c.isdigit() for c in token])])
+    parts = [m.span() for m in PART.finditer(token)]
+    if over[-1] > 0 and letters[-1] >= 4 and (digits[-1] or len(parts) == 1):
+        return [(0, len(token))]
+    found: list[tuple[int, int]] = []
+    todo = [(0, len(parts))]
+    while todo:
+        low, high = todo.pop()
+        best, first, last, run, at = 0.0, -1, -1, -1, low
+        for j in range(low, high):
+            # of the parts that start LEAST characters before this one's end, the one that leaves the most
+            end = parts[j][1]
+            while at <= j and end - parts[at][0] >= LEAST:
+                if run < 0 or over[parts[at][0]] < over[parts[run][0]]:
+                    run = at
+                at += 1
+            for i in {run, j}:
+                start = parts[i][0]
+                if i < 0 or end - start < LEAST or letters[end] - letters[start] < 4:
+                    continue
+                score = over[end - 1] - over[start] - PER_CHAR
+                if score > best and (i == j or digits[end] > digits[start]):
+                    best, first, last = score, i, j
+        if last >= 0:
+            found.append((parts[first][0], parts[last][1]))
+            todo += [(low, first), (last + 1, high)]
+    return sorted(found)
+
+
 def spans_of(text: str | None, llr: np.ndarray) -> list[tuple[int, int, str]]:
     """All spans of one text, by start and then kind."""
     text = text or ""
@@ -110,14 +149,12 @@ def spans_of(text: str | None, llr: np.ndarray) -> list[tuple[int, int, str]]:
     extra = []
     for m in TOKEN.finditer(text):
         token = m[0]
-        if len(token) < LEAST or token.isalpha() or not any(c.isdigit() for c in token):
+        if len(token) < LEAST:
             continue
         before = bisect_left(starts, m.end())  # of the spans that start before its end, one ends after its start
         if sum(c.isalpha() for c in token) < 4 or before and ends[before - 1] > m.start():
             continue
-        codes = _CODE[np.frombuffer(token.encode(), dtype=np.uint8)]
-        if llr[codes[:-1], codes[1:]].sum() > PER_CHAR * len(token):
-            extra.append((m.start(), m.end(), "markov"))
+        extra += [(m.start() + s, m.start() + e, "markov") for s, e in _random_runs(token, llr)]
     return sorted(spans + extra, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

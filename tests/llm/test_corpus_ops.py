@@ -270,6 +270,23 @@ def test_markov_ratio_finds_unknown_formats_and_leaves_identifiers(spark):
         assert secrets.spans_of(t, llr) == []
 
 
+def test_random_values_behind_names_and_paths_are_found(spark):
+    rng = np.random.default_rng(6)
+    llr = secrets.ratios(spark.read.parquet(f"{SF}/documents.parquet"))
+    symbols = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    for front in ("STRIPE_LIVE_ACCOUNT_KEY_FOR_ALL=", "com/reset/link/for/user/of/the/whole/site/"):
+        found = 0
+        for _ in range(50):
+            value = "".join(rng.choice(symbols, 28))
+            text = f"see {front}{value} there"
+            found += any(s <= text.index(value) and e >= text.index(value) + 28 for s, e, _ in secrets.spans_of(text, llr))
+        assert found >= 45, front
+    letters = sum(bool(secrets.spans_of(f"see {''.join(rng.choice(symbols[:52], 32))} there", llr)) for _ in range(50))
+    assert letters >= 45
+    plain = "com/reset/link/for/the/other/people/of/the/house the_name_of_another_function_with_words internationalisation"
+    assert secrets.spans_of(plain, llr) == []
+
+
 def test_markov_spans_never_overlap_patterns():
     rng = np.random.default_rng(12)
     llr = np.full((secrets.SIZE, secrets.SIZE), 2.0)  # every token looks random

@@ -54,7 +54,9 @@ MARKS = {
 # Quotes enclose a value only right after =; others are part of a name or value.
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)", re.S)
-_MARK = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# Elements that hold others; only these are furniture by their id or label.
+HOLDERS = ("div", "section", "ul", "ol", "dl", "table", "tbody", "tr", "td", "li", "figure", "details", "center", "address")
+_MARK = re.compile(r"(?:^|(?<=[\s\"'/]))(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[A-Za-z0-9]+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _BODY = re.compile(r"itemprop\s*=\s*[\"']?articleBody", re.I)
@@ -62,7 +64,9 @@ _BODY = re.compile(r"itemprop\s*=\s*[\"']?articleBody", re.I)
 
 def _furniture(name: str, attrs: str, in_content: bool) -> bool:
     """Whether an element is page furniture; a header inside named content
-    is the article's own."""
+    is the article's own. Marks are whole names (``related``, ``social-share``);
+    on elements that hold others outside named content also a word of a longer
+    class, role or label, or the last word of an id (``site-header``)."""
     own = ("header",) if in_content else ()
     if name in FURNITURE and name not in own:
         return True
@@ -70,8 +74,17 @@ def _furniture(name: str, attrs: str, in_content: bool) -> bool:
         return False
     if _HIDDEN.search(attrs):
         return True
-    return any(w.lower() in MARKS and w.lower() not in own for m in _MARK.finditer(attrs)
-               for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[1] or m[2] or m[3] or "")))
+    for m in _MARK.finditer(attrs):
+        kind = m[1].lower()
+        if kind in ("id", "aria-label") and name not in HOLDERS:
+            continue  # ids of headings and paragraphs are anchors made of their text
+        value = m[2] or m[3] or m[4] or ""
+        for token in [value] if kind == "aria-label" else value.split():
+            words = [w.lower() for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token))]
+            marks = [w in MARKS and w not in own for w in words]
+            if any(marks) and (all(marks) or name in HOLDERS and not in_content and (kind != "id" or marks[-1])):
+                return True
+    return False
 
 
 def parts(html: str) -> list[tuple[str, str, bool, str]]:

@@ -342,6 +342,17 @@ def test_stray_quotes_and_headers_of_articles():
     assert html.extract("<p>kept words here</p><a href='never closed>lost", weights) == "kept words here"
 
 
+def test_slugs_of_headings_are_not_furniture():
+    weights = {"w:p": 1.0, "w:h2": 1.0, "w:div": 1.0, "w:section": 1.0}
+    blocks = ['<h2 id="legal-status">Legal status</h2>', '<p id="search-and-rescue">Search and rescue</p>',
+              '<h2 id="related-work">Related work</h2>', '<p data-id="share">Shared rooms</p>',
+              '<section id="notice-of-appeal"><p>An appeal</p></section>', '<p class="legal-text">By law</p>']
+    for tag in ("article", "div"):
+        page = f"<{tag}>{''.join(blocks)}<div class='social-share'>Tell all</div><ul role=menu><li>Go</ul></{tag}>"
+        assert html.extract(page, weights).split("\n") == [
+            "Legal status", "Search and rescue", "Related work", "Shared rooms", "An appeal", "By law"]
+
+
 def test_region_is_the_best_contiguous_run():
     rng = np.random.default_rng(6)
     for _ in range(200):

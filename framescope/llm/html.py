@@ -41,6 +41,12 @@ BLOCKS = ("p", "div", "article", "section", "main", "h1", "h2", "h3", "h4", "h5"
           "address", "hr", "body", "html", "details", "summary", "center")
 VOID = ("br", "img", "hr", "input", "meta", "link", "wbr", "source", "col", "area", "base", "embed", "track", "param")
 CONTENT = ("article", "main")
+INLINE = ("a", "abbr", "acronym", "audio", "b", "bdi", "bdo", "big", "canvas", "cite", "code", "data", "datalist", "del",
+          "dfn", "em", "font", "frame", "frameset", "hgroup", "i", "ins", "kbd", "legend", "map", "mark", "meter",
+          "optgroup", "option", "output", "picture", "progress", "q", "rp", "rt", "ruby", "s", "samp", "slot", "small",
+          "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "video")
+#: Every other name counts as one feature, ``?``, so that markup bounds the table of weights.
+KNOWN = frozenset(RAW + FURNITURE + BLOCKS + VOID + CONTENT + INLINE + ("tfoot", "colgroup"))
 # Fixed words of class, id and role attributes that mark page furniture.
 MARKS = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "sponsor", "sponsored", "promo", "nav", "navbar",
@@ -108,6 +114,7 @@ def parts(html: str) -> list[tuple[str, str, bool, str]]:
 
     def place() -> str:
         block = next((n for n, _ in reversed(stack) if n != "a"), "body")
+        block = block if block in KNOWN else "?"
         return f"w:{'!' if names['!'] else ''}{block}{'+a' if names['a'] else ''}"
 
     def words(text: str) -> None:
@@ -149,7 +156,7 @@ def parts(html: str) -> list[tuple[str, str, bool, str]]:
             extra = _furniture(name, attrs, any(names[n] for n in CONTENT))
             if name in BLOCKS or name == "a" or extra:
                 push(name, extra)
-        out.append((f"t:{'/' if closing else ''}{name}", "", name in BLOCKS or name in FURNITURE, element))
+        out.append((f"t:{'/' if closing else ''}{name if name in KNOWN else '?'}", "", name in BLOCKS or name in FURNITURE, element))
     return out
 
 
@@ -177,10 +184,9 @@ def learn(pages: DataFrame) -> dict[str, float]:
                     total.setdefault(f, [0, 0])[not yes] += len(text.split()) if text else 1
         yield pd.DataFrame([(f, a, b) for f, (a, b) in total.items()], columns=["feature", "inside", "outside"])
 
-    # one row a feature: places and tags of the markup, unusual ones are not needed
+    # one row a feature: places and tags by known names, a few hundred at most
     got = (pages.select("html").mapInPandas(count, "feature string, inside long, outside long").groupBy("feature")
-           .agg(F.sum("inside").alias("a"), F.sum("outside").alias("b"))
-           .orderBy(F.desc(F.col("a") + F.col("b")), "feature").limit(2000).collect())
+           .agg(F.sum("inside").alias("a"), F.sum("outside").alias("b")).collect())
     weights = {}
     for kind, low, high in (("w", -W, W), ("t", -MOST_TAG, -LEAST_TAG)):
         rows = [r for r in got if r["feature"][0] == kind]

@@ -353,6 +353,13 @@ def test_slugs_of_headings_are_not_furniture():
             "Legal status", "Search and rescue", "Related work", "Shared rooms", "An appeal", "By law"]
 
 
+def test_other_tags_do_not_displace_a_tags_weight(spark):
+    many = "".join(f"<x-{i}>w</x-{i}>" * 2 for i in range(1200))
+    pages = [(1, "u", f"<body>{many}<article><p>text <kbd>key</kbd> here</p></article></body>")]
+    weights = html.learn(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert "t:kbd" in weights and "t:?" in weights and len(weights) < 50
+
+
 def test_region_is_the_best_contiguous_run():
     rng = np.random.default_rng(6)
     for _ in range(200):

@@ -556,6 +556,20 @@ def test_projected_gradient_keeps_rates_nonnegative(spark):
     assert loss(r) < 0.02 * loss(np.ones(200))
 
 
+def test_close_domains_reach_their_targets_or_say_so(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.uniform(0.42, 0.58, 300)
+    q, t = np.stack([x, 1 - x], 1), rng.integers(20, 50, 300)
+    df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, q)], "tokens long, q array<double>").coalesce(2)
+    size = t @ q
+    wanted = size * np.array([1.02, 0.98])
+    r = mixing._steps(q, mixing.fit(df, 2, lambda _: wanted))
+    assert (np.abs((r * t) @ q - wanted) / size).max() < mixing.TOLERANCE
+    monkeypatch.setattr(mixing, "STEPS", 5)
+    with pytest.warns(UserWarning, match="off its target"):
+        mixing.fit(df, 2, lambda _: size * np.array([3.0, 0.0]))
+
+
 # ---- pipeline -------------------------------------------------------------
 
 def test_pipeline_equals_its_stages_by_brute_force(spark):

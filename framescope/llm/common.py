@@ -3,6 +3,7 @@ the held-out remainder, and scratch space every executor can reach."""
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -55,6 +56,22 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession, size: int = 8 << 20):
+    """Arrow batches of at most about ``size`` bytes for the jobs that run
+    inside the block; the session's own settings come back after it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder (URI) below the session's checkpoint folder."""
     root = ensure_checkpoint_dir(spark).rstrip("/")

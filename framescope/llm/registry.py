@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from framescope.llm import decontaminate, html, lm, mixing, quality, rules, secrets, simhash, toxicity, warc
+from framescope.llm import align, decontaminate, dialogue, exact, html, lm, mixing, quality, rules, secrets, simhash, toxicity, warc
 from framescope.llm.common import small_batches
 
 
@@ -62,6 +62,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("strength")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.audited(_table(spark, sf_dir, "conversations"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(_table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.deduplicated(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
@@ -74,6 +86,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_quality_rules": op9_quality_rules,
         "op10_toxicity": op10_toxicity,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_token_alignment": op12_token_alignment,
+        "op13_exact_dedup": op13_exact_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -144,6 +159,15 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM d LEFT JOIN k USING (payload_digest)"""
 
 
+OP13_SQL = """
+WITH n AS (SELECT doc_id, row_number() OVER () AS r,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+           FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST, r) = 1 AS kept, sha256(t) AS text_sha256
+FROM n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op8_warc": OP8_SQL, "op9_quality_rules": OP9_SQL} | (
+    return {"op13_exact_dedup": OP13_SQL, "op3_decontaminate": OP3_SQL, "op8_warc": OP8_SQL, "op9_quality_rules": OP9_SQL} | (
         {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -28,11 +28,13 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,9 @@ A_FILE, B_FILE = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model"
 #: Keys whose counts travel to every task (16 bytes each).
 HOT = 500_000
 #: Chunks that a worker remembers, and the longest of them in characters.
-REMEMBERED, SHORT = 150_000, 64
+REMEMBERED, SHORT = 300_000, 64
+#: Chunks encoded as one text.
+JOINED = 1_000
 #: Keys that a task counts before it hands them on.
 FLUSH = 2_000_000
 
@@ -72,6 +76,52 @@ def _splits(a: dict, pieces: list[str]) -> bool:
     return byte_level and not a.get("normalizer") and not any("▁" in p.lstrip("▁") for p in pieces)
 
 
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    """Where runs of these sizes begin, with the end of the last."""
+    return np.append(0, np.cumsum(sizes, dtype=np.int64))
+
+
+def _runs(at: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``values[at[r]:at[r + 1]]`` of the rows, one after another,
+    and their sizes."""
+    sizes = at[rows + 1] - at[rows]
+    start = _starts(sizes)
+    return values[np.arange(start[-1]) + np.repeat(at[rows] - start[:-1], sizes)], sizes
+
+
+class Chunks:
+    """What is known of chunks, by number: tokens of each vocabulary, groups
+    and their text, A ids of identity groups, keys of the others (runs of flat
+    arrays), and whether the bytes are the chunk's."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.sizes = np.zeros((0, 4), dtype=np.int64)  # A tokens, B tokens, groups, bytes agree
+        self.spelled: list[str] = []
+        self.runs = [(np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64))] * 2
+        self.used = np.zeros(0, dtype=np.int64)
+
+    def add(self, names: list[str], sizes: np.ndarray, spelled: list[str], runs: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Further chunks; ``runs`` are their identity ids and other keys."""
+        self.number.update(zip(names, range(len(self.spelled), len(self.spelled) + len(names))))
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.spelled += spelled
+        self.runs = [(np.append(a, a[-1] + at[1:]), np.append(v, more)) for (a, v), (at, more) in zip(self.runs, runs)]
+        self.used = np.append(self.used, np.zeros(len(names), dtype=np.int64))
+
+    def most_used(self, n: int) -> Chunks:
+        """The ``n`` short chunks met most often, the others forgotten."""
+        names = list(self.number)
+        short = np.fromiter((len(c) <= SHORT for c in names), dtype=bool, count=len(names))
+        rows = np.argsort(np.where(short, -self.used, 1), kind="stable")[:min(n, int(short.sum()))]
+        out, runs = Chunks(), []
+        for at, values in self.runs:
+            kept, sizes = _runs(at, values, rows)
+            runs.append((_starts(sizes), kept))
+        out.add([names[r] for r in rows], self.sizes[rows], [self.spelled[r] for r in rows], runs)
+        return out
+
+
 class Pair:
     """Two tokenizers, the bytes of their tokens, and the identity map."""
 
@@ -96,71 +146,104 @@ class Pair:
                 if self.b.is_byte(i) == bytes_only and not (self.b.is_control(i) or self.b.is_unknown(i)):
                     known[raw] = i
         self.same = np.array([known.get(raw, -1) for raw in self.a_bytes], dtype=np.int64)
+        self.a_size, self.b_size = (np.array([len(x) for x in raw], dtype=np.int64) for raw in (self.a_bytes, self.b_bytes))
+        # an id's text with what follows it: inside its side of a group, or after the side's last
+        self.words = [f"{i}{end}" for n, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for end in ends for i in range(n)]
         self.apart = _splits(json.loads(self.a.to_str()), pieces)
-        self.chunks: dict[str, tuple] = {}
+        self.chunks = Chunks()
 
     @property
     def width(self) -> int:
         """Keys are ``A id * width + B id``."""
         return len(self.b_bytes)
 
-    def groups(self, a_ids: list[int], b_ids: list[int], raw: bytes) -> tuple | None:
-        """(number of A and B tokens, groups, their text, A ids of identity
-        groups, keys of the others), or None if the bytes are not ``raw``."""
-        a_raw, b_raw = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        if b"".join(a_raw) != raw or b"".join(b_raw) != raw:
-            return None
-        same, pairs, spelled = [], [], []
-        i = j = at_a = at_b = 0
-        while i < len(a_ids):
-            i0, j0 = i, j
-            at_a += len(a_raw[i])
-            at_b += len(b_raw[j])
-            i, j = i + 1, j + 1
-            while at_a != at_b:
-                if at_a < at_b:
-                    at_a += len(a_raw[i])
-                    i += 1
-                else:
-                    at_b += len(b_raw[j])
-                    j += 1
-            x, y = a_ids[i - 1], b_ids[j - 1]
-            if i - i0 == 1 and j - j0 == 1:
-                spelled.append(f"{x}|{y}")
-                if self.same[x] == y:
-                    same.append(x)
-                    continue
-            else:
-                spelled.append(f"{','.join(map(str, a_ids[i0:i]))}|{','.join(map(str, b_ids[j0:j]))}")
-            pairs.append(x * self.width + y)
-        return len(a_ids), len(b_ids), len(spelled), ";".join(spelled), same, pairs
-
-    def learn(self, chunks: list[str]) -> dict[str, tuple | None]:
-        """Groups of chunks, each preceded by a space."""
-        a = self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)
-        b = self.b.encode(chunks, num_threads=1)
-        return {c: self.groups(x.ids, y, b" " + c.encode()) for c, x, y in zip(chunks, a, b)}
-
-    def encode(self, texts: list[str | None]) -> list[tuple | None]:
-        """(A tokens, B tokens, groups, hash, identity A ids, other keys) of
-        each text, None for those without tokens."""
+    def _tokens(self, names: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Chunks encoded one by one: both sides' ids and how many each chunk
+        has (none where the bytes are not its ``raw`` ones), and where they are."""
+        a = [x.ids for x in self.a.encode_batch_fast([" " + c for c in names], add_special_tokens=False)]
+        b = self.b.encode(names, num_threads=1)
+        fits = np.array([b"".join(map(self.a_bytes.__getitem__, x)) == w == b"".join(map(self.b_bytes.__getitem__, y))
+                         for x, y, w in zip(a, b, raw)], dtype=bool)
+        a, b = ([x if ok else [] for x, ok in zip(side, fits)] for side in (a, b))
+        n_a, n_b = (np.fromiter(map(len, side), dtype=np.int64, count=len(side)) for side in (a, b))
+        return *(np.fromiter(chain.from_iterable(side), dtype=np.int64) for side in (a, b)), n_a, n_b, fits
+
+    def _joined_tokens(self, names: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same of chunks that start and end with other characters than
+        spaces, encoded as one text: both tokenizers cut between them."""
+        text = " ".join(names)
+        a = np.array(self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, dtype=np.int64)
+        b = np.array(self.b.encode([text], num_threads=1)[0], dtype=np.int64)
+        whole = b"".join(raw)
+        if not (b"".join(map(self.a_bytes.__getitem__, a.tolist())) == whole == b"".join(map(self.b_bytes.__getitem__, b.tolist()))):
+            return self._tokens(names, raw)
+        ends = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)))
+        n_a, n_b = (np.diff(np.searchsorted(np.cumsum(size[ids]), ends, side="right"), prepend=0)
+                    for size, ids in ((self.a_size, a), (self.b_size, b)))
+        return a, b, n_a, n_b, np.ones(len(names), dtype=bool)
+
+    def learn(self, new: list[str]) -> None:
+        """Encode chunks, each preceded by a space, and cut them into groups."""
+        if not new:
+            return
+        clean = [c for c in new if self.apart and not (c[0].isspace() or c[-1].isspace())]
+        odd = list(set(new).difference(clean))
+        names = clean + odd
+        raw = [b" " + c.encode() for c in names]
+        steps = [*range(0, len(clean), JOINED), len(clean)]
+        found = [self._joined_tokens(names[s:e], raw[s:e]) for s, e in zip(steps, steps[1:])]
+        if odd:
+            found.append(self._tokens(odd, raw[len(clean):]))
+        a, b, n_a, n_b, fits = (np.concatenate(x) for x in zip(*found))
+        # both sides have the same bytes, so ends may be counted through all chunks at once
+        end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        place = np.searchsorted(end_b, end_a)
+        last_a = end_b[place] == end_a if len(a) else np.zeros(0, dtype=bool)
+        at_a, at_b = np.flatnonzero(last_a), place[last_a]
+        last_b = np.zeros(len(b), dtype=bool)
+        last_b[at_b] = True
+        one = (np.diff(at_a, prepend=-1) == 1) & (np.diff(at_b, prepend=-1) == 1)
+        x, y = a[at_a], b[at_b]
+        same = one & (self.same[x] == y)
+        chunk = np.repeat(np.arange(len(names)), n_a)[at_a]
+        count = functools.partial(np.bincount, minlength=len(names))
+        runs = [(_starts(count(chunk[same])), x[same]), (_starts(count(chunk[~same])), (x * self.width + y)[~same])]
+        # the groups' text: a group's A tokens, then its B tokens
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        code = np.empty(len(a) + len(b), dtype=np.int64)
+        code[np.arange(len(a)) + np.append(0, at_b + 1)[group_a]] = a + len(self.a_bytes) * last_a
+        code[np.arange(len(b)) + (at_a + 1)[group_b]] = 2 * len(self.a_bytes) + b + len(self.b_bytes) * last_b
+        spelled, cut = list(map(self.words.__getitem__, code.tolist())), _starts(n_a + n_b).tolist()
+        self.chunks.add(names, np.stack([n_a, n_b, count(chunk), fits.astype(np.int64)], axis=1),
+                        ["".join(spelled[s:e]) for s, e in zip(cut, cut[1:])], runs)
+
+    def encode(self, texts: list[str | None]) -> list[pa.Array]:
+        """Columns of :data:`ENCODED` after the id."""
+        if len(self.chunks.spelled) > REMEMBERED:
+            self.chunks = self.chunks.most_used(REMEMBERED // 2)
         cut = [(_CUT.split(t) if self.apart else [t]) if t else [] for t in texts]
-        if len(self.chunks) > REMEMBERED:
-            self.chunks = {}
-        new = list({c for chunks in cut for c in chunks if c not in self.chunks})
-        self.chunks.update(self.learn(new))
-        out = []
-        for chunks in cut:
-            parts = [self.chunks[c] for c in chunks]
-            if not parts or None in parts:
-                out.append(None)
-                continue
-            n_a, n_b, n, spelled, same, pairs = zip(*parts)
-            sha = hashlib.sha256(";".join(spelled).encode()).hexdigest()
-            out.append((sum(n_a), sum(n_b), sum(n), sha, [x for s in same for x in s], [x for p in pairs for x in p]))
-        for c in new:
-            if len(c) > SHORT:
-                del self.chunks[c]
+        met = list(chain.from_iterable(cut))
+        self.learn([c for c in set(met) if c not in self.chunks.number])
+        known = self.chunks
+        sizes = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+        rows = np.fromiter(map(known.number.__getitem__, met), dtype=np.int64, count=len(met))
+        np.add.at(known.used, rows, 1)
+        text = np.repeat(np.arange(len(texts)), sizes)
+        wrong = np.zeros(len(texts), dtype=bool)
+        wrong[text[known.sizes[rows, 3] == 0]] = True
+        rows, text = rows[~wrong[text]], text[~wrong[text]]
+        totals = np.zeros((len(texts), 4), dtype=np.int64)
+        np.add.at(totals, text, known.sizes[rows])
+        at = _starts(np.bincount(text, minlength=len(texts))).tolist()
+        numbers, spelled = rows.tolist(), known.spelled
+        sha = [hashlib.sha256("".join(map(spelled.__getitem__, numbers[s:e]))[:-1].encode()).hexdigest() if e > s else ""
+               for s, e in zip(at, at[1:])]
+        out = [*(pa.array(totals[:, i], pa.int64()) for i in range(3)), pa.array(sha, pa.string())]
+        for (start, values), top, kind in zip(known.runs, (len(self.same), len(self.same) * self.width), (pa.int32(), pa.int64())):
+            keys, n = _runs(start, values, rows)
+            both, times = np.unique(np.repeat(text, n) * top + keys, return_counts=True)
+            offsets = pa.array(_starts(np.bincount(both // top, minlength=len(texts))).astype(np.int32))
+            out += [pa.ListArray.from_arrays(offsets, pa.array(both % top, kind)), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))]
         return out
 
 
@@ -171,22 +254,14 @@ def pair(a_file: str, b_file: str) -> Pair:
 
 # ---- passes ---------------------------------------------------------------
 
-def _sorted_counts(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and how often they occur (the sums of ``n``)."""
-    if n is None:
-        return np.unique(keys, return_counts=True)
+def _sorted_counts(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their ``n``."""
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
     return keys[first], np.add.reduceat(n, first) if len(keys) else n[:0]
 
 
-def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    sizes = np.fromiter(map(len, arrays), dtype=np.int32, count=len(arrays))
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), np.cumsum(sizes, dtype=np.int32))), pa.array(flat, kind))
-
-
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """Values of a list column and where each row's begin, with the end."""
     at = column.offsets.to_numpy()
@@ -197,20 +272,13 @@ def encoded(documents: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) ->
     """Each text's token numbers, groups and links, written: ``row`` and
     :data:`ENCODED` (``same``: A ids of identity groups, ``pairs``: the other
     keys, both distinct and sorted, with their counts)."""
-    none = (0, 0, 0, "", [], [])
+    names = ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "same", "same_n", "pairs", "pairs_n"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(a_file, b_file)
+        gc.freeze()  # the collector need not walk the vocabularies
         for batch in batches:
-            found = [x or none for x in both.encode(batch.column(1).to_pylist())]
-            same = [_sorted_counts(np.array(x[4], dtype=np.int64)) for x in found]
-            pairs = [_sorted_counts(np.array(x[5], dtype=np.int64)) for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array([x[i] for x in found], pa.int64()) for i in range(3)],
-                 pa.array([x[3] for x in found], pa.string()),
-                 _lists([k for k, _ in same], pa.int32()), _lists([n for _, n in same], pa.int32()),
-                 _lists([k for k, _ in pairs], pa.int64()), _lists([n for _, n in pairs], pa.int32())],
-                names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "same", "same_n", "pairs", "pairs_n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *both.encode(batch.column(1).to_pylist())], names=names)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with bounded_batches(documents.sparkSession):

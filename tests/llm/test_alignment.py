@@ -99,10 +99,11 @@ def test_alignment_of_an_empty_table(spark):
 
 def test_forgetting_chunks_changes_nothing(monkeypatch):
     both = align.Pair(align.A_FILE, align.B_FILE)
-    want = [both.encode([t])[0] for t in TEXTS]
-    monkeypatch.setattr(align, "REMEMBERED", 2)
-    monkeypatch.setattr(align, "SHORT", 3)
+    want = [[c.to_pylist() for c in both.encode([t])] for t in TEXTS]
+    monkeypatch.setattr(align, "REMEMBERED", 4)
+    monkeypatch.setattr(align, "SHORT", 5)
     again = align.Pair(align.A_FILE, align.B_FILE)
-    assert [again.encode([t])[0] for t in TEXTS] == want
+    assert [[c.to_pylist() for c in again.encode([t])] for t in TEXTS] == want
+    assert len(again.chunks.number) == len(again.chunks.spelled)
     again.apart = False
-    assert again.encode(TEXTS) == want
+    assert [c.to_pylist() for c in again.encode(TEXTS)] == [[x for part in parts for x in part] for parts in zip(*want)]

@@ -53,7 +53,7 @@ def schema_bounded(df: DataFrame) -> DataFrame:
 def shared_inputs(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Chart plan, strong correlations and outliers of a table with their
     per-column facts gathered in ONE scan: the plan's counts, the moments
-    (whose count/min/max seed the quantile job) and the correlation
+    and the correlation
     centring facts. Then one pair-sum pass, the quantile passes and one
     outlier count."""
     from ..operators.quantile import exact_quantiles
@@ -67,7 +67,6 @@ def shared_inputs(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     row = df.agg(F.count(F.lit(1)).alias("__rows"), *plan_aggs(df), *moment_aggs(numeric)).first()
     mom = moments_from_row(df, numeric, row).collect()
     num = [r["column"] for r in mom if r["n"] > 0]
-    known = {r["column"]: (r["n"], r["min"], r["max"]) for r in mom}
 
     def plan_branch():
         return plan_frame(df, plan_rows_from(df, row, pie_candidates_up_to(df)))
@@ -77,7 +76,7 @@ def shared_inputs(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             pair_correlations(df, num, facts=column_facts_from_moments(numeric, row, row["__rows"]))))
 
     def outlier_branch():
-        q = exact_quantiles(df, num, [0.25, 0.75], known=known) if num else None
+        q = exact_quantiles(df, num, [0.25, 0.75]) if num else None
         return schema_bounded(iqr_outliers(df, num, quantiles=q))
 
     # independent branches: their jobs overlap

@@ -111,9 +111,7 @@ def describe(df: DataFrame, decimals: int = 4, quantiles: DataFrame | None = Non
         moment_frame = moments(df, num)
     mom = moment_frame.where(F.col("n") > 0)
     if quantiles is None:
-        # count/min/max from the moments feed the quantile job's first pass
-        known = {r["column"]: (r["n"], r["min"], r["max"]) for r in moment_frame.collect()}
-        quantiles = (exact_quantiles(df, num, [0.5], known=known) if exact
+        quantiles = (exact_quantiles(df, num, [0.5]) if exact
                      else _quantiles(df, num, [0.5], exact=False))
     q = quantiles
     med = q.where(F.col("p") == 0.5).select("column", F.col("value").alias("median"))

@@ -4,6 +4,7 @@ checkpoint folder used to cut lineage in iterative jobs."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,19 +54,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def reliable_checkpoint(df):
-    """Eager checkpoint into the session's checkpoint folder (never a
-    local-only checkpoint: a lost executor must not lose the data).
-
-    The frame is persisted first so the plan runs once: the checkpoint
-    write then reads the cached blocks instead of recomputing them."""
-    from pyspark import StorageLevel
-
-    ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+def written(df, name: str):
+    """Write a frame below the session's checkpoint folder and read it back:
+    its rows outlive lost executors (no lineage, no executor's own disk) and
+    later steps do not compute them again."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def run_concurrently(*steps):

@@ -70,7 +70,7 @@ def test_boolean_is_categorical(spark):
        st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.9, 1.0]))
 def test_quantile_property(spark, values, p):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    got = exact_quantiles(df, ["v"], [p], final_rows=20, grid=16).first()["value"]
+    got = exact_quantiles(df, ["v"], [p], final_rows=20, sketch=16).first()["value"]
     assert got == pytest.approx(float(np.quantile(np.array(values, dtype=float), p)), rel=1e-12, abs=1e-9)
 
 

@@ -79,8 +79,8 @@ def test_distinct_and_roles(bodies_df):
     assert roles["height"]["description"].startswith("A numeric measure ranging from ")
 
 
-@pytest.mark.parametrize("final_rows,grid", [(1_000_000, 2000), (40, 16)])
-def test_exact_quantiles_against_pandas(spark, final_rows, grid):
+@pytest.mark.parametrize("final_rows,sketch,group_rows", [(1_000_000, 2000, 50_000), (40, 16, 50_000), (40, 64, 200), (1_000_000, 200, 0)])
+def test_exact_quantiles_against_pandas(spark, final_rows, sketch, group_rows):
     rng = np.random.default_rng(3)
     n = 3000
     pdf = pd.DataFrame({
@@ -91,10 +91,12 @@ def test_exact_quantiles_against_pandas(spark, final_rows, grid):
     pdf.loc[:20, "x"] = np.nan
     df = spark.createDataFrame(pdf)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = exact_quantiles(df, ["x", "hot_value"], probs, final_rows=final_rows, grid=grid).collect()
+    got = exact_quantiles(df, ["x", "hot_value"], probs, final_rows=final_rows, sketch=sketch).collect()
+    assert len(got) == 2 * len(probs)
     for r in got:
         assert r["value"] == pytest.approx(pdf[r["column"]].quantile(r["p"]), abs=1e-12)
-    got = exact_quantiles(df, ["x"], probs, group_cols=["g"], final_rows=final_rows, grid=grid).collect()
+    got = exact_quantiles(df, ["x"], probs, group_cols=["g"], final_rows=final_rows, sketch=sketch,
+                          group_rows=group_rows).collect()
     assert len(got) == 3 * len(probs)
     for r in got:
         exp = pdf[pdf.g == r["g"]]["x"].quantile(r["p"])
@@ -103,7 +105,7 @@ def test_exact_quantiles_against_pandas(spark, final_rows, grid):
 
 def test_quantiles_all_equal_values(spark):
     df = spark.createDataFrame([(2.0,)] * 1000, "v double")
-    got = exact_quantiles(df, ["v"], [0.25, 0.5], final_rows=10, grid=16).collect()
+    got = exact_quantiles(df, ["v"], [0.25, 0.5], final_rows=10, sketch=16).collect()
     assert all(r["value"] == 2.0 for r in got)
 
 
@@ -114,34 +116,56 @@ def test_top_values_ties_by_value(spark):
     assert not any(math.isnan(c) for _, c, _ in got)
 
 
-def test_whole_table_quantiles_of_heavy_tails_in_three_reads(spark, monkeypatch):
+def test_whole_table_quantiles_of_heavy_tails_in_two_reads(spark, monkeypatch):
     from framescope.operators import quantile as q
 
-    reads, largest = [], []
-    narrow, pick = q._narrow, q._pick
+    reads, largest, inside, write = [], [], q._inside, q.written
 
-    def counted(vals, brackets, *rest):
+    def counted(*args):
         reads.append(1)
-        return narrow(vals, brackets, *rest)
+        return inside(*args)
 
-    def bounded(vals, brackets):
-        reads.append(1)
-        largest.extend(b.rows for b in brackets)
-        return pick(vals, brackets)
+    def sized(df, name):
+        out = write(df, name)
+        largest.append(out.count())
+        return out
 
-    monkeypatch.setattr(q, "_narrow", counted)
-    monkeypatch.setattr(q, "_pick", bounded)
+    monkeypatch.setattr(q, "_inside", counted)
+    monkeypatch.setattr(q, "written", sized)
     rng = np.random.default_rng(14)
     v = np.exp(rng.normal(0, 60, 40_000))
     v[:3], v[3:9] = np.inf, -np.inf
     pdf = pd.DataFrame({"v": v})
     got = exact_quantiles(spark.createDataFrame(pdf), ["v"], [0.0, 0.25, 0.5, 0.9, 1.0], final_rows=500).collect()
     order = np.sort(v)
+    assert len(got) == 5
     for r in got:
         h = (len(v) - 1) * r["p"]
         lo, hi = order[int(h)], order[min(int(h) + 1, len(v) - 1)]
         assert r["value"] == (lo if lo == hi else pytest.approx(lo + (h - int(h)) * (hi - lo), rel=1e-12))
-    assert len(reads) <= 2 and max(largest) <= 500
+    assert len(reads) == 1  # beside the read that sketches
+    assert largest[0] < 0.06 * len(v)  # five brackets of about a hundredth
+
+
+def test_a_bracket_that_misses_is_done_again(spark, monkeypatch):
+    from framescope.operators import quantile as q
+
+    monkeypatch.setattr(q, "MARGIN", 1e-9)  # no room for the sketch's error
+    rng = np.random.default_rng(15)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 9000), "v": rng.normal(0, 1, 9000)})
+    df = spark.createDataFrame(pdf).repartition(7)
+    for r in exact_quantiles(df, ["v"], [0.3, 0.5], sketch=8).collect():
+        assert r["value"] == pytest.approx(pdf.v.quantile(r["p"]), abs=1e-12)
+    for r in exact_quantiles(df, ["v"], [0.3, 0.5], ["g"], sketch=8, group_rows=100).collect():
+        assert r["value"] == pytest.approx(pdf[pdf.g == r["g"]].v.quantile(r["p"]), abs=1e-12)
+
+
+def test_quantiles_without_values(spark):
+    df = spark.createDataFrame([(None, 1.0, "a"), (float("nan"), 2.0, "a")], "e double, v double, g string")
+    got = exact_quantiles(df, ["e", "v"], [0.5]).collect()
+    assert [(r["column"], r["value"]) for r in got] == [("v", 1.5)]
+    assert exact_quantiles(df.limit(0), ["e", "v"], [0.5]).count() == 0
+    assert [tuple(r) for r in exact_quantiles(df, ["e", "v"], [0.5], ["g"], group_rows=0).collect()] == [("a", "v", 0.5, 1.5)]
 
 
 def test_approx_quantiles_close(spark):
@@ -152,21 +176,29 @@ def test_approx_quantiles_close(spark):
         assert q[name] == pytest.approx(pdf.v.quantile(p), abs=0.01)
 
 
-def test_grouped_quantiles_split_a_hot_group(spark):
-    from framescope.operators.quantile import grouped_quantiles
+@pytest.mark.parametrize("final_rows", [20, 100_000])
+def test_grouped_quantiles_split_a_hot_group(spark, monkeypatch, final_rows):
+    from framescope.operators import quantile as q
+
+    plans, write = {}, q.written
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
 
+    monkeypatch.setattr(q, "written", kept)
     rng = np.random.default_rng(13)
     pdf = pd.DataFrame({"p": np.where(rng.random(6000) < 0.4, 0, rng.integers(0, 300, 6000)), "value": rng.exponential(3, 6000)})
-    wide = grouped_quantiles(spark.createDataFrame(pdf), ["value"], [0.5, 0.9], ["p"])
-    plan = wide._jdf.queryExecution().executedPlan().toString()
-    windows = [line for line in plan.splitlines() if "Window [sum(_k" in line]
-    assert windows and all("_s#" in line for line in windows)
-    got = wide.collect()
+    got = q.grouped_quantiles(spark.createDataFrame(pdf), ["value"], [0.5, 0.9], ["p"], final_rows=final_rows, group_rows=500).collect()
     assert len(got) == pdf["p"].nunique()
     for r in got:
         own = pdf[pdf["p"] == r["_g0"]]["value"]
         assert (r["_n0"], r["_q0_0"], r["_q0_1"]) == (len(own), pytest.approx(own.quantile(0.5), abs=1e-12),
                                                       pytest.approx(own.quantile(0.9), abs=1e-12))
+    # many values inside the brackets are dealt out by ranges of (group, value)
+    assert ("ranges" in plans) == (final_rows == 20)
+    if final_rows == 20:
+        assert "rangepartitioning(_g0#" in plans["ranges"] and "_v#" in plans["ranges"].split("rangepartitioning(")[1]
 
 
 def test_pairs_agree_at_every_width_and_infinity_has_no_coefficient(spark):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.canon import canonicalize, qcol
+from .frequent import is_text, top_counts
 from .quantile import grouped_quantiles
 
 # Result caps.
@@ -53,6 +54,8 @@ def sum_by_group(df: DataFrame, group: str, value: str, limit: int | None = TABL
 
 def count_by_group(df: DataFrame, group: str, limit: int = TABLE_ROWS) -> DataFrame:
     """K2 / K9: ``[group, count]``, most frequent first (ties: key asc)."""
+    if is_text(df, group):
+        return top_counts(df, [group], limit).orderBy("_rank").select(F.col("_v").alias(group), F.col("_n").alias("count"))
     counts = canonicalize(df).where(qcol(group).isNotNull()).groupBy(qcol(group).alias("_g")).agg(
         F.count(F.lit(1)).alias("_n"))
     return counts.orderBy(F.col("_n").desc(), F.col("_g").asc()).limit(limit).select(

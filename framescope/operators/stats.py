@@ -9,10 +9,9 @@ Layout of the work:
 * correlations are pairwise-complete Pearson coefficients from
   ``covar_pop`` / ``stddev_pop`` over masked columns, many pairs per
   aggregation;
-* per-column value counts use one ``unpivot``-style generator, a partial
-  aggregation on (column, value) and a ``row_number`` top-k that Spark
-  pre-limits on the map side (WindowGroupLimit), so no task ever holds all
-  distinct values of a column.
+* the most frequent values are counted by short keys, only candidates of a
+  frequent-items sketch where it can prove them (:mod:`.frequent`), with a
+  top-k that Spark pre-limits on the map side (WindowGroupLimit).
 """
 
 from __future__ import annotations
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.canon import canonicalize, qcol
 from ..functions.classes import classify
 from ..functions.text import fill, fixed2
+from .frequent import is_text, top_counts
 from .quantile import exact_quantiles, quantiles as _quantiles
 
 # Fixed values used by the reference semantics.
@@ -45,16 +45,6 @@ PAIRS_PER_AGGREGATION = 500
 CONSTANT = 1e-12
 
 
-def nonempty_numeric(df: DataFrame) -> list[str]:
-    """Numeric columns holding at least one value (one aggregation job)."""
-    df = canonicalize(df)
-    num = classify(df).numeric
-    if not num:
-        return []
-    row = df.agg(*[F.count(qcol(c)).alias(f"c{i}") for i, c in enumerate(num)]).first()
-    return [c for i, c in enumerate(num) if row[f"c{i}"] > 0]
-
-
 def _long_from_wide(wide: DataFrame, structs: list[Column]) -> DataFrame:
     return wide.select(F.inline(F.array(*structs)))
 
@@ -404,10 +394,12 @@ def value_counts(df: DataFrame, column: str, k: int) -> DataFrame:
     """A11 for one column, typed: ``value, count, rank`` - the ``k`` most
     frequent values, count desc then value asc.
 
-    Partial aggregation per value, then a global top-k
-    (TakeOrderedAndProject keeps k rows per partition); the rank window
-    runs over those k rows only.
+    Text goes through :func:`~.frequent.top_counts`. Other types: partial
+    aggregation per value, then a global top-k (TakeOrderedAndProject keeps
+    k rows per partition); the rank window runs over those k rows only.
     """
+    if is_text(df, column):
+        return top_counts(df, [column], k).select(F.col("_v").alias("value"), F.col("_n").alias("count"), F.col("_rank").alias("rank"))
     c = qcol(column)
     counts = canonicalize(df).where(c.isNotNull()).groupBy(c.alias("value")).agg(
         F.count(F.lit(1)).alias("count")
@@ -419,26 +411,20 @@ def value_counts(df: DataFrame, column: str, k: int) -> DataFrame:
 
 
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP_VALUES_PROFILE) -> DataFrame:
-    """A11 for many columns in one pass: ``column, value, count, rank``.
+    """A11 for many columns in one count: ``column, value, count, rank``.
 
-    Values are compared as text (one common type for all columns). The
-    ``row_number() <= k`` filter lets Spark insert a partial
-    WindowGroupLimit before the shuffle, so each column's window sees at
-    most k rows per upstream partition.
+    Values are compared as text (one common type for all columns) and
+    counted by short keys (:func:`~.frequent.top_counts`). The rank filter
+    lets Spark insert a partial WindowGroupLimit before the shuffle, so
+    each column's window sees at most k rows per upstream partition.
     """
     df = canonicalize(df)
     cols = list(columns) if columns is not None else classify(df).categorical
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, value string, count bigint, rank int")
-    items = F.array(*[
-        F.struct(F.lit(c).alias("column"), qcol(c).cast("string").alias("value")) for c in cols
-    ])
-    counts = (
-        df.select(F.inline(items)).where(F.col("value").isNotNull())
-        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
-    )
-    w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value").asc())
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    names = F.array(*map(F.lit, cols))
+    return top_counts(df, cols, k).select(F.get(names, F.col("_c")).alias("column"), F.col("_v").alias("value"),
+                                          F.col("_n").alias("count"), F.col("_rank").alias("rank"))
 
 
 def column_roles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

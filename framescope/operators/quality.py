@@ -16,12 +16,15 @@ from pyspark.sql import types as T
 from ..functions.canon import canonicalize, qcol
 from ..functions.classes import classify
 from ..functions.text import fill
+from ..session import written
 
 # The numeric-looking test used on text columns.
 NUMERIC_TEXT_STRIP = r"[,$%\s]"
 NUMERIC_TEXT_PATTERN = r"^-?\d+\.?\d*$"
 NUMERIC_TEXT_SHARE = 0.8
 NEAR_EMPTY_LOW = 0.9
+#: Size of the bit map of repeated hashes at most (8 MB).
+MAP_BITS = 26
 # The suggestion texts.
 MISSING_TEXT = "Fill or drop {} missing values across {} column(s)."
 DUPLICATES_TEXT = "Remove {} duplicate row(s)."
@@ -118,13 +121,28 @@ def _hash_input(df: DataFrame, name: str) -> Column:
     return qcol(name)
 
 
+def _nested_float(t: T.DataType) -> bool:
+    if isinstance(t, T.ArrayType):
+        return _nested_float(t.elementType) or isinstance(t.elementType, (T.FloatType, T.DoubleType))
+    if isinstance(t, T.StructType):
+        return any(_nested_float(f.dataType) or isinstance(f.dataType, (T.FloatType, T.DoubleType)) for f in t.fields)
+    return False
+
+
+def _row_hash(df: DataFrame, cols: list[str]) -> Column:
+    """Hash that equal rows share. Arrays and structs of floats are left to
+    the comparison by value (it treats -0.0 and 0.0 inside them as equal)."""
+    fed = [_hash_input(df, c) for c in cols if _holds_map(df.schema[c].dataType) or not _nested_float(df.schema[c].dataType)]
+    return F.xxhash64(*fed) if fed else F.lit(0).cast("long")
+
+
 def duplicate_candidates(df: DataFrame, subset: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows as ``_0, _1, ...`` with their hash ``_h``, hashes ``_c`` seen
     more than once). The second frame groups by the hash alone: 8 bytes per
     row cross the shuffle, partially aggregated."""
     cols = subset or df.columns
     keys = [_groupable(df, c).alias(f"_{i}") for i, c in enumerate(cols)]
-    hashed = df.select(F.xxhash64(*[_hash_input(df, c) for c in cols]).alias("_h"), *keys)
+    hashed = df.select(_row_hash(df, cols).alias("_h"), *keys)
     candidates = hashed.groupBy(F.col("_h").alias("_c")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_c")
     return hashed, candidates
 
@@ -153,19 +171,57 @@ def duplicate_rows(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     return spark.createDataFrame([(total,)], "duplicates bigint")
 
 
+def _bit_of(h: Column, bits: int) -> tuple[Column, Column]:
+    """Word and bit of a hash in a map of ``2 ** bits`` bits."""
+    place = F.shiftrightunsigned(h, 64 - bits)
+    return F.shiftrightunsigned(place, 6), place.bitwiseAND(63).cast("int")
+
+
+def _may_repeat(h: Column, repeated: DataFrame, n: int) -> Column:
+    """Whether a row's hash may be among the ``n`` hashes ``_c``: a bit map of
+    about sixteen bits a hash and ``2 ** MAP_BITS`` at most, so that its size
+    is bounded; a fuller map only lets more rows be compared."""
+    bits = min(MAP_BITS, max(10, (16 * n - 1).bit_length()))
+    word, bit = _bit_of(F.col("_c"), bits)
+    rows = repeated.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("b")).collect()
+    words = [0] * (1 << (bits - 6))
+    for r in rows:  # at most a row a word
+        words[r["w"]] = r["b"]
+    table = repeated.sparkSession.createDataFrame([(words,)], "words array<long>").scalar()
+    word, bit = _bit_of(h, bits)
+    return F.call_function("shiftrightunsigned", F.get(table, word.cast("int")), bit).bitwiseAND(1) == 1
+
+
 def dedup_rows(df: DataFrame, drop_duplicates: bool = True, drop_empty: bool = True) -> DataFrame:
-    """Q7: drop fully empty columns, then identical rows."""
+    """Q7: drop fully empty columns, then identical rows.
+
+    A first read groups 64-bit hashes of the rows (8 bytes a row shuffled,
+    partially aggregated). Rows whose hash occurs once have no duplicate and
+    pass without a shuffle; a bit map of the other hashes, bounded in size,
+    tells them apart where they are read. The rest, and the few rows that
+    share a bit with them, are compared by all their values."""
     out = drop_empty_columns(df) if drop_empty else df
-    if drop_duplicates:
-        out = canonicalize(out)
-        maps = [f.name for f in out.schema.fields if _holds_map(f.dataType)]
-        if not maps:
-            return out.dropDuplicates()
-        # maps cannot be compared: de-duplicate on their JSON text
-        keyed = out.select("*", *[F.to_json(qcol(m)).alias(f"__json{i}") for i, m in enumerate(maps)])
-        subset = [c for c in out.columns if c not in maps] + [f"__json{i}" for i in range(len(maps))]
-        out = keyed.dropDuplicates(subset).select(*[qcol(c) for c in out.columns])
-    return out
+    if not drop_duplicates or not out.columns:
+        return out
+    out = canonicalize(out)
+    hashes = out.select(_row_hash(out, out.columns).alias("_c")).groupBy("_c").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    repeated = written(hashes.select("_c"), "repeated")
+    n = repeated.count()
+    if not n:
+        return out
+    maybe = _may_repeat(_row_hash(out, out.columns), repeated, n)
+    return out.where(~maybe).unionByName(_compared(out.where(maybe)))
+
+
+def _compared(out: DataFrame) -> DataFrame:
+    """One of each set of rows with equal values."""
+    maps = [f.name for f in out.schema.fields if _holds_map(f.dataType)]
+    if not maps:
+        return out.dropDuplicates()
+    # maps cannot be compared: de-duplicate on their JSON text
+    keyed = out.select("*", *[F.to_json(qcol(m)).alias(f"__json{i}") for i, m in enumerate(maps)])
+    subset = [c for c in out.columns if c not in maps] + [f"__json{i}" for i in range(len(maps))]
+    return keyed.dropDuplicates(subset).select(*[qcol(c) for c in out.columns])
 
 
 def numeric_as_text(df: DataFrame) -> DataFrame:

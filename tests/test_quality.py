@@ -1,4 +1,6 @@
 import numpy as np
+import pandas as pd
+import pytest
 
 from framescope.operators import quality
 
@@ -81,3 +83,38 @@ def test_duplicates_hash_prefilter_paths(spark):
     df = spark.createDataFrame(rows, "a int, b int, c double")
     assert quality.duplicate_rows(df).first()["duplicates"] == 2  # -0.0 equals 0.0
     assert quality.duplicate_rows(df.select("a", "b")).first()["duplicates"] == 3
+
+
+@pytest.mark.parametrize("map_bits", [26, 10])
+def test_dedup_rows_equals_pandas(spark, monkeypatch, map_bits):
+    monkeypatch.setattr(quality, "MAP_BITS", map_bits)
+    rng = np.random.default_rng(31)
+    pdf = pd.DataFrame({"a": rng.integers(0, 400, 3000), "b": rng.choice([0.0, -0.0, 1.5, np.nan], 3000),
+                        "c": rng.choice(["x", "y", None], 3000)})
+    pdf.loc[:900, ["a", "b", "c"]] = [7, 1.5, "x"]  # a third of the rows are one row
+    df = spark.createDataFrame(pdf).repartition(6)
+    got = quality.dedup_rows(df).toPandas()
+    want = pdf.assign(b=pdf.b + 0.0).drop_duplicates()
+    key = lambda f: sorted(map(str, f.astype(object).where(f.notna(), None).assign(b=f.b + 0.0).itertuples(index=False)))
+    assert key(got) == key(want)
+
+
+def test_dedup_rows_compares_nested_floats_by_value(spark):
+    df = spark.sql("SELECT explode(array(named_struct('a', array(0.0D), 'b', 1), named_struct('a', array(-0.0D), 'b', 1), "
+                   "named_struct('a', array(2.0D), 'b', 1))) AS s").select("s.*")
+    assert quality.dedup_rows(df).count() == 2
+    assert quality.dedup_rows(df.select("a")).count() == 2
+    assert quality.duplicate_rows(df).first()[0] == 1
+
+
+def test_unique_rows_pass_without_a_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(2000).select((F.col("id") % 1990).alias("k"), F.concat(F.lit("text "), (F.col("id") % 1990).cast("string")).alias("t"))
+    out = quality.dedup_rows(df)
+    assert out.count() == 1990
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    union = plan[plan.index("Union"):]
+    first, second = union.split("+- Aggregate") if "+- Aggregate" in union else (union, "")
+    assert "Aggregate" not in first.split("\n:- ")[0] and second  # only the second branch groups rows
+    assert out.select("t").where("false").count() == 0

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canon import qcol
+from .records import csv_records
 
 # File suffixes and the text tokens read as missing.
 CSV_SUFFIXES = (".csv",)
@@ -64,9 +65,10 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, infer_
              multi_line: bool | None = None) -> DataFrame:
     """Header CSV, encoding fallback, null tokens, inferred types.
 
-    Files with quoted line breaks are found and read whole, one task a file
-    (their lines cannot be told apart from the middle); others are split.
-    ``encoding`` and ``multi_line`` may be given instead of being found."""
+    Files with quoted line breaks are found and split too, into records
+    (:func:`~.records.csv_records`); only those that do not quote by the
+    rules are read whole, one task a file. ``encoding`` and ``multi_line``
+    may be given instead of being found."""
     if encoding is None or multi_line is None:
         found = csv_layout(spark, path)
         encoding = encoding or found[0]
@@ -76,6 +78,10 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, infer_
         .option("multiLine", multi_line).option("escape", '"').option("encoding", encoding)
         .csv(path)
     )
+    if multi_line and (records := csv_records(spark, path, encoding)) is not None:
+        options = {"escape": '"', "multiLine": "true"}
+        parsed = F.from_csv(F.col("record"), ", ".join(f"c{i} STRING" for i in range(len(text.columns))), options)
+        text = records.select(parsed.alias("r")).select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(text.columns)])
     tokens = F.array(*[F.lit(t) for t in null_tokens])
     cleaned = text.select(*[
         F.when(~F.array_contains(tokens, qcol(c)), qcol(c)).alias(c) for c in text.columns

@@ -8,7 +8,6 @@ names on both sides.
 
 from __future__ import annotations
 
-import importlib.util
 import os
 import uuid
 from collections.abc import Callable
@@ -25,9 +24,9 @@ from framescope.session import ensure_checkpoint_dir
 from framescope.sources.files import load_dataset
 from framescope.sources.sinks import answer_kind, write_result
 
-if importlib.util.find_spec("framescope.llm") and importlib.util.find_spec("corpus_pipeline"):
+try:  # the corpus operators are an optional part with libraries of their own
     from framescope.llm import registry as corpus
-else:  # the corpus operators are an optional part
+except ImportError:
     corpus = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -396,6 +395,16 @@ def _csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return load_dataset(spark, path)
 
 
+def _csv_line_breaks(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts with line breaks and quotes, written as CSV and read back
+    in records, one row a document."""
+    path = os.path.join(ensure_checkpoint_dir(spark), f"csv-{uuid.uuid4().hex}.csv")
+    write_result(_t(spark, d, "documents").select("doc_id", "text"), path, fmt="csv")
+    back = load_dataset(spark, path)
+    return back.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("characters"),
+                                      F.max(F.md5("text")).alias("digest"))
+
+
 def _csv_odd(spark: SparkSession, d: str) -> DataFrame:
     """Null tokens, codes that look like numbers, and quoted line breaks,
     written as CSV and read back."""
@@ -487,6 +496,7 @@ def _table_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dedup_rows": lambda s, d: quality.dedup_rows(
             messy_lineitem(s, d).select("l_quantity", "l_discount", "l_returnflag", "empty_num")),
         "numeric_as_text": lambda s, d: quality.numeric_as_text(messy_events(s, d)),
+        "numeric_as_text_first": lambda s, d: quality.numeric_as_text(messy_events(s, d), sample_rows=50, order_by=["event_id"]),
         "quality_report": _q_messy(quality.quality_report),
         "quality_issues": _q_messy(quality.quality_issues),
         # statistics
@@ -520,6 +530,10 @@ def _table_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "line_series": lambda s, d: charts.line_series(t(s, d, "events"), "ts", "value"),
         "area_series": lambda s, d: charts.area_series(t(s, d, "orders"), "o_orderdate", "o_totalprice"),
         "scatter_pairs": lambda s, d: charts.scatter_pairs(t(s, d, "events"), "user_id", "value"),
+        "scatter_sample_rows": lambda s, d: charts.scatter_pairs(
+            t(s, d, "events"), "user_id", "value", sample_rows=1000, key=["event_id"]),
+        "scatter_sample_fraction": lambda s, d: charts.scatter_pairs(
+            t(s, d, "lineitem"), "l_quantity", "l_tax", sample_fraction=0.1, key=["l_orderkey", "l_linenumber"]),
         "box_summary": lambda s, d: charts.box_summary(t(s, d, "lineitem"), "l_extendedprice"),
         "box_by_group": lambda s, d: charts.box_summary(t(s, d, "lineitem"), "l_extendedprice", by="l_returnflag"),
         "heatmap": lambda s, d: charts.heatmap(t(s, d, "lineitem"), decimals=6),
@@ -579,6 +593,14 @@ def _table_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "correlation_customer": lambda s, d: stats.correlation_matrix(t(s, d, "customer")),
         "sum_by_role": lambda s, d: ask.group_agg(t(s, d, "conversations"), ["role"], "turn", "sum"),
         # sources
+        "top_texts": lambda s, d: stats.value_counts(t(s, d, "documents"), "text", 10),
+        "top_keys": lambda s, d: ask.top_n_values(t(s, d, "lineitem").select(
+            F.col("l_partkey").cast("string").alias("part")), "part", 10),
+        "dedup_documents": lambda s, d: quality.dedup_rows(t(s, d, "documents").select("text", "lang", "source")),
+        "distinct_lineitem": lambda s, d: stats.distinct_counts(t(s, d, "lineitem")),
+        "median_by_flag_status": lambda s, d: ask.shape_result(
+            ask.group_agg(t(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", "median")),
+        "csv_line_breaks": _csv_line_breaks,
         "csv_roundtrip": _csv_roundtrip,
         "csv_odd_values": _csv_odd,
         "csv_latin1": _csv_latin1,
@@ -638,6 +660,9 @@ def _table_oracle_sql() -> dict[str, str]:
         "dedup_rows": m + "SELECT DISTINCT l_quantity, l_discount, l_returnflag FROM messy_lineitem",
         "numeric_as_text": _with(MESSY_EVENTS_SQL) + _sql_numeric_as_text(
             "messy_events", [(3, "event_type"), (5, "props"), (6, "money_text")]),
+        "numeric_as_text_first": _with(MESSY_EVENTS_SQL)
+        + ", first_events AS (SELECT * FROM messy_events ORDER BY event_id LIMIT 50) " + _sql_numeric_as_text(
+            "first_events", [(3, "event_type"), (5, "props"), (6, "money_text")]),
         "quality_report": _sql_quality_report(
             "messy_lineitem", MESSY, ["l_returnflag", "l_linestatus", "near_empty"], 9, 3, 1),
         "quality_issues": f"""WITH r AS ({_sql_quality_report(
@@ -725,6 +750,9 @@ def _table_oracle_sql() -> dict[str, str]:
         "area_series": """SELECT o_orderdate, o_totalprice FROM orders
             WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL ORDER BY o_orderdate""",
         "scatter_pairs": "SELECT user_id, value FROM events",
+        "scatter_sample_rows": "SELECT user_id, value FROM events ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT 1000",
+        "scatter_sample_fraction": """SELECT l_quantity, l_tax FROM lineitem
+              WHERE substr(md5(CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR)), 1, 8) < '19999999'""",
         "box_summary": _sql_box("lineitem", "l_extendedprice", None),
         "box_by_group": _sql_box("lineitem", "l_extendedprice", "l_returnflag"),
         "heatmap": _sql_corr_matrix("lineitem", LINEITEM_NUM, 6),
@@ -810,6 +838,18 @@ def _table_oracle_sql() -> dict[str, str]:
         "correlation_customer": _sql_corr_matrix("customer", ["c_custkey", "c_nationkey", "c_acctbal"], 3),
         "sum_by_role": """SELECT role, CAST(coalesce(sum(turn), 0) AS DECIMAL(38, 0)) AS turn FROM conversations
             WHERE role IS NOT NULL GROUP BY role""",
+        "top_texts": """SELECT text AS value, count(*) AS count,
+              CAST(row_number() OVER (ORDER BY count(*) DESC, text) AS INTEGER) AS rank
+              FROM documents WHERE text IS NOT NULL GROUP BY text QUALIFY rank <= 10""",
+        "top_keys": """SELECT CAST(l_partkey AS VARCHAR) AS part, count(*) AS count FROM lineitem GROUP BY 1
+              ORDER BY count DESC, part LIMIT 10""",
+        "dedup_documents": "SELECT DISTINCT text, lang, source FROM documents",
+        "distinct_lineitem": _union([
+            f"SELECT '{c}' AS {_q('column')}, count(DISTINCT {c}) AS {_q('distinct')} FROM lineitem" for c in LINEITEM]),
+        "median_by_flag_status": """SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.5), 4) AS l_extendedprice
+              FROM lineitem GROUP BY ALL""",
+        "csv_line_breaks": """SELECT doc_id, count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS characters,
+              max(md5(text)) AS digest FROM documents GROUP BY doc_id""",
         "csv_roundtrip": "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part",
         "csv_odd_values": """SELECT p_partkey, CAST(p_size AS VARCHAR) || 'D' AS code,
               CASE WHEN p_size % 2 <> 0 THEN CAST(p_size AS BIGINT) END AS size,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canon import canonicalize, qcol
 from .quantile import grouped_quantiles, quantiles
+from .sample import hash_sample
 from .stats import correlation_matrix, exact_distinct, top_values, value_counts
 
 # Chart limits.
@@ -192,10 +193,16 @@ trend_series = line_series
 area_series = line_series
 
 
-def scatter_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+def scatter_pairs(df: DataFrame, x: str, y: str, sample_rows: int | None = None, sample_fraction: float | None = None,
+                  key: Sequence[str] | None = None) -> DataFrame:
     """(x, y) as they are (missing values kept, as the scatter
-    call receives them)."""
-    return canonicalize(df).select(qcol(x), qcol(y))
+    call receives them). For display of a large table, ``sample_rows`` or
+    ``sample_fraction`` takes a repeatable sample by the hash of ``key``
+    (columns that identify a row; default x and y)."""
+    df = canonicalize(df)
+    if sample_rows is not None or sample_fraction is not None:
+        df = hash_sample(df, key or [x, y], sample_rows, sample_fraction)
+    return df.select(qcol(x), qcol(y))
 
 
 def box_summary(df: DataFrame, column: str, by: str | None = None, decimals: int | None = 4,
@@ -206,8 +213,8 @@ def box_summary(df: DataFrame, column: str, by: str | None = None, decimals: int
     inside the box); fliers are values beyond the whiskers, which are
     exactly the values beyond the 1.5 IQR fences. Pass 1 is the exact
     quartile job (per group when ``by`` is set); pass 2 is ONE aggregation:
-    without groups the quartiles arrive as a scalar subquery, with groups
-    through an equi-join on the group key (one quartile row per group).
+    without groups the three quartiles are collected and used as literals,
+    with groups they meet the rows in an equi-join on the group key.
     """
     df = canonicalize(df)
     probs = [0.25, 0.5, 0.75]

@@ -224,14 +224,28 @@ def _compared(out: DataFrame) -> DataFrame:
     return keyed.dropDuplicates(subset).select(*[qcol(c) for c in out.columns])
 
 
-def numeric_as_text(df: DataFrame) -> DataFrame:
+def numeric_as_text(df: DataFrame, sample_rows: int | None = None, order_by: list[str] | None = None) -> DataFrame:
     """Q6: text columns whose non-missing values look numeric.
 
     ``column, checked, numeric_like, share, flagged``; one wide aggregation
-    over all values of all text columns.
+    over all values of all text columns. With ``sample_rows``, only each
+    column's first so many non-missing values by ``order_by`` are checked
+    (each partition keeps that many a column before the shuffle).
     """
     df = canonicalize(df)
     text_cols = classify(df).categorical
+    if sample_rows is not None:
+        if not order_by:
+            raise ValueError("a sample of first values needs an order key")
+        place = {c: i for i, c in enumerate(df.columns)}
+        items = F.array(*[F.struct(F.lit(place[c]).alias("position"), F.lit(c).alias("column"), qcol(c).cast("string").alias("_s"))
+                          for c in text_cols] or [F.lit(None).cast("struct<position: int, column: string, _s: string>")])
+        long = df.select(F.struct(*[qcol(c) for c in order_by]).alias("_o"), F.inline(F.array_compact(items))).where(F.col("_s").isNotNull())
+        first = long.withColumn("_i", F.row_number().over(Window.partitionBy("position").orderBy("_o", "_s"))).where(F.col("_i") <= sample_rows)
+        like = F.regexp_replace("_s", NUMERIC_TEXT_STRIP, "").rlike(NUMERIC_TEXT_PATTERN)
+        checked = first.groupBy("position", "column").agg(F.count(F.lit(1)).alias("checked"), F.count_if(like).alias("numeric_like"))
+        part = F.col("numeric_like") / F.col("checked")
+        return checked.withColumn("share", F.round(part, 4)).withColumn("flagged", part > NUMERIC_TEXT_SHARE)
     if not text_cols:
         return df.sparkSession.createDataFrame(
             [], "position int, column string, checked bigint, numeric_like bigint, share double, flagged boolean"

@@ -13,10 +13,13 @@ from ..operators.ask import RESULT_ROWS, shape_result
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write a result frame with Spark's writer (parquet, json, csv, orc)."""
+    """Write a result frame with Spark's writer (parquet, json, csv, orc).
+    CSV has a header, doubles quotes (RFC 4180) and keeps spaces at the ends,
+    so that :func:`~.files.load_dataset` reads the same texts back."""
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = (writer.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+                  .option("ignoreTrailingWhiteSpace", False))
     writer.format(fmt).save(path)
 
 

@@ -35,7 +35,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the target weights of their sources."""
-    return mixing.mixed(docs, "source", known=True)
+    return mixing.mixed(docs, "source")
 
 
 STAGES = [

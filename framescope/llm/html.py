@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 W, LEAST_TAG, MOST_TAG = 4.0, 0.05, 1.0
-DEFAULT_WORD, DEFAULT_TAG = 0.5, -0.5
+DEFAULT_WORD, DEFAULT_LINK, DEFAULT_TAG, DEFAULT_FURNITURE = 0.5, -0.25, -0.05, -0.05
 
 # Fixed names of the markup language.
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object")
+RAW = ("script", "style", "template", "textarea", "title", "iframe", "svg", "select")
 FURNITURE = ("nav", "footer", "aside", "form", "button", "dialog", "menu", "header", "head", "fieldset", "label")
 BLOCKS = ("p", "div", "article", "section", "main", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt",
           "dd", "blockquote", "pre", "table", "tr", "td", "th", "thead", "tbody", "caption", "figure", "figcaption",
@@ -43,7 +43,7 @@ VOID = ("br", "img", "hr", "input", "meta", "link", "wbr", "source", "col", "are
 CONTENT = ("article", "main")
 INLINE = ("a", "abbr", "acronym", "audio", "b", "bdi", "bdo", "big", "canvas", "cite", "code", "data", "datalist", "del",
           "dfn", "em", "font", "frame", "frameset", "hgroup", "i", "ins", "kbd", "legend", "map", "mark", "meter",
-          "optgroup", "option", "output", "picture", "progress", "q", "rp", "rt", "ruby", "s", "samp", "slot", "small",
+          "math", "noscript", "object", "optgroup", "option", "output", "picture", "progress", "q", "rp", "rt", "ruby", "s", "samp", "slot", "small",
           "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "video")
 #: Every other name counts as one feature, ``?``, so that markup bounds the table of weights.
 KNOWN = frozenset(RAW + FURNITURE + BLOCKS + VOID + CONTENT + INLINE + ("tfoot", "colgroup"))
@@ -62,13 +62,28 @@ _PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)", re.S)
 # Elements that hold others; only these are furniture by their id or label.
 HOLDERS = ("div", "section", "ul", "ol", "dl", "table", "tbody", "tr", "td", "li", "figure", "details", "center", "address")
-_MARK = re.compile(r"(?:^|(?<=[\s\"'/]))(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 _WORDS = re.compile(r"[A-Za-z0-9]+")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_BODY = re.compile(r"itemprop\s*=\s*[\"']?articleBody", re.I)
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 
 
-def _furniture(name: str, attrs: str, in_content: bool) -> bool:
+def attributes(attrs: str) -> list[tuple[str, str]]:
+    """Names (lower case) and values of a tag's attributes."""
+    return [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attrs)]
+
+
+def _hidden(attrs: list[tuple[str, str]]) -> bool:
+    """Whether an element says that it is not shown; words of other values
+    (titles, data) do not count."""
+    return any(n == "hidden" or n == "aria-hidden" and v.strip().lower() == "true" or n == "style" and _NOT_SHOWN.search(v)
+               for n, v in attrs)
+
+
+def _is_body(attrs: list[tuple[str, str]]) -> bool:
+    return any(n == "itemprop" and "articlebody" in v.lower().split() for n, v in attrs)
+
+
+def _furniture(name: str, attrs: list[tuple[str, str]], in_content: bool) -> bool:
     """Whether an element is page furniture; a header inside named content
     is the article's own. Marks are whole names (``related``, ``social-share``);
     on elements that hold others outside named content also a word of a longer
@@ -78,13 +93,13 @@ def _furniture(name: str, attrs: str, in_content: bool) -> bool:
         return True
     if not attrs or name in ("html", "body") or name in CONTENT:
         return False
-    if _HIDDEN.search(attrs):
+    if _hidden(attrs):
         return True
-    for m in _MARK.finditer(attrs):
-        kind = m[1].lower()
+    for kind, value in attrs:
+        if kind not in ("class", "id", "role", "aria-label"):
+            continue
         if kind in ("id", "aria-label") and name not in HOLDERS:
             continue  # ids of headings and paragraphs are anchors made of their text
-        value = m[2] or m[3] or m[4] or ""
         for token in [value] if kind == "aria-label" else value.split():
             words = [w.lower() for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token))]
             marks = [w in MARKS and w not in own for w in words]
@@ -97,9 +112,12 @@ def parts(html: str) -> list[tuple[str, str, bool, str]]:
     """``(feature, text, block, element)`` of each part of a page in order: a
     run of words (feature ``w:<place>``) or a tag (``t:<name>``, no text);
     ``block`` says whether the tag ends a block, ``element`` names content
-    elements opened (``+``) or closed (``-``)."""
+    elements opened (``+``) or closed (``-``) and, as ``(`` and ``)``, others
+    that ``itemprop=articleBody`` names."""
     out: list[tuple[str, str, bool, str]] = []
     stack: list[tuple[str, bool]] = []  # open elements that place words, and whether they are furniture
+    bodies: list[int] = []  # depths of the open article bodies
+    endless: set[str] = set()  # elements that no end tag follows
     names: Counter[str] = Counter()  # of the stack
     at, size = 0, len(html)
 
@@ -132,10 +150,13 @@ def parts(html: str) -> list[tuple[str, str, bool, str]]:
         name = (m[2] or "").lower()
         if not name:
             continue
-        attrs, closing = m[3] or "", bool(m[1])
+        tail, closing = m[3] or "", bool(m[1])
+        attrs = [] if closing or "=" not in tail and "hidden" not in tail.lower() else attributes(tail)
         element = ""
         if name in RAW and not closing:
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            end = None if name in endless else re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            if end is None:
+                endless.add(name)
             at = end.end() if end else (size if name in ("script", "style") else at)
             out.append((f"t:{name}", "", False, ""))
             continue
@@ -144,8 +165,12 @@ def parts(html: str) -> list[tuple[str, str, bool, str]]:
                 while pop() != name:
                     pass
             element = "-" if name in CONTENT else ""
-        elif name not in VOID and not attrs.rstrip().endswith("/"):
-            if name in CONTENT or _BODY.search(attrs):
+            while bodies and len(stack) < bodies[-1]:
+                bodies.pop()
+                element = element or ")"
+        elif name not in VOID and not tail.rstrip().endswith("/"):
+            body = _is_body(attrs)
+            if name in CONTENT or body:
                 # content never lies in furniture that was left open
                 while names["!"]:
                     pop()
@@ -156,18 +181,35 @@ def parts(html: str) -> list[tuple[str, str, bool, str]]:
             extra = _furniture(name, attrs, any(names[n] for n in CONTENT))
             if name in BLOCKS or name == "a" or extra:
                 push(name, extra)
+                if body and not element:
+                    bodies.append(len(stack))
+                    element = "("
         out.append((f"t:{'/' if closing else ''}{name if name in KNOWN else '?'}", "", name in BLOCKS or name in FURNITURE, element))
     return out
 
 
 def _labelled(seq: list[tuple[str, str, bool, str]]) -> list[bool] | None:
-    """Which parts lie in the page's one content element; None without one."""
-    marks = [p[3] for p in seq]
-    if marks.count("+") != 1:
-        return None
-    start = marks.index("+")
-    end = marks.index("-", start) if "-" in marks[start:] else len(seq)
-    return [start < i < end for i in range(len(seq))]
+    """Which parts lie in the page's one content element: the innermost of
+    nested ones, an ``articleBody`` where no element is named so; None
+    without one or with several side by side."""
+    for opened, closed in ("+-", "()"):
+        inner, open_at = [], []  # (start, end) of elements that hold no other
+        for i, (_, _, _, mark) in enumerate(seq):
+            if mark == opened:
+                open_at.append(i)
+            elif mark == closed and open_at:
+                start = open_at.pop()
+                if not any(start < a for a, _ in inner):
+                    inner.append((start, i))
+        for start in reversed(open_at):  # left open
+            if not any(start < a for a, _ in inner):
+                inner.append((start, len(seq)))
+        if len(inner) == 1:
+            start, end = inner[0]
+            return [start < i < end for i in range(len(seq))]
+        if inner:
+            return None
+    return None
 
 
 def learn(pages: DataFrame) -> dict[str, float]:
@@ -203,9 +245,9 @@ def _weight(weights: dict[str, float], feature: str) -> float:
     if feature[0] == "t":
         return DEFAULT_TAG
     if "!" in feature:
-        return -W
+        return DEFAULT_FURNITURE  # an aside amid an article does not end it
     if feature.endswith("+a"):
-        return 0.5 * _weight(weights, feature[:-2])
+        return 0.5 * weights[feature[:-2]] if feature[:-2] in weights else DEFAULT_LINK
     return DEFAULT_WORD
 
 

@@ -44,7 +44,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.domain_totals(_table(spark, sf_dir, "documents"), "source", known=True)
+    return mixing.domain_totals(_table(spark, sf_dir, "documents"), "source")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +125,7 @@ rep AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(range(i, i + 5))
 m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
         CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS BIGINT) AS n_lines,
         CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
           - len(list_distinct(list_filter(string_split(text, chr(10)),
               lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
@@ -133,13 +134,15 @@ m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
 f AS (SELECT source, rule, n_words, CASE rule
           WHEN 'short' THEN n_words < 10 WHEN 'repeats' THEN 100 * n_repeat_words > 20 * n_words
           WHEN 'symbols' THEN 100 * n_symbols > 10 * word_chars
-          ELSE 100 * n_dup_lines > 30 * n_words END AS bad
+          ELSE 100 * n_dup_lines > 30 * n_lines END AS bad
       FROM m, (SELECT unnest(['short', 'repeats', 'symbols', 'lines']) AS rule)),
 h AS (SELECT source, rule, count(*) AS n, sum(bad::INT) AS k FROM f GROUP BY ALL),
-t AS (SELECT rule, sum(k) / sum(n) AS mean, sum(n) AS total FROM h GROUP BY rule),
-s AS (SELECT rule, mean, sum(n * (k / n - mean) * (k / n - mean)) / any_value(total) AS v
+t AS (SELECT rule, sum(k) / sum(n) AS mean, sum(n) AS total, count(*) AS hosts,
+             sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS room FROM h GROUP BY rule),
+s AS (SELECT rule, mean, any_value(room) AS room, CASE WHEN mean > 0 AND mean < 1
+             THEN sum(n * (k / n - mean) * (k / n - mean)) / (mean * (1 - mean)) - (any_value(hosts) - 1) ELSE 0 END AS excess
       FROM h JOIN t USING (rule) GROUP BY rule, mean),
-p AS (SELECT rule, mean, CASE WHEN v = 0 THEN 1000 ELSE least(1000, greatest(2, mean * (1 - mean) / v - 1)) END AS size
+p AS (SELECT rule, mean, CASE WHEN excess <= 0 OR room <= 0 THEN 1000 ELSE least(1000, greatest(2, room / excess - 1)) END AS size
       FROM s),
 host AS (SELECT source, max((k + size * mean) / (n + size)) > 0.6 AS gone FROM h JOIN p USING (rule) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

@@ -6,10 +6,14 @@ failure rate of a rule is shrunk towards all hosts' rates by an empirical
 beta prior, and a host whose shrunk rate of any rule passes ``max_rate``
 takes its documents with it.
 
-The prior of a rule is fitted by moments: with m the rate over all documents
-and v the variance of host rates around it (weighted by documents), the
-prior's size is ``m (1 - m) / v - 1``, held in [``LEAST``, ``MOST``]; so a
-host of few documents is judged mostly by the prior and a large one by its
+The prior of a rule is fitted by the moments of a beta-binomial: with m the
+rate over all N documents of H hosts, S the squared distances of the hosts' rates
+from m, each by its documents n, and no spread between hosts at all, S would be
+``m (1 - m) (H - 1)`` by chance alone. What is above that gives the correlation
+inside hosts, ``(S / (m (1 - m)) - (H - 1)) / (N - sum(n^2) / N - (H - 1))``, and the
+prior's size is one less than its inverse, held in [``LEAST``, ``MOST``] (``MOST``
+where there is none, or every host has one document). So a host of few documents
+is judged mostly by the prior and a large one by its
 own. Defined cases: null and empty texts have no words and fail; hosts or
 tables without rows give no rows; repeated rows count each; other columns
 are ignored."""
@@ -54,8 +58,8 @@ def _repeated(words: Column) -> Column:
 
 
 def measures(documents: DataFrame) -> DataFrame:
-    """``doc_id, source, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words`` (counts as bigint) of every document row. Windows are
+    """``doc_id, source, n_words, word_chars, n_symbols, n_lines (with a word),
+    n_dup_lines, n_repeat_words`` (counts as bigint) of every document row. Windows are
     told apart by a 64-bit hash within their own document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = F.translate(text, SPACES, "")
@@ -64,6 +68,7 @@ def measures(documents: DataFrame) -> DataFrame:
         "n_words": let(space_words(F.col("text")), F.size),
         "word_chars": F.length(bare),
         "n_symbols": F.length(text) - F.length(F.translate(text, SYMBOLS, "")),
+        "n_lines": F.size(worded),
         "n_dup_lines": let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))),
         "n_repeat_words": _repeated(space_words(F.col("text"))),
     }
@@ -77,23 +82,32 @@ def _failures() -> dict[str, Column]:
         "short": n < 10,
         "repeats": 100 * F.col("n_repeat_words") > 20 * n,
         "symbols": 100 * F.col("n_symbols") > 10 * chars,
-        "lines": 100 * F.col("n_dup_lines") > 30 * n,
+        "lines": 100 * F.col("n_dup_lines") > 30 * F.col("n_lines"),
     }
 
 
+def prior_size(m: float, spread: float, n: int, hosts: int, squares: float) -> float:
+    """Size of a rule's beta prior (see the module)."""
+    room = n - squares / n - (hosts - 1)
+    excess = spread / (m * (1 - m)) - (hosts - 1) if 0 < m < 1 else 0.0
+    if excess <= 0 or room <= 0:
+        return MOST
+    return min(MOST, max(LEAST, room / excess - 1))
+
+
 def host_rates(measured: DataFrame) -> DataFrame:
     """``source, n, rate_<rule>``: each host's shrunk failure rates."""
     rules = _failures()
     hosts = written(measured.groupBy("source").agg(
         F.count("*").alias("n"), *[F.sum(c.cast("int")).alias(r) for r, c in rules.items()]), "hosts")
-    total = hosts.agg(F.sum("n").alias("n"), *[F.sum(r).alias(r) for r in rules]).first()
+    total = hosts.agg(F.sum("n").alias("n"), F.count("*").alias("hosts"), F.sum(F.pow(F.col("n"), 2)).alias("squares"),
+                      *[F.sum(r).alias(r) for r in rules]).first()
     n = total["n"] or 1
     means = {r: (total[r] or 0) / n for r in rules}
-    spread = hosts.agg(*[(F.sum(F.col("n") * F.pow(F.col(r) / F.col("n") - means[r], 2)) / n).alias(r)
-                         for r in rules]).first()
+    spread = hosts.agg(*[F.sum(F.col("n") * F.pow(F.col(r) / F.col("n") - means[r], 2)).alias(r) for r in rules]).first()
     rates = []
     for r, m in means.items():
-        size = MOST if not spread[r] else min(MOST, max(LEAST, m * (1 - m) / spread[r] - 1))
+        size = prior_size(m, spread[r] or 0.0, n, total["hosts"], total["squares"] or 0.0)
         rates.append(((F.col(r) + size * m) / (F.col("n") + size)).alias(f"rate_{r}"))
     return hosts.select("source", "n", *rates)
 

@@ -411,6 +411,56 @@ def test_each_record_is_a_member(tmp_path):
         list(warc.rewritten(cut, io.BytesIO()))
 
 
+# ---- main text of generated pages ------------------------------------------
+
+def made_page(rng, kind):
+    """A page and its main text."""
+    word = lambda: str(rng.choice(["plain", "hidden", "related", "comment", "search", "x", "día", "a&amp;b"]))
+    line = lambda n: " ".join(word() for _ in range(n))
+    blocks, out = [], []
+    title = line(rng.integers(1, 4))
+    blocks.append(f"<h1 id='related-{rng.integers(9)}'>{title}</h1>")
+    out.append(title)
+    for _ in range(rng.integers(2, 7)):
+        text = line(rng.integers(1, 40))
+        if rng.random() < 0.3:
+            text += " is <math><mi>x</mi></math> here"
+        blocks.append(str(rng.choice(["<p title='the hidden valley'>{}</p>", "<p data-title='Five hidden gems' style='color:red'>{}</p>",
+                                      "<blockquote>{}</blockquote>", "<p>{}<script>var hidden = 1;</script></p>"])).format(text))
+        out.append(re.sub("<[^>]*>", "", text))
+        if rng.random() < 0.3:
+            blocks.append(str(rng.choice(["<div hidden>not shown</div>", "<div style='display: none'>not shown</div>",
+                                          "<aside>read this too</aside>", "<form><p>mail</p></form>"])))
+    body = "".join(blocks)
+    wrap = {"article": "<article>{}</article>", "main": "<main><article>{}</article></main>", "body": "<div itemprop='articleBody'>{}</div>",
+            "plain": "<div>{}</div>"}[kind]
+    head = "<nav><ul>" + "<li><a href=/>Home page</a></li>" * 5 + "</ul></nav><header><p>Site name</p></header>"
+    page = f"<html><head><title>t</title></head><body>{head}{wrap.format(body)}<footer><p>all rights reserved</p></footer></body></html>"
+    return page, "\n".join(x.replace("&amp;", "&") for x in out)
+
+
+@pytest.mark.parametrize("kind", ["article", "main", "body", "plain"])
+def test_main_text_of_generated_pages_is_exact(spark, kind):
+    rng = np.random.default_rng(21)
+    pages = [made_page(rng, kind) for _ in range(60)]
+    rows = [(i, "u", html_) for i, (html_, _) in enumerate(pages)] + [(0, "u", pages[0][0])]  # a repeated row
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert bool(html.learn(df)) == (kind != "plain")  # layouts that name their content are learnt from
+    for r in html.main_text(df).collect():
+        assert r["text"] == pages[r["page_id"]][1], pages[r["page_id"]][0]
+
+
+def test_unclosed_elements_take_linear_time():
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        start = time.perf_counter()
+        html.parts("<svg><select>" * n)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * took[0] + 0.2
+
+
 # ---- rules ----------------------------------------------------------------
 
 def test_measures_equal_brute_force(spark):
@@ -440,6 +490,32 @@ def test_bad_host_takes_its_documents_and_small_hosts_lean_on_the_prior(spark):
     assert all(out[i]["kept"] for i in range(400))
 
 
+@pytest.mark.parametrize("spread, each", [(0.0, 1), (0.0, 2), (0.0, 6), (0.15, 30)])
+def test_prior_finds_the_spread_between_hosts(spread, each):
+    rng = np.random.default_rng(17)
+    hosts, m = 3000, 0.45
+    rho = (spread / np.sqrt(m * (1 - m))) ** 2
+    true = rng.beta(m * (1 / rho - 1), (1 - m) * (1 / rho - 1), hosts) if rho else np.full(hosts, m)
+    n = np.full(hosts, each) + (rng.integers(0, 5, hosts) if each > 1 else 0)
+    k = rng.binomial(n, true)
+    mean = k.sum() / n.sum()
+    size = rules.prior_size(mean, (n * (k / n - mean) ** 2).sum(), int(n.sum()), hosts, float((n ** 2).sum()))
+    shrunk = (k + size * mean) / (n + size)
+    if spread:
+        assert abs(size - (1 / rho - 1)) < 0.2 * (1 / rho - 1)
+    else:
+        assert (shrunk > rules.MAX_RATE).sum() == 0  # equal hosts: none is rejected by chance
+
+
+def test_hosts_of_one_document_and_repeated_lines(spark):
+    good = "\n".join(f"line {i} has four words" for i in range(20))
+    repeated = "\n".join(f"{'same four words here' if i % 2 else f'other line number {i}'}" for i in range(40))
+    rows = [(i, good if i % 2 else "short text", f"h{i}") for i in range(40)] + [(100 + i, repeated, "lines") for i in range(30)]
+    out = {r["doc_id"]: r for r in rules.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(out[i]["kept"] == bool(i % 2) for i in range(40))
+    assert all(out[100 + i]["host_rejected"] for i in range(30))
+
+
 # ---- quality, toxicity, mixing: held-out accuracy -------------------------
 
 def test_quality_held_out_accuracy(spark):
@@ -495,7 +571,8 @@ def test_exception_phrase_cancels_its_match():
 def test_mixing_meets_targets(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     weights = {"en": 0.25, "de": 0.25, "es": 0.25, "fr": 0.25}
-    rows, classifier, _ = mixing.rated(docs, weights=weights)
+    rows, classifier, _, miss = mixing.rated(docs, "lang", weights=weights)
+    assert np.abs(miss).max() < 1e-3
     p = rows.toPandas()
     q, t = np.stack(p["q"]), p["tokens"].to_numpy()
     got = (p["rate"].to_numpy() * t) @ q
@@ -505,27 +582,60 @@ def test_mixing_meets_targets(spark):
     truth = dict(docs.select("doc_id", "lang").collect())
     best = [classifier.domains[i] for i in q.argmax(1)]
     assert sum(truth[d] == b for d, b in zip(p["doc_id"], best)) >= 0.97 * len(p)
-    copies = mixing.mixed(docs, weights=weights).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
+    copies = mixing.mixed(docs, "lang", weights=weights).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
     rate = p.set_index("doc_id")["rate"]
     assert (copies >= np.floor(rate[copies.index] - 1e-9)).all() and (copies <= np.ceil(rate[copies.index] + 1e-9)).all()
     assert len(copies) == len(p)
 
 
-def test_sources_are_mixed_to_their_targets(spark, tmp_path):
-    from framescope.llm import registry
+def test_sources_that_texts_do_not_show_keep_their_shares(spark):
+    rows = [(i, "the same words in every source", "en", "hot" if i % 5 < 3 else f"s{i % 3}", 0) for i in range(600)]
+    rows += [(1000 + i, None if i else "", "en", None, 0) for i in range(2)]
+    with pytest.warns(UserWarning, match="off its target"):
+        got = mixing.domain_totals(spark.createDataFrame(rows, DOCS)).toPandas()
+    assert len(got) == len(rows) and (got["domain"] == "hot").all()
+    share = sum(r[3] == "hot" for r in rows) / 600
+    assert np.allclose(got["posterior"], share, atol=0.05)  # near the prior
+    assert np.ptp(got.loc[got["tokens"] > 0, "rate"]) < 1e-6 and got["rate"].min() >= 1 and (got["miss"].abs() > 0.01).all()  # said, not hidden
+
+
+def test_posteriors_are_calibrated_on_given_sources(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    with pytest.warns(UserWarning):
+        rows, classifier, _, _ = mixing.rated(docs)
+    p = rows.toPandas().merge(docs.select("doc_id", "source").toPandas(), on="doc_id")
+    held = p[[zlib.crc32(str(i).encode()) % 5 == 1 for i in p["doc_id"]]]
+    q = np.stack(held["q"])
+    right = np.array([classifier.domains[i] for i in q.argmax(1)]) == held["source"].to_numpy()
+    assert abs(q.max(1).mean() - right.mean()) < 0.03  # as sure as it is right
+    t = held["tokens"].to_numpy()
+    labels = np.array([t[(held["source"] == d).to_numpy()].sum() for d in classifier.domains])
+    assert np.abs(t @ q - labels).sum() < 0.05 * t.sum()
+
+
+def test_calibration_finds_the_temperature(spark):
+    rng = np.random.default_rng(9)
+    labels = rng.choice(3, 6000, p=[0.6, 0.3, 0.1])
+    honest = rng.normal(0, 1, (6000, 3))
+    honest[np.arange(6000), labels] += 1.0  # log odds of one unit for the true domain
+    c = mixing.calibrated(mixing.Classifier(["a", "b", "c"], np.zeros((3, 1))), 5 * honest, labels, np.ones(6000))
+    assert abs(c.weight - 0.2) < 0.02 and abs((c.bias[0] - c.bias[2]) - np.log(6)) < 0.2
+    blind = mixing.calibrated(c, rng.normal(0, 5, (6000, 3)), labels, np.ones(6000))
+    assert blind.weight < 0.01
+
 
-    text = "the same words in every source"
-    rows = [(i, text, "en", "hot" if i < 60 else f"s{i % 4}" if i < 96 else None, len(text)) for i in range(100)]
-    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
-    got = registry.op7_mixing(spark, str(tmp_path)).toPandas().merge(
-        spark.createDataFrame(rows, DOCS).select("doc_id", "source").toPandas(), on="doc_id")
-    named = got[got["source"].notna()]
-    assert len(got) == 100 and (named["domain"] == named["source"]).all()
-    tokens = (named["rate"] * named["tokens"]).groupby(named["source"]).sum() + (
-        got.loc[got["source"].isna(), "rate"] * 6).sum() / 5  # unlabelled texts fit every source alike
-    size = np.array([60 + 0.8, *[9.8] * 4])
-    want = (size / size.sum()) ** mixing.TEMPERATURE
-    assert np.allclose(tokens / tokens.sum(), want / want.sum(), atol=1e-3)
+def test_rates_equal_a_dense_solver(spark):
+    rng = np.random.default_rng(8)
+    q, t = rng.dirichlet([0.5] * 3, 60), rng.integers(5, 60, 60).astype(float)
+    size = t @ q
+    wanted = size * np.array([0.4, 1.0, 1.7])
+    df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, q)], "tokens long, q array<double>")
+    history, miss = mixing.fit(df, 3, lambda _: wanted)
+    r = np.ones(60)
+    for _ in range(200_000):  # plain projected gradient on the whole matrix
+        r = np.maximum(r - q @ ((r * t) @ q / size - wanted / size), 0)
+    got = mixing._steps(q, history)
+    assert np.allclose((got * t) @ q, (r * t) @ q, rtol=1e-3) and np.abs(miss).max() < 1e-3
 
 
 def test_default_targets_keep_documents_of_mixed_language(spark):
@@ -534,7 +644,7 @@ def test_default_targets_keep_documents_of_mixed_language(spark):
     rows = [(i, " ".join(rng.choice(words["en" if i % 10 else "de"], 30)), "en" if i % 10 else "de", "s", 0) for i in range(200)]
     rows += [(1000 + i, " ".join(rng.permutation(words["en"] + words["de"])), None, "s", 0) for i in range(100)]
     docs = spark.createDataFrame(rows, DOCS)
-    p = mixing.rated(docs)[0].toPandas()
+    p = mixing.rated(docs, "lang")[0].toPandas()
     q, t, r = np.stack(p["q"]), p["tokens"].to_numpy(), p["rate"].to_numpy()
     assert ((q.max(1) > 0.1) & (q.max(1) < 0.9)).any() and r.min() >= 1
     size, got = t @ q, (r * t) @ q
@@ -549,7 +659,7 @@ def test_projected_gradient_keeps_rates_nonnegative(spark):
     t = rng.integers(1, 50, 200)
     df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, q)], "tokens long, q array<double>")
     wanted = (t @ q) * np.array([0.0, 1.0, 2.0])
-    history = mixing.fit(df, 3, lambda size: wanted)
+    history, _ = mixing.fit(df, 3, lambda size: wanted)
     r = mixing._steps(q, history)
     assert (r >= 0).all() and (r == 0).any()
     loss = lambda r: ((((r * t) @ q) - wanted) ** 2 / (t @ q)).sum()
@@ -563,7 +673,7 @@ def test_close_domains_reach_their_targets_or_say_so(spark, monkeypatch):
     df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, q)], "tokens long, q array<double>").coalesce(2)
     size = t @ q
     wanted = size * np.array([1.02, 0.98])
-    r = mixing._steps(q, mixing.fit(df, 2, lambda _: wanted))
+    r = mixing._steps(q, mixing.fit(df, 2, lambda _: wanted)[0])
     assert (np.abs((r * t) @ q - wanted) / size).max() < mixing.TOLERANCE
     monkeypatch.setattr(mixing, "STEPS", 5)
     with pytest.warns(UserWarning, match="off its target"):

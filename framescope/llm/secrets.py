@@ -6,9 +6,9 @@ random strings; a uniform pseudo-count stands for strings not seen yet), and
 *ordinary* on all other text of every document (identifiers and words).
 Transition counts are summed over all documents in Spark. A token of
 ``LEAST`` or more characters, four of them letters, is a secret of kind
-``markov`` when its log-likelihood ratio passes ``PER_CHAR`` a character,
-unless it overlaps a span that a pattern found. Where the whole token does
-not pass, the runs of its parts (between ``/ = _ -``) that have as many
+``markov`` when its log-likelihood ratio passes ``PER_CHAR`` a character;
+of a token that touches a span that a pattern found, the parts outside are
+scored, each as a token. Where the whole does not pass, the runs of its parts (between ``/ = _ -``) that have as many
 characters and pass are, best first, so that a name or path in front of a
 random value does not hide it. Several parts without any digit are names.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -141,6 +141,14 @@ def _random_runs(token: str, llr: np.ndarray) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def _scored(text: str, start: int, end: int, llr: np.ndarray) -> list[tuple[int, int, str]]:
+    """Random runs of a token, or of what is left of it."""
+    token = text[start:end]
+    if end - start < LEAST or sum(c.isalpha() for c in token) < 4:
+        return []
+    return [(start + s, start + e, "markov") for s, e in _random_runs(token, llr)]
+
+
 def spans_of(text: str | None, llr: np.ndarray) -> list[tuple[int, int, str]]:
     """All spans of one text, by start and then kind."""
     text = text or ""
@@ -148,13 +156,14 @@ def spans_of(text: str | None, llr: np.ndarray) -> list[tuple[int, int, str]]:
     starts, ends = [s for s, _, _ in spans], list(accumulate((e for _, e, _ in spans), max))
     extra = []
     for m in TOKEN.finditer(text):
-        token = m[0]
-        if len(token) < LEAST:
-            continue
-        before = bisect_left(starts, m.end())  # of the spans that start before its end, one ends after its start
-        if sum(c.isalpha() for c in token) < 4 or before and ends[before - 1] > m.start():
+        if m.end() - m.start() < LEAST:
             continue
-        extra += [(m.start() + s, m.start() + e, "markov") for s, e in _random_runs(token, llr)]
+        at = m.start()
+        # what base spans leave of a token is scored on its own
+        for i in range(bisect_right(ends, at), bisect_left(starts, m.end())):
+            extra += _scored(text, at, spans[i][0], llr)
+            at = max(at, spans[i][1])
+        extra += _scored(text, at, m.end(), llr)
     return sorted(spans + extra, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

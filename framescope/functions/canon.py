@@ -18,12 +18,26 @@ def qcol(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def check_unique_names(df: DataFrame) -> None:
+    """Spark resolves names case-insensitively by default; refuse frames whose
+    names would be ambiguous."""
+    seen: dict[str, str] = {}
+    for name in df.columns:
+        key = name.lower()
+        if key in seen:
+            raise ValueError(f"Columns '{seen[key]}' and '{name}' differ only by case.")
+        seen[key] = name
+
+
 def canonicalize(df: DataFrame) -> DataFrame:
     """NaN -> null for every float/double column; other columns untouched.
+    Names that Spark could not tell apart are an error here, not later.
 
     A pure projection: Catalyst folds it into the scan stage and prunes
     unused columns through it.
     """
+    if df.sparkSession.conf.get("spark.sql.caseSensitive") != "true":
+        check_unique_names(df)
     float_types = (T.FloatType, T.DoubleType)
     if not any(isinstance(f.dataType, float_types) for f in df.schema.fields):
         return df
@@ -35,12 +49,3 @@ def canonicalize(df: DataFrame) -> DataFrame:
         else:
             out.append(c)
     return df.select(*out)
-
-
-def is_missing(df: DataFrame, name: str) -> Column:
-    """Null or NaN test for one column (works on non-canonical frames)."""
-    c = qcol(name)
-    dtype = df.schema[name].dataType
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return c.isNull() | F.isnan(c)
-    return c.isNull()

@@ -52,17 +52,6 @@ def classify(df: DataFrame) -> ColumnClasses:
     return ColumnClasses(**groups)
 
 
-def check_unique_names(df: DataFrame) -> None:
-    """Spark resolves names case-insensitively by default; refuse frames whose
-    names would be ambiguous."""
-    seen: dict[str, str] = {}
-    for name in df.columns:
-        key = name.lower()
-        if key in seen:
-            raise ValueError(f"Columns '{seen[key]}' and '{name}' differ only by case.")
-        seen[key] = name
-
-
 class ColumnNotFoundError(ValueError):
     def __init__(self, column: str, available: list[str]):
         super().__init__(f"Column '{column}' not found. Available columns: {', '.join(available)}")

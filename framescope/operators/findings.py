@@ -37,10 +37,6 @@ BOX_TITLE, BOX_REQUEST = "{} Outlier Review", "boxplot for {}"
 HEATMAP_TITLE, HEATMAP_REQUEST = "Full Correlation Overview", "correlation heatmap for all numeric columns"
 
 FINDING_SCHEMA = "rank int, kind string, subject string, text string"
-FOLLOW_UP_SCHEMA = (
-    "rank int, rule int, chart_type string, x_column string, y_column string, "
-    "column string, title string, chart_request string"
-)
 
 
 def schema_bounded(df: DataFrame) -> DataFrame:

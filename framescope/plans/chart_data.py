@@ -67,7 +67,6 @@ RULES = {
 }
 #: A bar chart of two columns shows means instead of counts.
 MEANS = Rule("Bar", lambda df, s, t: charts.bar_mean_by_category(df, s.x_column, s.y_column), axes=True)
-SUPPORTED_CHART_TYPES = tuple(RULES)
 
 
 def chart_data(df: DataFrame, spec: ChartSpec) -> tuple[ChartMeta, DataFrame]:

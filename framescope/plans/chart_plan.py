@@ -86,8 +86,8 @@ def plan_rows_from(df: DataFrame, row, distinct: dict[str, int]) -> list[tuple]:
 
 def pie_candidates_up_to(df: DataFrame) -> dict[str, int]:
     """:func:`distinct_up_to` for the text columns that can still qualify
-    for the pie (a first slice of rows rules out columns with many values);
-    the others count as "more than 8"."""
+    for the pie (a sketched distinct count rules out columns with many
+    values); the others count as "more than 8"."""
     from ..operators.charts import columns_with_few_values
     from ..operators.stats import top_values
 

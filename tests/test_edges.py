@@ -127,3 +127,12 @@ def test_top_values_property(spark, values):
     vc = pd.Series(values, dtype=object).value_counts(dropna=True)
     exp = sorted(vc.items(), key=lambda kv: (-kv[1], kv[0]))[:5]
     assert got == [(k, int(v)) for k, v in exp]
+
+
+def test_names_that_differ_only_by_case_are_refused(spark):
+    from framescope.operators import quality, stats
+
+    df = spark.createDataFrame([(1, 2.0)], "a long, b double").toDF("Total", "total")
+    for operator in (stats.describe, quality.quality_report, stats.top_values):
+        with pytest.raises(ValueError, match="'Total' and 'total' differ only by case"):
+            operator(df)

@@ -6,14 +6,19 @@ item is one window). A window is the set of its word shingles; a document
 contains it only if it has all of them, so it must have the window's rarest
 one: with containment 1 the necessary prefix is a single shingle.
 
-1. One pass over the documents keeps the shingle positions that occur in any
-   benchmark window (hash join with the benchmark's shingles, a stated set
-   taken in blocks of bounded size), with the words around them.
-2. Shingle frequencies over all documents order each window's shingles; the
-   rarest is joined with the kept positions.
+1. A first read of the documents counts the benchmark's shingles in all of
+   them, which orders each window's shingles by rarity. A window with a
+   shingle that no document has is out; of the others the rarest shingle, the
+   prefix, goes on.
+2. A second read keeps the positions of prefix shingles only, with the words
+   around them, and joins them with the prefixes. In both reads a bit map of
+   bounded size holds off the other positions before anything is shuffled;
+   a fuller map lets more of them through to the join, which is exact.
 3. The window must fit in the document at that position (positional and
    length bounds), and its words must equal the document's.
 
+The documents are read twice, whatever the number and lengths of the items.
+
 Defined cases: null or wordless texts hit nothing and have 0 words; a null
 item id counts as the empty string; items that repeat an id count once;
 repeated document rows each get their own result row; other columns are
@@ -27,19 +32,33 @@ from pyspark.sql import functions as F
 from framescope.llm.common import alnum_words, let, text_key, written
 
 WINDOW, SHINGLE = 10, 3
-#: Benchmark shingles joined in one pass; a larger benchmark takes more passes.
-BLOCK = 500_000
+#: Bits of the map of searched shingles at most, as a power of two (2 MB).
+MAP_BITS = 24
+
+
+def _shingles(words: Column, k: int) -> Column:
+    """Hash of the k words from each word on (fewer at the very end)."""
+    return F.transform(words, lambda _, i: F.xxhash64(F.lit(k), *[F.get(words, i + j) for j in range(k)]))
 
 
-def _shingles(column: str, k: int) -> Column:
-    """Hash of the k words from each position."""
-    def of(words: Column) -> Column:
-        return F.when(F.size(words) >= k, F.transform(
-            F.sequence(F.lit(0), F.size(words) - k),
-            lambda i: F.xxhash64(F.lit(k), *[F.get(words, i + j) for j in range(k)]),
-        )).otherwise(F.array().cast("array<bigint>"))
+def _place(h: Column, bits: int) -> tuple[Column, Column]:
+    """Word and bit of a hash in a map of ``2 ** bits`` bits."""
+    at = F.shiftrightunsigned(h, 64 - bits)
+    return F.shiftrightunsigned(at, 6), at.bitwiseAND(63).cast("int")
 
-    return let(F.col(column), of)
+
+def _may_be_in(h: Column, keys: DataFrame) -> Column:
+    """Whether a hash may be among the distinct ``keys.h``: a bit map of about
+    64 bits a key and ``2 ** MAP_BITS`` at most, filled by a subquery."""
+    bits = min(MAP_BITS, max(6, (64 * keys.count() - 1).bit_length()))
+    word, bit = _place(F.col("h"), bits)
+    set_bits = keys.groupBy(word.alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("b"))
+    filled = (keys.sparkSession.range(1 << (bits - 6)).join(set_bits, F.col("id") == F.col("word"), "left")
+              .agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0)).alias("b")))).alias("m")))
+    word, bit = _place(h, bits)
+    table = filled.select(F.col("m.b")).scalar()
+    return F.call_function("shiftrightunsigned", F.get(table, word.cast("int")), bit).bitwiseAND(1) == 1
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -60,39 +79,30 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shing
     grams = None
     for k in sizes:
         of = wins.where(F.least("len", F.lit(shingle)) == k)
-        part = of.select("item", "win", "len", F.posexplode(_shingles("win", k)).alias("off", "h"))
+        own = F.slice(_shingles(F.col("win"), k), F.lit(1), F.col("len") - (k - 1))
+        part = of.select("item", "win", "len", F.posexplode(own).alias("off", "h"))
         grams = part if grams is None else grams.unionAll(part)
     grams = written(grams, "grams")
-    known = grams.select("h").distinct()
-    blocks = max(1, -(-known.count() // BLOCK))
     words = documents.select("doc_id", text_key(F.col("text")).alias("tk"), alnum_words(F.col("text")).alias("w"))
-    passes = []
-    for k in sizes:
-        for b in range(blocks):
-            first = k == sizes[0] and b == 0
-            own = F.broadcast(known.where(F.pmod("h", F.lit(blocks)) == b).select(F.col("h").alias("bh")))
-            hashes = _shingles("w", k)
-            if first:  # the null in front stands for the document itself
-                hashes = F.concat(F.array(F.lit(None).cast("bigint")), hashes)
-            rows = words.select("doc_id", "tk", "w", F.posexplode(hashes).alias("p", "h"))
-            pos = F.col("p") - (1 if first else 0)
-            matched = rows.join(own, F.col("h") == F.col("bh"), "left" if first else "inner")
-            if first:
-                matched = matched.where(F.col("h").isNull() | F.col("bh").isNotNull())
-            left = F.greatest(pos - (window - 1), F.lit(0))
-            passes.append(matched.select(
-                "doc_id", "tk", "h", pos.alias("pos"), F.size("w").alias("n_words"), left.alias("left"),
-                F.when(F.col("h").isNotNull(), F.slice("w", left + 1, F.lit(2 * window))).alias("around")))
-    table = passes[0]
-    for p in passes[1:]:
-        table = table.unionAll(p)
-    table = written(table, "shingles")
-    base = table.where("h IS NULL").select("doc_id", "tk", "n_words")
-    seen = table.where("h IS NOT NULL")
-    freq = seen.groupBy("h").agg(F.count("*").alias("n"))
+    hashes = let(F.col("w"), lambda w: F.concat(*[_shingles(w, k) for k in sizes]))
+    known = grams.select("h").distinct()
+    freq = (words.select(F.explode(hashes).alias("h")).where(_may_be_in(F.col("h"), known))
+            .groupBy("h").agg(F.count("*").alias("n")))
     prefix = (grams.join(freq, "h", "left").groupBy("item", "win", "len")
               .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "off")).alias("r"))
               .where("r.n > 0").select("item", "win", "len", F.col("r.h").alias("h"), F.col("r.off").alias("off")))
+    prefix = written(prefix, "prefixes")
+    # the null in front stands for the document itself
+    rows = words.select("doc_id", "tk", "w", F.posexplode(
+        F.concat(F.array(F.lit(None).cast("bigint")), hashes)).alias("p", "h"))
+    rows = rows.where(F.col("h").isNull() | _may_be_in(F.col("h"), prefix.select("h").distinct()))
+    pos = F.when(F.col("h").isNotNull(), F.pmod(F.col("p") - 1, F.size("w")))
+    left = F.greatest(pos - (window - 1), F.lit(0))
+    table = written(rows.select(
+        "doc_id", "tk", "h", pos.alias("pos"), F.size("w").alias("n_words"), left.alias("left"),
+        F.when(F.col("h").isNotNull(), F.slice("w", left + 1, F.lit(2 * window))).alias("around")), "shingles")
+    base = table.where("h IS NULL").select("doc_id", "tk", "n_words")
+    seen = table.where("h IS NOT NULL")
     start = F.col("pos") - F.col("off")
     exact = F.slice("around", start - F.col("left") + 1, F.col("len")) == F.col("win")
     inside = (start >= 0) & (start + F.col("len") <= F.col("n_words"))

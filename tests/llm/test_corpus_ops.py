@@ -105,9 +105,9 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(ids)
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK, 3])
-def test_decontamination_equals_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK", block)
+@pytest.mark.parametrize("bits", [decontaminate.MAP_BITS, 6])
+def test_decontamination_equals_brute_force(spark, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "MAP_BITS", bits)  # at 6 bits the map is full
     rng = np.random.default_rng(5)
     vocab = ["the", "of", "É", "x1", "Z", "ab", "cd"]
     items = [(i, " ".join(rng.choice(vocab, n))) for i, n in enumerate([1, 2, 3, 5, 12, 12, 15])] + [(10, "the of"), (11, None)]

@@ -26,19 +26,22 @@ ignored. Empty tables give empty results (no benchmark: nothing is hit)."""
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framescope.llm.common import alnum_words, let, text_key, written
+from framescope.llm.common import alnum_words, text_key, written
 
 WINDOW, SHINGLE = 10, 3
 #: Bits of the map of searched shingles at most, as a power of two (2 MB).
 MAP_BITS = 24
 
 
-def _shingles(words: Column, k: int) -> Column:
-    """Hash of the k words from each word on (fewer at the very end)."""
-    return F.transform(words, lambda _, i: F.xxhash64(F.lit(k), *[F.get(words, i + j) for j in range(k)]))
+def _shingle(words: Column, at: Column, k: int) -> Column:
+    """Hash of the k words from a position on (fewer at the very end)."""
+    return F.xxhash64(F.lit(k), *[F.get(words, at + j) for j in range(k)])
 
 
 def _place(h: Column, bits: int) -> tuple[Column, Column]:
@@ -79,30 +82,29 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shing
     grams = None
     for k in sizes:
         of = wins.where(F.least("len", F.lit(shingle)) == k)
-        own = F.slice(_shingles(F.col("win"), k), F.lit(1), F.col("len") - (k - 1))
-        part = of.select("item", "win", "len", F.posexplode(own).alias("off", "h"))
+        part = of.select("item", "win", "len", F.posexplode("win").alias("off", "word")).where(F.col("off") + k <= F.col("len"))
+        part = part.select("item", "win", "len", "off", _shingle(F.col("win"), F.col("off"), k).alias("h"))
         grams = part if grams is None else grams.unionAll(part)
     grams = written(grams, "grams")
     words = documents.select("doc_id", text_key(F.col("text")).alias("tk"), alnum_words(F.col("text")).alias("w"))
-    hashes = let(F.col("w"), lambda w: F.concat(*[_shingles(w, k) for k in sizes]))
-    known = grams.select("h").distinct()
-    freq = (words.select(F.explode(hashes).alias("h")).where(_may_be_in(F.col("h"), known))
-            .groupBy("h").agg(F.count("*").alias("n")))
+    # hashes of exploded positions, not of array elements: the whole pass is compiled, and only refers to the words
+    rows = words.select("doc_id", "tk", "w", F.posexplode_outer("w").alias("p", "word"))
+    hashes = [_shingle(F.col("w"), F.col("p"), k) for k in sizes]
+    freq = (rows.where("p IS NOT NULL").select(F.explode(F.array(*hashes)).alias("h"))
+            .where(_may_be_in(F.col("h"), grams.select("h").distinct())).groupBy("h").agg(F.count("*").alias("n")))
     prefix = (grams.join(freq, "h", "left").groupBy("item", "win", "len")
               .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "off")).alias("r"))
               .where("r.n > 0").select("item", "win", "len", F.col("r.h").alias("h"), F.col("r.off").alias("off")))
     prefix = written(prefix, "prefixes")
-    # the null in front stands for the document itself
-    rows = words.select("doc_id", "tk", "w", F.posexplode(
-        F.concat(F.array(F.lit(None).cast("bigint")), hashes)).alias("p", "h"))
-    rows = rows.where(F.col("h").isNull() | _may_be_in(F.col("h"), prefix.select("h").distinct()))
-    pos = F.when(F.col("h").isNotNull(), F.pmod(F.col("p") - 1, F.size("w")))
-    left = F.greatest(pos - (window - 1), F.lit(0))
-    table = written(rows.select(
-        "doc_id", "tk", "h", pos.alias("pos"), F.size("w").alias("n_words"), left.alias("left"),
-        F.when(F.col("h").isNotNull(), F.slice("w", left + 1, F.lit(2 * window))).alias("around")), "shingles")
-    base = table.where("h IS NULL").select("doc_id", "tk", "n_words")
-    seen = table.where("h IS NOT NULL")
+    keys = prefix.select("h").distinct()
+    found_any = functools.reduce(operator.or_, [_may_be_in(h, keys) for h in hashes])
+    left = F.greatest(F.col("p") - (window - 1), F.lit(0))
+    # the first position, null in a document without words, stands for the document, too
+    table = written(rows.where(F.col("p").isNull() | (F.col("p") == 0) | found_any).select(
+        "doc_id", "tk", F.col("p").alias("pos"), F.greatest(F.size("w"), F.lit(0)).alias("n_words"), left.alias("left"),
+        F.array(*hashes).alias("hs"), F.slice("w", left + 1, F.lit(2 * window)).alias("around")), "shingles")
+    base = table.where("coalesce(pos, 0) = 0").select("doc_id", "tk", "n_words")
+    seen = table.where("pos IS NOT NULL").withColumn("h", F.explode("hs")).drop("hs")
     start = F.col("pos") - F.col("off")
     exact = F.slice("around", start - F.col("left") + 1, F.col("len")) == F.col("win")
     inside = (start >= 0) & (start + F.col("len") <= F.col("n_words"))

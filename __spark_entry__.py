@@ -171,6 +171,23 @@ def _sql_strong(view: str, cols: list[str]) -> str:
     FROM pr WHERE abs(r) >= 0.6"""
 
 
+def _supplier_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide table with gaps: a row for each shipping day, a column for each
+    supplier with the quantity shipped that day."""
+    days = _t(spark, sf_dir, "lineitem").groupBy("l_shipdate").pivot("l_suppkey").agg(F.sum("l_quantity"))
+    return days.toDF("day", *[f"s{c}" for c in days.columns[1:]])
+
+
+SUPPLIER_PAIRS_SQL = """
+    WITH d AS (SELECT l_shipdate AS day, 's' || l_suppkey AS c, CAST(sum(l_quantity) AS DOUBLE) AS v
+               FROM lineitem GROUP BY ALL),
+    names AS (SELECT c, CASE WHEN min(v) < max(v) THEN CAST(1.0 AS DOUBLE) END AS own FROM d GROUP BY c),
+    p AS (SELECT a.c AS ca, b.c AS cb,
+                 CASE WHEN min(a.v) < max(a.v) AND min(b.v) < max(b.v)
+                      THEN round(corr(a.v, b.v), 3) + 0.0 END AS r
+          FROM d a JOIN d b ON a.day = b.day AND a.c <> b.c GROUP BY 1, 2)"""
+
+
 def _sql_quartiles(view: str, cols: list[str]) -> str:
     return _union([
         f"SELECT '{c}' AS {_q('column')}, round(quantile_cont(CAST({_q(c)} AS DOUBLE), 0.25), 4) AS q1, "
@@ -591,6 +608,9 @@ def _table_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "describe_customer": lambda s, d: stats.describe(t(s, d, "customer")),
         "box_by_segment": lambda s, d: charts.box_summary(t(s, d, "customer"), "c_acctbal", by="c_mktsegment"),
         "correlation_customer": lambda s, d: stats.correlation_matrix(t(s, d, "customer")),
+        "correlation_wide": lambda s, d: stats.correlation_matrix(_supplier_days(s, d)),
+        "strong_correlations_wide": lambda s, d: stats.strong_correlations(_supplier_days(s, d), 0.25).select(
+            "column_a", "column_b", "r", "direction", "description"),
         "sum_by_role": lambda s, d: ask.group_agg(t(s, d, "conversations"), ["role"], "turn", "sum"),
         # sources
         "top_texts": lambda s, d: stats.value_counts(t(s, d, "documents"), "text", 10),
@@ -835,6 +855,15 @@ def _table_oracle_sql() -> dict[str, str]:
         "numeric_as_text_conversations": _sql_numeric_as_text("conversations", [(2, "role"), (3, "text")]),
         "describe_customer": _sql_describe("customer", ["c_custkey", "c_nationkey", "c_acctbal"]),
         "box_by_segment": _sql_box("customer", "c_acctbal", "c_mktsegment"),
+        "correlation_wide": SUPPLIER_PAIRS_SQL + """
+            SELECT x.c AS column_a, y.c AS column_b, CASE WHEN x.c = y.c THEN x.own ELSE r END AS r
+            FROM names x CROSS JOIN names y LEFT JOIN p ON p.ca = x.c AND p.cb = y.c""",
+        "strong_correlations_wide": SUPPLIER_PAIRS_SQL + """
+            SELECT ca AS column_a, cb AS column_b, r,
+                   CASE WHEN r > 0 THEN 'positively' ELSE 'negatively' END AS direction,
+                   ca || ' is ' || CASE WHEN r > 0 THEN 'positively' ELSE 'negatively' END
+                     || ' correlated with ' || cb || ' (' || printf('%.2f', r) || ')' AS description
+            FROM p WHERE abs(r) >= 0.25 AND CAST(substr(ca, 2) AS BIGINT) < CAST(substr(cb, 2) AS BIGINT)""",
         "correlation_customer": _sql_corr_matrix("customer", ["c_custkey", "c_nationkey", "c_acctbal"], 3),
         "sum_by_role": """SELECT role, CAST(coalesce(sum(turn), 0) AS DECIMAL(38, 0)) AS turn FROM conversations
             WHERE role IS NOT NULL GROUP BY role""",

@@ -6,9 +6,9 @@ Layout of the work:
   column come from ONE wide aggregation;
 * exact quantiles (median, quartiles) come from the distributed selection
   job in :mod:`.quantile` (bounded state per task);
-* correlations are pairwise-complete Pearson coefficients from
-  ``covar_pop`` / ``stddev_pop`` over masked columns, many pairs per
-  aggregation;
+* correlations are pairwise-complete Pearson coefficients from sums of
+  centred columns, many pairs per aggregation; from ``WIDE_COLUMNS`` columns
+  on, from Gram matrices of blocks of columns (:mod:`.gram`);
 * the most frequent values are counted by short keys, only candidates of a
   frequent-items sketch where it can prove them (:mod:`.frequent`), with a
   top-k that Spark pre-limits on the map side (WindowGroupLimit).
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from ..functions.canon import canonicalize, qcol
 from ..functions.classes import classify
 from ..functions.text import fill, fixed2
+from ..session import written
+from . import gram
 from .frequent import is_text, top_counts
 from .quantile import exact_quantiles, quantiles as _quantiles
 
@@ -40,6 +42,8 @@ OUTLIER_WHISKER = 1.5
 OUTLIER_MIN_VALUES = 4
 TOP_VALUES_PROFILE = 5
 PAIRS_PER_AGGREGATION = 500
+#: From here on pairs come from blocks of columns; the results are the same.
+WIDE_COLUMNS = 64
 #: Spread below this share of the mean square is rounding: the column is
 #: constant on the pair's rows.
 CONSTANT = 1e-12
@@ -212,18 +216,24 @@ def pair_correlations(df: DataFrame, columns: Sequence[str] | None = None,
                       facts: tuple | None = None) -> tuple[DataFrame, list[str], dict]:
     """Unrounded r for every column pair (i < j) of the non-empty numeric
     columns, as a local relation (one row per pair: bounded by the schema),
-    with the column list and which columns vary. Shared by the correlation
-    matrix, the heatmap and the strong-correlation list."""
-    df = canonicalize(df)
+    or for wide tables as a written one, with the column list and which
+    columns vary. Shared by the correlation matrix, the heatmap and the
+    strong-correlation list."""
+    raw, df = df, canonicalize(df)
     spark = df.sparkSession
     cand = list(columns) if columns is not None else classify(df).numeric
     if facts is None:
-        facts = _column_facts(df, cand) if cand else (0, {}, {}, {})
+        if len(cand) >= WIDE_COLUMNS:
+            facts = gram.column_facts(raw, cand)
+        else:
+            facts = _column_facts(df, cand) if cand else (0, {}, {}, {})
     # named columns are all kept (an empty one gets missing coefficients);
     # the automatic choice is the non-empty numeric columns
     cols = cand if columns is not None else [c for c in cand if facts[1][c] > 0]
     if len(cols) < 2:
         return spark.createDataFrame([], "column_a string, column_b string, r double"), cols, {}
+    if len(cols) >= WIDE_COLUMNS and facts[0]:
+        return written(gram.pair_frame(raw, cols, facts, CONSTANT), "pairs"), cols, facts[3]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     upper, varies = _pair_stats(df, pairs, facts)
     return spark.createDataFrame(upper.collect(), upper.schema), cols, varies

@@ -106,3 +106,33 @@ def test_two_thousand_columns(spark, tmp_path):
     for (a, b), r in got.items():
         assert (r is None and np.isnan(want.loc[a, b])) or abs(r - want.loc[a, b]) < 1e-9
     assert not varies["c1"] and varies["c4"]
+
+
+def test_wide_table_is_read_once(spark):
+    """The table is packed in one read; its plan is not made again for the
+    facts and for the pairs."""
+    rows, width = 50, stats.WIDE_COLUMNS + 6
+    seen = spark.sparkContext.accumulator(0)
+    values = np.random.default_rng(5).normal(size=(rows, width))
+
+    def read(row):
+        seen.add(1)
+        return [float(x) for x in row]
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize(values.tolist(), 3).map(read),
+                               ", ".join(f"c{i} double" for i in range(width)))
+    got = pair_dict(stats.correlation_matrix(df, None))
+    same(got, wanted(pd.DataFrame(values, columns=df.columns)))
+    assert seen.value == rows
+
+
+def test_wide_table_with_empty_columns_left_out(spark, monkeypatch):
+    """Packed columns that hold nothing stay out of the pairs."""
+    monkeypatch.setattr(stats, "WIDE_COLUMNS", 2)
+    for name, value in (("TILE", 3), ("PACK", 100), ("CHUNK", 300)):
+        monkeypatch.setattr(gram, name, value)
+    pdf = wide_pandas(40, 9)
+    pdf.loc[::2, "c6"] = np.nan
+    pdf[["c0", "c8"]] = np.nan
+    got = pair_dict(stats.correlation_matrix(spark.createDataFrame(pdf).repartition(4), None))
+    same(got, wanted(pdf.drop(columns=["c0", "c3", "c8"])))

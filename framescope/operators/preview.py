@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canon import canonicalize, qcol
+from ..session import written
 
 PREVIEW_ROWS = 50
 SAMPLE_VALUES = 3
+#: Rows in which the samples of all columns are looked for at once.
+HEAD_ROWS = 200
 
 
 def preview(df: DataFrame, order_by: Sequence[str], n: int = PREVIEW_ROWS) -> DataFrame:
@@ -23,22 +26,37 @@ def sample_values(df: DataFrame, order_by: Sequence[str], k: int = SAMPLE_VALUES
     """P10: ``position, column, dtype, samples`` - the first ``k`` non-missing
     values of each column (as text) by the order key.
 
-    One generator over all columns, ``row_number() <= k`` per column (Spark
-    pre-limits each partition to k rows per column before the shuffle).
+    The first ``HEAD_ROWS`` rows hold them for every column with ``k`` values
+    there. Each other column takes a top-k of its own over its non-missing
+    rows. Both are top-k sorts, whose tasks hold no more rows than they keep.
     """
     df = canonicalize(df)
-    key = F.struct(*[qcol(c) for c in order_by])
+    key = [qcol(c) for c in order_by]
     fields = df.schema.fields
-    items = F.array(*[
+    items = [
         F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
                  F.lit(f.dataType.simpleString()).alias("dtype"),
                  (F.to_json(qcol(f.name)) if f.dataType.typeName() in ("map", "struct", "array")
                   else qcol(f.name).cast("string")).alias("value"))
         for i, f in enumerate(fields)
-    ])
-    long = df.select(key.alias("_k"), F.inline(items)).where(F.col("value").isNotNull())
-    w = Window.partitionBy("position").orderBy("_k")
-    firsts = long.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    ]
+    in_order = F.row_number().over(Window.orderBy(*key))  # over rows that a top-k kept
+
+    def long(rows: DataFrame, some: list) -> DataFrame:
+        return rows.select(in_order.alias("at"), F.array(*some).alias("items")).select("at", F.inline("items")).where(
+            F.col("value").isNotNull())
+
+    size = max(k, HEAD_ROWS)
+    found = written(long(df.orderBy(*key).limit(size), items), "head")
+    held = dict(found.groupBy("position").agg(F.count(F.lit(1))).collect())  # a row a column
+    short = [i for i in range(len(fields)) if held.get(i, 0) < k]
+    if short:
+        found = found.where(~F.col("position").isin(short))
+        for i in short:
+            there = df.where(items[i]["value"].isNotNull()).orderBy(*key).limit(k)
+            found = found.unionByName(long(there, [items[i]]))
+    w = Window.partitionBy("position").orderBy("at")
+    firsts = found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
     return firsts.groupBy("position", "column", "dtype").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rn", "value"))), lambda s: s["value"]).alias("samples")
     )

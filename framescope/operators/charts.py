@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canon import canonicalize, qcol
-from .quantile import grouped_quantiles, quantiles
+from ..session import written
+from .quantile import GROUP_ROWS, grouped_quantiles, quantiles
 from .sample import hash_sample
 from .stats import correlation_matrix, exact_distinct, top_values, value_counts
 
@@ -205,6 +206,23 @@ def scatter_pairs(df: DataFrame, x: str, y: str, sample_rows: int | None = None,
     return df.select(qcol(x), qcol(y))
 
 
+def _beside_quartiles(base: DataFrame, quartiles: DataFrame) -> DataFrame:
+    """Each row beside the quartiles of its group ``_k``. The quartiles of
+    groups above ``GROUP_ROWS`` rows are broadcast (there is at most one such
+    group for so many rows): a shuffle by key would bring all rows of a group
+    into one task's sort. Only the rows of smaller groups are dealt by key."""
+    quartiles = written(quartiles, "quartiles")
+    sizes = quartiles.agg(F.count_if(F.col("_rows") > GROUP_ROWS).alias("large"), F.count(F.lit(1)).alias("all")).first()
+    large = F.broadcast(quartiles.where(F.col("_rows") > GROUP_ROWS).drop("_rows"))
+    small = quartiles.where(F.col("_rows") <= GROUP_ROWS).drop("_rows")
+    same = F.col("_g0") == F.col("_k")
+    if sizes["large"] == 0:
+        return base.join(small, same)
+    if sizes["large"] == sizes["all"]:
+        return base.join(large, same)
+    return base.join(large, same).unionByName(base.join(large, same, "left_anti").join(small, same))
+
+
 def box_summary(df: DataFrame, column: str, by: str | None = None, decimals: int | None = 4,
                 exact: bool = True) -> DataFrame:
     """``[by], n, q1, median, q3, whisker_lo, whisker_hi, fliers``.
@@ -214,7 +232,7 @@ def box_summary(df: DataFrame, column: str, by: str | None = None, decimals: int
     exactly the values beyond the 1.5 IQR fences. Pass 1 is the exact
     quartile job (per group when ``by`` is set); pass 2 is ONE aggregation:
     without groups the three quartiles are collected and used as literals,
-    with groups they meet the rows in an equi-join on the group key.
+    with groups they meet the rows by group key (:func:`_beside_quartiles`).
     """
     df = canonicalize(df)
     probs = [0.25, 0.5, 0.75]
@@ -226,11 +244,13 @@ def box_summary(df: DataFrame, column: str, by: str | None = None, decimals: int
         base = base.where(F.col("_g0").isNotNull())
         if exact:
             qw = grouped_quantiles(base, ["_v"], probs, ["_g0"]).select(
-                F.col("_g0").alias("_k"), *[F.col(f"_q0_{j}").alias(n) for j, n in enumerate(("_a", "_m", "_z"))])
+                F.col("_g0").alias("_k"), F.col("_n0").alias("_rows"),
+                *[F.col(f"_q0_{j}").alias(n) for j, n in enumerate(("_a", "_m", "_z"))])
         else:
-            qw = base.groupBy(F.col("_g0").alias("_k")).agg(F.percentile_approx("_v", probs).alias("_q")).select(
-                "_k", *[F.col("_q")[j].alias(n) for j, n in enumerate(("_a", "_m", "_z"))])
-        joined = base.join(qw, F.col("_g0") == F.col("_k"))
+            qw = base.groupBy(F.col("_g0").alias("_k")).agg(
+                F.count("_v").alias("_rows"), F.percentile_approx("_v", probs).alias("_q")).select(
+                "_k", "_rows", *[F.col("_q")[j].alias(n) for j, n in enumerate(("_a", "_m", "_z"))])
+        joined = _beside_quartiles(base, qw)
         keys = ["_g0", "_a", "_m", "_z"]
     else:
         # three values: read them and use them as literals

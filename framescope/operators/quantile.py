@@ -180,7 +180,7 @@ def grouped_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[flo
     largest = hot.agg(F.count(F.lit(1)), F.max(most)).first()
     plist = F.array(*map(F.lit, probs))
     if largest[0]:
-        hot = written(hot.select(*keys), "hot-groups")
+        hot = F.broadcast(written(hot.select(*keys), "hot-groups"))  # at most one for so many rows
     few = base.join(hot, keys, "left_anti") if largest[0] else base
     small = few.groupBy(*keys).agg(*counted, *[F.percentile(f"_v{i}", plist).alias(f"_p{i}") for i in numbers]).select(
         *keys, *[f"_n{i}" for i in numbers], *[F.col(f"_p{i}")[j].alias(f"_q{i}_{j}") for i in numbers for j in range(len(probs))])
@@ -208,7 +208,7 @@ def _hot_groups(rows: DataFrame, keys: list[str], columns: int, probs: list[floa
             items.append(F.when(v <= hi, F.struct(
                 F.lit(r).alias("_r"), F.col(f"_n{i}").alias("_n"), F.lit(probs[j]).alias("_p"), (v >= lo).alias("_in"),
                 F.when(v >= lo, v).alias("_v"))))
-        counts = (rows.join(brackets, keys).select(*keys, F.inline(F.array_compact(F.array(*items))))
+        counts = (rows.join(F.broadcast(brackets), keys).select(*keys, F.inline(F.array_compact(F.array(*items))))
                   .groupBy(*keys, "_r", "_n", "_p", "_in", "_v").agg(F.count(F.lit(1)).alias("_k")))
         inside = share * largest
         return _pick(counts, [*keys, "_r"], int(inside // final_rows) + 2 if inside > final_rows else 0)

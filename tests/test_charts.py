@@ -117,3 +117,24 @@ def test_custom_heatmap_keeps_empty_numeric_columns(spark):
     _, frame = chart_data(df, ChartSpec("heatmap"))
     got = {(r["column_a"], r["column_b"]): r["r"] for r in frame.collect()}
     assert ("e", "a") in got and got[("e", "a")] is None
+
+
+def test_large_groups_of_a_box_are_not_sorted_by_key(spark, monkeypatch):
+    """Rows of a large group meet their quartiles by broadcast, those of
+    small groups by key; both give the boxes of the plain join."""
+    rows = [("big", float(i * 37 % 101)) for i in range(300)] + [("wide", float(i * i)) for i in range(40)]
+    rows += [(f"s{i % 5}", float(i * 13 % 29)) for i in range(60)] + [("one", 4.0), (None, 9.0), ("big", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = sorted(map(tuple, charts.box_summary(df, "v", by="g").collect()))
+    assert len(want) == 8 and sum(r[1] for r in want) == 401
+    monkeypatch.setattr(charts, "GROUP_ROWS", 20)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for exact in (True, False):
+            assert sorted(map(tuple, charts.box_summary(df, "v", by="g").collect())) == want
+        large = charts.box_summary(df.where("g IN ('big', 'wide')"), "v", by="g")
+        assert sorted(map(tuple, large.collect())) == [r for r in want if r[0] in ("big", "wide")]
+        assert "SortMergeJoin" not in large._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

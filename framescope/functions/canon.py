@@ -8,6 +8,8 @@ aggregate skips missing values the same way pandas does.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,12 +25,12 @@ def qcol(name: str) -> Column:
     return F.col(quoted(name))
 
 
-def check_unique_names(df: DataFrame) -> None:
+def check_unique_names(names: Sequence[str], case_sensitive: bool = False) -> None:
     """Spark resolves names case-insensitively by default; refuse frames whose
     names would be ambiguous."""
     seen: dict[str, str] = {}
-    for name in df.columns:
-        key = name.lower()
+    for name in names:
+        key = name if case_sensitive else name.lower()
         if key in seen:
             raise ValueError(f"Columns '{seen[key]}' and '{name}' differ only by case.")
         seen[key] = name
@@ -42,7 +44,7 @@ def canonicalize(df: DataFrame) -> DataFrame:
     unused columns through it.
     """
     if df.sparkSession.conf.get("spark.sql.caseSensitive") != "true":
-        check_unique_names(df)
+        check_unique_names(df.columns)
     float_types = (T.FloatType, T.DoubleType)
     if not any(isinstance(f.dataType, float_types) for f in df.schema.fields):
         return df

@@ -7,6 +7,7 @@ import time
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from framescope.operators import charts, gram, stats
 
@@ -136,3 +137,86 @@ def test_wide_table_with_empty_columns_left_out(spark, monkeypatch):
     pdf[["c0", "c8"]] = np.nan
     got = pair_dict(stats.correlation_matrix(spark.createDataFrame(pdf).repartition(4), None))
     same(got, wanted(pdf.drop(columns=["c0", "c3", "c8"])))
+
+
+def odd_cells(spark):
+    """Sales by day and shop: gaps, a day and a shop without a name, a shop and
+    a day that never sold, a shop of one value."""
+    rng = np.random.default_rng(11)
+    rows = [(None if d == 4 else f"d{d}", None if k == 3 else k * 7, None if k == 5 or d == 2 or rng.random() < 0.2
+             else 0.0 if k == 6 else float("nan") if rng.random() < 0.1 else float(rng.integers(1, 30)) * (1 + k % 3))
+            for d in range(40) for k in range(12) if rng.random() < 0.9 for _ in range(2)]
+    return spark.createDataFrame(rows, "day string, shop int, sold double")
+
+
+@pytest.mark.parametrize("tile, state, pack, chunk", [(128, 256 << 20, 256 << 10, 16 << 20), (2, 1500, 150, 300)])
+def test_cells_agree_with_a_pivoted_frame(spark, monkeypatch, tile, state, pack, chunk):
+    """Cells give what the frame with a column for each key gives."""
+    df = odd_cells(spark)
+    sums = F.sum("sold").alias("sold")
+    frame = df.groupBy("day").pivot("shop").agg(sums)
+    frame = frame.toDF("day", *[f"s{c}" for c in frame.columns[1:]])
+    want = pair_dict(stats.correlation_matrix(frame, None))
+    strong = [r.asDict() for r in stats.strong_correlations(frame, 0.1).orderBy("rank").collect()]
+    for name, value in (("TILE", tile), ("STATE", state), ("PACK", pack), ("CHUNK", chunk), ("SLICE", 3)):
+        monkeypatch.setattr(gram, name, value)
+    cells = gram.Pivoted(df.groupBy("day", "shop").agg(sums), "day", "shop", "sold", "s{}")
+    same(pair_dict(stats.correlation_matrix(cells, None)), want)
+    assert [r.asDict() for r in stats.strong_correlations(cells, 0.1).orderBy("rank").collect()] == strong
+    assert ("snull", "s0") in want and strong and None in want.values()
+
+
+def test_blocks_of_columns_agree_with_pandas(spark, monkeypatch):
+    """Where the sums would outweigh the rows, blocks of columns meet in tasks
+    of their own; infinities spoil their pairs there, too."""
+    for name, value in (("TILE", 4), ("STATE", 20_000), ("CHUNK", 4_000), ("PACK", 3_000), ("SLICE", 5)):
+        monkeypatch.setattr(gram, name, value)
+    monkeypatch.setattr(stats, "PAIRS_WRITTEN", 10)
+    met = []
+    monkeypatch.setattr(gram, "_by_columns", lambda *a, f=gram._by_columns: met.append(1) or f(*a))
+    pdf = wide_pandas(90, 70)
+    df = spark.createDataFrame(pdf).repartition(5)
+    want = wanted(pdf.drop(columns="c3"))
+    same(pair_dict(stats.correlation_matrix(df, decimals=None)), want)
+    got = {(r["column_a"], r["column_b"]): r["r"] for r in stats.strong_correlations(df, 0.5).collect()}
+    close = {p for p, r in want.items() if int(p[0][1:]) < int(p[1][1:]) and r is not None and abs(r) >= 0.5005}
+    assert close <= got.keys() and all(abs(want[p] - r) < 0.0006 for p, r in got.items()) and len(close) > 50
+    assert len(met) == 2
+    pdf.loc[7, "c9"] = np.inf
+    r = pair_dict(stats.correlation_matrix(spark.createDataFrame(pdf).repartition(5), decimals=None))
+    assert r[("c9", "c2")] is None
+    same({p: x for p, x in r.items() if "c9" not in p}, {p: x for p, x in want.items() if "c9" not in p})
+
+
+def test_more_columns_than_a_pivot_takes(spark):
+    """Spark's pivot refuses more than ``spark.sql.pivotMaxValues`` columns, and
+    no plan holds that many."""
+    limit = int(spark.conf.get("spark.sql.pivotMaxValues"))
+    cells = spark.range(3 * (limit + 2)).select(
+        (F.col("id") % 3).alias("row"), F.floor(F.col("id") / 3).alias("key"),
+        F.hash("id").cast("double").alias("value"))
+    pairs = stats.strong_correlations(gram.Pivoted(cells, "row", "key", "value"), 1.0)
+    exact = stats.pair_correlations(gram.Pivoted(cells.where("key % 2000 = 1"), "row", "key", "value"))[0]
+    assert exact.count() == 6 * 5 // 2
+    # any two columns of three rows: some thousandths of the pairs round to 1
+    assert pairs.count() > limit
+
+
+def test_supplier_days_take_any_number_of_suppliers(spark, tmp_path):
+    """The queries run where suppliers outnumber a pivot's columns."""
+    import __spark_entry__ as entry
+
+    rows = [(k, f"2020-01-0{1 + d}", float((k * 7 + d * d * (k % 3 + 1)) % 11)) for k in range(12) for d in range(9)]
+    spark.createDataFrame(rows, "l_suppkey long, d string, l_quantity double").selectExpr(
+        "l_suppkey", "CAST(d AS TIMESTAMP_NTZ) AS l_shipdate", "l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    before = spark.conf.get("spark.sql.pivotMaxValues")
+    spark.conf.set("spark.sql.pivotMaxValues", 10)
+    try:
+        assert entry.queries()["correlation_wide"](spark, str(tmp_path)).count() == 12 * 12
+        strong = entry.queries()["strong_correlations_wide"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.pivotMaxValues", before)
+    pdf = pd.DataFrame(rows, columns=["k", "d", "q"]).pivot(index="d", columns="k", values="q")
+    r = pdf.corr()
+    assert {(x["column_a"], x["column_b"]) for x in strong} == {
+        (f"s{a}", f"s{b}") for a in r for b in r if a < b and abs(round(r.loc[a, b], 3)) >= 0.25}
